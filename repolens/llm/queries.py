@@ -10,16 +10,18 @@ from repolens.llm.chat import OP4_SQL, op4_chat
 from repolens.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from repolens.llm.mixing import op2_mixing
 from repolens.llm.sharding import op6_sharding
+from repolens.llm.warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mixing": op2_mixing,
+        "op3_warc": op3_warc,
         "op4_chat": op4_chat,
         "op6_sharding": op6_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_chat": OP4_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL}
