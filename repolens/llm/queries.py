@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from repolens.llm.chat import OP4_SQL, op4_chat
 from repolens.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from repolens.llm.language import op8_language
 from repolens.llm.mixing import op2_mixing
 from repolens.llm.near_dedup import op5_near_dedup
+from repolens.llm.quality import op7_quality
 from repolens.llm.sharding import op6_sharding
 from repolens.llm.warc import OP3_SQL, op3_warc
 
@@ -22,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat": op4_chat,
         "op5_near_dedup": op5_near_dedup,
         "op6_sharding": op6_sharding,
+        "op7_quality": op7_quality,
+        "op8_language": op8_language,
     }
 
 
