@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from repolens.llm.chat import OP4_SQL, op4_chat
+from repolens.llm.decontaminate import op9_decontamination
 from repolens.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from repolens.llm.language import op8_language
 from repolens.llm.mixing import op2_mixing
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op7_quality": op7_quality,
         "op8_language": op8_language,
+        "op9_decontamination": op9_decontamination,
     }
 
 
