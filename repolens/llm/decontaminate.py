@@ -231,16 +231,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, with all their columns."""
     for index in indexes(benchmark):
+        docs = docs.where(_clean(index)(F.col("text")))
+    return docs
 
-        @F.arrow_udf(BooleanType())
-        def clean(text: pa.Array, index: Index = index) -> pa.Array:
-            keep = np.ones(len(text), bool)
-            for t, *_ in matches(index, text):
-                keep[t] = False
-            return pa.array(keep)
 
-        docs = docs.where(clean(F.col("text")))
-    return docs
+def _clean(index: Index):  # noqa: ANN202
+    @F.arrow_udf(BooleanType())
+    def clean(text: pa.Array) -> pa.Array:
+        keep = np.ones(len(text), bool)
+        for t, *_ in matches(index, text):
+            keep[t] = False
+        return pa.array(keep)
+
+    return clean
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
