@@ -14,6 +14,7 @@ from repolens.llm.mixing import op2_mixing
 from repolens.llm.near_dedup import op5_near_dedup
 from repolens.llm.quality import op7_quality
 from repolens.llm.sharding import op6_sharding
+from repolens.llm.url_rules import op10_url_rules
 from repolens.llm.warc import OP3_SQL, op3_warc
 
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_language": op8_language,
         "op9_decontamination": op9_decontamination,
+        "op10_url_rules": op10_url_rules,
     }
 
 
