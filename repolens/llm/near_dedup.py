@@ -11,9 +11,10 @@ produce no long lists unless the documents are alike.
 At similarity 0.8 a pair falls short of 13 of 32 matches with probability 2e-7.
 
 Documents with the same set are one class before anything is posted.  What is wanted is components, so pairs within a
-list are not enumerated: each member is compared with a pivot of its lists, components are contracted, and lists whose
-members are already one component drop out.  Members of a list that are still in different components after the pivot
-rounds are then compared with each other, which makes the result the same as that of comparing all candidates.
+list are not enumerated: each member is compared with the most central member of its lists, components are contracted,
+and lists whose members are already one component drop out.  Short lists and one member of each component of the longer
+ones follow in the same way.  Documents that are still in different components of a longer list are then compared with
+each other in blocks, which makes the result the same as that of comparing all candidates.
 
 Defined results: a null or empty text has an empty set, no links and itself as component; a text of fewer words than a
 shingle is one shingle of all its words; repeated rows each get a row; rows that share a doc_id but not their text go each
@@ -28,8 +29,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.llm.common import materialise, small
@@ -37,8 +39,10 @@ from repolens.llm.components import connected_components
 from repolens.llm.textbytes import shingle_sets
 
 COORDINATES, MATCHES = 32, 13
-#: Rounds in which a member is compared with pivots before members are compared with each other.
-PIVOT_ROUNDS = 3
+#: Lists of up to so many members are compared in full before the rounds of longer ones.
+SHORT = 16
+#: A block of a cluster has about so many rows and bytes of sets at most.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 
 _rng = np.random.default_rng(5)
 _FACTOR = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,7 +79,10 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def posted(reps: DataFrame) -> DataFrame:
-    """list, doc_id, n: the postings of each representative under the rarest coordinates that another one shares."""
+    """list, doc_id, n, weight: the postings of each representative under the rarest coordinates that another one shares.
+
+    ``weight`` adds up how many others share each of its coordinates: the most central of a group of variants has most.
+    """
     word = lambda i: F.conv(F.hex(F.reverse(F.substring("sign", 4 * i + 1, 4))), 16, 10).cast("long")
     tokens = reps.select("doc_id", "n_shingles", F.posexplode(F.array(*[word(i) for i in range(COORDINATES)])).alias("at", "value"))
     tokens = tokens.select("doc_id", "n_shingles", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("list"))
@@ -83,7 +90,9 @@ def posted(reps: DataFrame) -> DataFrame:
     own = tokens.join(shared, "list").groupBy("doc_id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("length", "list"))).alias("lists"))
     # values that no other document has come first in the order and need no posting
     prefix = F.slice("lists", F.lit(1), F.size("lists") - F.lit(MATCHES - 1))
-    return own.where(F.size("lists") >= MATCHES).select("doc_id", F.col("n_shingles").alias("n"), F.explode(prefix).alias("p")).select(F.col("p.list").alias("list"), "doc_id", "n")
+    weight = F.aggregate("lists", F.lit(0).cast("long"), lambda s, x: s + x["length"])
+    own = own.where(F.size("lists") >= MATCHES).select("doc_id", F.col("n_shingles").alias("n"), weight.alias("weight"), F.explode(prefix).alias("p"))
+    return own.select(F.col("p.list").alias("list"), "doc_id", "n", "weight")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -141,6 +150,104 @@ def _merged(member: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(member.join(moved, "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "near-comp")
 
 
+def _close(n: str, other: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n, other) * 100 >= F.greatest(n, other) * percent
+
+
+def _pivots(placed: DataFrame) -> DataFrame:
+    """The most central member of each list."""
+    best = placed.groupBy("list").agg(F.max(F.struct("weight", "comp", "doc_id", "n")).alias("p"))
+    return best.select("list", F.col("p.weight").alias("pw"), F.col("p.comp").alias("pc"), F.col("p.doc_id").alias("y"), F.col("p.n").alias("pn"))
+
+
+def _first_pivots(placed: DataFrame, percent: int) -> DataFrame:
+    """Each member with the most central of the pivots of its lists: as many pairs as members at most."""
+    met = placed.join(_pivots(placed), "list").where((F.col("comp") != F.col("pc")) & _close("n", "pn", percent))
+    return met.groupBy(F.col("doc_id").alias("x")).agg(F.max(F.struct("pw", "y")).alias("p")).select("x", "p.y")
+
+
+def _short_lists(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components in lists of at most ``SHORT`` members, which hold a document's closest kin."""
+    return _across(placed.where(F.col("length") <= SHORT), percent)
+
+
+def _leaders(placed: DataFrame, percent: int) -> DataFrame:
+    """In each list the pivot with the most central member of each other component."""
+    leaders = placed.groupBy("list", "comp").agg(F.max(F.struct("weight", "doc_id", "n")).alias("l")).select("list", "comp", F.col("l.doc_id").alias("x"), F.col("l.n").alias("n"))
+    return leaders.join(_pivots(placed), "list").where((F.col("comp") != F.col("pc")) & _close("n", "pn", percent)).select("x", "y")
+
+
+def _rest(placed: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components that long lists still hold together.
+
+    Documents that such lists connect form a cluster, which is dealt into blocks of bounded size; each pair of blocks is
+    one task that counts common shingles through an inverted index and returns links, never the pairs it looked at.
+    """
+    edges = placed.join(_pivots(placed).select("list", "y"), "list").where("doc_id <> y").select(F.col("doc_id").alias("a"), F.col("y").alias("b"))
+    cluster = connected_components(edges.distinct()).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
+    rows = cluster.join(member, "doc_id").join(sets.dropDuplicates(["doc_id"]), "doc_id")
+    rows = materialise(rows, "near-clusters")
+    size = rows.groupBy("cluster").agg(
+        (F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("shingles")) / BLOCK_BYTES).cast("int") + 1).alias("blocks")
+    )
+    rows = rows.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    each = each.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc_id", "comp", "shingles")
+
+    def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_block_links(block, key[1], key[2], percent), columns=["a", "b"])
+
+    return each.groupBy("cluster", "b1", "b2").applyInPandas(compare, "a long, b long")
+
+
+def _block_links(rows: pd.DataFrame, first: int, second: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the rows of two blocks (or within one) that join different components, at most one less than there
+    are components."""
+    left, right = rows[rows["block"] == first], rows[rows["block"] == second]
+    b_sets = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
+    b_size = np.array([len(x) for x in b_sets])
+    values = np.concatenate(b_sets) if b_sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(b_sets)), b_size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    b_ids, b_comp = right["doc_id"].to_numpy(), right["comp"].to_numpy()
+    root = {c: c for c in rows["comp"]}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for a, comp, own in zip(left["doc_id"], left["comp"], left["shingles"], strict=True):
+        mine = np.frombuffer(own, np.uint64)
+        low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+        times = high - low
+        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        both = np.bincount(owner[at], minlength=len(b_sets))
+        for k in np.flatnonzero((100 * both >= percent * (len(mine) + b_size - both)) & (b_comp != comp)):
+            x, y = find(comp), find(b_comp[k])
+            if x != y:
+                root[x] = y
+                out.append((int(a), int(b_ids[k])))
+    return out
+
+
+def _open_lists(posts: DataFrame, member: DataFrame) -> DataFrame:
+    """list, doc_id, n, weight, comp, length of the lists whose members are in more than one component."""
+    placed = posts.join(member, "doc_id")
+    lists = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length"))
+    return materialise(placed.join(lists.where("low < high").select("list", "length"), "list"), "near-placed")
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    other = placed.select(F.col("list").alias("l2"), F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
+    met = (F.col("list") == F.col("l2")) & (F.col("comp") < F.col("c2")) & _close("n", "n2", percent)
+    return placed.join(other, met).select(F.col("doc_id").alias("x"), "y")
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     rows = materialise(signed(docs, k), "near-rows")
@@ -156,25 +263,9 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     member = materialise(posts.select("doc_id").distinct().withColumn("comp", F.col("doc_id")), "near-comp")
     tried = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = posts.join(member, "doc_id")
-        if turn < PIVOT_ROUNDS:
-            # pivots from alternate ends; in the first round each member meets only the first pivot of all its lists
-            end = F.min if turn % 2 == 0 else F.max
-            pivots = placed.groupBy("list").agg(end(F.struct("comp", "doc_id", "n")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-            pivots = pivots.where("low < high").select("list", F.col("p.comp").alias("pc"), F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"))
-            pairs = placed.join(pivots, "list").where("comp <> pc").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
-            if turn == 0:
-                pairs = pairs.groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
-            pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-        else:
-            mixed = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
-            left = materialise(placed.join(mixed, "list", "left_semi"), "near-left")
-            if left.isEmpty():
-                break
-            right = left.select("list", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "comp")])
-            met = (left["list"] == right["list"]) & (F.col("comp") < F.col("comp2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-            pairs = left.join(right, met).select(F.least("doc_id", "doc_id2").alias("a"), F.greatest("doc_id", "doc_id2").alias("b")).distinct()
+    for round_of in (_first_pivots, _short_lists, _leaders):
+        pairs = round_of(_open_lists(posts, member), percent)
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-pairs")
@@ -184,6 +275,12 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = materialise(links.confirm(pairs), "near-links")
         if not found.isEmpty():
             member = _merged(member, found)
+    # all pairs of short lists have been compared by now
+    rest = _open_lists(posts, member).where(F.col("length") > SHORT)
+    if not rest.isEmpty():
+        found = materialise(_rest(rest, member, links.sets, percent), "near-links")
+        if not found.isEmpty():
+            member = _merged(member, found)
 
     placed = rows.join(classes, "class", "left").join(member.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
