@@ -1,7 +1,7 @@
 """Versioned snapshots of the graph's tables.
 
-Every publish writes whole new versions of the tables it changes, then moves a pointer file in one rename: readers see
-all of a batch or nothing.  Tables that a batch does not touch keep the version they have.
+Every publish writes whole new versions of the tables it changes, then adds a numbered pointer file in one rename: readers
+see all of a batch or nothing.  Tables that a batch does not touch keep the version they have.
 """
 
 from __future__ import annotations
@@ -22,12 +22,17 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, name: str):  # noqa: ANN202
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _pointers(self) -> list[int]:
+        """Numbers of the snapshots there are."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def versions(self) -> dict[str, str]:
-        return json.loads(read_text(self.spark, f"{self.path}/CURRENT") or "{}")
+        """The version of each table in the newest snapshot."""
+        pointers = self._pointers()
+        return json.loads(read_text(self.spark, f"{self.path}/snapshots/{pointers[-1]}.json")) if pointers else {}
 
     def load(self, name: str) -> DataFrame:
         version = self.versions().get(name)
@@ -40,6 +45,7 @@ class SnapshotStore:
 
     def publish(self, changed: dict[str, DataFrame]) -> None:
         """Write the changed tables and make them current together; a duplicate key stops the publish."""
+        next_number = max(self._pointers(), default=0) + 1
         versions = self.versions()
         for name, df in changed.items():
             version = uuid.uuid4().hex
@@ -49,15 +55,16 @@ class SnapshotStore:
             versions[name] = version
             if name in KEYS and not duplicates(self.spark.read.schema(wanted).parquet(path), KEYS[name]).isEmpty():
                 raise ValueError(f"{name} would hold two rows of one key")
-        temp, fs = self._fs(f"CURRENT.{uuid.uuid4().hex}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        temp = path(f"{self.path}/snapshots/_{uuid.uuid4().hex}")
+        fs = temp.getFileSystem(self.spark._jsc.hadoopConfiguration())
         out = fs.create(temp, True)
         out.write(bytearray(json.dumps(versions).encode()))
         out.close()
-        current, _ = self._fs("CURRENT")
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(temp, current, options)
+        target = path(f"{self.path}/snapshots/{next_number}.json")
+        # a snapshot's number is taken once: of two that publish on the same base, the second fails
+        if fs.exists(target) or not fs.rename(temp, target):
+            raise RuntimeError(f"snapshot {next_number} was published by another writer")
 
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
