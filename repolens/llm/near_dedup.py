@@ -155,27 +155,24 @@ def _close(n: str, other: str, percent: int) -> Column:
     return F.least(n, other) * 100 >= F.greatest(n, other) * percent
 
 
-def _pivots(placed: DataFrame) -> DataFrame:
-    """The most central member of each list."""
-    best = placed.groupBy("list").agg(F.max(F.struct("weight", "comp", "doc_id", "n")).alias("p"))
-    return best.select("list", F.col("p.weight").alias("pw"), F.col("p.comp").alias("pc"), F.col("p.doc_id").alias("y"), F.col("p.n").alias("pn"))
-
-
 def _first_pivots(placed: DataFrame, percent: int) -> DataFrame:
     """Each member with the most central of the pivots of its lists: as many pairs as members at most."""
-    met = placed.join(_pivots(placed), "list").where((F.col("comp") != F.col("pc")) & _close("n", "pn", percent))
-    return met.groupBy(F.col("doc_id").alias("x")).agg(F.max(F.struct("pw", "y")).alias("p")).select("x", "p.y")
+    met = placed.where((F.col("comp") != F.col("pivot_comp")) & _close("n", "pivot_n", percent))
+    return met.groupBy(F.col("doc_id").alias("x")).agg(F.max(F.struct("pivot_weight", "pivot")).alias("p")).select("x", F.col("p.pivot").alias("y"))
 
 
 def _short_lists(placed: DataFrame, percent: int) -> DataFrame:
     """All pairs across components in lists of at most ``SHORT`` members, which hold a document's closest kin."""
-    return _across(placed.where(F.col("length") <= SHORT), percent)
+    short = placed.where(F.col("length") <= SHORT).select("list", "doc_id", "n", "comp")
+    other = short.select(F.col("list").alias("l2"), F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
+    met = (F.col("list") == F.col("l2")) & (F.col("comp") < F.col("c2")) & _close("n", "n2", percent)
+    return short.join(other, met).select(F.col("doc_id").alias("x"), "y")
 
 
 def _leaders(placed: DataFrame, percent: int) -> DataFrame:
     """In each list the pivot with the most central member of each other component."""
-    leaders = placed.groupBy("list", "comp").agg(F.max(F.struct("weight", "doc_id", "n")).alias("l")).select("list", "comp", F.col("l.doc_id").alias("x"), F.col("l.n").alias("n"))
-    return leaders.join(_pivots(placed), "list").where((F.col("comp") != F.col("pc")) & _close("n", "pn", percent)).select("x", "y")
+    other = placed.where("comp <> pivot_comp").groupBy("list", "comp", "pivot", "pivot_n").agg(F.max(F.struct("weight", "doc_id", "n")).alias("l"))
+    return other.select(F.col("l.doc_id").alias("x"), F.col("pivot").alias("y"), F.col("l.n").alias("n"), "pivot_n").where(_close("n", "pivot_n", percent))
 
 
 def _rest(placed: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +181,7 @@ def _rest(placed: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -
     Documents that such lists connect form a cluster, which is dealt into blocks of bounded size; each pair of blocks is
     one task that counts common shingles through an inverted index and returns links, never the pairs it looked at.
     """
-    edges = placed.join(_pivots(placed).select("list", "y"), "list").where("doc_id <> y").select(F.col("doc_id").alias("a"), F.col("y").alias("b"))
+    edges = placed.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     cluster = connected_components(edges.distinct()).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
     rows = cluster.join(member, "doc_id").join(sets.dropDuplicates(["doc_id"]), "doc_id")
     rows = materialise(rows, "near-clusters")
@@ -236,16 +233,17 @@ def _block_links(rows: pd.DataFrame, first: int, second: int, percent: int) -> l
 
 
 def _open_lists(posts: DataFrame, member: DataFrame) -> DataFrame:
-    """list, doc_id, n, weight, comp, length of the lists whose members are in more than one component."""
-    placed = posts.join(member, "doc_id")
-    lists = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length"))
-    return materialise(placed.join(lists.where("low < high").select("list", "length"), "list"), "near-placed")
+    """list, doc_id, n, weight, comp, length and the pivot (pivot, pivot_comp, pivot_n, pivot_weight), the most central
+    member, of the lists whose members are in more than one component.
 
-
-def _across(placed: DataFrame, percent: int) -> DataFrame:
-    other = placed.select(F.col("list").alias("l2"), F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
-    met = (F.col("list") == F.col("l2")) & (F.col("comp") < F.col("c2")) & _close("n", "n2", percent)
-    return placed.join(other, met).select(F.col("doc_id").alias("x"), "y")
+    A long list is aggregated where its postings lie; the result, a row per open list, goes to the postings.
+    """
+    placed = materialise(posts.join(small(member), "doc_id"), "near-placed")
+    pivot = F.max(F.struct("weight", "comp", "doc_id", "n")).alias("p")
+    lists = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length"), pivot)
+    own = [F.col(f"p.{c}").alias(k) for c, k in (("doc_id", "pivot"), ("comp", "pivot_comp"), ("n", "pivot_n"), ("weight", "pivot_weight"))]
+    lists = materialise(lists.where("low < high").select("list", "length", *own), "near-lists")
+    return materialise(placed.join(small(lists), "list"), "near-open")
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
