@@ -168,13 +168,17 @@ def reachable(links: DataFrame) -> DataFrame:
     return found
 
 
+def _bases(parts: DataFrame) -> DataFrame:
+    """file, block, base: where the first part of each block starts in its file."""
+    blocks = parts.groupBy("file", "block").agg(F.sum(F.col("n") + len(VERSION)).alias("size"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("file", "block", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("base"))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """record_type, record_id, refers, uri, n_bytes, digest, stated of every record on the chains of the archives."""
     parts = materialise(_parts(spark, [path], keep=False), "warc-parts")
-    blocks = parts.groupBy("file", "block").agg(F.sum(F.col("n") + len(VERSION)).alias("size"))
-    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select("file", "block", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("base"))
-    parts = parts.join(bases, ["file", "block"]).withColumn("start", F.col("base") + F.col("start"))
+    parts = parts.join(_bases(parts), ["file", "block"]).withColumn("start", F.col("base") + F.col("start"))
     parts = parts.withColumn("at", F.col("start") - len(VERSION)).withColumn("next", F.col("start") + F.col("advance"))
     parts = materialise(parts.drop("base", "advance"), "warc-placed")
 
@@ -187,13 +191,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _stitched(spark: SparkSession, parts: DataFrame, found: DataFrame, files: list[str]) -> DataFrame:
-    """The records whose payload holds version lines, from all their parts."""
+    """The records whose payload holds version lines, from all their parts.
+
+    Reading fewer files may split them elsewhere, so parts are matched by their place in the file.
+    """
     marks = parts.where(F.col("file").isin(files)).join(found.withColumn("own", F.col("at")), ["file", "at"], "left")
     owner = F.last("own", ignorenulls=True).over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
     marks = marks.withColumn("owner", owner)
     broken = marks.where("own is not null and not complete").select("file", "owner")
-    needed = marks.join(broken, ["file", "owner"], "left_semi").select("file", "block", "nth", "owner", "start")
-    pieces = _parts(spark, files, keep=True).drop("start").join(needed, ["file", "block", "nth"])
+    needed = marks.join(broken, ["file", "owner"], "left_semi").select("file", "owner", "start")
+    bases = materialise(_bases(_parts(spark, files, keep=False)), "warc-bases")
+    pieces = _parts(spark, files, keep=True).join(bases, ["file", "block"]).withColumn("start", F.col("base") + F.col("start"))
+    pieces = pieces.join(needed, ["file", "start"])
 
     def put_together(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("start")
