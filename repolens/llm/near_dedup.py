@@ -296,3 +296,23 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: sets of 4-word shingles of all ``documents``, links at 80 %."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 4, 80)
+
+
+#: All pairs that share a shingle, counted; components by closure.
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), posts AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM posts a JOIN posts b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), near(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT n.doc_id, CASE WHEN l.a = n.other THEN l.b ELSE l.a END FROM near n JOIN links l ON l.a = n.other OR l.b = n.other
+), least_of AS (SELECT doc_id, min(other) AS component_id FROM near GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, component_id = doc_id AS kept FROM sets JOIN least_of USING (doc_id)
+"""
