@@ -5,8 +5,9 @@ the cumulative target shares map to a source; the slot's rank among the slots of
 The documents of a source are laid end to end in a hashed order and repeated at most ``max_epochs`` times; block *r*
 covers the tokens [r * block, (r + 1) * block) of that tape.  Documents and slots meet in a join on (source, rank).
 
-Positions on the tape come from two levels of prefix sums (hash buckets of a source, then rows of a bucket), so a source
-that holds a third of all rows is still spread over many tasks.
+Positions on the tape come from two levels of prefix sums (hash buckets of a source, then rows of a bucket).  There are as
+many buckets as the square root of the number of rows, so neither level puts more than about that many rows of a source in
+one task, and a source that holds a third of all rows is spread over many.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, the last in the order of
 weights; repeated rows are separate documents; an empty table gives no rows.  Extra columns are ignored.  The order is a
@@ -15,6 +16,8 @@ hash of doc_id and size, so reruns agree.  DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,6 @@ from repolens.llm.common import materialise, text_of
 GOLDEN = 0.6180339887498949
 SLOTS = 65_536
 SLOTS_PER_SOURCE = 1_024
-ROWS_PER_BUCKET = 20_000
 
 
 def n_words(name: str = "text") -> Column:
@@ -31,6 +33,12 @@ def n_words(name: str = "text") -> Column:
     return F.regexp_count(text_of(name), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def order_hash() -> Column:
+    """60 bits of the MD5 of doc_id and size: the order of a source's documents, the same in any engine."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
 def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """skey, source_size, target: all sizes shared by weight, no source above ``max_epochs`` times its size.
 
@@ -99,7 +107,7 @@ def mix_blocks(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
     goal = targets(rows, weights, max_epochs).join(slots.groupBy("skey").agg(F.count("*").alias("n_blocks")), "skey", "left")
     goal = goal.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
 
-    hashed = rows.withColumn("h", F.xxhash64("doc_id", "size")).withColumn("bucket", F.pmod("h", F.lit(1 + n // ROWS_PER_BUCKET)))
+    hashed = rows.withColumn("h", order_hash()).withColumn("bucket", F.pmod("h", F.lit(1 + math.isqrt(n))))
     sums = hashed.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size")).join(goal, "skey")
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
@@ -162,3 +170,32 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: all ``documents``, weights 1, 2, 3 repeating, at most three epochs."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same schedule; what a document takes is its overlap with the words that its source's slots cover, epoch by epoch.
+OP2_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce('+' || source, '-') AS skey, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), per AS (
+  SELECT skey, CAST(sum(size) AS BIGINT) AS source_size, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight FROM d GROUP BY skey, source
+), tot AS (SELECT count(*) AS n, CAST(coalesce(sum(size), 0) AS BIGINT) AS total, count(DISTINCT skey) AS n_sources FROM d),
+num AS (SELECT *, greatest(1, total // greatest({SLOTS}, {SLOTS_PER_SOURCE} * n_sources)) AS block, 1 + CAST(floor(sqrt(n)) AS BIGINT) AS buckets FROM tot),
+lev AS (
+  SELECT *, source_size * 3.0::DOUBLE AS cap, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(source_size * 3.0::DOUBLE) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM per WINDOW before AS (ORDER BY source_size * 3.0::DOUBLE / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goal AS (
+  SELECT skey, source_size, CASE WHEN cap <= level * weight THEN cap ELSE weight * (SELECT arg_min(level, (cap / weight, skey)) FROM lev WHERE cap > level * weight) END AS target FROM lev
+), spans AS (
+  SELECT skey, (sum(target) OVER (ORDER BY skey) - target) / sum(target) OVER () AS low, CASE WHEN row_number() OVER (ORDER BY skey DESC) = 1 THEN 2 ELSE sum(target) OVER (ORDER BY skey) / sum(target) OVER () END AS high
+  FROM goal WHERE target > 0
+), points AS (SELECT i * {GOLDEN}::DOUBLE - floor(i * {GOLDEN}::DOUBLE) AS u FROM (SELECT unnest(range(CAST(ceil(total / block) AS BIGINT))) AS i FROM num)),
+slots AS (SELECT skey, count(*) AS n_blocks FROM points JOIN spans ON low <= u AND u < high GROUP BY skey),
+tape AS (
+  SELECT d.*, g.source_size, g.target, least(coalesce(n_blocks, 0) * block, 3 * g.source_size) AS covered,
+    sum(size) OVER (PARTITION BY d.skey ORDER BY h % buckets, h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 1, 15) AS BIGINT) AS h FROM d) d
+    JOIN goal g USING (skey) LEFT JOIN slots USING (skey), num
+)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(e * source_size + start + size, covered) - (e * source_size + start))) AS BIGINT) AS taken
+FROM tape, (VALUES (0), (1), (2)) t(e) GROUP BY doc_id, size, source_size, target, skey, start
+"""

@@ -10,7 +10,7 @@ from repolens.llm.chat import OP4_SQL, op4_chat
 from repolens.llm.decontaminate import op9_decontamination
 from repolens.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from repolens.llm.language import op8_language
-from repolens.llm.mixing import op2_mixing
+from repolens.llm.mixing import OP2_SQL, op2_mixing
 from repolens.llm.near_dedup import OP5_SQL, op5_near_dedup
 from repolens.llm.quality import op7_quality
 from repolens.llm.sharding import op6_sharding
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op5_near_dedup": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op5_near_dedup": OP5_SQL}
