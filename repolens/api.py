@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from repolens.functions.vectors import HashingEmbedder
 from repolens.operators import analyze, graph, search
+from repolens.plans import cypher
 from repolens.plans.ask import ask
 from repolens.plans.describe import Generator
 from repolens.plans.index import Indexer
@@ -51,6 +52,10 @@ class CodeGraph:
     def analyze_code_relationships(self, query_type: str, target: str | None = None, limit: int = 20, depth: int = 5) -> DataFrame:
         return analyze.analyze(self.tables(), query_type, target, limit, depth)
 
+    def execute_cypher_query(self, query: str, params: dict | None = None) -> DataFrame:
+        """A reading query in the Cypher subset of ``plans.cypher``."""
+        return cypher.run(self.spark, self.tables(), query, params)
+
     def execute_query(self, query: str, params: dict | None = None) -> DataFrame:
         """Read-only SQL over views named after the tables, plus ``nodes`` and ``rels``."""
         tables = self.tables()
@@ -109,7 +114,7 @@ class CodeGraph:
     def call(self, tool: str, arguments: dict | None = None) -> str:
         """Call a tool by name; the result, or ``{"error": ...}``, as JSON text."""
         try:
-            if tool not in TOOLS:
+            if tool not in (*TOOLS, "execute_query"):
                 raise ValueError(f"unknown tool: {tool}")
             result = getattr(self, tool)(**(arguments or {}))
             if isinstance(result, DataFrame):
@@ -138,7 +143,7 @@ class CodeGraph:
 
 
 TOOLS = (
-    "add_code_to_graph", "find_code", "semantic_search", "analyze_code_relationships", "execute_query", "watch_directory", "unwatch_directory",
+    "add_code_to_graph", "find_code", "semantic_search", "analyze_code_relationships", "execute_cypher_query", "watch_directory", "unwatch_directory",
     "list_watched_paths", "calculate_cyclomatic_complexity", "find_most_complex_functions", "find_dead_code", "ask_codebase",
     "list_indexed_repositories", "delete_repository", "check_job_status",
 )

@@ -44,24 +44,34 @@ def lookup(table: DataFrame, **key: object) -> DataFrame:
     return reduce(lambda df, kv: df.where(F.col(kv[0]) == F.lit(kv[1])), key.items(), table)
 
 
+def node_id(label: str, columns: list[str]) -> Column:
+    """What edges name a node by: its id, or the key of a label that has none."""
+    if "id" in columns:
+        return F.col("id").cast("string")
+    if label == "Parameter":
+        return F.concat_ws("#", "path", "function_name", "name")
+    return F.col("name") if label == "Module" else F.col("path")
+
+
 def all_nodes(tables: dict[str, DataFrame]) -> DataFrame:
-    """label, name, path, line_number, repo_path of every node."""
+    """label, id, name, path, line_number, repo_path of every node."""
     parts = []
     for name, label in LABELS.items():
         df = tables[name]
-        has = lambda c, kind, df=df: F.col(c) if c in df.columns else F.lit(None).cast(kind)
-        parts.append(df.select(F.lit(label).alias("label"), has("name", "string").alias("name"), has("path", "string").alias("path"), has("line_number", "int").alias("line_number"), has("repo_path", "string").alias("repo_path")))
+        has = lambda c, kind, df=df: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+        own = [has("name", "string"), has("path", "string"), has("line_number", "long"), has("repo_path", "string")]
+        parts.append(df.select(F.lit(label).alias("label"), node_id(label, df.columns).alias("id"), *own))
     return reduce(DataFrame.unionByName, parts)
 
 
 def all_edges(tables: dict[str, DataFrame]) -> DataFrame:
-    """type, src_label, src_id, dst_label, dst_id, repo_path (of the source node) of every edge.
+    """type, src_label, src_id, dst_label, dst_id (both text), repo_path (of the source node) of every edge.
 
     Containment and parameters follow from the node tables; they are not stored twice.
     """
     def edge(df: DataFrame, kind: str, src_label: str, src: Column, dst_label: str, dst: Column, repo: Column | None = None) -> DataFrame:
         owner = F.col("repo_path") if repo is None else repo
-        return df.select(F.lit(kind).alias("type"), F.lit(src_label).alias("src_label"), src.alias("src_id"), F.lit(dst_label).alias("dst_label"), dst.alias("dst_id"), owner.alias("repo_path"))
+        return df.select(F.lit(kind).alias("type"), F.lit(src_label).alias("src_label"), src.cast("string").alias("src_id"), F.lit(dst_label).alias("dst_label"), dst.cast("string").alias("dst_id"), owner.alias("repo_path"))
 
     none = F.lit(None).cast("string")
     c = F.col

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from repolens.functions import text
 from repolens.operators import analyze, graph, resolve, search
 from repolens.operators.traverse import reachable
-from repolens.plans import ask, describe
+from repolens.plans import ask, cypher, describe
 from repolens.plans.index import parse_files, prescan
 from repolens.plans.projections import SQL, Projection
 from repolens.sources.schema import TABLES
@@ -313,6 +313,35 @@ def path_functions(p: Projection) -> DataFrame:
     return p.table("events").select("event_id", text.basename(path).alias("base"), text.dirname(path).alias("dir"), text.fixed(F.col("value"), 3).alias("shown"))
 
 
+@query(_SQL["callers"])
+def cypher_callers(p: Projection) -> DataFrame:
+    text = """MATCH (caller:Function)-[r:CALLS]->(f:Function {name: $name})
+      RETURN caller.name AS caller_name, caller.path AS caller_path, caller.line_number AS caller_line, r.line_number AS call_line
+      ORDER BY caller_path, caller_line, caller_name, call_line LIMIT 50"""
+    return cypher.run(p.spark, p.graph_tables(), text, {"name": NAME})
+
+
+@query("SELECT length, replace(chain, '>', ' < ') AS hierarchy FROM (" + _SQL["class_hierarchy"] + ")")
+def cypher_hierarchy(p: Projection) -> DataFrame:
+    text = "MATCH path = (c:Class {name: '12_6'})-[:INHERITS*0..6]->(x:Class) RETURN length(path) AS length, [n IN nodes(path) | n.name] AS names"
+    return cypher.run(p.spark, p.graph_tables(), text).select(F.col("length").cast("long"), F.array_join("names", " < ").alias("hierarchy"))
+
+
+@query("""SELECT f.name, CAST(count(DISTINCT d.id) AS BIGINT) AS n_callees FROM functions f LEFT JOIN calls c ON c.src_id = f.id AND c.line_number = 1 LEFT JOIN functions d ON d.id = c.dst_id
+  WHERE f.kind IS NULL OR f.kind <> 'constructor' GROUP BY f.name""", "functions", "calls")
+def cypher_optional(p: Projection) -> DataFrame:
+    text = """MATCH (f:Function) WHERE f.kind IS NULL OR f.kind <> 'constructor' OPTIONAL MATCH (f)-[r:CALLS]->(d:Function) WHERE r.line_number = 1
+      RETURN f.name AS name, count(DISTINCT d.id) AS n_callees"""
+    return cypher.run(p.spark, p.graph_tables(), text)
+
+
+@query("SELECT name, path, line_number FROM functions WHERE (kind IS NULL OR kind <> 'constructor') AND id NOT IN (SELECT dst_id FROM calls)", "functions", "sparse")
+def cypher_dead_code(p: Projection) -> DataFrame:
+    tables = p.graph_tables() | {"calls": p.calls(SPARSE)}
+    text = "MATCH (f:Function) WHERE NOT ()-[:CALLS]->(f) AND (f.kind IS NULL OR f.kind <> 'constructor') RETURN f.name AS name, f.path AS path, f.line_number AS line_number"
+    return cypher.run(p.spark, tables, text)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Projection(spark, sf_dir))) for name, f in _QUERIES.items()}
 

@@ -62,6 +62,7 @@ def test_tools_give_json(graph, project):
     assert call("semantic_search", query="helper")[0]["name"] == "helper"
     assert [x["caller_name"] for x in call("analyze_code_relationships", query_type="find_callers", target="helper")] == ["util"]
     assert "error" in call("analyze_code_relationships", query_type="x")
+    assert call("execute_cypher_query", query="MATCH (f:Function) RETURN count(f) AS n") == [{"n": 7}]
     assert call("execute_query", query="SELECT count(*) AS n FROM nodes WHERE label = 'Function'") == [{"n": 7}]
     assert "error" in call("execute_query", query="DROP VIEW nodes")
     assert {x["name"] for x in call("find_dead_code")} == {"bark", "php_main"}
