@@ -33,7 +33,7 @@ MAX_PER_LANGUAGE = 1_000
 SWITCH_PENALTY = 8.0
 #: A language is a candidate for a script if at least this share of its words has the script.
 SCRIPT_SHARE = 0.001
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 _TABLE = 1 << 16
 
 #: Scripts by ranges of UTF-8 lead bytes (fixed values of the Unicode blocks): 0 none, 1 Latin, 2 Greek, 3 Cyrillic,
