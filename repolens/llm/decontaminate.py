@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are normalised (lower case, runs of white space as one blank) and compared as UTF-8 bytes.  A benchmark item is cut
+Texts are normalised (lower case, runs of white space and ASCII punctuation as one blank) and compared as UTF-8 bytes.  A benchmark item is cut
 into windows of ``WINDOW`` bytes, each starting ``STRIDE`` after the one before (the last ends with the item; a shorter
 item is one window).  A window of w bytes occurs in a document if some stretch of it is within e = w // 20 edits.
 
@@ -38,12 +38,14 @@ MIN_ITEM = 24
 BLOCK_BYTES = 4 << 20
 STRETCH = 1 << 20
 _BITS = 22
+_BLANK = IS_SPACE.copy()
+_BLANK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the normalised texts, each ended by a byte 0 that nothing matches."""
     data, offsets = buffers(pc.utf8_lower(pc.fill_null(column, "")))
-    space = IS_SPACE[data]
+    space = _BLANK[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     first = first[: len(data)]
