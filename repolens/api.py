@@ -19,8 +19,8 @@ from repolens.sources.store import SnapshotStore
 from repolens.streaming.watch import Watcher
 
 
-class CodeGraph:
-    """A code graph in a snapshot store."""
+class Lens:
+    """One snapshot store and everything that can be asked of it."""
 
     def __init__(self, spark: SparkSession, path: str, generator: Generator | None = None, embed: Callable[[str], list[float]] | None = None, slots: int = 16) -> None:
         self.spark, self.generator, self.embed = spark, generator, embed or HashingEmbedder()
@@ -149,9 +149,9 @@ TOOLS = (
 )
 
 
-def create_graph(spark: SparkSession, settings: dict[str, str] | None = None, generator: Generator | None = None) -> CodeGraph:
+def create_graph(spark: SparkSession, settings: dict[str, str] | None = None, generator: Generator | None = None) -> Lens:
     """A graph from settings (see ``config.load_config``)."""
     from repolens.config import load_config  # noqa: PLC0415
 
     s = load_config() if settings is None else settings
-    return CodeGraph(spark, s["REPOLENS_STORE"], generator, HashingEmbedder(int(s["REPOLENS_DIMENSIONS"])), int(s["REPOLENS_SLOTS"]))
+    return Lens(spark, s["REPOLENS_STORE"], generator, HashingEmbedder(int(s["REPOLENS_DIMENSIONS"])), int(s["REPOLENS_SLOTS"]))

@@ -9,7 +9,7 @@ import sys
 import time
 
 from repolens import config
-from repolens.api import CodeGraph, create_graph
+from repolens.api import Lens, create_graph
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def run(graph: CodeGraph, a: argparse.Namespace, out=print) -> int:  # noqa: ANN001
+def run(graph: Lens, a: argparse.Namespace, out=print) -> int:  # noqa: ANN001
     """Run one command and print its lines."""
     def rows(df) -> None:  # noqa: ANN001
         for r in df.collect():
@@ -89,7 +89,7 @@ def run(graph: CodeGraph, a: argparse.Namespace, out=print) -> int:  # noqa: ANN
     return 0
 
 
-def serve(graph: CodeGraph, lines, out=print) -> None:  # noqa: ANN001
+def serve(graph: Lens, lines, out=print) -> None:  # noqa: ANN001
     """One JSON request a line ({"tool": ..., "arguments": {...}}), one JSON result a line."""
     for line in lines:
         if line.strip():

@@ -7,6 +7,7 @@ unchanged files into changed ones survive.
 
 from __future__ import annotations
 
+import logging
 import secrets
 import time
 from collections.abc import Iterator
@@ -101,6 +102,9 @@ def _window(*keys: str):  # noqa: ANN202
     return Window.partitionBy(*keys).orderBy("line_number")
 
 
+log = logging.getLogger("repolens")
+
+
 @dataclass
 class Job:
     """The state of one indexing run."""
@@ -157,7 +161,9 @@ class Indexer:
             self.jobs.update(job.id, files_total=total)
             self._apply(root, current, None, is_dependency)
             self.jobs.update(job.id, status="completed", files_processed=total, completed_at=time.time())
+            log.info("indexed %s: %d files", root, total)
         except Exception as e:  # noqa: BLE001  the job keeps the reason
+            log.error("indexing %s failed: %s", root, e)
             self.jobs.update(job.id, status="failed", error=str(e), completed_at=time.time())
         return job.id
 
@@ -175,7 +181,10 @@ class Indexer:
         state = graph.diff(current.select("path", "content_hash"), graph.content_hashes(tables["files"], root))
         dirty = durable(current.join(state.where("state = 'dirty'").select("path"), "path", "left_semi"))
         gone = state.where("state = 'deleted'").select("path") if removed is None else removed
-        parsed = durable(parse_files(dirty, is_dependency).where("error is null"))
+        read = durable(parse_files(dirty, is_dependency))
+        for r in read.where("error is not null").select("path", "error").limit(20).collect():
+            log.warning("%s was not parsed: %s", r["path"], r["error"])
+        parsed = read.where("error is null").drop("error")
         made = tables_of(parsed, dirty, root)
         base = graph.delete_files(tables, dirty.select("path").unionByName(gone).distinct())
         for t in ("functions", "classes"):

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from repolens import cli, config
-from repolens.api import TOOLS, CodeGraph
+from repolens.api import TOOLS, Lens
 from repolens.plans.describe import Pool, TransientError, first_line_generator
 from repolens.streaming.watch import debounced, relevant
 
@@ -33,7 +33,7 @@ def graph(spark, project, tmp_path_factory):  # noqa: ANN001, ANN201
             f.write(prompt.splitlines()[-1][:0] + "x\n")
         return first_line_generator(prompt, max_tokens)
 
-    g = CodeGraph(spark, str(tmp_path_factory.mktemp("store")), counted, slots=2)
+    g = Lens(spark, str(tmp_path_factory.mktemp("store")), counted, slots=2)
     g.prompts = prompts
     job = g.add_code_to_graph(str(project))
     assert (job["status"], job["files_total"]) == ("completed", 3), job
@@ -180,6 +180,40 @@ def test_pool():
     assert Pool([(flaky, 3), (flaky, 5)]).slots == 8
 
 
+def test_http_generator():
+    import http.server
+    import threading
+
+    from repolens.sources.generators import HttpGenerator, http_pool
+
+    codes = [429, 200, 400, 200]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: ANN202, N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            code = codes.pop(0)
+            self.send_response(code)
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(json.dumps({"content": [{"type": "text", "text": f" {asked['model']}: {asked['messages'][0]['content']} "}]}).encode())
+
+        def log_message(self, *a):  # noqa: ANN002, ANN202
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    pool = http_pool(url, "k", {"m": 2, "n": 1})
+    pool.pause = lambda s: None
+    assert pool("hi") == "n: hi"  # the first model was busy
+    assert HttpGenerator(url, "m", "k")("bad") is None
+    assert HttpGenerator(url, "m", "k")("again") == "m: again"
+    assert HttpGenerator(url, "m")("no key") is None
+    server.shutdown()
+    with pytest.raises(TransientError):
+        HttpGenerator("http://127.0.0.1:9/", "m", "k", 1)("x")
+
+
 def test_config(tmp_path):
     g, l = tmp_path / "g", tmp_path / "l"  # noqa: E741
     config.write_env(g, {"REPOLENS_STORE": "/s", "MY_API_KEY": "k"})
