@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolens.functions.text import truncated
@@ -19,10 +19,16 @@ ANSWER_TOKENS = 1500
 
 
 def _names(edges: DataFrame, nodes: DataFrame, own: str, other: str, column: str, most: int | None) -> DataFrame:
-    """For each id on one end of the edges the distinct names on the other, sorted, at most ``most``."""
+    """For each id on one end of the edges the distinct names on the other, sorted, at most ``most``.
+
+    With a limit only the first names of an id are ever brought together, however many edges it has.
+    """
     named = edges.select(F.col(own).alias("id"), F.col(other).alias("other")).join(nodes.select(F.col("id").alias("other"), "name"), "other")
-    names = F.sort_array(F.collect_set("name"))
-    return named.groupBy("id").agg((names if most is None else F.slice(names, 1, most)).alias(column))
+    named = named.select("id", "name").distinct()
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("name"))
+        named = named.withColumn("nth", rank).where(F.col("nth") <= most)
+    return named.groupBy("id").agg(F.sort_array(F.collect_list("name")).alias(column))
 
 
 def enrich(results: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
