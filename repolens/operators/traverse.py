@@ -6,6 +6,9 @@ Reachability walks node by node: a frontier joins the edges and drops what has b
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +16,17 @@ MAX_DEPTH = 100
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder; a temporary one is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile  # noqa: PLC0415
+    """Write to the shared checkpoint folder and read back, which cuts the lineage and survives a lost executor.
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repolens-"))
-    return df.checkpoint()
+    A temporary folder is set only where the session names none.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repolens-"))
+    path = f"{sc.getCheckpointDir()}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def trails(nodes: DataFrame, edges: DataFrame, name: str, depth: int, min_length: int = 1, limit: int | None = None) -> DataFrame:
@@ -72,13 +79,16 @@ def trails_sql(spark, nodes: str, edges: str, name: str, depth: int, min_length:
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """id of ``start`` and of every node that edges (src_id, dst_id) lead to from it."""
-    seen = durable(start.select("id").distinct())
-    frontier = seen
+    """id of ``start`` and of every node that edges (src_id, dst_id) lead to from it.
+
+    Each round is one job: the nodes next to the last frontier that no frontier has held.
+    """
+    edges = durable(edges.select("src_id", "dst_id").distinct())
+    frontier = seen = durable(start.select("id").distinct())
     for _ in range(max_rounds):
         ahead = edges.join(frontier.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
         frontier = durable(ahead.join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = durable(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")

@@ -44,7 +44,9 @@ def parse_files(sources: DataFrame, is_dependency: bool = False) -> DataFrame:
                     rows.append({"path": path, "lang": None, "error": str(e)[:500]} | {k: [] for k in names[2:]})
             yield pd.DataFrame(rows, columns=[*names, "error"])
 
-    return sources.select("path", "source").mapInPandas(run, f"{PARSED_FILE}, error string")
+    # parsing takes far longer than moving a source, and a few blocks may hold all of them
+    spread = sources.select("path", "source").repartition(2 * sources.sparkSession.sparkContext.defaultParallelism, "path")
+    return spread.mapInPandas(run, f"{PARSED_FILE}, error string")
 
 
 def prescan(parsed: DataFrame) -> DataFrame:
