@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.common import materialise
+from repolens.llm.common import BROADCAST_ROWS, materialise
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, label for every node of ``edges`` (a, b): the least node of its component.
 
-    Each round takes the least label among a node's neighbours and then the label of that label (pointer jumping), so
-    the rounds grow with the logarithm of a component's diameter.  A node with very many edges is aggregated map-side.
+    Each round takes the least label among a node's neighbours and then what that label's node had as label (pointer
+    jumping), so the rounds grow with the logarithm of a component's diameter.  A node with very many edges is aggregated map-side.
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"), F.lit(True).alias("moved")), "cc-labels")
+    # one row a node: a lookup that every task can hold as long as there are few of them
+    side = F.broadcast if labels.count() <= BROADCAST_ROWS else (lambda df: df)
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("next"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        step = step.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("old")).alias("moved"))
+        known = labels.select("node", "label")
+        near = both.join(side(known.select(F.col("node").alias("b"), "label")), "b").groupBy("a").agg(F.min("label").alias("m"))
+        step = near.select(F.col("a").alias("node"), "m").join(side(known), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("next"))
+        jump = known.select(F.col("node").alias("next"), F.col("label").alias("far"))
+        step = step.join(side(jump), "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("old")).alias("moved"))
         labels = materialise(step, "cc-labels")
         if labels.where("moved").isEmpty():
             return labels.select("node", "label")
