@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,15 @@ def text_of(name: str = "text") -> Column:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within ``limit``, else ``df``, for a shuffled join."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
+    """Within it, what runs hands Python at most so many bytes of rows at once, so wide rows take no more memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)

@@ -36,7 +36,7 @@ WINDOW, STRIDE = 64, 32
 EDIT_SHARE = 20
 MIN_ITEM = 24
 BLOCK_BYTES = 4 << 20
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 _BITS = 22
 _BLANK = IS_SPACE.copy()
 _BLANK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -184,8 +184,8 @@ def aligned(pattern: np.ndarray, data: np.ndarray, low: int, high: int, budget:
 def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, windows found, windows of the item, fewest edits) for the texts of a column."""
     total = np.bincount(index.window_item, minlength=len(index.items)) if len(index.window_item) else np.zeros(len(index.items), int)
-    for at in range(0, len(column), 256):
-        data, offsets = normalised(column.slice(at, 256))
+    for at in range(0, len(column), 128):
+        data, offsets = normalised(column.slice(at, 128))
         best: dict[tuple[int, int], int] = {}
         for start in range(0, len(data), STRETCH):
             # stretches overlap by more than any occurrence is long

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm.common import materialise, small
+from repolens.llm.common import arrow_batches, materialise, small
 from repolens.llm.components import connected_components
 from repolens.llm.textbytes import shingle_sets
 
@@ -188,7 +188,8 @@ def _rest(placed: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -
     size = rows.groupBy("cluster").agg(
         (F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("shingles")) / BLOCK_BYTES).cast("int") + 1).alias("blocks")
     )
-    rows = rows.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    # one row a cluster: a large cluster's rows stay spread until they are dealt by pairs of blocks
+    rows = rows.join(small(materialise(size, "near-sizes")), "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     each = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     each = each.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc_id", "comp", "shingles")
 
@@ -248,6 +249,11 @@ def _open_lists(posts: DataFrame, member: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    with arrow_batches(docs.sparkSession):
+        return _near_components(docs, k, percent)
+
+
+def _near_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = materialise(signed(docs, k), "near-rows")
     known = rows.where("doc_id is not null and n_shingles > 0")
     classes = materialise(known.groupBy("class").agg(F.min("doc_id").alias("rep")), "near-classes")
