@@ -5,6 +5,10 @@ the cumulative target shares map to a source; the slot's rank among the slots of
 The documents of a source are laid end to end in a hashed order and repeated at most ``max_epochs`` times; block *r*
 covers the tokens [r * block, (r + 1) * block) of that tape.  Documents and slots meet in a join on (source, rank).
 
+A source whose target is under ``SLOTS_PER_SOURCE`` blocks is *short*: the golden-ratio points could miss it, or be off by
+a large part of it.  It leaves the unit interval and gets as many blocks as its target needs, spread evenly over the
+sequence (each beside the block that the slot has anyway), of which the last ends at the target in whole words, at least one.
+
 Positions on the tape come from two levels of prefix sums (hash buckets of a source, then rows of a bucket).  There are as
 many buckets as the square root of the number of rows, so neither level puts more than about that many rows of a source in
 one task, and a source that holds a third of all rows is spread over many.
@@ -21,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.common import materialise, text_of
+from repolens.llm.common import BROADCAST_ROWS, materialise, small, text_of
 
 GOLDEN = 0.6180339887498949
 SLOTS = 65_536
@@ -63,8 +67,8 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: i
 def schedule(target: DataFrame, n_slots: int, n_sources: int) -> DataFrame:
     """slot, skey, rank: golden-ratio points mapped through the cumulative shares.
 
-    The unit interval is cut into cells; a slot joins the sources of its cell, so no source list is broadcast and no
-    slot is compared with all sources.
+    The unit interval is cut into cells; a slot joins the sources of its cell, so no long source list is broadcast and
+    no slot is compared with all sources.
     """
     spark = target.sparkSession
     cells = 4 * n_sources + 1
@@ -83,10 +87,30 @@ def schedule(target: DataFrame, n_slots: int, n_sources: int) -> DataFrame:
     points = spark.range(n_slots).select(
         F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))).alias("u")
     )
-    hit = points.withColumn("cell", F.floor(F.col("u") * cells)).join(spans, "cell").where("low <= u and u < high")
+    hit = points.withColumn("cell", F.floor(F.col("u") * cells)).join(small(spans), "cell").where("low <= u and u < high")
     return hit.select("slot", "skey", (F.row_number().over(Window.partitionBy("skey").orderBy("slot")) - 1).cast("long").alias("rank"))
 
 
+def planned(rows: DataFrame, total: int, block: int, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``goal`` (skey, source_size, target, n_blocks, covered: the words of its tape that a source gives) and ``slots``
+    (slot, skey, rank)."""
+    short = (F.col("target") > 0) & (F.col("target") < SLOTS_PER_SOURCE * block)
+    exact = F.least(F.greatest(F.round("target").cast("long"), F.lit(1)), F.col("source_size") * max_epochs)
+    goal = materialise(targets(rows, weights, max_epochs).withColumn("exact", F.when(short, exact)), "mix-targets")
+    few, n_sources = goal.agg(F.coalesce(F.sum("exact"), F.lit(0)), F.count("*")).first()
+    n_slots = -(-total // block)
+    dealt = schedule(goal.where("exact is null"), max(0, -(-(total - few) // block)), max(1, n_sources))
+    need = F.expr(f"(exact + {block - 1}) div {block}")
+    even = goal.where("exact is not null").select("skey", need.alias("need")).select("skey", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)).alias("rank"))
+    even = even.select(F.expr(f"((2 * rank + 1) * {n_slots}) div (2 * need)").alias("slot"), "skey", "rank")
+    slots = materialise(dealt.unionByName(even), "mix-slots")
+    goal = goal.join(slots.groupBy("skey").agg(F.count("*").alias("n_blocks")), "skey", "left")
+    goal = goal.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    covered = F.coalesce("exact", F.least(F.col("n_blocks") * block, F.col("source_size") * max_epochs))
+    goal = goal.select("skey", "source_size", "target", "n_blocks", covered.alias("covered"))
+    return F.broadcast(goal) if n_sources <= BROADCAST_ROWS else goal, slots
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and skey, a key of the source that is never null."""
     skey = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
@@ -103,9 +127,7 @@ def mix_blocks(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
         F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("skey")
     ).first()
     block = max(1, total // max(SLOTS, SLOTS_PER_SOURCE * n_sources))
-    slots = materialise(schedule(targets(rows, weights, max_epochs), -(-total // block), max(1, n_sources)), "mix-slots")
-    goal = targets(rows, weights, max_epochs).join(slots.groupBy("skey").agg(F.count("*").alias("n_blocks")), "skey", "left")
-    goal = goal.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    goal, slots = planned(rows, total, block, weights, max_epochs)
 
     hashed = rows.withColumn("h", order_hash()).withColumn("bucket", F.pmod("h", F.lit(1 + math.isqrt(n))))
     sums = hashed.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size")).join(goal, "skey")
@@ -115,13 +137,12 @@ def mix_blocks(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
     tape = (
         hashed.withColumn("upto", F.sum("size").over(line))
         .join(sums, ["skey", "bucket"])
-        .select("skey", "doc_id", "size", "source_size", "target", "n_blocks", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+        .select("skey", "doc_id", "size", "source_size", "target", "n_blocks", "covered", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
     )
     tape = materialise(tape, "mix-tape")
 
-    limit = F.least(F.col("n_blocks") * block, F.col("source_size") * max_epochs)
     epochs = tape.where("size > 0 and n_blocks > 0").select(
-        "skey", "start", "doc_id", "size", limit.alias("limit"), F.col("source_size"), F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")
+        "skey", "start", "doc_id", "size", F.col("covered").alias("limit"), F.col("source_size"), F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")
     )
     epochs = epochs.withColumn("low", F.col("epoch") * F.col("source_size") + F.col("start"))
     epochs = epochs.withColumn("high", F.least(F.col("low") + F.col("size"), "limit")).where("low < high")

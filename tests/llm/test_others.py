@@ -63,6 +63,22 @@ def test_mixing_edges(spark):
     assert [r["taken"] for r in mixing.mix(twice).collect()] == [2, 2]
 
 
+def test_mixing_small_source_beside_huge_one(spark):
+    """At 3 blocks of 100 words and less, the golden-ratio points miss most of these sources."""
+    rows = [(i, " ".join(["w"] * 10_000), "huge") for i in range(656)] + [(1000 + k, " ".join(["w"] * (k + 1)), f"small{k}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    for k in range(12):
+        r = out[1000 + k]
+        assert r["taken"] == r["target"] == 3 * (k + 1)
+    huge = [r for i, r in out.items() if i < 1000]
+    assert sum(r["taken"] for r in huge) == pytest.approx(huge[0]["target"], rel=0.005)
+    copied = Counter(r["doc_id"] for r in mixing.copies(docs).select("doc_id").collect())
+    assert all(copied[1000 + k] == 3 for k in range(12))
+    pieces = mixing.mix_blocks(mixing.materialise(mixing.sized(docs), "rows"))[1]
+    assert pieces.groupBy("skey", "rank").agg(F.count_distinct("slot").alias("n")).where("n > 1").isEmpty()
+
+
 # -- sharding -----------------------------------------------------------------------------------------
 
 
