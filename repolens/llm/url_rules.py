@@ -6,6 +6,9 @@ labelled URLs, each with its class as one more token; rules ``tokens -> block``
 are confident, lift the base rate, and no sub-rule is as confident.  Rules are matched through an inverted index: each is
 posted under its rarest token, a URL meets the rules of its tokens, and a rule fires if it needs no token the URL lacks.
 
+Tokens that exactly the same labelled URLs have are mined as one, but other URLs may have only some of them: each token of
+a rule comes with its equals, and a URL that has any of them has it.
+
 Before the method, fixed rules decide: a rule (host, path) fits its host and all subdomains if the URL's path starts with
 the rule's path; the longest wins.
 
@@ -27,8 +30,6 @@ FIXED_RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 30, 0.6, 2.0
-#: Tokens that more than this share of the URLs have tell nothing.
-COMMON = 0.9
 #: Tokens of a URL that go into mining: enough for any of its parts, and a bound on the sets they make.
 PATH_TOKENS = 4
 BLOCK = "=block"
@@ -74,10 +75,11 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """rule (sorted tokens), confidence, support from ``labelled`` (url, bad boolean).
+    """rule (sorted tokens), confidence, support, same (for each token of the rule, all that may stand in its place) from
+    ``labelled`` (url, bad boolean).
 
-    Before mining, tokens that fewer than ``min_count`` bad URLs have, and those that nearly all URLs have, drop out, and of
-    tokens that exactly the same URLs have one stays: their sets would only repeat each other's rules.
+    Before mining, tokens that fewer than ``min_count`` bad URLs have drop out, and of tokens that exactly the same URLs
+    have one stays: their sets would only repeat each other's rules.  ``same`` has the others, no more than a URL's tokens.
     """
     spark = labelled.sparkSession
     rows = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad"))
@@ -85,12 +87,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     rows = materialise(rows, "url-tokens")
     total, n_bad = rows.select("key", "bad").distinct().agg(F.count("*"), F.count_if("bad")).first()
     each = rows.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.bit_xor("key").alias("urls"))
-    each = each.where((F.col("n_bad") >= min_count) & (F.col("n") <= COMMON * total)).groupBy("n", "urls").agg(F.min("token").alias("token"))
-    kept = materialise(each.select("token"), "url-kept")
-    items = rows.join(small(kept), "token").groupBy("key", "bad").agg(F.sort_array(F.collect_list("token")).alias("own"))
+    each = each.where(F.col("n_bad") >= min_count).groupBy("n", "urls").agg(F.min("token").alias("token"), F.sort_array(F.collect_list("token")).alias("equal"))
+    kept = materialise(each.select("token", "equal"), "url-kept")
+    items = rows.join(small(kept.select("token")), "token").groupBy("key", "bad").agg(F.sort_array(F.collect_list("token")).alias("own"))
     rows = materialise(items.select(F.when(F.col("bad"), F.concat("own", F.array(F.lit(BLOCK)))).otherwise(F.col("own")).alias("items")), "url-items")
     if not n_bad or rows.isEmpty():
-        return spark.createDataFrame([], "rule array<string>, confidence double, support double")
+        return spark.createDataFrame([], "rule array<string>, confidence double, support double, same array<array<string>>")
     seen = rows.count()
     parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     support = max(min_support * total, min_count) / seen
@@ -103,17 +105,22 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     inner = found.select(F.col("rule").alias("less"), F.col("confidence").alias("sure"), F.explode("rule").alias("token"))
     outer = found.select("rule", "confidence", F.explode("rule").alias("token")).join(inner, "token")
     outer = outer.where((F.size("less") < F.size("rule")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "rule")) == 0))
-    return found.join(outer.select("rule").distinct(), "rule", "left_anti")
+    found = found.join(outer.select("rule").distinct(), "rule", "left_anti")
+    same = found.select("rule", F.explode("rule").alias("token")).join(small(kept), "token")
+    same = same.groupBy("rule").agg(F.transform(F.sort_array(F.collect_list(F.struct("token", "equal"))), lambda x: x["equal"]).alias("same"))
+    return materialise(found.join(same, "rule").select("rule", "confidence", "support", "same"), "url-mined")
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url of those among distinct ``urls`` that some rule fits."""
     seen = rules.select(F.explode("rule").alias("token"), "support").groupBy("token").agg(F.sum("support").alias("common"))
     posts = rules.select("rule", F.explode("rule").alias("token")).join(seen, "token")
-    posts = posts.groupBy("rule").agg(F.min_by("token", F.struct("common", "token")).alias("token"))
+    posts = posts.groupBy("rule").agg(F.min_by("token", F.struct("common", "token")).alias("token")).join(rules.select("rule", "same"), "rule")
+    # under the rarest token and all its equals
+    posts = posts.select("same", F.explode(F.element_at("same", F.array_position("rule", F.col("token")).cast("int"))).alias("token"))
     own = urls.select("url", tokens(F.col("url")).alias("own"))
     met = own.select("url", "own", F.explode("own").alias("token")).join(small(posts), "token")
-    return met.where(F.size(F.array_except("rule", "own")) == 0).select("url").distinct()
+    return met.where(F.forall("same", lambda x: F.arrays_overlap(x, "own"))).select("url").distinct()
 
 
 def judge(pages: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -340,3 +340,20 @@ def test_mined_rules_against_brute_force(spark):
     for i, (u, _) in enumerate(labelled):
         assert out[i] == ("block" if any(set(r["rule"]) <= toks[u] for r in rules) else "allow")
     assert sum((out[i] == "block") == bad for i, (_, bad) in enumerate(labelled)) > 0.95 * len(labelled)
+
+
+def test_rules_fit_tokens_that_labelled_urls_only_have_together(spark):
+    bad = [(f"http://m.casino-win.example.com/p{i}/x", True) for i in range(200)]
+    good = [(f"http://www.shop{i}.example.com/p{i}/x", False) for i in range(800)]
+    pages = ["http://www.casino-win.example.com/q", "http://casino.example.net/", "http://m.other.example.com/q", "http://www.shop1.example.com/q", "http://m.casino-win.example.com/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(pages)], "page_id long, url string")
+    out = {r["page_id"]: r["verdict"] for r in url_rules.judge(df, spark.createDataFrame(bad + good, "url string, bad boolean")).collect()}
+    assert [out[i] for i in range(5)] == ["block", "block", "block", "allow", "block"]
+
+
+def test_rules_of_common_tokens(spark):
+    """casino tells only together with https, which 95 % of the URLs have."""
+    rows = [(f"https://casino.net/p{i}", True) for i in range(100)] + [(f"http://casino.net/p{i}", False) for i in range(100)] + [(f"https://a{i}.net/", False) for i in range(1800)]
+    df = spark.createDataFrame([(0, "https://casino.net/new"), (1, "http://casino.net/new"), (2, "https://a.net/")], "page_id long, url string")
+    out = {r["page_id"]: r["verdict"] for r in url_rules.judge(df, spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert out == {0: "block", 1: "allow", 2: "allow"}
