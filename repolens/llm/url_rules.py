@@ -30,8 +30,6 @@ FIXED_RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 30, 0.6, 2.0
-#: Tokens of a URL that go into mining: enough for any of its parts, and a bound on the sets they make.
-PATH_TOKENS = 4
 BLOCK = "=block"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,7 +59,7 @@ def tokens(url: Column) -> Column:
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     words = F.filter(F.split(host, r"[.\-_]"), lambda x: x != "")
-    steps = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, PATH_TOKENS)
+    steps = F.filter(F.split(path, "/"), lambda x: x != "")
     steps = F.transform(steps, lambda x: F.regexp_replace(x, r"[0-9]+", "0"))
     keys = F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(r"(?:^|&)([^=&]+)"), F.lit(1))
     tag = lambda name, values: F.transform(values, lambda x: F.concat(F.lit(name), x))

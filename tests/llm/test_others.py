@@ -357,3 +357,10 @@ def test_rules_of_common_tokens(spark):
     df = spark.createDataFrame([(0, "https://casino.net/new"), (1, "http://casino.net/new"), (2, "https://a.net/")], "page_id long, url string")
     out = {r["page_id"]: r["verdict"] for r in url_rules.judge(df, spark.createDataFrame(rows, "url string, bad boolean")).collect()}
     assert out == {0: "block", 1: "allow", 2: "allow"}
+
+
+def test_rules_of_late_path_segments(spark):
+    rows = [(f"http://h{i}.net/a/b/c/d/{'casino' if i % 4 == 0 else 'news'}/{i}", i % 4 == 0) for i in range(800)]
+    df = spark.createDataFrame([(0, "http://new.net/1/2/3/4/5/casino/7"), (1, "http://new.net/1/2/3/4/5/news/7")], "page_id long, url string")
+    out = {r["page_id"]: r["verdict"] for r in url_rules.judge(df, spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert out == {0: "block", 1: "allow"}
