@@ -1,12 +1,13 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are normalised (lower case, runs of white space and ASCII punctuation as one blank) and compared as UTF-8 bytes.  A benchmark item is cut
-into windows of ``WINDOW`` bytes, each starting ``STRIDE`` after the one before (the last ends with the item; a shorter
-item is one window).  A window of w bytes occurs in a document if some stretch of it is within e = w // 20 edits.
+Texts are normalised (lower case, runs of white space and ASCII punctuation as one blank) and compared as UTF-8 bytes.  The windows of
+a benchmark item are all its stretches of ``WINDOW`` bytes, one from each byte on (a shorter item is one window).  A window
+of w bytes occurs in a document if some stretch of it is within e = w // 20 edits.
 
 Filter: an occurrence with at most e edits shares at least w - q + 1 - e q q-grams with the window, on diagonals that
-differ by at most e.  Shared q-grams are counted per window in bands of diagonals that overlap by half, so every such
-stretch lies within one band; bands that meet the bound are verified by banded alignment.  The filter loses nothing.
+differ by at most e.  Shared q-grams are laid per item in bands of diagonals that overlap by half, so every such stretch
+lies within one band; in the order of their places, wherever as many as the bound lie within a window, the windows around
+them are verified, all at once, by banded alignment.  The filter loses nothing, and windows are never listed before it.
 
 The benchmark's q-grams go to the tasks in blocks of items of at most ``BLOCK_BYTES``; a larger benchmark takes more
 passes over the documents, not more memory.
@@ -32,11 +33,13 @@ from pyspark.sql.types import BooleanType
 from repolens.llm.textbytes import IS_SPACE, buffers, mixed
 
 Q = 12
-WINDOW, STRIDE = 64, 32
+WINDOW, STRIDE = 64, 1
 EDIT_SHARE = 20
 MIN_ITEM = 24
 BLOCK_BYTES = 4 << 20
 STRETCH = 1 << 19
+#: Windows aligned at once; more edits than any budget.
+ALIGNED, NEVER = 1 << 13, 256
 _BITS = 22
 _BLANK = IS_SPACE.copy()
 _BLANK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -72,55 +75,47 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The windows of a block of items and the places of their q-grams."""
+    """The items of a block, each with the width of its windows, and the places of their q-grams."""
 
     items: list
     text: np.ndarray
-    window_item: np.ndarray
-    window_low: np.ndarray
-    window_high: np.ndarray
+    low: np.ndarray
+    last: np.ndarray
+    width: np.ndarray
     budget: np.ndarray
     bound: np.ndarray
     keys: np.ndarray
     first: np.ndarray
     places: np.ndarray
     maybe: np.ndarray
-    place_of: np.ndarray
-    place_first: np.ndarray
-    place_windows: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[object, str]]) -> Index:
         text, offsets = normalised(pa.array([x[1] or "" for x in items], pa.string()))
-        windows = []
-        for k in range(len(items)):
-            low, high = int(offsets[k]), int(offsets[k + 1]) - 1
-            if high - low >= MIN_ITEM:
-                starts = [*range(low, max(low + 1, high - WINDOW), STRIDE)]
-                starts = [s for s in starts if s + WINDOW < high] + [max(low, high - WINDOW)]
-                windows += [(k, s, min(s + WINDOW, high)) for s in starts]
-        item, low, high = (np.array([w[c] for w in windows], np.int64) for c in range(3))
-        width = high - low
-        budget = np.minimum(width // EDIT_SHARE, (width - Q) // Q)
-        own, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, (a, b) in enumerate(zip(low, high, strict=True)):
-            own.append(np.full(b - a - Q + 1, k))
-            at.append(np.arange(a, b - Q + 1))
-        own, at = np.concatenate(own), np.concatenate(at)
-        order = np.argsort(at, kind="stable")
-        places, place_first = np.unique(at[order], return_index=True)
+        low, length = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64) - 1
+        width = np.minimum(length, WINDOW)
+        budget = np.maximum(np.minimum(width // EDIT_SHARE, (width - Q) // Q), 0)
+        own = [np.arange(a, a + n - Q + 1) for a, n in zip(low, length, strict=True) if n >= MIN_ITEM]
+        places = np.concatenate([np.zeros(0, np.int64), *own])
         code = grams(text)[places] if len(places) else np.zeros(0, np.uint64)
         by = np.argsort(code, kind="stable")
         keys, first = np.unique(code[by], return_index=True)
         maybe = np.zeros(1 << _BITS, bool)
         maybe[mixed(keys) >> np.uint64(64 - _BITS)] = True
         return cls(
-            [x[0] for x in items], text, item, low, high, budget, width - Q + 1 - budget * Q, keys, np.append(first, len(by)), by, maybe,
-            places, np.append(place_first, len(at)), own[order],
+            [x[0] for x in items], text, low, low + length - width, width, budget, width - Q + 1 - budget * Q,
+            keys, np.append(first, len(by)), places[by], maybe,
         )
 
+    def item_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.low, place, side="right") - 1
+
+    def windows(self, item: int) -> int:
+        """How many windows an item has."""
+        return int(self.last[item] - self.low[item]) // STRIDE + 1
+
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the data, index of a place in the items) of every shared q-gram."""
+        """(place in the data, place in the items) of every shared q-gram."""
         code = grams(data)
         at = np.flatnonzero(self.maybe[mixed(code) >> np.uint64(64 - _BITS)])
         if not len(self.keys):
@@ -133,57 +128,82 @@ class Index:
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         return np.repeat(at, times), self.places[np.repeat(self.first[k], times) + step]
 
-    def search(self, data: np.ndarray) -> list[tuple[int, int, int]]:
-        """(window, end of its best occurrence in the data, edits), the best for each separate occurrence that is found."""
+    def search(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place of a window in the items, end of its best occurrence in the data, edits), the best for each separate
+        occurrence that is found."""
         at, place = self.hits(data)
         if not len(at):
-            return []
-        times = self.place_first[place + 1] - self.place_first[place]
-        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        window = self.place_windows[np.repeat(self.place_first[place], times) + step]
-        # the diagonal as the place where the window would start
-        diagonal = np.repeat(at - self.place_of[place], times) + self.window_low[window]
-        band = (diagonal + WINDOW) // (self.budget[window] + 1)
+            return
+        item = self.item_of(place)
+        # the diagonal as the place where the items' text would start, never negative
+        shift = len(self.text) + WINDOW
+        band = (at - place + shift) // (self.budget[item] + 1)
         # band b covers the diagonals of steps b and b + 1, so neighbours overlap by half
-        key = (np.concatenate([window, window]) << 40) | np.concatenate([band, band - 1])
-        key, count = np.unique(key, return_counts=True)
-        window, band = key >> 40, key & ((1 << 40) - 1)
-        enough = count >= self.bound[window]
-        found = []
-        for w, b in zip(window[enough], band[enough], strict=True):
-            width = int(self.budget[w]) + 1
-            start = int(b) * width - WINDOW
-            pattern = self.text[self.window_low[w] : self.window_high[w]]
-            edits, end = aligned(pattern, data, start - width, start + 3 * width, int(self.budget[w]))
-            if edits <= self.budget[w]:
-                found.append((int(w), end, edits))
-        return found
-
-
-def aligned(pattern: np.ndarray, data: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int]:
-    """(fewest edits, end) of the pattern against a stretch of ``data`` that starts at ``low`` to ``high``: only the cells on
-    those diagonals are filled.  Stops early once every cell is over ``budget``."""
-    diagonals = np.arange(low, high + 1)
-    row = np.where((diagonals >= 0) & (diagonals <= len(data)), 0, 1 << 20)
-    ramp = np.arange(len(diagonals))
-    for i, c in enumerate(pattern, 1):
-        j = diagonals + i  # the cell of diagonal d in row i ends before data[d + i]
-        inside = (j >= 1) & (j <= len(data))
-        other = np.ones(len(j), np.int64)
-        other[inside] = data[j[inside] - 1] != c
-        fewest = np.where(inside, row + other, 1 << 20)
-        fewest[:-1] = np.minimum(fewest[:-1], row[1:] + 1)
-        fewest = np.minimum.accumulate(fewest - ramp) + ramp
-        row = np.where((j >= 0) & (j <= len(data)), fewest, 1 << 20)
-        if row.min() > budget:
-            return int(row.min()), -1
-    best = int(row.argmin())
-    return int(row[best]), int(diagonals[best] + len(pattern))
+        key = (np.concatenate([item, item]) << 40) | np.concatenate([band, band - 1])
+        place = np.concatenate([place, place])
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        i = np.arange(len(key))
+        ahead = i + self.bound[key >> 40] - 1
+        i = i[ahead < len(key)]
+        ahead = ahead[i]
+        reach = self.width[key[i] >> 40] - Q
+        enough = (key[ahead] == key[i]) & (place[ahead] - place[i] <= reach)
+        i, ahead, reach = i[enough], ahead[enough], reach[enough]
+        key, item = key[i], key[i] >> 40
+        # the windows that hold these q-grams; within a band both ends grow, so what is new is a range
+        low, high = np.maximum(place[ahead] - reach, self.low[item]), np.minimum(place[i], self.last[item])
+        low[1:] = np.where(key[1:] == key[:-1], np.maximum(low[1:], high[:-1] + 1), low[1:])
+        times = np.maximum(high - low + 1, 0)
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        key, window = np.repeat(key, times), np.repeat(low, times) + step
+        item = key >> 40
+        width = self.budget[item] + 1
+        start = (key & ((1 << 40) - 1)) * width - shift + window
+        for w in np.unique(self.width[item]):
+            own = np.flatnonzero(self.width[item] == w)
+            for k in range(0, len(own), ALIGNED):
+                some = own[k : k + ALIGNED]
+                budget = int(self.budget[item[some[0]]])
+                patterns = self.text[window[some][:, None] + np.arange(w)]
+                edits, end = aligned(patterns, data, start[some] - budget - 1, 4 * budget + 5, budget)
+                for x in np.flatnonzero(edits <= budget):
+                    yield int(window[some[x]]), int(end[x]), int(edits[x])
+
+
+def aligned(patterns: np.ndarray, data: np.ndarray, low: np.ndarray, n: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fewest edits, end) of each pattern, one a row, against a stretch of ``data`` that starts at one of the ``n`` places
+    from its ``low`` on: only the cells on those diagonals are filled, and no stretch goes over a byte 0.  A pattern with all
+    cells over ``budget`` is dropped on the way and gets ``NEVER``."""
+    count, w = patterns.shape
+    padded = np.concatenate([np.zeros(1, np.uint8), data, np.zeros(1, np.uint8)])
+    near = padded[np.clip(low[:, None] + np.arange(1, w + n + 1), 0, len(data) + 1)]
+    wall = (near == 0).astype(np.int16) * NEVER
+    diagonals = low[:, None] + np.arange(n)
+    row = np.where((diagonals >= 0) & (diagonals <= len(data)), 0, NEVER).astype(np.int16)
+    alive = np.arange(count)
+    for i in range(w):
+        # diagonal d has its cell of row i + 1 after data[d + i]
+        closed = wall[:, i : i + n]
+        cell = row + (near[:, i : i + n] != patterns[:, i, None]) + closed
+        np.minimum(cell[:, :-1], row[:, 1:] + 1, out=cell[:, :-1])
+        for _ in range(budget):
+            np.minimum(cell[:, 1:], cell[:, :-1] + closed[:, 1:] + 1, out=cell[:, 1:])
+        row = np.minimum(cell, NEVER)
+        if i % 16 == 15:
+            some = row.min(axis=1) <= budget
+            if not some.all():
+                alive, row, near, wall, patterns = alive[some], row[some], near[some], wall[some], patterns[some]
+    edits, end = np.full(count, NEVER, np.int64), np.full(count, -1, np.int64)
+    if len(alive):
+        best = row.argmin(axis=1)
+        edits[alive] = row[np.arange(len(row)), best]
+        end[alive] = low[alive] + best + w
+    return edits, end
 
 
 def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, windows found, windows of the item, fewest edits) for the texts of a column."""
-    total = np.bincount(index.window_item, minlength=len(index.items)) if len(index.window_item) else np.zeros(len(index.items), int)
     for at in range(0, len(column), 128):
         data, offsets = normalised(column.slice(at, 128))
         best: dict[tuple[int, int], int] = {}
@@ -195,9 +215,9 @@ def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int
                 best[text, window] = min(edits, best.get((text, window), edits))
         found: dict[tuple[int, int], list[int]] = {}
         for (text, window), edits in best.items():
-            found.setdefault((text, int(index.window_item[window])), []).append(edits)
+            found.setdefault((text, int(index.item_of(window))), []).append(edits)
         for (text, item), edits in sorted(found.items()):
-            yield at + text, item, len(edits), int(total[item]), min(edits)
+            yield at + text, item, len(edits), index.windows(item), min(edits)
 
 
 def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:

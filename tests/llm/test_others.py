@@ -309,6 +309,25 @@ def test_decontamination_against_brute_force(spark):
     assert len(blocks) > 2 and sum(len(b.items) for b in blocks) == len(items)
 
 
+def test_decontamination_between_window_steps(spark):
+    """64 to 94 bytes of an item from any byte on, verbatim or within 3 edits, and none across two texts."""
+    item = words(40, 11)[:233]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    head, tail = "zzyx " * 20, " xyzz" * 20
+    cuts = [(s, n) for s in (1, 10, 17, 31, 45, 100, 169) for n in (64, 70, 77)]
+    rows = [(i, head + item[s : s + n] + tail) for i, (s, n) in enumerate(cuts)]
+    rows += [(50 + i, head + item[s : s + 20] + "#" + item[s + 21 : s + 50] + item[s + 51 : s + n] + tail) for i, (s, n) in enumerate(cuts) if n > 64]
+    rows += [(100, head + item[10:65] + tail), (101, item[:40]), (102, item[40:90])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r for r in decontaminate.contaminated(docs, bench).collect()}
+    norm = lambda t: __import__("re").sub(r"[\s!-/:-@\[-`{-~]+", " ", t).lower()
+    near = {i for i, t in rows if any(edits(item[s : s + 64], norm(t)) <= 3 for s in range(len(item) - 63))}
+    assert set(found) == near and near >= {i for i, (s, n) in enumerate(cuts) if s + n <= len(item)} and not near & {100, 101, 102}
+    assert found[1]["windows"] == len(item) - 63
+    left = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
+    assert left == {i for i, _ in rows} - near
+
+
 # -- url rules ----------------------------------------------------------------------------------------
 
 
