@@ -9,26 +9,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 100
 
 
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repolens-"))
+    return sc.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back, which cuts the lineage and survives a lost executor.
 
     A temporary folder is set only where the session names none.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repolens-"))
-    path = f"{sc.getCheckpointDir()}/durable-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/durable-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same for rows with any names and types of columns."""
+    _folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def trails(nodes: DataFrame, edges: DataFrame, name: str, depth: int, min_length: int = 1, limit: int | None = None) -> DataFrame:
     """length, names: the trails of ``min_length`` to ``depth`` edges from every node called ``name``.
 

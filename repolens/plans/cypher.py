@@ -1,8 +1,8 @@
 """Graph pattern queries: a reading subset of Cypher, planned as DataFrame joins.
 
 Clauses: MATCH, OPTIONAL MATCH, WHERE, WITH, UNWIND, RETURN [DISTINCT], ORDER BY, SKIP, LIMIT, UNION [ALL], and CALL of the full-text
-procedure ``db.index.fulltext.queryNodes``.  Patterns: labels, property maps, directed or undirected edges with types, bounded
-variable lengths, path variables.  Each variable is a column: a node or edge is a struct, a path an array of nodes.  A query's
+procedure ``db.index.fulltext.queryNodes``.  Patterns: labels, property maps, directed or undirected edges with types,
+variable lengths with or without an upper bound, path variables.  Each variable is a column: a node or edge is a struct, a path an array of nodes.  A query's
 edges differ from one another within one MATCH, as do the edges of one path.
 
 Anything that would write is refused; anything outside the subset is an error, never another meaning.
@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from repolens.operators.graph import all_edges, all_nodes, node_id
 from repolens.operators.search import fulltext
+from repolens.operators.traverse import checkpointed
 from repolens.sources.schema import LABELS
 
 MAX_LENGTH = 15
@@ -52,7 +54,7 @@ class EdgePattern:
     types: list[str]
     props: list[tuple[str, Callable]]
     direction: str  # ">", "<" or "-"
-    length: tuple[int, int] | None
+    length: tuple[int, int | None] | None
 
 
 @dataclass
@@ -411,9 +413,9 @@ class Query:
                 low = self.number()
                 if self.take(".."):
                     high = self.number()
-                    length = (1 if low is None else low, MAX_LENGTH if high is None else high)
+                    length = (1 if low is None else low, high)
                 else:
-                    length = (low, low) if low is not None else (1, MAX_LENGTH)
+                    length = (low, low) if low is not None else (1, None)
             props = self.props()
             self.need("]")
         right = self.take("->")
@@ -526,9 +528,9 @@ class Query:
         return df
 
     def walk(self, df: DataFrame, a: NodePattern, e: EdgePattern, b: NodePattern, path_name: str | None) -> DataFrame:
-        """Trails of the given lengths: one join a step, no edge twice."""
+        """Trails of the given lengths: one join a step, no edge twice; without an upper bound, until there is no longer one."""
         low, high = e.length
-        if high > MAX_LENGTH:
+        if high is not None and high > MAX_LENGTH:
             raise CypherError(f"paths are bounded to {MAX_LENGTH} edges")
         rels = self.rels(e).select(F.col("e.src_label").alias(" sl"), F.col("e.src_id").alias(" si"), F.col("e.dst_label").alias(" dl"), F.col("e.dst_id").alias(" di"), F.to_json("e").alias(" key"))
         ends = self.scan([]).select(F.col("n").alias(" end"))
@@ -536,10 +538,15 @@ class Query:
         own = df.columns
         state = df.withColumn(" trail", F.array(_plain(f"`{a.name}`", df.schema[a.name].dataType))).withColumn(" edges", F.array().cast("array<string>"))
         found = [state] if low == 0 else []
-        for k in range(1, high + 1):
+        for k in count(1) if high is None else range(1, high + 1):
             at = F.element_at(F.col("` trail`"), -1)
             state = state.join(hop, (at["_id"] == F.col("` si`")) & (at["_label"] == F.col("` sl`"))).where(~F.array_contains(F.col("` edges`"), F.col("` key`")))
             state = state.select(*[f"`{c}`" for c in own], F.array_append(F.col("` trail`"), F.col("` end`")).alias(" trail"), F.array_append(F.col("` edges`"), F.col("` key`")).alias(" edges"))
+            if high is None:
+                state = checkpointed(state)
+                if state.isEmpty():
+                    found = found or [state]
+                    break
             if k >= low:
                 found.append(state)
         out = reduce(DataFrame.unionByName, found)

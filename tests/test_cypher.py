@@ -76,3 +76,16 @@ def test_writes_are_refused(spark, tables, text):
 def test_errors(spark, tables, text):
     with pytest.raises(CypherError):
         run(spark, tables, text)
+
+
+def test_unbounded_paths_are_whole(spark, tables):
+    """A chain of 18 calls: all its trails, none cut at 15 edges."""
+    functions = [{"id": str(i), "name": f"f{i}", "path": "/c", "line_number": i} for i in range(19)]
+    calls = [{"src_id": str(i), "dst_id": str(i + 1), "line_number": 1} for i in range(18)]
+    make = lambda name, rows: spark.createDataFrame([tuple(r.get(x.split()[0]) for x in TABLES[name].split(", ")) for r in rows], TABLES[name]).coalesce(1)
+    t = tables | {"functions": make("functions", functions), "calls": make("calls", calls)}
+    for pattern, lengths in (("*", range(1, 19)), ("*17..", (17, 18)), ("*19..", ())):
+        out = run(spark, t, f"MATCH p = (s:Function {{name: 'f0'}})-[:CALLS{pattern}]->(e:Function) RETURN length(p) AS n, e.name AS e").collect()
+        assert sorted(tuple(r) for r in out) == [(n, f"f{n}") for n in lengths]
+    with pytest.raises(CypherError):
+        run(spark, t, "MATCH (s:Function {name: 'f0'})-[:CALLS*..16]->(e:Function) RETURN e.name AS e")
