@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only if its counted rows, of a few fixed-size columns each, stay under this.
 BROADCAST_ROWS = 200_000
+#: A key is hot if it has more than one in so many of the rows.
+HOT_SHARE = 4_096
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -46,6 +48,31 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, so that no key of ``left`` is too much for one task.
+
+    A small ``right`` (of fixed-size columns) is broadcast.  Else keys with more than one in ``HOT_SHARE`` rows, of which
+    there are fewer than ``HOT_SHARE``, are salted: the list of them is broadcast, their rows on the left are dealt by the
+    hash of ``by``, and their row on the right is copied for each salt, which makes fewer than 2 x ``HOT_SHARE`` copies
+    whatever the data.  ``counts`` (the keys and n) says how many rows of ``left`` have a key, if that is known.
+    """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    return salted_join(left, right, keys, by, counts, how)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """As ``spread_join``, without the broadcast: for a ``right`` whose rows are wide."""
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    salts = F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total))).cast("int").alias("salts")
+    hot = materialise(counts.where(F.col("n") * HOT_SHARE > total).where("n > 1").select(*keys, salts), "hot-keys")
+    n = F.coalesce("salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), n).cast("int")).drop("salts")
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
+    return dealt.join(copied, [*keys, "salt"], how).drop("salt")
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
     """Within it, what runs hands Python at most so many bytes of rows at once, so wide rows take no more memory."""

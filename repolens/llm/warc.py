@@ -12,7 +12,9 @@ hold such lines are put together again from their parts.
 
 Defined results: a null or empty html is an empty payload (a group like any other); a null page_id is the smallest and is
 written as an empty id; of repeated rows with the largest id one is the response; control characters and blanks of a url
-are percent-coded, null is empty; an empty table gives no rows.  Extra columns are ignored.  The payload a task holds is
+are percent-coded, null is empty; an empty table gives no rows.  Archives of others may be compressed (``.warc.gz``, read
+whole) and hold records of any type; the chain of a file ends at a record whose header is malformed, and one that the file
+cuts short has no payload length or digest.  Extra columns are ignored.  The payload a task holds is
 one page; the window that assigns parts to records with inner version lines runs per archive file.
 """
 
@@ -27,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.common import BROADCAST_ROWS, materialise, scratch_path, text_of
+from repolens.llm.common import materialise, scratch_path, spread_join, text_of
 
 VERSION = "WARC/1.0\r\n"
 DATE = "2024-01-01T00:00:00Z"
 TRAILER = "\r\n\r\n"
+#: A length of more digits lies beyond any file; sums of lengths of so many fit in 64 bits.
+LENGTH_DIGITS = 17
+#: Records of these types hold an HTTP message, whose body is the payload; the payload of others is their whole block.
+HTTP_TYPES = ("response", "request", "revisit")
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -48,9 +54,9 @@ def _decided(pages: DataFrame, min_bytes: int) -> DataFrame:
     rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     ids = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1", "n_bytes", "page_id").agg(F.count("*").alias("times"))
     groups = ids.groupBy("sha1", "n_bytes").agg(F.max(F.struct("page_id", "times")).alias("top"), F.sum("times").alias("total"))
-    groups = materialise(groups.where("total > 1").drop("total"), "warc-groups")
-    side = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
-    out = rows.join(side, ["sha1", "n_bytes"], "left")
+    groups = materialise(groups.where("total > 1"), "warc-groups")
+    sizes = groups.select("sha1", "n_bytes", F.col("total").alias("n"))
+    out = spread_join(rows, groups.drop("total"), ["sha1", "n_bytes"], by="page_id", counts=sizes, how="left")
     is_top = F.col("page_id").eqNullSafe(F.col("top.page_id"))
     out = out.withColumn("again", F.col("top").isNotNull() & ~is_top)
     if not groups.where("top.times > 1").isEmpty():
@@ -95,19 +101,31 @@ PARSED = "advance long, complete boolean, record_type string, record_id string,
 _NAMES = [x.split()[0] for x in PARSED.split(", ")]
 
 
+def _fields(head: bytes) -> dict[bytes, bytes]:
+    """The header fields of a block of lines, names as they stand; of repeated ones the last."""
+    return dict(x.split(b": ", 1) for x in head.split(b"\r\n") if b": " in x)
+
+
+def _number(stated: bytes | None) -> int | None:
+    """A stated length, or None if it isn't one that a file offset can hold."""
+    return int(stated) if stated is not None and stated.isdigit() and len(stated) <= LENGTH_DIGITS else None
+
+
 def parse_record(part: bytes) -> dict | None:
     """What the record that starts with this part (after its version line) states and holds; None if it is no record.
 
     ``advance`` is the distance from the part's start to the next record; ``complete`` whether the part holds all of it.
-    Length and digest of the payload are computed if it is complete, and taken from the headers for a revisit.
+    Length and digest of the payload are computed if it is complete, and taken from the headers for a revisit.  A part may
+    be any bytes that follow a version line inside a payload, so nothing in it can make this raise: a length that is no
+    number of at most ``LENGTH_DIGITS`` digits makes the part no record, and a payload length that is none stays null.
     """
     head, sep, _ = part.partition(b"\r\n\r\n")
-    fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n") if b": " in x)
-    length = fields.get(b"Content-Length", b"")
-    if not sep or not length.isdigit():
+    fields = _fields(head)
+    length = _number(fields.get(b"Content-Length"))
+    if not sep or length is None:
         return None
     text = lambda k: fields.get(k, b"").decode("utf-8", "replace")
-    start, end = len(head) + 4, len(head) + 4 + int(length)
+    start, end = len(head) + 4, len(head) + 4 + length
     out = {
         "advance": end + 4, "complete": len(part) == end + 4, "record_type": text(b"WARC-Type"),
         "record_id": text(b"WARC-Record-ID").removeprefix("<urn:page:").removesuffix(">"),
@@ -116,9 +134,10 @@ def parse_record(part: bytes) -> dict | None:
     }
     if out["complete"]:
         http, _, payload = part[start:end].partition(b"\r\n\r\n")
+        if out["record_type"] not in HTTP_TYPES:
+            payload = part[start:end]
         if out["record_type"] == "revisit":
-            stated = dict(x.split(b": ", 1) for x in http.split(b"\r\n") if b": " in x).get(b"Content-Length", b"0")
-            out |= {"n_bytes": int(stated), "digest": out["stated"]}
+            out |= {"n_bytes": _number(_fields(http).get(b"Content-Length")), "digest": out["stated"]}
         else:
             out |= {"n_bytes": len(payload), "digest": base64.b32encode(hashlib.sha1(payload).digest()).decode()}
     return out
@@ -186,16 +205,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     kept = parts.join(found, ["file", "at"], "left_semi")
     names = [x for x in _NAMES if x not in ("advance", "complete")]
     whole = kept.where("complete").select(*names)
-    files = [x[0] for x in kept.where("not complete").select("file").distinct().collect()]
-    return whole if not files else whole.unionByName(_stitched(spark, parts, found, files).select(*names))
+    broken = materialise(kept.where("not complete").select("file").distinct(), "warc-broken")
+    return whole if broken.isEmpty() else whole.unionByName(_stitched(spark, parts, found, broken).select(*names))
 
 
-def _stitched(spark: SparkSession, parts: DataFrame, found: DataFrame, files: list[str]) -> DataFrame:
+def _stitched(spark: SparkSession, parts: DataFrame, found: DataFrame, broken_files: DataFrame) -> DataFrame:
     """The records whose payload holds version lines, from all their parts.
 
-    Reading fewer files may split them elsewhere, so parts are matched by their place in the file.
+    Their files are read again, by a list of names that is part of the scan's own list of files.  Reading fewer files may
+    split them elsewhere, so parts are matched by their place in the file.
     """
-    marks = parts.where(F.col("file").isin(files)).join(found.withColumn("own", F.col("at")), ["file", "at"], "left")
+    files = [x[0] for x in broken_files.collect()]
+    marks = parts.join(broken_files, "file", "left_semi").join(found.withColumn("own", F.col("at")), ["file", "at"], "left")
     owner = F.last("own", ignorenulls=True).over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
     marks = marks.withColumn("owner", owner)
     broken = marks.where("own is not null and not complete").select("file", "owner")

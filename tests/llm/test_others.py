@@ -172,6 +172,46 @@ def test_warc_round_trip(spark, tmp_path, split):
     )
 
 
+def test_warc_hot_payload_without_broadcast(spark, tmp_path, monkeypatch):
+    """A third of the pages have one payload; the join of their digest is salted once the groups are too many to broadcast."""
+    from repolens.llm import common
+
+    rows = [(i, "u", "hot" if i % 3 == 0 else f"p{i // 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = {tuple(r) for r in warc._decided(df, 0).collect()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert {tuple(r) for r in warc._decided(df, 0).collect()} == plain
+    assert Counter(r[5] and r[5]["page_id"] for r in plain)[2997] == 999
+
+
+def test_warc_of_hostile_pages(spark, tmp_path):
+    """Whatever follows a version line inside a page, the page comes back and nothing raises."""
+    inner = "HTTP/1.1 200 OK\r\nContent-Length: xyz\r\n\r\n"
+    hostile = [
+        f"WARC/1.0\r\nContent-Length: {'9' * 20}\r\n\r\nhello", f"WARC/1.0\r\nContent-Length: {'9' * 5000}\r\n\r\nhello", f"WARC/1.0\r\nContent-Length: {'9' * 18}\r\n\r\n",
+        f"WARC/1.0\r\nWARC-Type: revisit\r\nContent-Length: {len(inner)}\r\n\r\n{inner}\r\n\r\nWARC/1.0\r\n", "WARC/1.0\r\nContent-Length: -5\r\n\r\n", "WARC/1.0\r\nContent-Length: \u0665\r\n\r\n",
+        "WARC/1.0\r\nContent-Length\r\n: \r\n\r\n", "ends in WARC/1.0", "WARC/1.0\r", "WARC/1.0\r\n\r\n", "\x00WARC/1.0\r\nContent-Length: 0\r\n\r\n\x00",
+    ]
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(hostile)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "h"))
+    out = {int(r["record_id"]): r for r in warc.read_archives(spark, str(tmp_path / "h")).collect()}
+    assert {i: out[i]["n_bytes"] for i in out} == {i: len(h.encode()) for i, h in enumerate(hostile)}
+    assert all(r["digest"] == r["stated"] for r in out.values())
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Compressed archives, other record types, and a file that is cut short or broken off by a malformed record."""
+    import gzip
+
+    record = lambda kind, body, n=None: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{kind}>\r\nContent-Length: {len(body) if n is None else n}\r\n\r\n{body}\r\n\r\n".encode()
+    good = [record("warcinfo", "a: b"), record("response", "HTTP/1.1 200 OK\r\n\r\nhello"), record("metadata", "")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in good))
+    (tmp_path / "b.warc").write_bytes(record("request", "GET /") + record("response", "x", "many") + record("response", "never reached"))
+    (tmp_path / "c.warc").write_bytes(record("resource", "short", 500))
+    out = warc.read_archives(spark, f"{tmp_path}/*.warc*").collect()
+    assert Counter((r["record_type"], r["n_bytes"]) for r in out) == Counter([("warcinfo", 4), ("response", 5), ("metadata", 0), ("request", 0), ("resource", None)])
+
+
 def test_warc_empty_and_minimum(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(none, str(tmp_path / "e"))
