@@ -26,6 +26,8 @@ from repolens.llm import fuse
 from repolens.llm.common import SPACES, materialise, scratch_path, small, text_of
 
 BUCKET_KEYS = 50_000
+#: A task probes about so many keys of a batch.
+PROBED_KEYS = 200_000
 
 
 def normalised(name: str = "text") -> Column:
@@ -39,8 +41,9 @@ def digests(docs: DataFrame, **more: Column) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """sha, n_bytes, best, copies: one row per distinct text; ``best`` orders by code points, then smallest doc_id."""
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id")))
+    """sha, n_bytes, best, copies: one row per distinct text; ``best`` orders by code points, then smallest doc_id
+    (as its bitwise complement, which turns the order round and exists for every long)."""
+    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("not_id")))
     return rows.groupBy("sha", "n_bytes").agg(best.alias("best"), F.sum("times").alias("copies"))
 
 
@@ -79,16 +82,21 @@ def write_snapshot(entries: DataFrame, path: str) -> Snapshot:
 
 
 def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """The grouped batch entries that the snapshot may hold (about 1 in 256 of the others passes too)."""
-    filters = snapshot.filters(batch.sparkSession)
-    keyed = _keyed(batch, snapshot.n_buckets)
+    """The grouped batch entries that the snapshot may hold (about 1 in 256 of the others passes too).
+
+    The filter of a bucket (about ``BUCKET_KEYS`` bytes) goes to as many parts of the bucket's batch entries as leave about
+    ``PROBED_KEYS`` in each, so a large batch against a small snapshot is spread like any other.
+    """
+    parts = 1 + batch.count() // (snapshot.n_buckets * PROBED_KEYS)
+    filters = snapshot.filters(batch.sparkSession).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keyed = _keyed(batch, snapshot.n_buckets).withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
 
     def probe(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if own.empty or rows.empty:
             return rows[["sha"]][:0]
         return rows.loc[fuse.contains(own["filter"].iloc[0], rows["key"].to_numpy()), ["sha"]]
 
-    hits = keyed.select("bucket", "key", "sha").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "sha binary")
+    hits = keyed.select("bucket", "part", "key", "sha").groupBy("bucket", "part").cogroup(filters.groupBy("bucket", "part")).applyInPandas(probe, "sha binary")
     return batch.join(hits, "sha", "left_semi")
 
 
@@ -109,8 +117,8 @@ def same_bytes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def dedup_batch(rows: DataFrame, snapshot: Snapshot, docs: DataFrame) -> DataFrame:
     """For a new batch of digest rows: its own groups, with ``known`` set where the snapshot holds the same bytes."""
     batch = materialise(grouped(rows), "dedup-batch")
-    held = snapshot.entries(batch.sparkSession).select("sha", "n_bytes", (-F.col("best.minus_id")).alias("snapshot_id"))
-    pairs = screen(batch, snapshot).join(held, ["sha", "n_bytes"]).select("sha", (-F.col("best.minus_id")).alias("batch_id"), "snapshot_id")
+    held = snapshot.entries(batch.sparkSession).select("sha", "n_bytes", F.bitwise_not("best.not_id").alias("snapshot_id"))
+    pairs = screen(batch, snapshot).join(held, ["sha", "n_bytes"]).select("sha", F.bitwise_not("best.not_id").alias("batch_id"), "snapshot_id")
     same = same_bytes(materialise(pairs, "dedup-pairs"), docs).withColumn("known", F.lit(True))
     return batch.join(same, "sha", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
@@ -135,9 +143,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     groups = parts.select("sha", "own", "part").join(whole, ["sha", "own"]).select("sha", "part", "best", "copies")
 
     out = rows.join(groups, ["sha", "part"], "left")
-    mine = F.struct("n_points", (-F.col("doc_id")).alias("minus_id"))
+    mine = F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"))
     first = F.col("best").isNull() | F.col("best").eqNullSafe(mine)
-    keep = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(-F.col("best.minus_id"))
+    keep = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.bitwise_not("best.not_id"))
     out = out.select(
         "doc_id",
         keep.alias("keep_id"),

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from repolens.llm import exact_dedup, fuse, near_dedup
 from repolens.llm.components import connected_components
@@ -64,6 +65,28 @@ def test_exact_edges(spark):
     assert [(r["keep_id"], r["kept"]) for r in rows if r["doc_id"] in (2, 3)].count((3, True)) == 1  # the longer original stays
 
 
+def test_exact_extreme_ids(spark):
+    least, most = -(2**63), 2**63 - 1
+    pairs = [(least, "a"), (1, "a "), (least + 1, "b"), (least, "b"), (most, "c"), (-1, "c"), (0, "d"), (most, "d")]
+    rows = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(docs(spark, *pairs)).collect()}
+    assert rows == {(least, 1, False), (1, 1, True), (least, least, True), (least + 1, least, False), (-1, -1, True), (most, -1, False), (0, 0, True), (most, 0, False)}
+
+
+def test_large_batch_against_small_snapshot(spark, tmp_path, monkeypatch):
+    """The batch is probed in parts, none of which has many more keys than asked for."""
+    monkeypatch.setattr(exact_dedup, "PROBED_KEYS", 100)
+    rows = lambda n, step: docs(spark, *[(i, f"text {i * step}") for i in range(n)])
+    count = lambda d: exact_dedup.digests(d).withColumn("times", F.lit(1))
+    snapshot = exact_dedup.write_snapshot(exact_dedup.grouped(count(rows(40, 5))), str(tmp_path / "s"))
+    new = rows(2000, 1)
+    batch = exact_dedup.grouped(count(new))
+    screened = exact_dedup.screen(batch, snapshot)
+    assert 40 <= screened.count() < 100
+    sizes = exact_dedup._keyed(batch, 1).groupBy(F.pmod("key", F.lit(1 + 2000 // 100))).count()
+    assert sizes.agg(F.max("count")).first()[0] < 200
+    assert exact_dedup.dedup_batch(count(new), snapshot, rows(40, 5).unionByName(new)).where("known").count() == 40
+
+
 def test_snapshot_then_batches(spark, tmp_path):
     old = docs(spark, *[(i, f"text {i % 50}") for i in range(100)])
     new = docs(spark, *[(1000 + i, f"text {i}") for i in range(100)])
