@@ -2,12 +2,18 @@
 
 Every record hashes into one of ``n_slots`` virtual slots (thousands, fixed for the life of a data set).  The bytes of
 each slot are summed in one aggregation, and a *versioned map* assigns slots to shards: the largest slot goes to the
-least loaded shard.  The map has ``n_slots`` rows whatever the size of the data, so it is the only thing ever broadcast,
-and growth edits the map: slots move into the new shard only.
+least loaded shard.  The map has ``n_slots`` rows whatever the size of the data, so it is the only thing ever broadcast;
+it is stored under its version, rows are placed by the stored map, and growth stores an edited one: slots move into the
+new shard only.
+
+Rows that agree in doc_id, checksum and size would all hash to one slot; each of them is hashed together with the number
+that it gets when the rows are written, so a record that makes up a third of all rows is spread like others.
 
 Defined results: a null text has 0 bytes (size 16 with the record overhead) and the crc32 of the empty string; a null
-doc_id hashes like any value, repeated rows share a slot and get consecutive positions; an empty table gives no rows and
-a map that spreads the empty slots.  Extra columns are ignored.  DataFrame functions only.
+doc_id hashes like any value; repeated rows each get a slot and a place of their own (which of them gets which depends on
+how the rows were dealt over files); an empty table gives no rows and a map that spreads the empty slots.  Extra columns
+are ignored, or kept by ``with_shards``, whose own ``shard`` and ``slot`` replace columns of these names.  DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -15,20 +21,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.common import materialise, text_of
+from repolens.llm.common import materialise, scratch_path, spread_join, text_of
 
 N_SLOTS = 8192
 OVERHEAD = 16
 
 
-def slotted(docs: DataFrame, n_slots: int = N_SLOTS, overhead: int = OVERHEAD) -> DataFrame:
-    """doc_id, size, text_crc32 and the virtual slot of each record."""
-    row = docs.select(
-        "doc_id",
-        (F.octet_length(text_of()) + F.lit(overhead)).cast("long").alias("size"),
-        F.crc32(text_of().cast("binary")).alias("text_crc32"),
-    )
-    return row.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int"))
+def numbered(docs: DataFrame, overhead: int = OVERHEAD) -> DataFrame:
+    """The columns of ``docs`` with size, text_crc32 and a number ``row`` of each row; rows keep it once it is written."""
+    size = (F.octet_length(text_of()) + F.lit(overhead)).cast("long")
+    own = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", size.alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"))
+    return own.withColumn("row", F.monotonically_increasing_id())
+
+
+def slotted(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """``rows`` (doc_id, size, text_crc32, row; written, so that ``row`` is fixed) with the virtual slot of each."""
+    rows = rows.withColumn("own", F.xxhash64("doc_id", "text_crc32", "size"))
+    again = materialise(rows.groupBy("own").agg(F.count("*").alias("n")).where("n > 1"), "slot-repeats")
+    marked = spread_join(rows, again.withColumn("again", F.lit(True)).drop("n"), ["own"], by="row", counts=again, how="left")
+    spread = F.when(F.col("again"), F.xxhash64("own", "row")).otherwise(F.col("own"))
+    return marked.select("doc_id", "size", "text_crc32", "row", F.pmod(spread, F.lit(n_slots)).cast("int").alias("vslot"))
 
 
 def slot_loads(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -104,26 +116,30 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
+def placed(rows: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+    """``rows`` as ``slotted`` takes them with vslot, shard and slot, placed by a map that is stored as version 1."""
+    rows = materialise(slotted(rows, n_slots), "slotted")
+    store = scratch_path(rows.sparkSession, "slot-map")
+    store_map(balanced_map(slot_loads(rows, n_slots), n_shards), store)
+    return place(rows, load_map(rows.sparkSession, store))
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard, slot: records spread so that the bytes of the shards are near equal."""
-    rows = materialise(slotted(docs, n_slots), "slotted")
-    slot_map = balanced_map(slot_loads(rows, n_slots), n_shards)
-    return place(rows, slot_map).select("doc_id", "size", "text_crc32", "vslot", "shard", "slot")
+    rows = materialise(numbered(docs).drop("doc"), "shard-rows")
+    return placed(rows, n_shards, n_slots).select("doc_id", "size", "text_crc32", "vslot", "shard", "slot")
 
 
 def with_shards(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS) -> DataFrame:
-    """``docs`` with all its columns plus shard and slot.
+    """``docs`` with its columns (but for its own shard and slot) plus shard and slot.
 
-    The loads come from a first pass over narrow rows; rows then get the shard of their virtual slot from the map, and
-    the place within it, without their text ever being joined.
+    The rows are written once with their numbers.  Slots and places come from narrow rows, whatever their texts; the join
+    that brings them back goes by row number, of which no two rows share one, and hashes the narrow side.
     """
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
-    size = (F.octet_length(text_of()) + F.lit(OVERHEAD)).cast("long")
-    crc = F.crc32(text_of().cast("binary"))
-    vslot = F.pmod(F.xxhash64("doc_id", crc, size), F.lit(n_slots)).cast("int")
-    slot_map = materialise(balanced_map(slot_loads(materialise(slotted(docs, n_slots), "slotted"), n_slots), n_shards), "slot-map")
-    rows = docs.select(F.struct(*names).alias("doc"), "doc_id", crc.alias("text_crc32"), size.alias("size"), vslot.alias("vslot"))
-    return place(rows, slot_map).select("doc.*", "shard", "slot")
+    docs = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
+    rows = materialise(numbered(docs), "shard-docs")
+    places = placed(rows.drop("doc"), n_shards, n_slots).select("row", "shard", "slot")
+    return rows.select("row", "doc").join(places.hint("shuffle_hash"), "row").select("doc.*", "shard", "slot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
