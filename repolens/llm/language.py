@@ -1,22 +1,27 @@
 """Language identification: script ranges narrow the candidates, then Viterbi labels spans of words.
 
 Each word gets a score per language, the sum over its byte trigrams (with a blank at either end) of log probabilities
-learnt from labelled documents.  The script of a word, read from the ranges that its UTF-8 lead bytes fall in, rules out
-languages that are hardly ever written in it.  Viterbi over the words of a text, with a penalty for each switch, gives
-spans of one language; a text's language is that of most of its letters.  Texts of a batch go through Viterbi side by
-side, one word of each at a time.
+learnt from labelled documents.  Words are runs of letters and their marks; digits and punctuation of any block only part
+them, so a typographic apostrophe or dash tells no more than a plain one.  The script of a word, read from the ranges that
+the code points of its letters fall in, rules out languages that are hardly ever written in it.  Viterbi over the words of
+a text, with a penalty for each switch, gives spans of one language; a text's language is that of most of its letters.
+Texts of a batch go through Viterbi side by side, one word of each at a time.
 
-Learning counts trigrams over at most about ``MAX_PER_LANGUAGE`` documents a language (those with the smallest hashes);
-counting is distributed and only totals reach the driver (languages x 65,536 numbers at most).
+Learning counts trigrams over at most about ``MAX_PER_LANGUAGE`` documents (those with the smallest hashes) of each of the
+``MAX_LANGUAGES`` most frequent languages; counting is distributed, and only totals reach the driver (languages x 65,536
+numbers at most).
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter; null languages teach nothing; a language
-never seen in learning can't be predicted; without any labelled row every prediction is ``und``; an empty table gives no
-rows.  Extra columns are ignored.  The score is the share of letters in the winning language; ties go to the language
-that sorts first.
+never seen in learning, or of those beyond ``MAX_LANGUAGES`` that sort last by rows and then name, can't be predicted;
+without any labelled row every prediction is ``und``; an empty table gives no rows.  Extra columns are ignored by learning
+and kept by ``identify``, whose own ``lang_pred`` and ``score`` replace columns of these names.  The score is the share of
+letters in the winning language; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,37 +30,76 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from repolens.llm.textbytes import buffers, pieces
 
 #: Documents per language that a model is learnt from, about (a hash threshold picks them).
 MAX_PER_LANGUAGE = 1_000
+#: Languages that a model knows at most: it holds languages x 65,536 numbers in every task.
+MAX_LANGUAGES = 256
 SWITCH_PENALTY = 8.0
 #: A language is a candidate for a script if at least this share of its words has the script.
 SCRIPT_SHARE = 0.001
 GROUP_BYTES = 4 << 20
 _TABLE = 1 << 16
 
-#: Scripts by ranges of UTF-8 lead bytes (fixed values of the Unicode blocks): 0 none, 1 Latin, 2 Greek, 3 Cyrillic,
-#: 4 Armenian and Hebrew, 5 Arabic, Syriac and Thaana, 6 South and South-East Asian, 7 other three-byte blocks, 8 Han and Kana,
-#: 9 Hangul, 10 beyond the basic plane.
-_RANGES = (
-    (0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC2, 0xCC, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD7, 4), (0xD8, 0xDE, 5),
-    (0xDF, 0xDF, 6), (0xE0, 0xE0, 6), (0xE1, 0xE2, 7), (0xE3, 0xE9, 8), (0xEA, 0xED, 9), (0xEE, 0xEF, 7), (0xF0, 0xF4, 10),
-)
-_SCRIPT = np.zeros(256, np.uint8)
-for _low, _high, _id in _RANGES:
-    _SCRIPT[_low : _high + 1] = _id
-N_SCRIPTS = 11
-#: Bytes that count towards letters: ASCII letters and the first byte of any other character.
-_LETTER = (_SCRIPT > 0).astype(np.int64)
-
-
-def _blank(data: np.ndarray) -> np.ndarray:
-    """The bytes with white space, digits and ASCII punctuation as blanks."""
-    table = np.arange(256, dtype=np.uint8)
-    table[:128][~np.isin(np.arange(128), [*range(97, 123), *range(65, 91)])] = 32
-    return table[data]
+#: Scripts as ranges of code points (fixed values of the Unicode blocks), in the order in which one in a word outranks the
+#: ones before; a letter in none of them is of the last script, "other".
+SCRIPTS = {
+    "Latin": ((0x41, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    "Greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "Cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "Armenian": ((0x530, 0x58F), (0xFB13, 0xFB17)), "Hebrew": ((0x590, 0x5FF), (0xFB1D, 0xFB4F)),
+    "Arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)), "Syriac": ((0x700, 0x74F), (0x860, 0x86F)), "Thaana": ((0x780, 0x7BF),),
+    "Devanagari": ((0x900, 0x97F), (0xA8E0, 0xA8FF)), "Bengali": ((0x980, 0x9FF),), "Gurmukhi": ((0xA00, 0xA7F),), "Gujarati": ((0xA80, 0xAFF),), "Oriya": ((0xB00, 0xB7F),),
+    "Tamil": ((0xB80, 0xBFF),), "Telugu": ((0xC00, 0xC7F),), "Kannada": ((0xC80, 0xCFF),), "Malayalam": ((0xD00, 0xD7F),), "Sinhala": ((0xD80, 0xDFF),),
+    "Thai": ((0xE00, 0xE7F),), "Lao": ((0xE80, 0xEFF),), "Tibetan": ((0xF00, 0xFFF),), "Myanmar": ((0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)),
+    "Georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)), "Ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF)), "Khmer": ((0x1780, 0x17FF),), "Mongolian": ((0x1800, 0x18AF),),
+    "Han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)),
+    "Kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)), "Hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+}
+N_SCRIPTS = len(SCRIPTS) + 2
+#: Code points from here on hold no letters.
+_END = 0x40000
+
+
+@functools.cache
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its script (0: neither a letter nor a mark, or a mark of all scripts) and whether it is a letter."""
+    kind = [unicodedata.category(chr(c))[0] for c in range(_END)]
+    letter = np.array([k == "L" for k in kind])
+    script = np.where(letter, N_SCRIPTS - 1, 0).astype(np.uint8)
+    own = letter | np.array([k == "M" for k in kind])
+    for number, ranges in enumerate(SCRIPTS.values(), 1):
+        for low, high in ranges:
+            script[low : high + 1] = np.where(own[low : high + 1], number, 0)
+    return script, letter
+
+
+_ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_ASCII_PLAIN = np.where(_ASCII_LETTER | (np.arange(256) >= 128), np.arange(256), 32).astype(np.uint8)
+
+
+def _read(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with all but letters and marks as blanks, and the script and the number of letters at the first byte of
+    each character."""
+    plain, letters = _ASCII_PLAIN[data], _ASCII_LETTER[data].astype(np.int64)
+    scripts = letters.astype(np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        script, letter = _kinds()
+        first = data[lead]
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = first.astype(np.int64) & (0x7F >> size)
+        for k in range(1, 4):
+            code = np.where(k < size, (code << 6) | (data[np.minimum(lead + k, len(data) - 1)] & 0x3F), code)
+        code = np.minimum(code, _END - 1)
+        scripts[lead], letters[lead] = script[code], letter[code]
+        # marks that go with any script stay in their word
+        none = (script[code] == 0) & ~((code >= 0x300) & (code <= 0x36F))
+        for k in range(4):
+            plain[lead[none & (k < size)] + k] = 32
+    return plain, scripts, letters
 
 
 def _trigrams(data: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -74,7 +118,7 @@ def _segments(column: pa.Array) -> Iterator[tuple[int, int, bool, np.ndarray, np
     data, offsets = buffers(pc.utf8_lower(pc.fill_null(column, "")))
     for i, j, low, high, ends in pieces(data, offsets):
         raw = data[low:high]
-        plain = _blank(raw)
+        plain, script, letter = _read(raw)
         inner = np.ones(len(raw) + 1, bool)
         edges = np.clip(offsets[i : j + 1], low, high) - low
         inner[edges] = False
@@ -86,8 +130,8 @@ def _segments(column: pa.Array) -> Iterator[tuple[int, int, bool, np.ndarray, np
             continue
         before = np.concatenate([[False], solid[:-1]]) & inner[:-1]
         begin = np.flatnonzero(solid & ~before)
-        letters = np.add.reduceat(_LETTER[plain], begin)
-        scripts = np.maximum.reduceat(_SCRIPT[plain], begin)
+        letters = np.add.reduceat(letter, begin)
+        scripts = np.maximum.reduceat(script, begin)
         text = np.searchsorted(edges, begin, side="right") - 1 + i
         yield i, j, ends, text, begin, letters, scripts, (plain, _trigrams(plain, inner))
 
@@ -185,17 +229,7 @@ def predict(model: LanguageModel | None, column: pa.Array) -> tuple[list[str], n
     total = mass.sum(axis=1)
     win = mass.argmax(axis=1)
     score = np.where(total > 0, mass[np.arange(n), win] / np.maximum(total, 1), 0.0)
-    names = [model.languages[k] for k in win]
-    data, offsets = buffers(column)
-    ascii_letters = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
-    has = np.diff(ascii_letters[offsets]) > 0
-    for k in np.flatnonzero(~has):
-        value = column[int(k)].as_py()
-        has[k] = value is not None and any(map(str.isalpha, value))
-    for k in np.flatnonzero(~has | (total == 0)):
-        names[k] = "und" if not has[k] else names[k]
-        score[k] = 0.0
-    return names, score
+    return [model.languages[k] if some else "und" for k, some in zip(win, total > 0, strict=True)], score
 
 
 def spans(model: LanguageModel, column: pa.Array) -> list[list[tuple[str, int, int]]]:
@@ -209,35 +243,32 @@ def spans(model: LanguageModel, column: pa.Array) -> list[list[tuple[str, int, i
     return out
 
 
-def learn(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> LanguageModel | None:
+def learn(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel | None:
     """Learn from ``docs`` (doc_id, text, lang); None without a labelled row."""
     known = docs.where("lang is not null")
-    sizes = {x["lang"]: x["count"] for x in known.groupBy("lang").count().collect()}
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    sizes = {x["lang"]: x["count"] for x in most.collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
     place = {k: i for i, k in enumerate(languages)}
     limits = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, max_per_language / sizes[k])))]), F.col("lang"))
+    known = known.where(F.col("lang").isin(languages))
     # a hash as a number from 0 to 1: the rows of a language below its limit are its sample
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = np.zeros((len(languages), _TABLE), np.int64)
-        scripts = np.zeros((len(languages), N_SCRIPTS), np.int64)
         for batch in batches:
             own = np.array([place[k] for k in batch["lang"].to_pylist()])
             for i, j, _, text, begin, _, script, (plain, slots) in _segments(batch["text"]):
-                if len(begin):
-                    solid = np.flatnonzero(plain != 32)
-                    row = own[text[np.searchsorted(begin, solid, side="right") - 1]]
-                    grams += np.bincount(row * _TABLE + slots[solid], minlength=grams.size).reshape(grams.shape)
-                    scripts += np.bincount(own[text] * N_SCRIPTS + script, minlength=scripts.size).reshape(scripts.shape)
-        for table, kind in ((grams, 0), (scripts, 1)):
-            which, slot = np.nonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(which), kind, np.int32)), pa.array(which.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(table[which, slot])],
-                names=["kind", "language", "slot", "n"],
-            )
+                if not len(begin):
+                    continue
+                solid = np.flatnonzero(plain != 32)
+                row = own[text[np.searchsorted(begin, solid, side="right") - 1]]
+                for kind, width, codes in ((0, _TABLE, row * _TABLE + slots[solid]), (1, N_SCRIPTS, own[text] * N_SCRIPTS + script)):
+                    code, n = np.unique(codes, return_counts=True)
+                    which, slot = (code // width).astype(np.int32), (code % width).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(which), pa.array(slot), pa.array(n)], names=["kind", "language", "slot", "n"])
 
     counts = known.where(part < limits).select("lang", "text").mapInArrow(counted, "kind int, language int, slot int, n long")
     totals = counts.groupBy("kind", "language", "slot").agg(F.sum("n").alias("n")).toPandas()
@@ -258,6 +289,7 @@ def _learning(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``docs`` (its columns, with ``text``) plus lang_pred and score, and without text."""
+    docs = docs.drop("lang_pred", "score")
     names = [c for c in docs.columns if c != "text"]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +297,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             found, score = predict(model, batch["text"])
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"{docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.mapInArrow(predicted, f"{schema}, lang_pred string, score double")
+    kept = [x for x in docs.schema if x.name != "text"]
+    return docs.mapInArrow(predicted, StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

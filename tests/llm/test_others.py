@@ -312,6 +312,104 @@ def test_language(spark):
     assert language.identify(df.limit(0).select("doc_id", "text"), model).count() == 0
 
 
+def test_language_of_typographic_punctuation(spark):
+    """English learnt with plain and French with typographic apostrophes: the sign tells nothing, the letters do."""
+    en = "they're sure that it's what we've seen and you'll find that's the way she's always done it"
+    fr = "l’homme qu’on voit n’est pas celui d’hier mais c’est l’ami que j’ai dans l’autre ville"
+    train = spark.createDataFrame([(i, " ".join(t.split()[i % 5 :]), lang) for i in range(30) for t, lang in ((en, "en"), (fr, "fr"))], "doc_id long, text string, lang string")
+    model = language.learn(train)
+    texts = ["they’re we’ve that’s", "the way — she’s always — done it…", "«they're» “sure” „that‟ it's", "l'homme qu'on voit n'est pas", "¿they're sure? 👍🏽 that’s the way", "٣٤٥ १२३", "‘’—…", "\u0301"]
+    import pyarrow as pa
+
+    found, score = language.predict(model, pa.array(texts))
+    assert found == ["en", "en", "en", "fr", "en", "und", "und", "und"]
+    assert all(s == 1.0 for s in score[:5]) and not score[5:].any()
+    assert [len(x) for x in language.spans(model, pa.array(texts))] == [1, 1, 1, 1, 1, 0, 0, 1]
+
+
+def test_scripts():
+    """Each character of many scripts, against the names of the Unicode database."""
+    import unicodedata
+
+    import numpy as np
+
+    names = ["", *language.SCRIPTS, "other"]
+    said = lambda c: unicodedata.name(c).split()[0].title()
+    alias = {"Cjk": "Han", "Katakana": "Kana", "Hiragana": "Kana", "Micro": "Latin"}
+    text = "aZßłἀωжїԱאءܐހकখਕકକகకಕമකกກཀကაሀកᠠ漢カひ한𠀀ﬁΩ\u0915\u093f" + "1٣।。’—👍 \u0300"
+    plain, script, letters = language._read(np.frombuffer(text.encode(), np.uint8))
+    at = 0
+    for c in text:
+        n = len(c.encode())
+        if c.isalpha():
+            assert names[script[at]] == alias.get(said(c), said(c)).replace("Ohm", "Greek"), c
+            assert letters[at] == 1 and (plain[at : at + n] != 32).all()
+        elif unicodedata.category(c)[0] == "M":
+            assert letters[at] == 0 and (plain[at : at + n] != 32).all()
+        else:
+            assert letters[at] == script[at] == 0 and (plain[at : at + n] == 32).all(), c
+        at += n
+    # languages of neighbouring blocks do not narrow each other away
+    assert len({names[language._kinds()[0][ord(c)]] for c in "कখகก"}) == 4
+
+
+def test_language_against_a_plain_version(spark):
+    """Learning, narrowing, Viterbi and the vote again, one word at a time."""
+    import math
+    import re
+    import unicodedata
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(i, " ".join(t.split()[i % 7 :]), lang) for i in range(40) for t, lang in ((EN, "en"), (DE, "de"), (RU, "ru"), (EN + " " + RU, "ru"))]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    slot = lambda w: [int(np.uint32((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> np.uint32(16)) for a, b, c in zip(b" " + w, w, w[1:] + b" ", strict=False)]
+    split = lambda t: ["".join(g) for g in re.findall(r"((?:[^\W\d_]|[\u0300-\u036f])+)", t.lower())]
+    langs, counts, scripts = ["de", "en", "ru"], {}, {}
+    rank = lambda w: max([[*language.SCRIPTS].index({"L": "Latin", "C": "Cyrillic"}[unicodedata.name(c)[0]]) + 1 for c in w if c.isalpha()], default=0)
+    for _, t, lang in rows:
+        for w in split(t):
+            scripts[lang, rank(w)] = scripts.get((lang, rank(w)), 0) + 1
+            for s in slot(w.encode()):
+                counts[lang, s] = counts.get((lang, s), 0) + 1
+    total = {k: sum(n for (x, _), n in counts.items() if x == k) for k in langs}
+    words_of = {k: sum(n for (x, _), n in scripts.items() if x == k) for k in langs}
+    weight = lambda k, s: math.log((counts.get((k, s), 0) + 0.1) / (total[k] + 0.1 * 65536))
+    may = lambda k, r: scripts.get((k, r), 0) >= max(0.001 * words_of[k], 1) or not any(scripts.get((x, r), 0) for x in langs)
+
+    texts = [EN, DE, RU, f"{EN} {DE}", f"{RU} {EN} {EN}", "der the", "брown fox", "zwölf Boxkämpfer jagen", "123", "x — y’z"]
+    found, score = language.predict(model, pa.array(texts))
+    for t, lang, s in zip(texts, found, score, strict=True):
+        state, back = [], []
+        own = split(t)
+        for w in own:
+            here = [sum(weight(k, x) for x in slot(w.encode())) - (0 if may(k, rank(w)) else 50) for k in langs]
+            if state:
+                top = max(range(3), key=lambda k: (state[k], -k))
+                back.append([k if state[k] >= state[top] - 8 else top for k in range(3)])
+                state = [max(state[k], state[top] - 8) + here[k] for k in range(3)]
+            else:
+                state = here
+        if not own:
+            assert (lang, s) == ("und", 0)
+            continue
+        path = [max(range(3), key=lambda k: (state[k], -k))]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        mass = [sum(sum(c.isalpha() for c in w) for w, k in zip(own, reversed(path), strict=True) if k == x) for x in range(3)]
+        assert lang == langs[mass.index(max(mass))] and s == pytest.approx(max(mass) / sum(mass)), t
+
+
+def test_language_of_clashing_columns_and_many_languages(spark):
+    train = spark.createDataFrame([(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(40)] + [(100 + i, "x", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
+    model = language.learn(train, max_languages=5)
+    assert model.languages == ["de", "en", "l0", "l1", "l10"]
+    df = spark.createDataFrame([(1, EN, 0.5, "x", [1], "z")], "doc_id long, text string, score double, lang_pred string, `an odd name` array<int>, lang string")
+    out = language.identify(df, model)
+    assert out.columns == ["doc_id", "an odd name", "lang", "lang_pred", "score"] and out.first()["lang_pred"] == "en"
+
+
 def test_viterbi_against_enumeration():
     import itertools
 
