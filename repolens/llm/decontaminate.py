@@ -9,18 +9,23 @@ differ by at most e.  Shared q-grams are laid per item in bands of diagonals tha
 lies within one band; in the order of their places, wherever as many as the bound lie within a window, the windows around
 them are verified, all at once, by banded alignment.  The filter loses nothing, and windows are never listed before it.
 
-The benchmark's q-grams go to the tasks in blocks of items of at most ``BLOCK_BYTES``; a larger benchmark takes more
-passes over the documents, not more memory.
+An item of fewer than ``MIN_ITEM`` normalised bytes has too few q-grams for that and none to spare for edits: it is looked
+for as it stands, from the start of a word to the end of one, whatever its length.
 
-Defined results: null and empty texts match nothing; items of fewer than ``MIN_ITEM`` normalised bytes are too short to
-tell from chance and match nothing; repeated rows are each reported; items with equal text are each reported; a null
+The benchmark's q-grams go to the tasks in blocks of items of about ``BLOCK_BYTES``.  A larger benchmark takes a pass over
+the documents for each block, whose findings are written before the next one is made, so neither a task, the driver nor a
+plan ever holds more than one block.
+
+Defined results: null and empty texts match nothing, and items without any letter or digit are found nowhere; repeated rows
+are each reported; items with equal text are each reported; a null
 doc_id is reported as null; empty tables give no rows.  Extra columns are ignored (or kept, when filtering).  Long texts are
 read in overlapping stretches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,17 +35,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from repolens.llm.common import materialise, scratch_path
 from repolens.llm.textbytes import IS_SPACE, buffers, mixed
 
 Q = 12
 WINDOW, STRIDE = 64, 1
 EDIT_SHARE = 20
+#: Shorter items are matched whole.
 MIN_ITEM = 24
 BLOCK_BYTES = 4 << 20
 STRETCH = 1 << 19
 #: Windows aligned at once; more edits than any budget.
 ALIGNED, NEVER = 1 << 13, 256
 _BITS = 22
+_WHOLE = np.random.default_rng(9).integers(0, 2**64, MIN_ITEM, dtype=np.uint64) | np.uint64(1)
 _BLANK = IS_SPACE.copy()
 _BLANK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -73,6 +81,14 @@ def grams(data: np.ndarray) -> np.ndarray:
     return (head * np.uint64(0x9E3779B97F4A7C15)) ^ (tail * np.uint64(0xD6E8FEB86659FD93)) ^ (head >> np.uint64(29))
 
 
+def _whole(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the ``n`` bytes from each place on, for ``n`` under ``MIN_ITEM``."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out += (data[at + k].astype(np.uint64) + np.uint64(1)) * _WHOLE[k]
+    return out
+
+
 @dataclass
 class Index:
     """The items of a block, each with the width of its windows, and the places of their q-grams."""
@@ -88,6 +104,8 @@ class Index:
     first: np.ndarray
     places: np.ndarray
     maybe: np.ndarray
+    #: short items by length: their sorted hashes, with the place and the number of each
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, items: list[tuple[object, str]]) -> Index:
@@ -102,9 +120,22 @@ class Index:
         keys, first = np.unique(code[by], return_index=True)
         maybe = np.zeros(1 << _BITS, bool)
         maybe[mixed(keys) >> np.uint64(64 - _BITS)] = True
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for k, (a, n) in enumerate(zip(low, length, strict=True)):
+            # a blank at either end stands for punctuation
+            a, n = (a + 1, n - 1) if n and text[a] == 32 else (a, n)
+            n -= int(n > 0 and text[a + n - 1] == 32)
+            if 0 < n and length[k] < MIN_ITEM:
+                by_length.setdefault(int(n), []).append((int(a), k))
+        short = {}
+        for n, found in by_length.items():
+            place, number = np.array(found).T
+            code = _whole(text, place, n)
+            order = np.argsort(code, kind="stable")
+            short[n] = code[order], place[order], number[order]
         return cls(
             [x[0] for x in items], text, low, low + length - width, width, budget, width - Q + 1 - budget * Q,
-            keys, np.append(first, len(by)), places[by], maybe,
+            keys, np.append(first, len(by)), places[by], maybe, short,
         )
 
     def item_of(self, place: np.ndarray) -> np.ndarray:
@@ -128,6 +159,23 @@ class Index:
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         return np.repeat(at, times), self.places[np.repeat(self.first[k], times) + step]
 
+    def whole(self, data: np.ndarray, bound: bool) -> Iterator[tuple[int, int]]:
+        """(item, end in the data) of every short item that stands in the data between blanks or the ends of a text;
+        ``bound`` says whether a word can begin at the first byte."""
+        if not self.short:
+            return
+        gap = np.concatenate([[bound], data <= 32, [True]])
+        starts = np.flatnonzero(gap[:-2] & ~gap[1:-1])
+        for n, (codes, places, numbers) in self.short.items():
+            at = starts[starts + n <= len(data)]
+            at = at[gap[at + n + 1]]
+            code = _whole(data, at, n)
+            low, high = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
+            for i in np.flatnonzero(high > low):
+                for k in range(low[i], high[i]):
+                    if np.array_equal(self.text[places[k] : places[k] + n], data[at[i] : at[i] + n]):
+                        yield int(numbers[k]), int(at[i] + n)
+
     def search(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place of a window in the items, end of its best occurrence in the data, edits), the best for each separate
         occurrence that is found."""
@@ -207,23 +255,27 @@ def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int
     for at in range(0, len(column), 128):
         data, offsets = normalised(column.slice(at, 128))
         best: dict[tuple[int, int], int] = {}
+        short: set[tuple[int, int]] = set()
         for start in range(0, len(data), STRETCH):
             # stretches overlap by more than any occurrence is long
             part = data[start : start + STRETCH + 4 * WINDOW]
             for window, end, edits in index.search(part):
                 text = int(np.searchsorted(offsets, start + end - 1, side="right")) - 1
                 best[text, window] = min(edits, best.get((text, window), edits))
+            for item, end in index.whole(part, start == 0 or data[start - 1] <= 32):
+                short.add((int(np.searchsorted(offsets, start + end - 1, side="right")) - 1, item))
         found: dict[tuple[int, int], list[int]] = {}
         for (text, window), edits in best.items():
             found.setdefault((text, int(index.item_of(window))), []).append(edits)
+        found |= {key: [0] for key in short}
         for (text, item), edits in sorted(found.items()):
             yield at + text, item, len(edits), index.windows(item), min(edits)
 
 
-def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """The benchmark in blocks of about ``block_bytes``, one index at a time."""
+def indexes(benchmark: DataFrame, block_bytes: int | None = None) -> Iterator[Index]:
+    """The benchmark in blocks of about ``block_bytes`` (``BLOCK_BYTES``), one index at a time."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + size // block_bytes
+    blocks = 1 + size // (block_bytes or BLOCK_BYTES)
     for b in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         items = [(x["item_id"], x["text"]) for x in own.select("item_id", "text").orderBy("item_id", "text").collect()]
@@ -231,13 +283,29 @@ def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[In
             yield Index.of(items)
 
 
+FOUND = "doc_id long, item_id long, windows_found int, windows int, edits int"
+
+
+def _passes(benchmark: DataFrame, found_in: Callable[[Index], DataFrame], schema: str) -> DataFrame:
+    """What ``found_in`` finds with each block's index: as it is if there is one block, else written block by block."""
+    spark = benchmark.sparkSession
+    blocks = indexes(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if second is None:
+        return found_in(first)
+    path = scratch_path(spark, "contaminated")
+    for index in itertools.chain((first, second), blocks):
+        found_in(index).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, windows_found, windows, edits: the items that occur in each document, in whole or in part."""
-    schema = "doc_id long, item_id long, windows_found int, windows int, edits int"
-    out = None
-    for index in indexes(benchmark):
 
-        def found(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    def found_in(index: Index) -> DataFrame:
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch["doc_id"]
                 rows = [(ids[t].as_py(), index.items[k], a, b, e) for t, k, a, b, e in matches(index, batch["text"])]
@@ -245,16 +313,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "windows_found", "windows", "edits"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, FOUND)
+
+    return _passes(benchmark, found_in, FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, with all their columns."""
-    for index in indexes(benchmark):
-        docs = docs.where(_clean(index)(F.col("text")))
-    return docs
+    blocks = indexes(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return docs if first is None else docs.where(_clean(first)(F.col("text")))
+    # several passes: rows get numbers, and each pass writes those of the rows that go
+    rows = materialise(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "decontaminate-rows")
+    path = scratch_path(docs.sparkSession, "dirty")
+    for index in itertools.chain((first, second), blocks):
+        rows.where(~_clean(index)(F.col("doc.text"))).select("row").write.mode("append").parquet(path)
+    dirty = docs.sparkSession.read.parquet(path).distinct()
+    return rows.join(dirty, "row", "left_anti").select("doc.*")
 
 
 def _clean(index: Index):  # noqa: ANN202

@@ -447,11 +447,11 @@ def edits(a: str, b: str) -> int:
     return min(row)
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     import random
 
     rng = random.Random(5)
-    items = [(k, words(n, k)) for k, n in enumerate((6, 12, 20, 30, 40))] + [(90, "too short"), (91, None), (92, "")]
+    items = [(k, words(n, k)) for k, n in enumerate((6, 12, 20, 30, 40))] + [(80, "ten bytes!"), (81, "x"), (82, "(Twenty-three bytes...)"), (83, "ten bytes"), (91, None), (92, ""), (93, "...")]
     rows = []
     for i in range(60):
         k, item = items[i % 5]
@@ -462,6 +462,7 @@ def test_decontamination_against_brute_force(spark):
         rows.append((i, words(30, 100 + i) + " " + "".join(changed) + " " + words(30, 500 + i)))
     rows += [(100 + i, words(90, 900 + i)) for i in range(20)]
     rows += [(200, items[3][1].upper().replace(" ", ", \n")), (201, None), (202, ""), (203, words(400_000, 7) + " " + items[2][1]), (None, items[1][1]), (1, items[0][1])]
+    rows += [(300, "it has TEN  bytes, no more"), (301, "often bytes and ten bytess"), (302, "ten bytes"), (303, "an x here"), (304, "axe"), (305, "x"), (306, words(80_000, 77) + " 'twenty three: bytes'"), (307, "twenty three byte"), (308, "...")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontaminate.contaminated(docs, bench).collect()
@@ -469,11 +470,14 @@ def test_decontamination_against_brute_force(spark):
     expected = set()
     for i, t in rows:
         for k, item in items:
-            if t and item and len(item) >= decontaminate.MIN_ITEM and len(t) < 10_000:
-                import re
+            import re
 
-                norm = lambda s: re.sub(r"[\s!-/:-@\[-`{-~]+", " ", s).lower()
-                a, b = norm(item), norm(t)
+            norm = lambda s: re.sub(r"[\s!-/:-@\[-`{-~]+", " ", s).lower()
+            a, b = norm(item or ""), norm(t or "")
+            if len(a) < decontaminate.MIN_ITEM:
+                if a.strip() and f" {a.strip()} " in f" {b.strip()} ":
+                    expected.add((i, k))
+            elif t and len(t) < 10_000:
                 w = min(len(a), decontaminate.WINDOW)
                 starts = {*range(0, max(1, len(a) - w), decontaminate.STRIDE), len(a) - w}
                 budget = min(w // decontaminate.EDIT_SHARE, (w - decontaminate.Q) // decontaminate.Q)
@@ -486,8 +490,38 @@ def test_decontamination_against_brute_force(spark):
     assert left == Counter(i for i, _ in rows if i not in {x for x, _ in found}) and left[101] == 1
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
+    assert {(r["doc_id"], r["edits"], r["windows"]) for r in out if r["item_id"] == 83} == {(300, 0, 1), (302, 0, 1)}
     blocks = list(decontaminate.indexes(bench, 100))
     assert len(blocks) > 2 and sum(len(b.items) for b in blocks) == len(items)
+    # a benchmark of several blocks gives the same in several passes
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    some = docs.where("doc_id is null or doc_id <> 203")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(some, bench).collect()} == expected
+    again = decontaminate.drop_contaminated(some, bench)
+    assert again.columns == docs.columns and Counter(r["doc_id"] for r in again.collect()) == left
+
+
+@pytest.mark.parametrize("batch", [1, 10_000])
+def test_decontamination_keeps_neighbours_apart(spark, batch):
+    """Halves of an item at the end of one text and the start of the next are no occurrence, in any order of the rows."""
+    import random
+
+    item = words(16, 3)[:70]
+    rng, cuts = random.Random(2), range(3, 68)
+    pairs = [((1000 + c, words(9, c) + " " + item[:c]), (2000 + c, item[c:] + " " + words(9, c + 500))) for c in cuts]
+    flat = [x for p in pairs for x in p]
+    orders = [flat, [x for p in pairs for x in reversed(p)], rng.sample(flat, len(flat))]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+        for rows in orders:
+            docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+            found = {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()}
+            norm = lambda t: __import__("re").sub(r"[\s!-/:-@\[-`{-~]+", " ", t).lower()
+            assert found == {i for i, t in rows if any(edits(item[s : s + 64], norm(t)) <= 3 for s in range(len(item) - 63))}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
 def test_decontamination_between_window_steps(spark):
