@@ -10,17 +10,24 @@ produce no long lists unless the documents are alike.
 
 At similarity 0.8 a pair falls short of 13 of 32 matches with probability 2e-7.
 
-Documents with the same set are one class before anything is posted.  What is wanted is components, so pairs within a
-list are not enumerated: each member is compared with the most central member of its lists, components are contracted,
-and lists whose members are already one component drop out.  Short lists and one member of each component of the longer
-ones follow in the same way.  Documents that are still in different components of a longer list are then compared with
-each other in blocks, which makes the result the same as that of comparing all candidates.
+Documents with the same set are one class, a node, before anything is posted.  What is wanted is components, so pairs
+within a list are not enumerated: each member is compared with the most central member of its lists, components are
+contracted, and lists whose members are already one component drop out.  Short lists and one member of each component of
+the longer ones follow in the same way.
+
+Members of longer lists that are then still in different components are filtered once more, by their full sets: two sets
+that are similar enough share a shingle among the rarest few of each (a fifth of a set at similarity 0.8), so the members
+are posted under these.  Documents that have only a common passage or a template in common share none of these, whatever
+the length of the lists that hold them together.  What still shares one is compared: within lists of at most
+``RARE_LIST`` members as pairs, and beyond that in blocks of bounded size.  This makes the result the same as that of
+comparing all candidates.
+
+A value, a pivot or a class that very many rows have is dealt to many tasks (``spread_join``).
 
 Defined results: a null or empty text has an empty set, no links and itself as component; a text of fewer words than a
 shingle is one shingle of all its words; repeated rows each get a row; rows that share a doc_id but not their text go each
-by its own text, and where they stand for others the one with the smallest digest does; a row with a null doc_id has a
-null component and is kept; an empty table gives no rows.  Extra columns are ignored.  Shingles are compared by 64-bit
-hashes.
+by its own text; a row with a null doc_id links like any other, but its component is null and it counts as kept; an empty
+table gives no rows.  Extra columns are ignored.  Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm.common import arrow_batches, materialise, small
+from repolens.llm.common import arrow_batches, materialise, salted_join, small, spread_join
 from repolens.llm.components import connected_components
 from repolens.llm.textbytes import shingle_sets
 
 COORDINATES, MATCHES = 32, 13
 #: Lists of up to so many members are compared in full before the rounds of longer ones.
 SHORT = 16
+#: Lists of so many members under a rare shingle are compared as pairs.
+RARE_LIST = 64
 #: A block of a cluster has about so many rows and bytes of sets at most.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 
@@ -58,49 +67,80 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32)
 
 
+def _class_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, classes, signs = [], [], []
         for s in shingle_sets(batch["text"], k):
             sizes.append(len(s))
-            classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            classes.append(_class_of(s) if len(s) else None)
             signs.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())],
-            names=["doc_id", "n_shingles", "class", "sign"],
+            [batch["doc_id"], batch["pick"], pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())],
+            names=["doc_id", "pick", "n_shingles", "class", "sign"],
         )
 
 
+def picked(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, pick (a hash of doc_id and text, which tells rows of one doc_id apart) and ``more``."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("pick"), *more)
+
+
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, class (a 16-byte digest of the set), sign (the signature's bytes)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda it: _signed(it, k), "doc_id long, n_shingles long, class binary, sign binary"
-    )
+    """doc_id, pick, n_shingles, class (a 16-byte digest of the set), sign (the signature's bytes)."""
+    return picked(docs, F.col("text")).mapInArrow(lambda it: _signed(it, k), "doc_id long, pick long, n_shingles long, class binary, sign binary")
 
 
 def posted(reps: DataFrame) -> DataFrame:
-    """list, doc_id, n, weight: the postings of each representative under the rarest coordinates that another one shares.
+    """list, node, n, weight: the postings of each node under the rarest coordinates that another one shares.
 
     ``weight`` adds up how many others share each of its coordinates: the most central of a group of variants has most.
     """
     word = lambda i: F.conv(F.hex(F.reverse(F.substring("sign", 4 * i + 1, 4))), 16, 10).cast("long")
-    tokens = reps.select("doc_id", "n_shingles", F.posexplode(F.array(*[word(i) for i in range(COORDINATES)])).alias("at", "value"))
-    tokens = tokens.select("doc_id", "n_shingles", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("list"))
+    tokens = reps.select("node", F.col("n_shingles").alias("n"), F.posexplode(F.array(*[word(i) for i in range(COORDINATES)])).alias("at", "value"))
+    tokens = tokens.select("node", "n", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("list"))
+    least = F.lit(MATCHES)
+    return _rarest(tokens, F.size("lists") - least + 1)
+
+
+def _rarest(tokens: DataFrame, prefix: Column) -> DataFrame:
+    """list, node, n, weight of the first ``prefix`` of the shared ``lists`` of each node (rarest first); those of ``tokens``
+    that no other node has come first in the order and need no posting."""
     shared = tokens.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
-    own = tokens.join(shared, "list").groupBy("doc_id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("length", "list"))).alias("lists"))
-    # values that no other document has come first in the order and need no posting
-    prefix = F.slice("lists", F.lit(1), F.size("lists") - F.lit(MATCHES - 1))
+    shared = materialise(shared, "near-shared")
+    met = spread_join(tokens, shared, ["list"], by="node", counts=shared.withColumnRenamed("length", "n"))
+    own = met.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("length", "list"))).alias("lists"))
     weight = F.aggregate("lists", F.lit(0).cast("long"), lambda s, x: s + x["length"])
-    own = own.where(F.size("lists") >= MATCHES).select("doc_id", F.col("n_shingles").alias("n"), weight.alias("weight"), F.explode(prefix).alias("p"))
-    return own.select(F.col("p.list").alias("list"), "doc_id", "n", "weight")
+    own = own.where(prefix > 0).select("node", "n", weight.alias("weight"), F.explode(F.slice("lists", F.lit(1), prefix)).alias("p"))
+    posts = materialise(own.select(F.col("p.list").alias("list"), "node", "n", "weight"), "near-posted")
+    lists = materialise(posts.groupBy("list").agg(F.count("*").alias("c")).where("c > 1"), "near-kept")
+    kept = spread_join(posts, lists, ["list"], by="node", counts=lists.withColumnRenamed("c", "n"))
+    return materialise(kept.drop("c"), "near-posts")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()  # repeated rows of a task need only one set
     for batch in batches:
         for i in range(0, len(batch), 512):
             part = batch.slice(i, 512)
-            made = [s.tobytes() for s in shingle_sets(part["text"], k)]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(made, pa.binary())], names=["doc_id", "shingles"])
+            fresh = []
+            for p in part["pick"].to_pylist():
+                fresh.append(p not in seen)
+                seen.add(p)
+            made = list(shingle_sets(part["text"].filter(pa.array(fresh)), k))
+            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=["class", "shingles"])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, own in zip(batch["node"].to_pylist(), batch["shingles"], strict=True):
+            shingles = np.frombuffer(own.as_buffer(), np.int64)
+            for i in range(0, len(shingles), 65_536):
+                part = shingles[i : i + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(shingles))), pa.array(part)], names=["node", "n", "list"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -118,36 +158,36 @@ def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 class _Links:
-    """Candidate documents' signatures and sets, and the check of pairs against them."""
+    """Candidates' signatures and sets, and the check of pairs against them."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, posts: DataFrame, k: int, percent: int) -> None:
-        ids = materialise(posts.select("doc_id").distinct(), "near-ids")
-        few = small(ids)
-        self.signs = materialise(reps.join(few, "doc_id", "left_semi").select("doc_id", "sign"), "near-signs")
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
-        sets = texts.mapInArrow(lambda it: _sets(it, k), "doc_id long, shingles binary")
-        # the representative's row and any copies make the same set; one is enough
-        self.sets = materialise(sets, "near-sets")
+        ids = materialise(posts.select("node").distinct(), "near-ids")
+        few = materialise(reps.join(small(ids), "node", "left_semi").select("node", "class", "pick", "sign"), "near-signs")
+        self.signs = few.select("node", "sign")
+        texts = picked(docs, F.col("text")).join(small(few.select("pick")), "pick", "left_semi").select("pick", "text")
+        sets = texts.mapInArrow(lambda it: _sets(it, k), "class binary, shingles binary")
+        # one set a node, also where a row is repeated, and none of a text that only has the same hash
+        self.sets = materialise(sets.dropDuplicates(["class"]).join(small(few.select("class", "node")), "class").select("node", "shingles"), "near-sets")
         self.percent = percent
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) with enough collisions whose full sets are similar enough."""
-        side = lambda t, c, x, y: t.select(F.col("doc_id").alias(c), F.col(x).alias(y))
+        beside = lambda df, c, t, x, y, by: salted_join(df, t.select(F.col("node").alias(c), F.col(x).alias(y)), [c], by)
         word = lambda c, i: F.substring(c, 4 * i + 1, 4)
         same = sum((word("ga", i) == word("gb", i)).cast("int") for i in range(COORDINATES))
-        likely = pairs.join(side(self.signs, "a", "sign", "ga"), "a").join(side(self.signs, "b", "sign", "gb"), "b").where(same >= MATCHES)
+        likely = beside(beside(pairs, "a", self.signs, "sign", "ga", "b"), "b", self.signs, "sign", "gb", "a").where(same >= MATCHES)
         likely = materialise(likely.select("a", "b"), "near-likely")
-        full = likely.join(side(self.sets, "b", "shingles", "sb"), "b").join(side(self.sets, "a", "shingles", "sa"), "a")
+        full = beside(beside(likely, "b", self.sets, "shingles", "sb", "a"), "a", self.sets, "shingles", "sa", "b")
         percent = self.percent
         return full.select("a", "b", "sa", "sb").mapInArrow(lambda it: _alike(it, percent), "a long, b long").distinct()
 
 
 def _merged(member: DataFrame, links: DataFrame) -> DataFrame:
     """doc_id, comp after joining the components of linked documents."""
-    of = lambda c, x: member.select(F.col("doc_id").alias(c), F.col("comp").alias(x))
+    of = lambda c, x: member.select(F.col("node").alias(c), F.col("comp").alias(x))
     edges = links.join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     moved = connected_components(edges).select(F.col("node").alias("comp"), "label")
-    return materialise(member.join(moved, "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "near-comp")
+    return materialise(member.join(moved, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), "near-comp")
 
 
 def _close(n: str, other: str, percent: int) -> Column:
@@ -158,40 +198,40 @@ def _close(n: str, other: str, percent: int) -> Column:
 def _first_pivots(placed: DataFrame, percent: int) -> DataFrame:
     """Each member with the most central of the pivots of its lists: as many pairs as members at most."""
     met = placed.where((F.col("comp") != F.col("pivot_comp")) & _close("n", "pivot_n", percent))
-    return met.groupBy(F.col("doc_id").alias("x")).agg(F.max(F.struct("pivot_weight", "pivot")).alias("p")).select("x", F.col("p.pivot").alias("y"))
+    return met.groupBy(F.col("node").alias("x")).agg(F.max(F.struct("pivot_weight", "pivot")).alias("p")).select("x", F.col("p.pivot").alias("y"))
 
 
-def _short_lists(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components in lists of at most ``SHORT`` members, which hold a document's closest kin."""
-    short = placed.where(F.col("length") <= SHORT).select("list", "doc_id", "n", "comp")
-    other = short.select(F.col("list").alias("l2"), F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
+def _short_lists(placed: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """All pairs across components in lists of at most ``most`` (``SHORT``) members, which hold a document's closest kin."""
+    short = placed.where(F.col("length") <= (most or SHORT)).select("list", "node", "n", "comp")
+    other = short.select(F.col("list").alias("l2"), F.col("node").alias("y"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
     met = (F.col("list") == F.col("l2")) & (F.col("comp") < F.col("c2")) & _close("n", "n2", percent)
-    return short.join(other, met).select(F.col("doc_id").alias("x"), "y")
+    return short.join(other, met).select(F.col("node").alias("x"), "y")
 
 
 def _leaders(placed: DataFrame, percent: int) -> DataFrame:
     """In each list the pivot with the most central member of each other component."""
-    other = placed.where("comp <> pivot_comp").groupBy("list", "comp", "pivot", "pivot_n").agg(F.max(F.struct("weight", "doc_id", "n")).alias("l"))
-    return other.select(F.col("l.doc_id").alias("x"), F.col("pivot").alias("y"), F.col("l.n").alias("n"), "pivot_n").where(_close("n", "pivot_n", percent))
+    other = placed.where("comp <> pivot_comp").groupBy("list", "comp", "pivot", "pivot_n").agg(F.max(F.struct("weight", "node", "n")).alias("l"))
+    return other.select(F.col("l.node").alias("x"), F.col("pivot").alias("y"), F.col("l.n").alias("n"), "pivot_n").where(_close("n", "pivot_n", percent))
 
 
 def _rest(placed: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the components that long lists still hold together.
+    """Links (a, b) between the components that long lists of rare shingles still hold together.
 
     Documents that such lists connect form a cluster, which is dealt into blocks of bounded size; each pair of blocks is
     one task that counts common shingles through an inverted index and returns links, never the pairs it looked at.
     """
-    edges = placed.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    cluster = connected_components(edges.distinct()).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
-    rows = cluster.join(member, "doc_id").join(sets.dropDuplicates(["doc_id"]), "doc_id")
+    edges = placed.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    cluster = connected_components(edges.distinct()).select("node", F.col("label").alias("cluster"))
+    rows = cluster.join(member, "node").join(sets, "node")
     rows = materialise(rows, "near-clusters")
     size = rows.groupBy("cluster").agg(
         (F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("shingles")) / BLOCK_BYTES).cast("int") + 1).alias("blocks")
     )
     # one row a cluster: a large cluster's rows stay spread until they are dealt by pairs of blocks
-    rows = rows.join(small(materialise(size, "near-sizes")), "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    rows = rows.join(small(materialise(size, "near-sizes")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     each = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    each = each.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc_id", "comp", "shingles")
+    each = each.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "comp", "shingles")
 
     def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_block_links(block, key[1], key[2], percent), columns=["a", "b"])
@@ -209,7 +249,7 @@ def _block_links(rows: pd.DataFrame, first: int, second: int, percent: int) -> l
     owner = np.repeat(np.arange(len(b_sets)), b_size)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    b_ids, b_comp = right["doc_id"].to_numpy(), right["comp"].to_numpy()
+    b_ids, b_comp = right["node"].to_numpy(), right["comp"].to_numpy()
     root = {c: c for c in rows["comp"]}
 
     def find(c: int) -> int:
@@ -219,7 +259,7 @@ def _block_links(rows: pd.DataFrame, first: int, second: int, percent: int) -> l
         return c
 
     out = []
-    for a, comp, own in zip(left["doc_id"], left["comp"], left["shingles"], strict=True):
+    for a, comp, own in zip(left["node"], left["comp"], left["shingles"], strict=True):
         mine = np.frombuffer(own, np.uint64)
         low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
         times = high - low
@@ -234,69 +274,120 @@ def _block_links(rows: pd.DataFrame, first: int, second: int, percent: int) -> l
 
 
 def _open_lists(posts: DataFrame, member: DataFrame) -> DataFrame:
-    """list, doc_id, n, weight, comp, length and the pivot (pivot, pivot_comp, pivot_n, pivot_weight), the most central
+    """list, node, n, weight, comp, length and the pivot (pivot, pivot_comp, pivot_n, pivot_weight), the most central
     member, of the lists whose members are in more than one component.
 
     A long list is aggregated where its postings lie; the result, a row per open list, goes to the postings.
     """
-    placed = materialise(posts.join(small(member), "doc_id"), "near-placed")
-    pivot = F.max(F.struct("weight", "comp", "doc_id", "n")).alias("p")
+    placed = materialise(posts.join(small(member), "node"), "near-placed")
+    pivot = F.max(F.struct("weight", "comp", "node", "n")).alias("p")
     lists = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length"), pivot)
-    own = [F.col(f"p.{c}").alias(k) for c, k in (("doc_id", "pivot"), ("comp", "pivot_comp"), ("n", "pivot_n"), ("weight", "pivot_weight"))]
+    own = [F.col(f"p.{c}").alias(k) for c, k in (("node", "pivot"), ("comp", "pivot_comp"), ("n", "pivot_n"), ("weight", "pivot_weight"))]
     lists = materialise(lists.where("low < high").select("list", "length", *own), "near-lists")
-    return materialise(placed.join(small(lists), "list"), "near-open")
+    return materialise(spread_join(placed, lists, ["list"], by="node", counts=lists.select("list", F.col("length").alias("n"))), "near-open")
 
 
-def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    with arrow_batches(docs.sparkSession):
-        return _near_components(docs, k, percent)
+def _rare_posts(open_lists: DataFrame, links: _Links, percent: int) -> DataFrame:
+    """list, node, n, weight: the members of ``open_lists`` posted under the rarest shingles of their sets, so many that two
+    sets which are similar enough share one."""
+    few = materialise(open_lists.select("node").distinct(), "near-rest")
+    tokens = links.sets.join(small(few), "node", "left_semi").mapInArrow(_exploded, "node long, n long, list long")
+    needed = F.expr(f"({percent} * n + 99) div 100").cast("int")
+    return _rarest(tokens, F.size("lists") - needed + 1)
 
 
-def _near_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (doc_id, pick, n_shingles, class) of ``docs``, and for each class its ``node``, the number ``n_rows`` of its
+    rows, their ``least`` doc_id and ``comp``, the node that stands for the component."""
     rows = materialise(signed(docs, k), "near-rows")
-    known = rows.where("doc_id is not null and n_shingles > 0")
-    classes = materialise(known.groupBy("class").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["rep"]), "left_semi")
-    reps = reps.groupBy("doc_id").agg(F.min(F.struct("class", "n_shingles", "sign")).alias("own"))
-    reps = materialise(reps.select("doc_id", "own.n_shingles", "own.sign"), "near-reps")
+    classes = rows.where("n_shingles > 0").groupBy("class", "n_shingles", "sign")
+    classes = classes.agg(F.min("doc_id").alias("least"), F.min("pick").alias("pick"), F.count("*").alias("n_rows"))
+    # once written, the numbers stay
+    reps = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     posts = posted(reps)
-    lists = posts.groupBy("list").agg(F.count("*").alias("c")).where("c > 1")
-    posts = materialise(posts.join(lists, "list", "left_semi"), "near-posts")
     links = _Links(docs, reps, posts, k, percent)
 
-    member = materialise(posts.select("doc_id").distinct().withColumn("comp", F.col("doc_id")), "near-comp")
-    tried = None
-    for round_of in (_first_pivots, _short_lists, _leaders):
-        pairs = round_of(_open_lists(posts, member), percent)
+    state = {"member": materialise(posts.select("node").distinct().withColumn("comp", F.col("node")), "near-comp"), "tried": None}
+
+    def compare(pairs: DataFrame) -> None:
+        """Confirm the pairs (x, y) that were not tried before, and contract the components that they link."""
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if state["tried"] is not None:
+            pairs = pairs.join(state["tried"], ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-pairs")
         if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialise(links.confirm(pairs), "near-links")
+            return
+        state["tried"] = pairs if state["tried"] is None else state["tried"].unionByName(pairs)
+        contract(links.confirm(pairs))
+
+    def contract(found: DataFrame) -> None:
+        found = materialise(found, "near-links")
         if not found.isEmpty():
-            member = _merged(member, found)
+            state["member"] = _merged(state["member"], found)
+
+    for round_of in (_first_pivots, _short_lists, _leaders):
+        compare(round_of(_open_lists(posts, state["member"]), percent))
     # all pairs of short lists have been compared by now
-    rest = _open_lists(posts, member).where(F.col("length") > SHORT)
+    rest = _open_lists(posts, state["member"]).where(F.col("length") > SHORT)
     if not rest.isEmpty():
-        found = materialise(_rest(rest, member, links.sets, percent), "near-links")
-        if not found.isEmpty():
-            member = _merged(member, found)
+        rare = _rare_posts(rest, links, percent)
+        compare(_short_lists(_open_lists(rare, state["member"]), percent, RARE_LIST))
+        rest = _open_lists(rare, state["member"]).where(F.col("length") > RARE_LIST)
+        if not rest.isEmpty():
+            contract(_rest(rest, state["member"], links.sets, percent))
+    placed = reps.join(state["member"], "node", "left").select("class", "n_rows", "least", F.coalesce("comp", "node").alias("comp"))
+    return rows.drop("sign"), materialise(placed, "near-of-class")
 
-    placed = rows.join(classes, "class", "left").join(member.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    component = F.coalesce("comp", "rep", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    with arrow_batches(docs.sparkSession):
+        rows, classes = _nodes(docs, k, percent)
+        least = classes.groupBy("comp").agg(F.min("least").alias("component"))
+        of_class = materialise(classes.join(least, "comp").select("class", "component", "n_rows"), "near-of-class")
+        sizes = of_class.select("class", F.col("n_rows").alias("n"))
+        some = spread_join(rows.where("n_shingles > 0"), of_class.drop("n_rows"), ["class"], by="pick", counts=sizes)
+    every = some.unionByName(rows.where("n_shingles = 0").withColumn("component", F.col("doc_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
+    return every.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each near-duplicate component, the one with the smallest doc_id; all columns of ``docs``."""
-    gone = near_components(docs, k, percent).where("not kept").select("doc_id").distinct()
-    gone = materialise(gone, "near-gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate component, that with the smallest doc_id (null last); all columns of ``docs``.
+
+    Decided row by row: rows of one doc_id but different texts stay or go each by its own text.  Of rows that agree in doc_id
+    and text the one that sorts first by all columns stays (any one, if a column has no order).  Rows without words all stay.
+    """
+    with arrow_batches(docs.sparkSession):
+        rows, classes = _nodes(docs, k, percent)
+        groups = classes.groupBy("comp").agg(F.sum("n_rows").alias("total")).where("total > 1")
+        many = materialise(classes.join(groups, "comp").select("class", "comp", "n_rows", "total"), "near-many")
+        sizes = many.select("class", F.col("n_rows").alias("n"))
+        own = spread_join(rows.where("n_shingles > 0"), many.select("class", "comp", "total"), ["class"], by="pick", counts=sizes)
+        own = materialise(own.groupBy("comp", "total", "doc_id", "pick").agg(F.count("*").alias("times")), "near-own")
+    first = own.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pick", "times")).alias("top"))
+    first = materialise(first.select("comp", "top.*").drop("no_id"), "near-first")
+    again = materialise(first.where("times > 1").select("doc_id", "pick"), "near-again")
+    sizes = own.groupBy("comp").agg(F.count("*").alias("n"))
+    chosen = first.select("comp", F.col("doc_id").alias("top_id"), F.col("pick").alias("top_pick"))
+    gone = spread_join(own, chosen, ["comp"], by="pick", counts=sizes)
+    is_top = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("pick") == F.col("top_pick"))
+    gone = materialise(gone.where(~is_top).select("doc_id", "pick").unionByName(again), "near-gone")
+    out = _by_row(docs, gone, "left_anti")
+    if again.isEmpty():
+        return out
+    one = F.first if any("map<" in t or t == "variant" for _, t in docs.dtypes) else F.min
+    kept = picked(_by_row(docs, again, "left_semi"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).groupBy("doc_id", "pick").agg(one("doc").alias("doc"))
+    return out.unionByName(kept.select("doc.*"))
+
+
+def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` that are (``left_semi``) or are not (``left_anti``) among ``rows`` (doc_id, pick)."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    left = picked(docs, F.struct(*names).alias("doc"))
+    right = small(rows.select(F.col("doc_id").alias("row_id"), F.col("pick").alias("row_pick")))
+    met = left["doc_id"].eqNullSafe(right["row_id"]) & (left["pick"] == right["row_pick"])
+    return left.join(right, met, how).select("doc.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

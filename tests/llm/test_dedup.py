@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from repolens.llm import exact_dedup, fuse, near_dedup
+from repolens.llm import common, exact_dedup, fuse, near_dedup
 from repolens.llm.components import connected_components
 
 DOC = "doc_id long, text string, lang string, kept boolean, sha string"  # extra columns whose names clash with results
@@ -139,8 +139,11 @@ def variants(seed=3, groups=6, per=12):  # noqa: ANN001, ANN201
     return out
 
 
-@pytest.mark.parametrize(("k", "short"), [(4, 16), (5, 16), (4, 2)])
-def test_near_against_brute_force(spark, monkeypatch, k, short):
+@pytest.mark.parametrize(("k", "short", "rare", "broadcast"), [(4, 16, 64, 200_000), (5, 16, 64, 20), (4, 2, 64, 200_000), (4, 2, 2, 0)])
+def test_near_against_brute_force(spark, monkeypatch, k, short, rare, broadcast):
+    """Also with every later step in use, and with no side small enough to be broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(near_dedup, "RARE_LIST", rare)
     monkeypatch.setattr(near_dedup, "SHORT", short)
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
     pairs = variants() + [(900, "a b c"), (901, "A  B\nc"), (902, "a b c d"), (903, ""), (904, None), (905, " \n"), (906, "a b"), (907, "x " * 30_000), (908, "x " * 20_000)]
@@ -156,10 +159,36 @@ def test_near_edges(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in rows if r["doc_id"]) == [(1, 1, True), (1, 1, True), (2, 1, False)]
     assert [(r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None] == [(None, True)]
     left = near_dedup.drop_near_duplicates(docs(spark, (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b c d e f")))
-    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3", "None"]
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3"]  # the row without an id is a copy like any other
     assert left.columns == ["doc_id", "text", "lang", "kept", "sha"]
 
 
+def test_near_rows_decided_one_by_one(spark, monkeypatch):
+    """Rows that share a doc_id go each by its own text; of repeated rows, also without an id, one stays."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "some wholly other text of its own"), (3, "q w e r t y"), (3, "q w e r t y"), (None, "n n n n o n n m"), (None, "n n n n o n n m"),
+            (None, "q w e r t y"), (4, "u v w x y z"), (4, "another one under this very id"), (5, "another one under this very id"), (None, ""), (None, ""), (6, ""), (6, ""), (7, None)]
+    want = [(1, "a b c d e f"), (2, "some wholly other text of its own"), (3, "q w e r t y"), (None, "n n n n o n n m"), (4, "u v w x y z"), (4, "another one under this very id"), (None, ""), (None, ""), (6, ""), (6, ""), (7, None)]
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        left = near_dedup.drop_near_duplicates(docs(spark, *rows))
+        assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
+    # repeated rows that differ in another column, of a type without an order
+    odd = spark.createDataFrame([(1, "a b c d e f", {"x": 1}), (1, "a b c d e f", {"x": 2})], "doc_id long, text string, `an odd name` map<string,int>")
+    assert near_dedup.drop_near_duplicates(odd).count() == 1
+    assert near_dedup.drop_near_duplicates(docs(spark)).count() == 0
+
+
+def test_near_template(spark):
+    """Many texts around one template, at a similarity under the threshold: long lists, no links, and nothing to compare."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template = " ".join(word() for _ in range(60))
+    pairs = [(i, template + " " + " ".join(word() for _ in range(30))) for i in range(300)]
+    pairs += [(1000 + i, pairs[i][1] + " more") for i in range(20)]
+    made = by_id(near_dedup.near_components(docs(spark, *pairs)))
+    assert {i: r["component_id"] for i, r in made.items()} == {i: i % 1000 for i, _ in pairs}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(5, 5)]
     made = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
