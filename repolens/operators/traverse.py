@@ -6,8 +6,12 @@ Reachability walks node by node: a frontier joins the edges and drops what has b
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,27 +19,56 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 100
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); only a local session that names none, as in
+    tests, gets a temporary one, which goes when the process ends."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repolens-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if named is None:
+            named = tempfile.mkdtemp(prefix="repolens-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back, which cuts the lineage and survives a lost executor.
+_written: list[list[str]] = []
 
-    A temporary folder is set only where the session names none.
-    """
+
+def durable(df: DataFrame, label: str = "durable") -> DataFrame:
+    """Write to the shared checkpoint folder and read back, which cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/durable-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _written:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``durable`` writes within: for work whose results are stored elsewhere by then."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield
+    finally:
+        _written[:] = [x for x in _written if x is not paths]
+        for p in paths:
+            remove(spark, p)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark can write to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same for rows with any names and types of columns."""
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -57,7 +90,7 @@ def trails(nodes: DataFrame, edges: DataFrame, name: str, depth: int, min_length
         if length:
             state = state.join(hop, state["at"] == hop["src_id"]).where(~F.array_contains("edges", F.col("edge")))
             state = state.select(F.col("dst_id").alias("at"), F.array_append("names", F.col("dst_name")).alias("names"), F.array_append("edges", F.col("edge")).alias("edges"))
-            if length % 3 == 0:
+            if length % 2 == 0 and limit is None:
                 state = durable(state)
         if length >= min_length:
             found.append(state.select(F.lit(length).alias("length"), "names", "edges"))
@@ -65,6 +98,9 @@ def trails(nodes: DataFrame, edges: DataFrame, name: str, depth: int, min_length
                 enough += state.limit(limit).count()
                 if enough >= limit:
                     break
+                # fewer than the limit: kept, so that the next length does not build them again
+                state = durable(state)
+                found[-1] = state.select(F.lit(length).alias("length"), "names", "edges")
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
