@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm.common import arrow_batches, materialise, salted_join, small, spread_join
+from repolens.llm.common import BROADCAST_ROWS, arrow_batches, materialise, salted_join, small, spread_join
 from repolens.llm.components import connected_components
 from repolens.llm.textbytes import shingle_sets
 
@@ -102,19 +102,21 @@ def posted(reps: DataFrame) -> DataFrame:
     word = lambda i: F.conv(F.hex(F.reverse(F.substring("sign", 4 * i + 1, 4))), 16, 10).cast("long")
     tokens = reps.select("node", F.col("n_shingles").alias("n"), F.posexplode(F.array(*[word(i) for i in range(COORDINATES)])).alias("at", "value"))
     tokens = tokens.select("node", "n", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("list"))
-    least = F.lit(MATCHES)
-    return _rarest(tokens, F.size("lists") - least + 1)
+    shared = tokens.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
+    return _rarest(tokens, materialise(shared, "near-shared"), F.lit(MATCHES))
 
 
-def _rarest(tokens: DataFrame, prefix: Column) -> DataFrame:
-    """list, node, n, weight of the first ``prefix`` of the shared ``lists`` of each node (rarest first); those of ``tokens``
-    that no other node has come first in the order and need no posting."""
-    shared = tokens.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
-    shared = materialise(shared, "near-shared")
+def _rarest(tokens: DataFrame, shared: DataFrame, needed: Column) -> DataFrame:
+    """list, node, n, weight of the rarest ``shared`` lists (list, length) of each node, so many that two nodes which have
+    ``needed`` of them in common share one.
+
+    What a node has beside them comes first in the order and needs no posting; a node with fewer than ``needed`` has none.
+    """
     met = spread_join(tokens, shared, ["list"], by="node", counts=shared.withColumnRenamed("length", "n"))
-    own = met.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("length", "list"))).alias("lists"))
-    weight = F.aggregate("lists", F.lit(0).cast("long"), lambda s, x: s + x["length"])
-    own = own.where(prefix > 0).select("node", "n", weight.alias("weight"), F.explode(F.slice("lists", F.lit(1), prefix)).alias("p"))
+    own = met.groupBy("node", "n").agg(F.collect_list(F.struct("length", "list")).alias("lists"), F.sum("length").alias("weight"))
+    own = own.withColumn("needed", needed).where(F.size("lists") >= F.col("needed"))
+    prefix = F.slice(F.sort_array("lists"), F.lit(1), F.size("lists") - F.col("needed") + 1)
+    own = own.select("node", "n", "weight", F.explode(prefix).alias("p"))
     posts = materialise(own.select(F.col("p.list").alias("list"), "node", "n", "weight"), "near-posted")
     lists = materialise(posts.groupBy("list").agg(F.count("*").alias("c")).where("c > 1"), "near-kept")
     kept = spread_join(posts, lists, ["list"], by="node", counts=lists.withColumnRenamed("c", "n"))
@@ -172,10 +174,12 @@ class _Links:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) with enough collisions whose full sets are similar enough."""
-        beside = lambda df, c, t, x, y, by: salted_join(df, t.select(F.col("node").alias(c), F.col(x).alias(y)), [c], by)
+        beside = lambda df, c, t, x, y, by, join=salted_join: join(df, t.select(F.col("node").alias(c), F.col(x).alias(y)), [c], by)
+        # however few keys they have, so few pairs with signatures of one size are no load for a task
+        narrow = salted_join if pairs.count() > BROADCAST_ROWS else (lambda df, side, keys, by: df.join(side, keys))  # noqa: ARG005
         word = lambda c, i: F.substring(c, 4 * i + 1, 4)
         same = sum((word("ga", i) == word("gb", i)).cast("int") for i in range(COORDINATES))
-        likely = beside(beside(pairs, "a", self.signs, "sign", "ga", "b"), "b", self.signs, "sign", "gb", "a").where(same >= MATCHES)
+        likely = beside(beside(pairs, "a", self.signs, "sign", "ga", "b", narrow), "b", self.signs, "sign", "gb", "a", narrow).where(same >= MATCHES)
         likely = materialise(likely.select("a", "b"), "near-likely")
         full = beside(beside(likely, "b", self.sets, "shingles", "sb", "a"), "a", self.sets, "shingles", "sa", "b")
         percent = self.percent
@@ -287,13 +291,18 @@ def _open_lists(posts: DataFrame, member: DataFrame) -> DataFrame:
     return materialise(spread_join(placed, lists, ["list"], by="node", counts=lists.select("list", F.col("length").alias("n"))), "near-open")
 
 
-def _rare_posts(open_lists: DataFrame, links: _Links, percent: int) -> DataFrame:
+def _rare_posts(open_lists: DataFrame, member: DataFrame, links: _Links, percent: int) -> DataFrame:
     """list, node, n, weight: the members of ``open_lists`` posted under the rarest shingles of their sets, so many that two
-    sets which are similar enough share one."""
-    few = materialise(open_lists.select("node").distinct(), "near-rest")
-    tokens = links.sets.join(small(few), "node", "left_semi").mapInArrow(_exploded, "node long, n long, list long")
-    needed = F.expr(f"({percent} * n + 99) div 100").cast("int")
-    return _rarest(tokens, F.size("lists") - needed + 1)
+    sets which are similar enough share one.
+
+    Only shingles that several components have count: sets of different components share no others, and a set that has too
+    few of them is like none.
+    """
+    few = materialise(open_lists.select("node").distinct().join(small(member), "node"), "near-rest")
+    tokens = links.sets.join(small(few.select("node")), "node", "left_semi").mapInArrow(_exploded, "node long, n long, list long")
+    between = tokens.join(small(few), "node").groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length"))
+    shared = materialise(between.where("low < high").select("list", "length"), "near-shared")
+    return _rarest(tokens, shared, F.expr(f"({percent} * n + 99) div 100").cast("int"))
 
 
 def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -330,7 +339,7 @@ def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     # all pairs of short lists have been compared by now
     rest = _open_lists(posts, state["member"]).where(F.col("length") > SHORT)
     if not rest.isEmpty():
-        rare = _rare_posts(rest, links, percent)
+        rare = _rare_posts(rest, state["member"], links, percent)
         compare(_short_lists(_open_lists(rare, state["member"]), percent, RARE_LIST))
         rest = _open_lists(rare, state["member"]).where(F.col("length") > RARE_LIST)
         if not rest.isEmpty():
