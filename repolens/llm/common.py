@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,32 +9,23 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolens.operators.traverse import durable, shared_folder
+
 #: The white space of every contract here: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
-#: A side of a join is broadcast only if its counted rows, of a few fixed-size columns each, stay under this.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if its counted rows and the counted bytes of their strings stay under these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: A key is hot if it has more than one in so many of the rows.
 HOT_SHARE = 4_096
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); only if unset, as in tests, a local one."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repolens-"))
-    return sc.getCheckpointDir()
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder's name in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Write to the shared folder and read back: the lineage is cut and a lost executor loses nothing.
+materialise = durable
 
 
 def text_of(name: str = "text") -> Column:
@@ -43,20 +33,34 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within ``limit``, else ``df``, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def is_small(df: DataFrame) -> bool:
+    """Whether rows and bytes of ``df``, which are counted, are few enough to broadcast."""
+    sizes = []
+    for f in df.schema:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.octet_length(c))
+        elif kind not in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp"):
+            sizes.append(F.octet_length(F.to_json(F.struct(c))))
+    total = sum((F.coalesce(F.sum(s), F.lit(0)) for s in sizes), F.lit(0))
+    n, n_bytes = df.agg(F.count("*"), total).first()
+    return n <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it is small, else ``df``, for a shuffled join."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row a key, so that no key of ``left`` is too much for one task.
 
-    A small ``right`` (of fixed-size columns) is broadcast.  Else keys with more than one in ``HOT_SHARE`` rows, of which
+    A small ``right`` is broadcast.  Else keys with more than one in ``HOT_SHARE`` rows, of which
     there are fewer than ``HOT_SHARE``, are salted: the list of them is broadcast, their rows on the left are dealt by the
     hash of ``by``, and their row on the right is copied for each salt, which makes fewer than 2 x ``HOT_SHARE`` copies
     whatever the data.  ``counts`` (the keys and n) says how many rows of ``left`` have a key, if that is known.
     """
-    if right.count() <= BROADCAST_ROWS:
+    if is_small(right):
         return left.join(F.broadcast(right), keys, how)
     return salted_join(left, right, keys, by, counts, how)
 

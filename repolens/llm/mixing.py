@@ -9,6 +9,9 @@ A source whose target is under ``SLOTS_PER_SOURCE`` blocks is *short*: the golde
 a large part of it.  It leaves the unit interval and gets as many blocks as its target needs, spread evenly over the
 sequence (each beside the block that the slot has anyway), of which the last ends at the target in whole words, at least one.
 
+A source that is not short has a share of 1/64 or more, so there are at most 64 of them, and at most ``SLOTS`` slots to be
+mapped, whatever the number of sources; weights and targets of many sources come from sums over ranges of them (``running``).
+
 Positions on the tape come from two levels of prefix sums (hash buckets of a source, then rows of a bucket).  There are as
 many buckets as the square root of the number of rows, so neither level puts more than about that many rows of a source in
 one task, and a source that holds a third of all rows is spread over many.
@@ -25,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.common import BROADCAST_ROWS, materialise, small, text_of
+from repolens.llm.common import materialise, small, text_of
 
 GOLDEN = 0.6180339887498949
 SLOTS = 65_536
@@ -43,25 +46,42 @@ def order_hash() -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
+def running(df: DataFrame, order: list[Column], *sums: str) -> DataFrame:
+    """``df`` with ``nth`` (from 0) and, for each column of ``sums``, ``before_`` its sum over all rows before, in one order
+    of all rows.
+
+    The sort deals ranges of rows to tasks; what lies before a range comes from a row per range, and the rest from within
+    it, so no task sees more than its range however many rows there are.
+    """
+    rows = materialise(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "mix-ordered")
+    rows = rows.withColumn("range", F.shiftright("at", 33))
+    ranges = rows.groupBy("range").agg(F.count("*").alias("nth"), *[F.sum(c).alias(c) for c in sums])
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranges.select("range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"base_{c}") for c in ("nth", *sums)])
+    inside = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.col("base_nth") + F.row_number().over(Window.partitionBy("range").orderBy("at")) - 1
+    before = [(F.col(f"base_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"before_{c}") for c in sums]
+    # one row for each task of the sort
+    return rows.join(F.broadcast(base), "range").select(*df.columns, nth.alias("nth"), *before)
+
+
 def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """skey, source_size, target: all sizes shared by weight, no source above ``max_epochs`` times its size.
 
     The sources with the least cap per weight fill first; the share of the others is what is left over the weight that
-    is left.  The windows run over one row per source.
+    is left.
     """
-    per = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * max_epochs)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "skey")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    left = F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    heavy = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / heavy).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
-    per = per.withColumn("level", F.when(~F.col("full"), F.col("level")))
-    open_level = F.first("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return per.select("skey", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(open_level * F.col("weight")).alias("target"))
+    per = running(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * max_epochs).drop("nth", "source")
+    per = running(per, [F.col("cap") / F.col("weight"), F.col("skey")], "cap", "weight")
+    # sums of whole numbers, which doubles hold
+    total, heavy = per.agg(F.sum(F.col("source_size").cast("double")), F.sum("weight")).first()
+    level = (F.lit(total or 0.0) - F.col("before_cap")) / (F.lit(heavy or 1.0) - F.col("before_weight"))
+    per = per.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
+    open_level = per.where(~F.col("full")).agg(F.min_by("level", "nth")).first()[0]
+    share = F.when(F.col("full"), F.col("cap")).otherwise(F.lit(open_level).cast("double") * F.col("weight"))
+    return per.select("skey", "source_size", share.alias("target"))
 
 
 def schedule(target: DataFrame, n_slots: int, n_sources: int) -> DataFrame:
@@ -97,9 +117,10 @@ def planned(rows: DataFrame, total: int, block: int, weights: tuple[int, ...] =
     short = (F.col("target") > 0) & (F.col("target") < SLOTS_PER_SOURCE * block)
     exact = F.least(F.greatest(F.round("target").cast("long"), F.lit(1)), F.col("source_size") * max_epochs)
     goal = materialise(targets(rows, weights, max_epochs).withColumn("exact", F.when(short, exact)), "mix-targets")
-    few, n_sources = goal.agg(F.coalesce(F.sum("exact"), F.lit(0)), F.count("*")).first()
+    few = goal.agg(F.coalesce(F.sum("exact"), F.lit(0))).first()[0]
     n_slots = -(-total // block)
-    dealt = schedule(goal.where("exact is null"), max(0, -(-(total - few) // block)), max(1, n_sources))
+    # sources that are not short have a share of SLOTS_PER_SOURCE / SLOTS at least, so there are few of them
+    dealt = schedule(goal.where("exact is null"), max(0, -(-(total - few) // block)), SLOTS // SLOTS_PER_SOURCE)
     need = F.expr(f"(exact + {block - 1}) div {block}")
     even = goal.where("exact is not null").select("skey", need.alias("need")).select("skey", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)).alias("rank"))
     even = even.select(F.expr(f"((2 * rank + 1) * {n_slots}) div (2 * need)").alias("slot"), "skey", "rank")
@@ -108,7 +129,7 @@ def planned(rows: DataFrame, total: int, block: int, weights: tuple[int, ...] =
     goal = goal.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
     covered = F.coalesce("exact", F.least(F.col("n_blocks") * block, F.col("source_size") * max_epochs))
     goal = goal.select("skey", "source_size", "target", "n_blocks", covered.alias("covered"))
-    return F.broadcast(goal) if n_sources <= BROADCAST_ROWS else goal, slots
+    return small(materialise(goal, "mix-goal")), slots
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -123,10 +144,8 @@ def mix_blocks(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
     Returns ``tape`` (skey, doc_id, size, source_size, target, start: the place of each document in its source) and
     ``pieces`` (skey, start, doc_id, size, slot, rank, epoch, from_word, words: what each slot takes of which document).
     """
-    n, total, n_sources = rows.agg(
-        F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("skey")
-    ).first()
-    block = max(1, total // max(SLOTS, SLOTS_PER_SOURCE * n_sources))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    block = max(1, total // SLOTS)
     goal, slots = planned(rows, total, block, weights, max_epochs)
 
     hashed = rows.withColumn("h", order_hash()).withColumn("bucket", F.pmod("h", F.lit(1 + math.isqrt(n))))
