@@ -9,10 +9,10 @@ A turn is rendered as it stands and reparsed by a deterministic parser; if the p
 text back, the conflicting content is escaped and the turn rendered again.  Escaping puts one backslash between ``<`` and
 ``|`` (after any that are there), so no control string survives in content, and the parser takes one backslash away; a
 line break in a role becomes ``<|nl|>``.  Escaping is injective and the parser inverts it, so one step reaches identity;
-a turn for which it did not would raise.  The whole conversation is parsed once more from its rendered form, and results
-are read from that.
+a turn for which it did not would raise.
 
-Turns are rendered and checked row by row, before grouping; only the concatenation needs a conversation in one row.
+A whole conversation is checked again: what the parser reads from it must be the roles and texts of its rows, or the job
+raises.  The parser takes nothing but the grammar: for any other text it gives null.
 
 Defined results: rows order by turn (null first), then role, then text; null role and text are empty; a null conv_id is a
 conversation of its own; repeated rows are repeated turns; an empty table gives no rows.  Extra columns are ignored.  The
@@ -48,53 +48,43 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n"))
 
 
-def body(segment: Column) -> Column:
-    """The content of a segment between its first line break and its first end mark."""
-    return F.substring_index(F.substr(segment, F.locate("\n", segment) + 1), END, 1)
-
-
 def parse(formatted: Column) -> Column:
-    """Array of (role, text): what the grammar reads from rendered text; a broken turn gives whatever it holds."""
-    segments = F.filter(F.split(formatted, r"<\|im_start\|>", -1), lambda x, i: i > 0)
-    return F.transform(
-        segments,
-        lambda x: F.struct(unescape_role(F.substring_index(x, "\n", 1)).alias("role"), unescape(body(x)).alias("text")),
-    )
-
-
-def rendered_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, rendered, loss_from, loss_chars: each row in the first form that survives reparsing."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    df = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    same = lambda made: parse(made) == F.array(F.struct("role", "text"))
-    plain = render(F.col("role"), F.col("text"))
-    safe = render(escape_role(F.col("role")), escape(F.col("text")))
+    """Array of (role, text): what the grammar reads from rendered text; null for text that is outside the grammar."""
+    parts = F.split(formatted, r"<\|im_start\|>", -1)
+    segments = F.slice(parts, F.lit(2), F.size(parts) - 1)
+    # a turn's segment is a line, then text with the one end mark and line break at its end
+    whole = lambda x: x.rlike(r"\A[^\n]*\n(?s:.*)<\|im_end\|>\n\z") & (F.locate(END, x) == F.char_length(x) - F.lit(len(END)))
+    text = lambda x: F.substr(x, F.locate("\n", x) + 1, F.char_length(x) - F.locate("\n", x) - F.lit(len(END) + 1))
+    turns = F.transform(segments, lambda x: F.struct(unescape_role(F.substring_index(x, "\n", 1)).alias("role"), unescape(text(x)).alias("text")))
+    return F.when((F.element_at(parts, 1) == "") & F.forall(segments, whole), turns)
+
+
+def must_escape(role: Column, text: Column) -> Column:
+    """Whether a turn as it stands is read back as something else."""
     # without "<" a text or role holds no control string and no escape, and without a line break the role is one line
-    clean = ~F.contains("text", F.lit("<")) & ~F.contains("role", F.lit("<")) & ~F.contains("role", F.lit("\n"))
-    df = df.withColumn("escaped", F.when(clean, F.lit(False)).otherwise(~same(plain)))
-    df = df.withColumn("rendered", F.when(~F.col("escaped"), plain).when(same(safe), safe).otherwise(F.raise_error(F.lit("turn cannot be escaped"))))
-    is_loss = F.col("role") == "assistant"
-    shown = F.when(F.col("escaped"), escape(F.col("text"))).otherwise(F.col("text"))
-    head = F.char_length("rendered") - F.char_length(shown) - F.lit(len(END) + 1)
-    return df.select(
-        "conv_id", "turn", "role", "text", "rendered",
-        F.when(is_loss, head).alias("loss_from"), F.when(is_loss, F.char_length(shown)).alias("loss_chars"),
-    )
+    clean = ~F.contains(text, F.lit("<")) & ~F.contains(role, F.lit("<")) & ~F.contains(role, F.lit("\n"))
+    back = parse(render(role, text))
+    return F.when(clean, F.lit(False)).otherwise(~back.eqNullSafe(F.array(F.struct(role.alias("role"), text.alias("text")))))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_mask: the rendered conversation and, for each turn, the (offset, length) within the
-    rendered turn that the loss covers, null for turns it skips."""
-    rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered", "loss_from", "loss_chars")))
-    grouped = rendered_turns(turns).groupBy("conv_id").agg(rows.alias("rows"))
-    return grouped.select(
-        "conv_id",
-        F.array_join(F.transform("rows", lambda x: x["rendered"]), "").alias("formatted"),
-        F.transform(
-            "rows",
-            lambda x: F.when(x["loss_from"].isNotNull(), F.struct(x["loss_from"].alias("start"), x["loss_chars"].alias("length"))),
-        ).alias("loss_mask"),
-    )
+    rendered turn that the loss covers, null for turns it skips.
+
+    A row decides by itself whether it is escaped; its text is gathered once, and rendered where it is put together.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    own = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), must_escape(role, text).alias("escaped"))
+    grouped = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "escaped"))).alias("rows"))
+    shown_role = lambda x: F.when(x["escaped"], escape_role(x["role"])).otherwise(x["role"])
+    shown = lambda x: F.when(x["escaped"], escape(x["text"])).otherwise(x["text"])
+    formatted = F.array_join(F.transform("rows", lambda x: render(shown_role(x), shown(x))), "")
+    start = lambda x: F.char_length(shown_role(x)) + F.lit(len(START) + 1)
+    span = lambda x: F.struct(start(x).alias("start"), F.char_length(shown(x)).alias("length"))
+    mask = F.transform("rows", lambda x: F.when(x["role"] == "assistant", span(x)))
+    made = grouped.select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"), F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"))
+    same = parse(F.col("formatted")).eqNullSafe(F.col("source"))
+    return made.select("conv_id", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back"))).alias("formatted"), "loss_mask")
 
 
 def masked_text(formatted: Column, loss_mask: Column) -> Column:
