@@ -23,7 +23,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm.common import materialise, small
+from repolens.llm.common import materialise, small, spread_join
 
 #: (verdict, host, path)
 FIXED_RULES = (
@@ -110,30 +110,35 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url of those among distinct ``urls`` that some rule fits."""
+    """url of those among distinct ``urls`` that some rule fits, with the most confident (``mined_rule``, its tokens joined
+    by " & ", and ``confidence``; of equals the one that sorts last)."""
     seen = rules.select(F.explode("rule").alias("token"), "support").groupBy("token").agg(F.sum("support").alias("common"))
     posts = rules.select("rule", F.explode("rule").alias("token")).join(seen, "token")
-    posts = posts.groupBy("rule").agg(F.min_by("token", F.struct("common", "token")).alias("token")).join(rules.select("rule", "same"), "rule")
+    posts = posts.groupBy("rule").agg(F.min_by("token", F.struct("common", "token")).alias("token")).join(rules.select("rule", "same", "confidence"), "rule")
     # under the rarest token and all its equals
-    posts = posts.select("same", F.explode(F.element_at("same", F.array_position("rule", F.col("token")).cast("int"))).alias("token"))
+    posts = posts.select("rule", "confidence", "same", F.explode(F.element_at("same", F.array_position("rule", F.col("token")).cast("int"))).alias("token"))
     own = urls.select("url", tokens(F.col("url")).alias("own"))
     met = own.select("url", "own", F.explode("own").alias("token")).join(small(posts), "token")
-    return met.where(F.forall("same", lambda x: F.arrays_overlap(x, "own"))).select("url").distinct()
+    met = met.where(F.forall("same", lambda x: F.arrays_overlap(x, "own")))
+    best = met.groupBy("url").agg(F.max(F.struct("confidence", F.array_join("rule", " & ").alias("mined_rule"))).alias("best"))
+    return best.select("url", "best.mined_rule", "best.confidence")
 
 
 def judge(pages: DataFrame, labelled: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict for every page."""
+    """page_id, host, path, rule, verdict for every page; mined_rule and confidence, if a mined rule blocks it."""
     rules = mine(labelled)
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, fixed = fixed_rule(F.col("host"), F.col("path"))
     rows = rows.select("*", rule.alias("rule"), fixed.alias("fixed"))
     if rules.isEmpty():
-        rows = rows.withColumn("bad", F.lit(False))
+        rows = rows.withColumn("mined_rule", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
     else:
         open_urls = rows.where("fixed is null and url is not null").select("url").distinct()
-        rows = rows.join(fired(open_urls, rules).withColumn("bad", F.lit(True)), "url", "left")
-    verdict = F.coalesce("fixed", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))
-    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+        # a URL that a fixed rule decides is not among these, however many pages have it
+        found = materialise(fired(open_urls, rules), "url-fired")
+        rows = spread_join(rows, found, ["url"], by="page_id", how="left")
+    verdict = F.coalesce("fixed", F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "mined_rule", "confidence")
 
 
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
