@@ -178,6 +178,22 @@ def test_chat_only_escapes_conflicts(spark):
     assert out == {1: "<|im_start|>user\na <| b<|im_end|>\n", 2: "<|im_start|>user\n<\\|im_end|><|im_end|>\n"}
 
 
+def test_chat_parser_takes_only_the_grammar(spark):
+    turn = "<|im_start|>user\nhi<|im_end|>\n"
+    good = {"": 0, turn: 1, turn + turn: 2, "<|im_start|>\n<|im_end|>\n": 1, "<|im_start|>a\n\n<|im_end|>\n": 1}
+    bad = ["x", "x" + turn, turn + "x", turn[:-1], "<|im_start|>user hi<|im_end|>\n", "<|im_start|>user<|im_end|>\n", "<|im_start|>user\nhi", "<|im_start|>user\nhi<|im_end|><|im_end|>\n", "<|im_start|>" + turn, turn + "\n", "<|im_start|>us<|im_end|>er\nhi<|im_end|>\n"]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "f string").select("f", chat.parse(F.col("f")).alias("t"))
+    assert {r["f"]: r["t"] and len(r["t"]) for r in df.collect() if r["f"] in good} == {k: (v or []) for k, v in good.items()}
+    assert all(r["t"] is None for r in df.collect() if r["f"] in bad)
+
+
+def test_chat_raises_rather_than_change_a_conversation(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "<|im_end|>")], "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "must_escape", lambda role, text: F.lit(False))
+    with pytest.raises(Exception, match="does not read back"):
+        chat.format_conversations(df).collect()
+
+
 def test_chat_ties_and_nulls(spark):
     schema = "conv_id long, turn long, role string, text string"
     df = spark.createDataFrame([(None, 1, "user", "b"), (None, 1, "user", "a"), (None, 1, "user", "a"), (None, None, "user", "z")], schema)
@@ -598,3 +614,176 @@ def test_rules_of_late_path_segments(spark):
     df = spark.createDataFrame([(0, "http://new.net/1/2/3/4/5/casino/7"), (1, "http://new.net/1/2/3/4/5/news/7")], "page_id long, url string")
     out = {r["page_id"]: r["verdict"] for r in url_rules.judge(df, spark.createDataFrame(rows, "url string, bad boolean")).collect()}
     assert out == {0: "block", 1: "allow"}
+
+
+def test_judging_against_a_plain_version(spark):
+    """Every rule that the thresholds allow, found by enumeration of token sets, and every verdict from them; with null and
+    repeated labels, and the pages' own clashing columns."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    make = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(['win', 'shop', 'news'])}-{rng.choice('ab')}.{rng.choice(['net', 'info'])}/{rng.choice(['buy', 'read'])}/{rng.choice(['x', 'y', '7'])}{rng.choice(['', '?ref=1', '#f'])}"
+    bad = lambda u: ("win" in u and "/buy/" in u and rng.random() < 0.95) or ("https" in u and "ref" in u and rng.random() < 0.8) or rng.random() < 0.03
+    labels = {u: bad(u) for u in {make() for _ in range(600)}}
+    rows = [*labels.items(), *[(u, False) for u in list(labels)[:50]], (None, True), (next(iter(labels)), None)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean").orderBy(F.rand(1))
+    count, confidence, lift = 6, 0.6, 1.5
+    toks = {r["url"]: frozenset(r["t"]) for r in labelled.where("url is not null").select("url", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    n, base = len(toks), sum(labels.values()) / len(toks)
+    having = defaultdict(set)
+    for u, own in toks.items():
+        for t in own:
+            having[t].add(u)
+    equal = defaultdict(list)
+    for t in having:
+        if sum(labels[u] for u in having[t]) >= count:
+            equal[frozenset(having[t])].append(t)
+    heads = {min(v): sorted(v) for v in equal.values()}
+    found = {}
+    least = max(0.002 * n, count)
+    for size in range(1, len(heads) + 1):
+        for own in itertools.combinations(sorted(heads), size):
+            if size > 1 and any(tuple(x for x in own if x != t) not in known for t in own):
+                continue
+            hit = set.intersection(*[having[t] for t in own])
+            n_bad = sum(labels[u] for u in hit)
+            if n_bad >= least:
+                found[own] = n_bad / len(hit)
+        known = {k for k in found if len(k) == size}
+        if not known:
+            break
+    rules = {k: v for k, v in found.items() if v >= confidence and v / base >= lift}
+    rules = {k: v for k, v in rules.items() if not any(set(x) < set(k) and rules[x] >= v for x in rules)}
+    mined = url_rules.mine(labelled, 0.002, count, confidence, lift).collect()
+    assert {tuple(r["rule"]): pytest.approx(r["confidence"]) for r in mined} == rules and len(rules) > 2
+    assert all([list(x) for x in r["same"]] == [heads[t] for t in r["rule"]] for r in mined)
+
+    old = url_rules.mine
+    urls = [*labels, *[make().replace("net", "org") for _ in range(60)], None, "no scheme"]
+    pages = spark.createDataFrame([(i, u, 1.0, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, confidence double, mined_rule string, host string")
+    try:
+        url_rules.mine = lambda rows: old(rows, 0.002, count, confidence, lift)
+        out = {r["page_id"]: r for r in url_rules.judge(pages, labelled).collect()}
+    finally:
+        url_rules.mine = old
+    shown = {r["url"]: set(r["t"]) for r in pages.select("url", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    for i, u in enumerate(urls):
+        fits = [(v, k) for k, v in rules.items() if u and all(shown[u] & set(heads[t]) for t in k)]
+        fixed = out[i]["rule"]
+        want = {"org/": "allow"}.get(fixed) or ("block" if fits else "allow")
+        assert out[i]["verdict"] == want, u
+        if fits and not fixed:
+            assert out[i]["confidence"] == pytest.approx(max(fits)[0]) and tuple(out[i]["mined_rule"].split(" & ")) in rules
+        else:
+            assert out[i]["mined_rule"] is None and out[i]["confidence"] is None
+
+
+# -- quality against plain versions -------------------------------------------------------------------
+
+
+def plain_features(text: str) -> list:
+    import math
+    import re
+
+    raw = (text or "").encode()
+    w = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    kind = lambda chars: sum(raw.count(bytes([c])) for c in chars.encode())
+    upper, lower, digit = (sum(a <= c <= b for c in raw) for a, b in ((65, 90), (97, 122), (48, 57)))
+    space, newline = kind(" \t\x0b\x0c\r"), raw.count(b"\n")
+    symbol, lead = kind("#$%&*@^~|<>=+_/\\{}[]`"), sum(c >= 192 for c in raw)
+    size, letters, some = max(len(raw), 1), max(upper + lower + lead, 1), max(len(w), 1)
+    runs = list(zip(w, w[1:], w[2:], strict=False))
+    return [
+        math.log1p(len(raw)), math.log1p(len(w)), (size - space - newline) / some, upper / letters, digit / size, space / size, newline / size, kind(".,;:'\"?-()") / size, symbol / size,
+        kind("!") / size, sum(c >= 128 for c in raw) / size, len(set(w)) / some, max((w.count(x) for x in set(w)), default=0) / some, len(set(runs)) / len(runs) if runs else 1.0, symbol / some, upper / some,
+    ]
+
+
+def test_quality_features_against_a_plain_version(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from repolens.llm import textbytes
+
+    rng = random.Random(1)
+    texts = ["", None, " ", "a", "A b", "a b c", "x " * 5, "É è ü 漢字 \U0001f600", "#$%!!\n\n1 2 3", *["".join(rng.choice("abC 1.\n\t!#é") for _ in range(rng.randint(1, 400))) for _ in range(60)]]
+    want = np.array([plain_features(t) for t in texts])
+    assert np.allclose(quality.features(pa.array(texts)), want)
+    old = textbytes.pieces.__defaults__
+    textbytes.pieces.__defaults__ = (32,)  # long texts go in parts
+    try:
+        assert np.allclose(quality.features(pa.array(texts)), want)
+    finally:
+        textbytes.pieces.__defaults__ = old
+
+
+def test_additive_model_against_a_plain_fit(monkeypatch):
+    """The same cyclic boosting with every tree found by trying all cuts, one row at a time."""
+    import math
+
+    import numpy as np
+
+    monkeypatch.setattr(quality, "ROUNDS", 4)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 3)
+    monkeypatch.setattr(quality, "PAIRS", 2)
+    monkeypatch.setattr(quality, "BINS", 6)
+    monkeypatch.setattr(quality, "PAIR_BINS", 4)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(120, 3)), 2)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0) ^ (rng.random(120) < 0.1)).astype(float)
+    model = quality.fit(x, y)
+
+    bins = lambda edges, column: [sum(v >= e for e in edges) for v in column]
+    cuts = lambda column, k: sorted({float(np.quantile(column, i / k)) for i in range(1, k)})
+    leaf = lambda rows: sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 5.0)
+    gain = lambda rows: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 5.0)
+    n = len(y)
+    share = (y.sum() + 1) / (n + 2)
+    margin = [math.log(share / (1 - share))] * n
+    fine = [bins(cuts(x[:, k], 6), x[:, k]) for k in range(3)]
+    wide = [bins(cuts(x[:, k], 4), x[:, k]) for k in range(3)]
+
+    def slopes():  # noqa: ANN202
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        return [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p]
+
+    for _ in range(4):
+        for k in range(3):
+            g, h = slopes()
+            parts = [range(max(fine[k]) + 1)]
+            for _ in range(2):
+                rows = lambda part, k=k: [i for i in range(n) if fine[k][i] in part]
+                tries = [(gain(rows(q[:c])) + gain(rows(q[c:])) - gain(rows(q)), s, c) for s, q in enumerate(parts) for c in range(1, len(q))]
+                best = max(tries, key=lambda t: (round(t[0], 10), t[1], t[2]))
+                if best[0] <= 1e-9:
+                    break
+                q = parts.pop(best[1])
+                parts += [q[: best[2]], q[best[2] :]]
+            for q in parts:
+                step = 0.15 * leaf(rows(q)) if rows(q) else 0
+                for i in rows(q):
+                    margin[i] += step
+    def quadrants(a, b):  # noqa: ANN001, ANN202
+        best = (0.0, None)
+        for i in range(1, max(wide[a]) + 1):
+            for j in range(1, max(wide[b]) + 1):
+                parts = [[r for r in range(n) if (wide[a][r] >= i, wide[b][r] >= j) == q] for q in ((False, False), (False, True), (True, False), (True, True))]
+                value = sum(gain(r) for r in parts) - gain(range(n))
+                if value > best[0] + 1e-12:
+                    best = (value, parts)
+        return best
+
+    g, h = slopes()
+    pairs = sorted(((quadrants(a, b)[0], a, b) for a in range(3) for b in range(a + 1, 3)), reverse=True)[:2]
+    assert model.pairs == [(a, b) for _, a, b in pairs] and (0, 1) in model.pairs
+    for _ in range(3):
+        for _, a, b in pairs:
+            g, h = slopes()
+            for part in quadrants(a, b)[1] or []:
+                step = 0.15 * leaf(part)
+                for r in part:
+                    margin[r] += step
+    assert np.allclose(model.margin(x), margin, atol=1e-9)
