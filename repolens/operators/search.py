@@ -44,8 +44,9 @@ def bm25(index: DataFrame, lengths: DataFrame, terms: list[str], k1: float = K1,
     return rows.groupBy("doc").agg(F.sum(part).alias("score"))
 
 
-def fulltext(tables: dict[str, DataFrame], query: str, limit: int = 20) -> DataFrame:
-    """labels, name, path, line_number, score of symbols whose name matches any word of the query.
+def fulltext(tables: dict[str, DataFrame], query: str, limit: int | None = 20) -> DataFrame:
+    """labels, name, path, line_number, score of symbols whose name matches any word of the query, best first; without a
+    limit all of them, in no order.
 
     A query without a word falls back to names that contain it, with a null score.
     """
@@ -55,14 +56,18 @@ def fulltext(tables: dict[str, DataFrame], query: str, limit: int = 20) -> DataF
         return contains_search(found, query, limit)
     keyed = found.withColumn("doc", F.struct("label", "name", "path", "line_number"))
     scores = bm25(*postings(keyed.dropDuplicates(["doc"])), words)
-    out = keyed.dropDuplicates(["doc"]).join(scores, "doc").orderBy(F.col("score").desc(), "label", "name", "path", "line_number")
-    return out.limit(limit).select("labels", "name", "path", "line_number", "score")
+    out = keyed.dropDuplicates(["doc"]).join(scores, "doc")
+    if limit is not None:
+        out = out.orderBy(F.col("score").desc(), "label", "name", "path", "line_number").limit(limit)
+    return out.select("labels", "name", "path", "line_number", "score")
 
 
-def contains_search(found: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def contains_search(found: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
     """Symbols whose name contains the text, case-sensitive, without a score."""
     out = found.where(F.contains("name", F.lit(query))).withColumn("score", F.lit(None).cast("double"))
-    return out.orderBy("label", "name", "path", "line_number").limit(limit).select("labels", "name", "path", "line_number", "score")
+    if limit is not None:
+        out = out.orderBy("label", "name", "path", "line_number").limit(limit)
+    return out.select("labels", "name", "path", "line_number", "score")
 
 
 def vector_topk(docs: DataFrame, query: list[float] | Column, limit: int, embedding: str = "embedding", order: tuple[str, ...] = ()) -> DataFrame:
@@ -72,13 +77,16 @@ def vector_topk(docs: DataFrame, query: list[float] | Column, limit: int, embedd
     return scored.orderBy(F.col("score").desc(), *order).limit(limit)
 
 
+#: The tables whose rows may have vectors, and their labels.
+VECTOR_TABLES = {"functions": "Function", "classes": "Class", "variables": "Variable", "files": "File", "directories": "Directory"}
+
+
 def vector_search(tables: dict[str, DataFrame], query: list[float], limit: int = 10) -> DataFrame:
     """kind, name, path, line_number, description, score over all labels that have vectors: the best of each, then of all."""
-    labels = {"functions": "Function", "classes": "Class", "files": "File", "directories": "Directory"}
     parts = []
     if not query:
         return tables["functions"].sparkSession.createDataFrame([], "kind string, name string, path string, line_number int, description string, score double")
-    for t, label in labels.items():
+    for t, label in VECTOR_TABLES.items():
         df = tables[t]
         line = F.col("line_number") if "line_number" in df.columns else F.lit(None).cast("int")
         repo = F.col("repo_path") if "repo_path" in df.columns else F.lit(None).cast("string")

@@ -1,7 +1,8 @@
 """Graph pattern queries: a reading subset of Cypher, planned as DataFrame joins.
 
-Clauses: MATCH, OPTIONAL MATCH, WHERE, WITH, UNWIND, RETURN [DISTINCT], ORDER BY, SKIP, LIMIT, UNION [ALL], and CALL of the full-text
-procedure ``db.index.fulltext.queryNodes``.  Patterns: labels, property maps, directed or undirected edges with types,
+Clauses: MATCH, OPTIONAL MATCH, WHERE, WITH, UNWIND, RETURN [DISTINCT], ORDER BY, SKIP, LIMIT, UNION [ALL], subqueries CALL { ... } that
+come first, and CALL of the procedures ``db.index.fulltext.queryNodes`` and ``db.index.vector.queryNodes``.  Patterns that share no
+variable, meet in no equality and fix no property are refused, since every pair of their rows would be a result.  Patterns: labels, property maps, directed or undirected edges with types,
 variable lengths with or without an upper bound, path variables.  Each variable is a column: a node or edge is a struct, a path an array of nodes.  A query's
 edges differ from one another within one MATCH, as do the edges of one path.
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from repolens.operators.graph import all_edges, all_nodes, node_id
-from repolens.operators.search import fulltext
+from repolens.operators.search import VECTOR_TABLES, fulltext, vector_topk
 from repolens.operators.traverse import checkpointed
 from repolens.sources.schema import LABELS
 
@@ -34,6 +35,12 @@ _LEX = re.compile(
 _WRITES = {"CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "LOAD", "FOREACH"}
 _CLAUSES = {"MATCH", "OPTIONAL", "WHERE", "WITH", "UNWIND", "RETURN", "ORDER", "SKIP", "LIMIT", "UNION", "CALL", "YIELD"}
 _AGGREGATES = {"count", "collect", "sum", "avg", "min", "max"}
+#: The names of the vector indexes (fixed values).
+_VECTOR_INDEXES = {
+    "function_embeddings": "functions", "class_embeddings": "classes", "variable_embeddings": "variables", "file_embeddings": "files",
+    "directory_embeddings": "directories",
+}
+_PRODUCT = re.compile("CartesianProduct|BroadcastNestedLoopJoin")
 _TABLE_OF = {label: table for table, label in LABELS.items()}
 
 
@@ -108,10 +115,15 @@ class Query:
                 self.tokens.append((m.lastgroup, m[0].strip("`") if m.lastgroup == "name" else m[0]))
             at = m.end()
         self.i, self.fresh = 0, 0
-        depth = 0
+        #: subqueries around what is parsed, and whether patterns were joined that share no variable
+        self.depth, self.unconnected = 0, False
+        open_: list[bool] = []  # for each bracket whether it holds an expression or a pattern, not a subquery
         for k, (kind, t) in enumerate(self.tokens):
-            depth += (t in "([{") - (t in ")]}") if kind == "punct" else 0
-            if kind == "name" and t.upper() in _WRITES and not depth and self.tokens[k - 1][1] not in (".", ":"):
+            if kind == "punct" and t in "([{":
+                open_.append(t != "{" or k == 0 or self.tokens[k - 1][1].upper() != "CALL")
+            elif kind == "punct" and t in ")]}" and open_:
+                open_.pop()
+            if kind == "name" and t.upper() in _WRITES and not any(open_) and self.tokens[k - 1][1] not in (".", ":"):
                 raise PermissionError(f"only reading is allowed, not {t.upper()}")
 
     # -- tokens --------------------------------------------------------------------------------------
@@ -475,6 +487,7 @@ class Query:
         """``df`` with the node's variable, and its labels and properties checked."""
         if df is None or node.name not in df.columns:
             found = self.scan(node.labels).withColumnRenamed("n", node.name)
+            self.unconnected |= df is not None and not node.props
             df = found if df is None else df.crossJoin(found)
         elif node.labels:
             df = df.where(reduce(lambda a, b: a & b, [F.array_contains(F.col(f"`{node.name}`")["labels"], F.lit(x)) for x in node.labels]))
@@ -542,8 +555,9 @@ class Query:
             at = F.element_at(F.col("` trail`"), -1)
             state = state.join(hop, (at["_id"] == F.col("` si`")) & (at["_label"] == F.col("` sl`"))).where(~F.array_contains(F.col("` edges`"), F.col("` key`")))
             state = state.select(*[f"`{c}`" for c in own], F.array_append(F.col("` trail`"), F.col("` end`")).alias(" trail"), F.array_append(F.col("` edges`"), F.col("` key`")).alias(" edges"))
+            if high is None or k % 2 == 0:
+                state = checkpointed(state)  # longer lengths go on from it
             if high is None:
-                state = checkpointed(state)
                 if state.isEmpty():
                     found = found or [state]
                     break
@@ -630,13 +644,29 @@ class Query:
         return _shown(out) if returning else out
 
     def plan(self) -> DataFrame:
+        out = self.union()
+        if self.i < len(self.tokens):
+            raise CypherError(f"unexpected {self.tokens[self.i][1]}")
+        if self.unconnected and _PRODUCT.search(out._jdf.queryExecution().executedPlan().toString()):
+            raise CypherError("patterns share a variable or meet in an equality")
+        return out
+
+    def union(self) -> DataFrame:
         out = self.single()
         while self.take("UNION"):
             keep = self.take("ALL")
             out = out.unionByName(self.single())
             out = out if keep else out.distinct()
-        if self.i < len(self.tokens):
-            raise CypherError(f"unexpected {self.tokens[self.i][1]}")
+        return out
+
+    def subquery(self, df: DataFrame | None) -> DataFrame:
+        """The rows of CALL { ... }, whose columns are variables of the rest."""
+        if df is not None:
+            raise CypherError("a subquery comes first")
+        self.depth += 1
+        out = self.union()
+        self.depth -= 1
+        self.need("}")
         return out
 
     def single(self) -> DataFrame:
@@ -660,9 +690,9 @@ class Query:
                 base = self.spark.range(1).select(F.lit(1).alias(" one")) if df is None else df
                 df = base.withColumn(self.name(), F.explode(e.make(Scope(base))))
             elif word == "CALL":
-                df = self.procedure(df)
+                df = self.subquery(df) if self.take("{") else self.procedure(df)
             elif word == "RETURN":
-                return self.project(df, True)
+                return self.project(df, self.depth == 0)
             else:
                 raise CypherError(f"unexpected {word or self.tokens[self.i - 1][1]}")
         raise CypherError("a query ends with RETURN")
@@ -698,11 +728,16 @@ class Query:
             if not self.take(","):
                 break
         self.need(")")
-        if name != "db.index.fulltext.queryNodes" or df is not None or len(args) < 2:
+        if df is not None:
+            raise CypherError("a procedure comes first")
+        values = [self.spark.range(1).select(a.alias("v")).first()["v"] for a in args]
+        if name == "db.index.fulltext.queryNodes" and len(values) == 2:
+            hits = fulltext(self.tables, values[1], None)
+            rows = hits.select(F.struct("labels", F.concat_ws("#", "path", "name", F.col("line_number").cast("string")).alias("_id"), F.col("labels")[0].alias("_label"), "name", "path", "line_number").alias("node"), "score")
+        elif name == "db.index.vector.queryNodes" and len(values) == 3 and values[0] in _VECTOR_INDEXES:
+            rows = self.nearest(_VECTOR_INDEXES[values[0]], int(values[1]), list(values[2] or []))
+        else:
             raise CypherError(f"unknown procedure: {name}")
-        text = self.spark.range(1).select(args[1].alias("q")).first()["q"]
-        hits = fulltext(self.tables, text, 1000)
-        rows = hits.select(F.struct("labels", F.concat_ws("#", "path", "name", F.col("line_number").cast("string")).alias("_id"), F.col("labels")[0].alias("_label"), "name", "path", "line_number").alias("node"), "score")
         names = {"node": "node", "score": "score"}
         if self.take("YIELD"):
             names = {}
@@ -714,6 +749,17 @@ class Query:
         return rows.select(*[F.col(k).alias(v) for k, v in names.items()])
 
 
+    def nearest(self, table: str, limit: int, vector: list[float]) -> DataFrame:
+        """node, score: the ``limit`` nodes of a table that are nearest to a vector."""
+        label, df = VECTOR_TABLES[table], self.tables[table]
+        if not vector or "embedding" not in df.columns:
+            df, vector = df.withColumn("embedding", F.lit(None).cast("array<float>")), vector or [0.0]
+        hits = vector_topk(df, vector, limit, order=("path", "name"))
+        has = lambda c, t: (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c)
+        props = [has(c, t) for c, t in (("name", "string"), ("path", "string"), ("line_number", "long"), ("description", "string"), ("repo_path", "string"))]
+        return hits.select(F.struct(F.array(F.lit(label)).alias("labels"), node_id(label, df.columns).alias("_id"), F.lit(label).alias("_label"), *props).alias("node"), "score")
+
+
 class _Element(Scope):
     """A scope with the variable of a comprehension."""
 

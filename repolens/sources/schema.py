@@ -27,7 +27,7 @@ NODES = {
     "functions": f"{_SYMBOL}, args array<string>, source string, docstring string, cyclomatic_complexity int, context string, class_context string, is_async boolean, kind string, decorators array<string>, lang string, repo_path string, {_TEXT}",
     "parameters": "name string, function_name string, path string, line_number int, repo_path string",
     "classes": f"{_SYMBOL}, bases array<string>, implements array<string>, source string, docstring string, is_abstract boolean, is_interface boolean, lang string, repo_path string, {_TEXT}",
-    "variables": "id string, name string, path string, line_number int, value string, type string, context string, class_context string, lang string, repo_path string",
+    "variables": f"id string, name string, path string, line_number int, value string, type string, context string, class_context string, lang string, repo_path string, {_TEXT}",
     "modules": "name string",
 }
 #: Edge tables by type.

@@ -53,6 +53,10 @@ CASES = [
     ("CALL db.index.fulltext.queryNodes('code_search', 'a') YIELD node, score RETURN node.name AS n", [("a",)]),
     ("MATCH (f:Function) WHERE f.`name` = 'a' // a comment\nRETURN f.name AS n", [("a",)]),
     ("MATCH (f:Nothing) RETURN f.name", []),
+    ("CALL { MATCH (f:Function {name: 'a'}) RETURN f UNION MATCH (f:Function {name: 'b'}) RETURN f } RETURN f.name AS n, labels(f)[0] AS l ORDER BY n", [("a", "Function"), ("b", "Function")]),
+    ("CALL { RETURN 1 AS x UNION ALL RETURN 1 AS x UNION ALL RETURN 2 AS x } RETURN x, count(*) AS n ORDER BY x", [(1, 2), (2, 1)]),
+    ("MATCH (f:Function), (g:Function) WHERE f.line_number = g.line_number AND f.path = g.path AND f.name = 'a' RETURN g.name", [("a",)]),
+    ("CALL db.index.vector.queryNodes('variable_embeddings', 3, [1.0, 0.0]) YIELD node, score RETURN node.name AS n", []),
 ]
 
 
@@ -66,13 +70,13 @@ def test_whole_nodes(spark, tables):
     assert row["labels"] == ["Function"] and row["line_number"] == 1 and "_id" not in row
 
 
-@pytest.mark.parametrize("text", ["MATCH (f) DETACH DELETE f", "CREATE (f:Function)", "MERGE (f:Function {name: 'x'})", "MATCH (f:Function) SET f.x = 1", "match (f) remove f.x", "MATCH (f) DELETE f RETURN 1"])
+@pytest.mark.parametrize("text", ["CALL { MATCH (f:Function) DELETE f RETURN 1 AS x } RETURN x", "MATCH (f) DETACH DELETE f", "CREATE (f:Function)", "MERGE (f:Function {name: 'x'})", "MATCH (f:Function) SET f.x = 1", "match (f) remove f.x", "MATCH (f) DELETE f RETURN 1"])
 def test_writes_are_refused(spark, tables, text):
     with pytest.raises(PermissionError):
         run(spark, tables, text)
 
 
-@pytest.mark.parametrize("text", ["", "MATCH (f:Function)", "MATCH (f:Function) RETURN x", "MATCH (f:Function) RETURN nosuch(f)", "MATCH (f:Function) WHERE f.name = $missing RETURN f", "MATCH (f RETURN f", "MATCH (f:Function)-[:CALLS*1..99]->(g) RETURN g", "RETURN 1 2", "MATCH (f:Function) WHERE NOT ()-[:CALLS]->(f) OR f.name = 'a' RETURN f"])
+@pytest.mark.parametrize("text", ["MATCH (f:Function), (g:Function) RETURN count(*) AS n", "MATCH (f:Function), (g:Function) WHERE f.line_number < g.line_number RETURN f.name", "CALL { RETURN 1 AS x", "CALL db.index.vector.queryNodes('no_such_index', 3, [1.0]) YIELD node RETURN node", "", "MATCH (f:Function)", "MATCH (f:Function) RETURN x", "MATCH (f:Function) RETURN nosuch(f)", "MATCH (f:Function) WHERE f.name = $missing RETURN f", "MATCH (f RETURN f", "MATCH (f:Function)-[:CALLS*1..99]->(g) RETURN g", "RETURN 1 2", "MATCH (f:Function) WHERE NOT ()-[:CALLS]->(f) OR f.name = 'a' RETURN f"])
 def test_errors(spark, tables, text):
     with pytest.raises(CypherError):
         run(spark, tables, text)
@@ -89,3 +93,36 @@ def test_unbounded_paths_are_whole(spark, tables):
         assert sorted(tuple(r) for r in out) == [(n, f"f{n}") for n in lengths]
     with pytest.raises(CypherError):
         run(spark, t, "MATCH (s:Function {name: 'f0'})-[:CALLS*..16]->(e:Function) RETURN e.name AS e")
+
+
+def test_full_text_procedure_has_no_hidden_limit(spark, tables):
+    """1,500 hits, of which WHERE keeps those that a limit of 1,000 could lose."""
+    rows = [{"id": str(i), "name": f"load item {i}", "path": f"/p{i % 3}", "line_number": i} for i in range(1500)]
+    t = tables | {"functions": spark.createDataFrame([tuple(r.get(x.split()[0]) for x in TABLES["functions"].split(", ")) for r in rows], TABLES["functions"])}
+    text = "CALL db.index.fulltext.queryNodes('code_search', 'load') YIELD node, score WITH node, score WHERE node.line_number % 2 = 0 RETURN count(*) AS n"
+    assert run(spark, t, text).first()["n"] == 750
+    assert run(spark, t, "CALL db.index.fulltext.queryNodes('code_search', 'load') YIELD node RETURN node.name AS n").count() == 1500
+
+
+def test_vector_search_over_all_labels(spark, tables):
+    """The union of the five indexes in one query, as the facade's own search gives it."""
+    from repolens.operators.search import vector_search
+
+    def make(name, rows):  # noqa: ANN001, ANN202
+        return spark.createDataFrame([tuple(r.get(x.split()[0]) for x in TABLES[name].split(", ")) for r in rows], TABLES[name])
+
+    own = {
+        "functions": [{"id": str(i), "name": f"f{i}", "path": "/a", "line_number": i, "embedding": [1.0, i / 10]} for i in range(5)],
+        "classes": [{"id": "c", "name": "C", "path": "/a", "line_number": 1, "is_interface": False, "embedding": [1.0, -0.05]}],
+        "variables": [{"id": "v", "name": "v", "path": "/b", "line_number": 2, "embedding": [1.0, 0.01], "description": "a value"}],
+        "files": [{"path": "/x/y.js", "name": "", "embedding": [0.0, 1.0]}], "directories": [{"path": "/x", "name": "x", "embedding": [1.0, 0.3]}],
+    }
+    t = tables | {k: make(k, v) for k, v in own.items()}
+    names = ("function", "class", "variable", "file", "directory")
+    text = "CALL { " + " UNION ".join(f"CALL db.index.vector.queryNodes('{n}_embeddings', $limit, $v) YIELD node, score RETURN node, score" for n in names)
+    text += " } RETURN node.name AS name, labels(node) AS labels, node.path AS path, score ORDER BY score DESC LIMIT 4"
+    made = [(r["name"], r["labels"], r["path"], r["score"]) for r in run(spark, t, text, {"limit": 3, "v": [1.0, 0.0]}).collect()]
+    found = vector_search(t, [1.0, 0.0], 4).collect()
+    assert [(m[0], m[1][0].lower(), m[2]) for m in made] == [(r["name"], r["kind"], r["path"]) for r in found]
+    assert [m[0] for m in made] == ["f0", "v", "C", "f1"] and made[0][3] == pytest.approx(1.0)
+    assert vector_search(t, [0.0, 1.0], 1).first()["name"] == "y.js"
