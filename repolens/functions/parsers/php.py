@@ -155,7 +155,11 @@ class _File:
             return
         last, first = s.close(k), self.start(i)
         name = s.text(i + 1)
-        self.scopes.append(Scope("class", name, first, last, s.line(first)))
+        # members of interfaces, traits and enums have no class around them
+        self.scopes.append(Scope("class" if word == "class" else "type", name, first, last, s.line(first)))
+        if word == "enum":
+            self.members(k, last)
+            return
         abstract = any(self.word(j) == "abstract" for j in range(first, i))
         self.out["classes"].append(
             class_record(
@@ -210,9 +214,10 @@ class _File:
         first = self.start(i)
         has_body = s.is_punct(k, "{")
         last = s.close(k) if has_body else min(k, len(s) - 1)
-        around = enclosing(sorted(self.scopes, key=lambda x: x.first), i, ("class",))
+        scopes = sorted(self.scopes, key=lambda x: x.first)
+        around = enclosing(scopes, i, ("class",))
         static = any(self.word(j) == "static" for j in range(first, i))
-        is_method = around is not None
+        is_method = enclosing(scopes, i, ("class", "type")) is not None
         kind = ("constructor" if s.text(name) == "__construct" else "static" if static else None) if is_method else None
         self.scopes.append(Scope("method" if is_method else "function", s.text(name), first, last, s.line(first)))
         record = function_record(
@@ -224,7 +229,7 @@ class _File:
 
     def use(self, i: int) -> None:
         s = self.s
-        if enclosing(sorted(self.scopes, key=lambda x: x.first), i, ("class",)):
+        if enclosing(sorted(self.scopes, key=lambda x: x.first), i, ("class", "type")):
             return  # a trait
         k, end = i + 1, i + 1
         while end < len(s) and not s.is_punct(end, ";"):

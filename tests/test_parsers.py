@@ -5,7 +5,7 @@ import pytest
 from repolens.functions.parsers import language_of, parse
 
 
-def js(source: str, path: str = "/test.js", **more: bool) -> dict:
+def js(source: str, path: str = "/warehouse.js", **more: bool) -> dict:
     return parse(path, source, **more)
 
 
@@ -15,119 +15,125 @@ def one(rows: list[dict], **key: object) -> dict:
     return found[0]
 
 
-def test_function_declaration():
-    f = one(js('function greet(name) { return "hello " + name; }')["functions"], name="greet")
-    assert (f["args"], f["line_number"], f["end_line"], f["cyclomatic_complexity"], f["is_async"]) == (["name"], 1, 1, 1, False)
+def test_a_declared_function_on_several_lines():
+    f = one(js("// stock keeping\n\nfunction countPallets(aisle,\n    floor) {\n  return aisle.length * floor;\n}\n")["functions"])
+    assert (f["name"], f["args"], f["line_number"], f["end_line"]) == ("countPallets", ["aisle", "floor"], 3, 6)
+    assert (f["cyclomatic_complexity"], f["is_async"], f["kind"], f["docstring"]) == (1, False, None, None)
 
 
-def test_arrow_in_declarator():
-    f = one(js("\n/** adds */\nconst add = (a, b = 2, ...c) => a + b;\nconst next = 1")["functions"])
-    assert (f["name"], f["args"], f["line_number"], f["source"], f["docstring"]) == ("add", ["a", "b", "...c"], 3, "const add = (a, b = 2, ...c) => a + b;", "/** adds */")
+def test_an_arrow_has_the_text_and_comment_of_its_statement():
+    f = one(js("let first = 0;\n/** litres to gallons */\nconst gallons = (litres, factor = 0.264, ...rest) =>\n  litres * factor;\nlet last = 9")["functions"])
+    assert (f["name"], f["args"], f["line_number"], f["end_line"]) == ("gallons", ["litres", "factor", "...rest"], 3, 4)
+    assert f["source"] == "const gallons = (litres, factor = 0.264, ...rest) =>\n  litres * factor;" and f["docstring"] == "/** litres to gallons */"
 
 
-def test_async():
-    assert js("async function fetchData(url) { return await fetch(url); }")["functions"][0]["is_async"]
-    assert js("const f = async (x) => { await x }")["functions"][0]["is_async"]
+@pytest.mark.parametrize("source", ["async function unload() {}", "const unload = async () => 0", "const unload = async function () {}", "class Truck { async unload() {} }"])
+def test_async_of_every_form(source: str):
+    assert one(js(source)["functions"], name="unload")["is_async"]
 
 
-def test_methods():
-    made = js("class Foo {\n constructor(x) { this.x = x; }\n bar() { return this.x; }\n get value() { return 1; }\n static create() { return new Foo(1); }\n get() { return 2; }\n}")
-    kinds = {f["name"]: f["kind"] for f in made["functions"]}
-    assert kinds == {"constructor": "constructor", "bar": None, "value": "getter", "create": "static", "get": None}
-    assert {(f["class_context"], f["context"]) for f in made["functions"]} == {("Foo", None)}
+def test_members_by_kind():
+    made = js("class Crane {\n  constructor(reach) {}\n  lift(load) {}\n  get load() { return 0 }\n  set load(kg) {}\n  static build() {}\n  set() {}\n  static() {}\n}")
+    assert [(f["name"], f["kind"]) for f in made["functions"]] == [
+        ("constructor", "constructor"), ("lift", None), ("load", "getter"), ("load", "setter"), ("build", "static"), ("set", None), ("static", None),
+    ]
+    assert all(f["class_context"] == "Crane" and f["context"] is None for f in made["functions"])
 
 
 @pytest.mark.parametrize(
-    ("body", "expected"),
+    ("body", "branches"),
     [
-        ("if (x) {}", 2), ("if (x) {} else {}", 3), ("if (x) {} else if (y) {}", 4), ("for (;;) { while (1) {} }", 3), ("do { i++ } while (i < 3)", 2),
-        ("switch (x) { case 1: break; case 2: break; default: }", 3), ("try {} catch (e) {}", 2), ("return a ? b : c", 2), ("return a && b || c ?? d", 4),
-        ("return a?.b", 1), ("return 'if (x) {}' + `while`", 1), ("// if (x)\n/* for */", 1), ("return /if(a|b)/.test(x)", 1), ("p.catch(f)", 1),
+        ("return 0", 0), ("if (full) stop()", 1), ("if (full) stop(); else go()", 2), ("if (a) {} else if (b) {} else {}", 4), ("for (const box of boxes) for (let k in box) {}", 2),
+        ("while (more) { do { next() } while (busy) }", 2), ("switch (day) { case 'mon': case 'tue': rest(); default: work() }", 2), ("try { sail() } catch { swim() } finally { dry() }", 1),
+        ("return wet ? dry : wet ? 1 : 2", 2), ("return a || b && c", 2), ("x ??= a ?? b", 1), ("port?.berth?.[0]", 0), ("const s = `if ${k ? 1 : 2} while`", 1),
+        ("/* for if while */ // ? :", 0), ("return /if|while(?:x)&&/.test(name)", 0), ("ship.catch(net).if(x)", 0),
     ],
 )
-def test_complexity(body: str, expected: int):
-    assert js(f"function f(x) {{ {body} }}")["functions"][0]["cyclomatic_complexity"] == expected
+def test_each_branch_counts(body: str, branches: int):
+    assert one(js(f"function voyage() {{ {body} }}")["functions"])["cyclomatic_complexity"] == 1 + branches
 
 
-def test_reference_style_nesting():
-    source = "function complex(x) {\n if (x > 0) {\n for (let i = 0; i < x; i++) {\n if (i % 2 === 0) { console.log(i); }\n }\n } else {\n while (x < 0) { x++; }\n }\n}"
-    assert js(source)["functions"][0]["cyclomatic_complexity"] == 6
+def test_branches_of_inner_functions_count_for_the_outer_one():
+    made = js("function harbour(n) {\n  const tide = () => n ? 1 : 2;\n  for (;;) { if (tide()) break; else continue }\n}")
+    assert {f["name"]: f["cyclomatic_complexity"] for f in made["functions"]} == {"harbour": 5, "tide": 2}
+    assert one(made["functions"], name="tide")["context"] == "harbour"
 
 
-def test_classes():
-    made = js("class Animal { }\nclass Dog extends Animal { }\nconst MyClass = class { method() {} };")
-    assert [(c["name"], c["bases"]) for c in made["classes"]] == [("Animal", []), ("Dog", ["Animal"]), ("MyClass", [])]
-    assert one(made["functions"], name="method")["class_context"] == "MyClass"
+def test_class_forms_and_bases():
+    made = js("class Vessel {}\nclass Ferry extends Vessel { dock() {} }\nconst Tug = class extends Vessel { tow() {} };")
+    assert [(c["name"], c["bases"], c["line_number"]) for c in made["classes"]] == [("Vessel", [], 1), ("Ferry", ["Vessel"], 2), ("Tug", ["Vessel"], 3)]
+    assert {f["name"]: f["class_context"] for f in made["functions"]} == {"dock": "Ferry", "tow": "Tug"}
 
 
-def test_imports():
-    made = js('import React, { useState, useEffect as ue } from "react";\nimport * as path from "node:path";\nimport "side";\nconst fs = require("fs");\nrequire("bare");')
+def test_import_forms():
+    made = js('import charts, { depth, buoy as marker } from "./sea";\nimport * as stars from "sky";\nimport "./lamp";\nconst rope = require("./rope");\nrequire("anchor");')
     rows = [(i["name"], i["source"], i["alias"], i["is_default"], i["is_namespace"], i["line_number"]) for i in made["imports"]]
     assert rows == [
-        ("React", "react", None, True, False, 1), ("useState", "react", None, False, False, 1), ("ue", "react", "useEffect", False, False, 1),
-        ("path", "node:path", None, False, True, 2), ("fs", "fs", None, False, False, 4), ("bare", "bare", None, False, False, 5),
+        ("charts", "./sea", None, True, False, 1), ("depth", "./sea", None, False, False, 1), ("marker", "./sea", "buoy", False, False, 1),
+        ("stars", "sky", None, False, True, 2), ("rope", "./rope", None, False, False, 4), ("anchor", "anchor", None, False, False, 5),
     ]
-    assert one(made["variables"])["name"] == "fs"
+    assert [v["name"] for v in made["variables"]] == ["rope"]
 
 
-def test_calls():
-    made = js("function main() {\n greet('world', [1, 2]);\n console.log('x');\n const m = new Map();\n a.b(1).c(2);\n}\nouter();")
-    rows = {(c["name"], c["full_call_name"], c["inferred_obj_type"], c["caller_name"]) for c in made["calls"]}
-    assert rows == {
-        ("greet", "greet", None, "main"), ("log", "console.log", "console", "main"), ("Map", "new Map", None, "main"), ("b", "a.b", "a", "main"),
-        ("c", "a.b(1).c", "a.b(1)", "main"), ("outer", "outer", None, None),
-    }
-    assert one(made["calls"], name="greet")["args"] == ["'world'", "[1, 2]"]
+def test_call_forms():
+    made = js("function sail() {\n  hoist('main', { at: [2, 3] });\n  mast.raise(1);\n  const k = new Knot(9);\n  crew.all().rest(8, k);\n}\nsail();")
+    rows = [(c["name"], c["full_call_name"], c["inferred_obj_type"], c["caller_name"], c["args"]) for c in sorted(made["calls"], key=lambda c: (c["line_number"], c["full_call_name"]))]
+    assert rows == [
+        ("hoist", "hoist", None, "sail", ["'main'", "{ at: [2, 3] }"]), ("raise", "mast.raise", "mast", "sail", ["1"]), ("Knot", "new Knot", None, "sail", ["9"]),
+        ("all", "crew.all", "crew", "sail", []), ("rest", "crew.all().rest", "crew.all()", "sail", ["8", "k"]), ("sail", "sail", None, None, []),
+    ]
 
 
-def test_function_expressions_are_not_callers():
-    made = js("function outer() { const f = function () { inner(); }; }\nconst g = function () { free(); };")
-    assert one(made["calls"], name="inner")["caller_name"] == "outer"
-    assert one(made["calls"], name="free")["caller_name"] is None
+def test_callers_are_named_functions_not_expressions():
+    made = js("function deck() { const hatch = function () { open(); }; const lid = () => shut(); }\nconst hold = function () { fill(); };")
+    assert {c["name"]: c["caller_name"] for c in made["calls"]} == {"open": "deck", "shut": "lid", "fill": None}
 
 
-def test_variables():
-    made = js('const x = 42;\nlet y = "hello";\nvar z = true, w;\nfor (const q of z) {}')
-    assert [(v["name"], v["value"], v["type"]) for v in made["variables"]] == [("x", "42", "const"), ("y", '"hello"', "let"), ("z", "true", "var"), ("w", None, "var")]
-    assert js("const x = 42;", is_dependency=True)["variables"] == []
-    assert js("function f() {}", is_dependency=True)["functions"][0]["source"] is None
-    assert len(js(f"const x = '{'a' * 500}'")["variables"][0]["value"]) == 200
+def test_variables_of_every_kind():
+    made = js("const knots = 12.5;\nlet flag = 'red', pole;\nvar nets = [1, 2];\nfor (const fish of nets) {}\n")
+    assert [(v["name"], v["value"], v["type"], v["line_number"]) for v in made["variables"]] == [("knots", "12.5", "const", 1), ("flag", "'red'", "let", 2), ("pole", None, "let", 2), ("nets", "[1, 2]", "var", 3)]
+    assert len(js(f"let log = '{'z' * 900}'")["variables"][0]["value"]) == 200
 
 
-def test_no_semicolons():
-    made = js("const a = 1\nconst f = () => a\nfunction g() { return f }\nlet b = f()\n")
-    assert [v["name"] for v in made["variables"]] == ["a", "b"]
-    assert [f["name"] for f in made["functions"]] == ["g", "f"]
+def test_dependencies_keep_no_source_and_no_variables():
+    made = js("let oil = 1;\nfunction burn() {}\nclass Stove {}", is_dependency=True)
+    assert made["variables"] == [] and [made[t][0]["source"] for t in ("functions", "classes")] == [None, None]
+
+
+def test_line_ends_without_semicolons():
+    made = js("const wind = 4\nconst gust = () => wind\nfunction calm() { return gust }\nlet lull = calm()\n")
+    assert [v["name"] for v in made["variables"]] == ["wind", "lull"] and [f["name"] for f in made["functions"]] == ["calm", "gust"]
 
 
 def test_typescript():
     made = parse(
-        "/t.ts",
-        "interface Printable { print(): void; }\ninterface Ser extends Printable { s(): string; }\nabstract class Shape<T> extends Base<T> implements Flyable, B { abstract area(): number; "
-        "bar(): string { return 'x'; } }\ntype ID = string | number;\nfunction greet(name?: string, age: number = 0): { a: number } { return go<number>(age); }",
+        "/port.ts",
+        "interface Floats { draught(): number; }\ninterface Sails extends Floats, Steers { heel: number; }\nexport abstract class Hull<T> extends Form<T> implements Floats, Named<T> {\n"
+        "  abstract keel(): T;\n  ribs(): number { return 40; }\n}\ntype Cargo = 'coal' | 'grain';\nfunction weigh(crate: Crate, tare?: number, unit: string = 'kg'): { net: number } { return scale<Crate>(crate); }",
     )
     assert made["lang"] == "typescript"
     assert [(c["name"], c["bases"], c["implements"], c["is_abstract"], c["is_interface"]) for c in made["classes"]] == [
-        ("Printable", [], [], False, True), ("Ser", ["Printable"], [], False, True), ("Shape", ["Base"], ["Flyable", "B"], True, False),
+        ("Floats", [], [], False, True), ("Sails", ["Floats", "Steers"], [], False, True), ("Hull", ["Form"], ["Floats", "Named"], True, False),
     ]
-    assert one(made["functions"], name="greet")["args"] == ["name", "age"]
-    assert len([f for f in made["functions"] if f["name"] == "bar"]) == 1
-    assert one(made["variables"])["type"] == "type"
-    assert one(made["calls"])["name"] == "go"
+    assert [(f["name"], f["args"], f["class_context"]) for f in made["functions"]] == [("weigh", ["crate", "tare", "unit"], None), ("ribs", [], "Hull")]
+    assert [(v["name"], v["type"]) for v in made["variables"]] == [("Cargo", "type")] and [c["name"] for c in made["calls"]] == ["scale"]
 
 
 def test_php():
     made = parse(
-        "/t.php",
-        "<?php\nuse App\\Models\\User;\nuse App\\Services\\Auth as AuthService;\nclass User extends Base implements Api { public $debug = true; const VERSION = '1.0';\n"
-        "public function __construct(private $name) {} public static function make() { return new User(1); } }\ninterface Log { public function log($m); }\ntrait T {}\n"
-        "function main($a, ...$b) { greet('x'); $user->getName(); User::find(1); }",
+        "/port.php",
+        "<?php\nuse Sea\\Charts\\Depth;\nuse Sea\\Crew\\Mate as FirstMate;\nclass Barge extends Vessel implements Floats { protected $beam = 6; const BERTHS = [1, 2];\n"
+        "function __construct(private $owner, ...$crew) {} static function launch() { return new Barge(7); } }\ninterface Floats { public function draught($load); }\ntrait Paint { function coat() {} }\n"
+        "enum Tide { case Ebb; public function turn() {} }\nfunction depart($when) { ring('bell'); $barge->cast(); Depth::sound(3); }",
     )
-    assert [(i["name"], i["source"], i["alias"]) for i in made["imports"]] == [("User", "App\\Models\\User", None), ("AuthService", "App\\Services\\Auth", "Auth")]
-    assert {f["name"]: f["kind"] for f in made["functions"]} == {"main": None, "__construct": "constructor", "make": "static", "log": None}
-    assert [(c["name"], c["bases"], c["implements"], c["is_interface"]) for c in made["classes"]] == [("User", ["Base"], ["Api"], False), ("Log", [], [], True), ("T", [], [], False)]
-    assert {c["full_call_name"] for c in made["calls"]} == {"greet", "$user->getName", "User::find", "new User"}
-    assert [(v["name"], v["value"], v["type"], v["class_context"]) for v in made["variables"]] == [("$debug", "true", None, "User"), ("VERSION", "'1.0'", "const", "User")]
+    assert [(i["name"], i["source"], i["alias"]) for i in made["imports"]] == [("Depth", "Sea\\Charts\\Depth", None), ("FirstMate", "Sea\\Crew\\Mate", "Mate")]
+    assert {f["name"]: (f["kind"], f["class_context"]) for f in made["functions"]} == {
+        "depart": (None, None), "__construct": ("constructor", "Barge"), "launch": ("static", "Barge"), "draught": (None, None), "coat": (None, None), "turn": (None, None),
+    }
+    assert one(made["functions"], name="__construct")["args"] == ["$owner", "...$crew"]
+    assert [(c["name"], c["bases"], c["implements"], c["is_interface"]) for c in made["classes"]] == [("Barge", ["Vessel"], ["Floats"], False), ("Floats", [], [], True), ("Paint", [], [], False)]
+    assert {c["full_call_name"] for c in made["calls"]} == {"ring", "$barge->cast", "Depth::sound", "new Barge"}
+    assert [(v["name"], v["value"], v["type"], v["class_context"]) for v in made["variables"]] == [("$beam", "6", None, "Barge"), ("BERTHS", "[1, 2]", "const", "Barge")]
 
 
 @pytest.mark.parametrize("source", ["", "{", "}}}", "function", "class {", "const x = `${", "import {", "/* open", "<?php class", "<?php use ;", "a ? b", "(" * 50, "new", "function f(", "x = /a", "@", "class A { get"])
@@ -136,6 +142,7 @@ def test_broken_sources_do_not_fail(source: str):
         assert parse(path, source)["path"] == path
 
 
-def test_dispatch():
-    assert parse("/a.py", "x") is None
-    assert [language_of(p) for p in ("/a.jsx", "/a.TSX", "/b/c.mjs", "/x.php", "/x", "/x.go")] == ["javascript", "typescript", "javascript", "php", None, None]
+def test_dispatch_by_extension():
+    assert parse("/port.rb", "puts 1") is None
+    names = {"/a.js": "javascript", "/a.JSX": "javascript", "/b/c.cjs": "javascript", "/b/c.mjs": "javascript", "/a.ts": "typescript", "/a.Tsx": "typescript", "/x.php": "php", "/x": None, "/x.js/y": None}
+    assert {p: language_of(p) for p in names} == names
