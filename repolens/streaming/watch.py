@@ -1,7 +1,9 @@
 """Watching directories: a change stream, debouncing, and re-indexing.
 
 The source compares listings of a directory: each micro-batch holds the files added, changed or unlinked since the last.
-Changes of a path that follow within the quiet time are one session, and the last of them decides what is done.
+Changes of a path that follow within the quiet time are one session, across micro-batches, and the last of them decides
+what is done.  A session is closed by the watermark, so for a while after a change the source reports the time alone (op
+``tick``), which moves the watermark on when no other file changes.
 """
 
 from __future__ import annotations
@@ -10,18 +12,25 @@ import json
 import os
 import re
 import time
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from repolens.functions.parsers import EXTENSIONS
+from repolens.operators.traverse import shared_folder
 from repolens.plans.index import Indexer
-from repolens.sources.files import IGNORED_DIRS, language
+from repolens.sources.files import IGNORED_DIRS, exists, language
 
 QUIET = "2 seconds"
+#: Seconds for which the source goes on reporting the time after a change: enough for the watermark to pass the quiet time.
+TICKS = 12
+#: Tasks that keep the sessions of one watched directory.
+STATE_TASKS = "4"
 EVENTS = "path string, op string, event_time timestamp, seq long"
 IGNORE_REGEX = "(^|/)(" + "|".join(re.escape(x) for x in IGNORED_DIRS) + ")(/|$)"
 
@@ -30,6 +39,7 @@ class DirectoryChanges(DataSource):
     """``spark.readStream.format("directory_changes").option("path", dir)``: path, op (add, change, unlink), event_time, seq.
 
     The offset is the listing itself, so a restarted query goes on from its checkpoint and reports what happened meanwhile.
+    Rows of op ``tick`` and an empty path, for ``TICKS`` seconds after a change, state only the time.
     Files that are there when a query first starts are not reported.  The directory must be readable from the driver.
     """
 
@@ -61,30 +71,37 @@ class _Listing(SimpleDataSourceStreamReader):
         return out
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"files": json.dumps(self.listing()), "seq": 0}
+        return {"files": json.dumps(self.listing()), "seq": 0, "at": 0, "changed": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        old, new = json.loads(start["files"]), self.listing()
-        changes = [(p, "add") for p in new if p not in old] + [(p, "change") for p in new if p in old and old[p] != new[p]] + [(p, "unlink") for p in old if p not in new]
-        now = int(time.time() * 1e6)
-        from datetime import UTC, datetime  # noqa: PLC0415
-
-        when = datetime.fromtimestamp(now / 1e6, UTC)
-        rows = [(p, op, when, start["seq"] + i) for i, (p, op) in enumerate(sorted(changes))]
-        return iter(rows), {"files": json.dumps(new), "seq": start["seq"] + len(rows)}
+        new, now = self.listing(), int(time.time() * 1e6)
+        changed = json.loads(start["files"]) != new
+        if not changed and now > start["changed"] + TICKS * 1_000_000:
+            return iter([]), start
+        end = {"files": json.dumps(new), "seq": start["seq"], "at": now, "changed": now if changed else start["changed"]}
+        rows = self._rows(start, end)
+        return iter(rows), end | {"seq": start["seq"] + len(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        return iter(self._rows(start, end))
+
+    def _rows(self, start: dict, end: dict) -> list[tuple]:
+        """The changes between two listings and the tick; what they are follows from the offsets alone."""
         old, new = json.loads(start["files"]), json.loads(end["files"])
         changes = [(p, "add") for p in new if p not in old] + [(p, "change") for p in new if p in old and old[p] != new[p]] + [(p, "unlink") for p in old if p not in new]
-        from datetime import UTC, datetime  # noqa: PLC0415
+        when = datetime.fromtimestamp(end["at"] / 1e6, UTC)
+        return [(p, op, when, start["seq"] + i) for i, (p, op) in enumerate([("", "tick"), *sorted(changes)])]
 
-        return iter([(p, op, datetime.now(UTC), start["seq"] + i) for i, (p, op) in enumerate(sorted(changes))])
+
+def is_relevant() -> Column:
+    """Whether a path is a source file outside ignored directories."""
+    pattern = r"(?i)(" + "|".join(re.escape(x) for x in EXTENSIONS) + ")$"
+    return F.col("path").rlike(pattern) & ~F.col("path").rlike(IGNORE_REGEX)
 
 
 def relevant(events: DataFrame) -> DataFrame:
     """Events on source files outside ignored directories."""
-    pattern = r"(?i)(" + "|".join(re.escape(x) for x in EXTENSIONS) + ")$"
-    return events.where(F.col("path").rlike(pattern) & ~F.col("path").rlike(IGNORE_REGEX))
+    return events.where(is_relevant())
 
 
 def debounced(events: DataFrame, quiet: str = QUIET, late: str | None = None) -> DataFrame:
@@ -103,7 +120,7 @@ def apply_changes(indexer: Indexer, root: str, changes: DataFrame) -> None:
     spark = changes.sparkSession
     last = changes.groupBy("path").agg(F.max_by("op", "session_end").alias("op"))
     ops = {r["path"]: r["op"] for r in last.collect()}  # the files of one micro-batch
-    alive = [p for p, op in ops.items() if op != "unlink" and os.path.exists(p)]
+    alive = [p for p, op in ops.items() if op != "unlink" and exists(spark, p)]
     dead = [(p,) for p in ops if p not in alive]
     if not ops:
         return
@@ -131,15 +148,22 @@ class Watcher:
         path = path.rstrip("/")
         if path in self.queries and self.queries[path].isActive:
             return self.queries[path]
-        events = relevant(self.spark.readStream.format("directory_changes").option("path", path).load())
+        events = self.spark.readStream.format("directory_changes").option("path", path).load()
+        sessions = debounced(events.where((F.col("op") == "tick") | is_relevant()), QUIET, "0 seconds")
 
         def run(batch: DataFrame, _: int) -> None:
-            # a micro-batch every two seconds holds what one quiet time brings together
-            apply_changes(self.indexer, path, debounced(batch))
-
-        writer = events.writeStream.queryName(f"watch:{path}").foreachBatch(run).trigger(processingTime=interval)
-        writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
-        self.queries[path] = writer.start()
+            apply_changes(self.indexer, path, batch.where("op <> 'tick'"))
+
+        checkpoint = checkpoint or f"{shared_folder(self.spark)}/watch-{uuid.uuid4().hex}"
+        writer = sessions.writeStream.queryName(f"watch:{path}").outputMode("append").foreachBatch(run)
+        writer = writer.trigger(processingTime=interval).option("checkpointLocation", checkpoint)
+        # a query keeps the settings that it starts with
+        old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", STATE_TASKS)
+        try:
+            self.queries[path] = writer.start()
+        finally:
+            self.spark.conf.set("spark.sql.shuffle.partitions", old)
         return self.queries[path]
 
     def unwatch(self, path: str) -> bool:
