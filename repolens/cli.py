@@ -8,7 +8,7 @@ import os
 import sys
 import time
 
-from repolens import config
+from repolens import config, mcp
 from repolens.api import Lens, create_graph
 
 
@@ -49,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
 def run(graph: Lens, a: argparse.Namespace, out=print) -> int:  # noqa: ANN001
     """Run one command and print its lines."""
     def rows(df) -> None:  # noqa: ANN001
-        for r in df.collect():
+        for r in df.toLocalIterator():
             out("  ".join("" if v is None else f"{v:.3f}" if isinstance(v, float) else " -> ".join(v) if isinstance(v, list) else str(v) for v in r))
 
     if a.command == "index":
@@ -90,11 +90,15 @@ def run(graph: Lens, a: argparse.Namespace, out=print) -> int:  # noqa: ANN001
 
 
 def serve(graph: Lens, lines, out=print) -> None:  # noqa: ANN001
-    """One JSON request a line ({"tool": ..., "arguments": {...}}), one JSON result a line."""
+    """The Model Context Protocol, a message a line; also plain requests ({"tool": ..., "arguments": {...}}), a result a line."""
     for line in lines:
         if line.strip():
             try:
                 request = json.loads(line)
+                if "tool" not in request:
+                    if (answer := mcp.handle(graph, request)) is not None:
+                        out(json.dumps(answer, ensure_ascii=False))
+                    continue
                 result = graph.call(request.get("tool", ""), request.get("arguments"))
             except ValueError as e:
                 result = json.dumps({"error": str(e)})
