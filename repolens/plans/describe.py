@@ -6,11 +6,13 @@ prompt; without one, nothing is described.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +22,28 @@ from repolens.operators.graph import directory_groups
 Generator = Callable[[str, int], "str | None"]
 
 
+_slots = threading.Lock()
+
+
 class TransientError(Exception):
     """A failure worth another try: a rate limit, a server's error, a lost connection."""
 
 
 @dataclass
 class Pool:
-    """Several generators with slots each; a prompt goes to the generator with most free slots of those it has not tried.
+    """Several generators with slots each; a prompt goes to the one with most free slots (the first of equals), and after a
+    failure worth another try to the next.
 
-    One task holds one prompt at a time, so the number of partitions bounds what runs at once (``slots``).
+    One task holds one prompt at a time, and at most ``slots`` tasks run at once, in processes that share nothing.  So each
+    task of a job has a slot of its own, by its number, and never a member more tasks than slots.  Outside tasks, as in
+    threads of one process, slots are counted.
     """
 
     members: list[tuple[Generator, int]]
     retries: int = 3
     pause: Callable[[float], None] = time.sleep
     used: list[int] = field(default_factory=list)
+    busy: dict[int, int] = field(default_factory=dict)
 
     @property
     def slots(self) -> int:
@@ -43,9 +52,13 @@ class Pool:
     def __call__(self, prompt: str, max_tokens: int = 150) -> str | None:
         if not self.members:
             return None
-        order = sorted(range(len(self.members)), key=lambda i: -self.members[i][1])
+        task = TaskContext.get()
+        who = None
         for attempt in range(self.retries + 1):
-            who = order[attempt % len(order)]
+            if task is not None:
+                who = self.home(task.partitionId()) if who is None else (who + 1) % len(self.members)
+            else:
+                who = self._taken(who)
             try:
                 self.used.append(who)
                 text = self.members[who][0](prompt, max_tokens)
@@ -55,8 +68,31 @@ class Pool:
                     self.pause(2.0 ** (attempt + 1))
             except Exception:  # noqa: BLE001  any other failure leaves this prompt without a description
                 return None
+            finally:
+                if task is None:
+                    with _slots:
+                        self.busy[who] -= 1
         return None
 
+    def home(self, task: int) -> int:
+        """The member of a task: each member has as many of any ``slots`` tasks in a row as it has slots, dealt out one slot
+        at a time to the member with most left."""
+        left = [n for _, n in self.members]
+        dealt = []
+        for _ in range(self.slots):
+            who = left.index(max(left))
+            left[who] -= 1
+            dealt.append(who)
+        return dealt[task % len(dealt)] if dealt else 0
+
+    def _taken(self, last: int | None) -> int:
+        """The member with most free slots, not ``last`` if there is another; its slot is taken."""
+        with _slots:
+            free = [(n - self.busy.get(i, 0), -i) for i, (_, n) in enumerate(self.members) if i != last or len(self.members) == 1]
+            who = -max(free)[1]
+            self.busy[who] = self.busy.get(who, 0) + 1
+            return who
+
 
 def first_line_generator(prompt: str, max_tokens: int = 150) -> str | None:
     """A stand-in without a model: the subject of the prompt as a sentence."""

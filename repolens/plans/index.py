@@ -1,8 +1,8 @@
 """Indexing: source files to the graph's tables, incrementally.
 
 One Arrow pass parses the changed files; everything after is set-based.  A file that changes takes the descriptions of its
-unchanged symbols along, vanished files go, and calls and inheritance are linked again over all files, so edges from
-unchanged files into changed ones survive.
+unchanged symbols along, vanished files go, and the calls and bases that the change may concern are linked again over all
+files, so edges from unchanged files into changed ones survive.
 """
 
 from __future__ import annotations
@@ -21,13 +21,16 @@ from repolens.functions.parsers import parse
 from repolens.functions.parsers.tokens import MAX_SOURCE
 from repolens.functions.text import basename, dirname, symbol_id
 from repolens.operators import graph, resolve
-from repolens.operators.traverse import durable
+from repolens.operators.traverse import durable, swept
 from repolens.plans import describe
 from repolens.sources.files import exists, read_sources
 from repolens.sources.schema import NODES, PARSED_FILE
 from repolens.sources.store import SnapshotStore
 
 
+PARSED_BYTES = 8 << 20
+
+
 def parse_files(sources: DataFrame, is_dependency: bool = False) -> DataFrame:
     """path, lang and the five arrays of each source file (path, source); ``error`` for a file that can't be read."""
     names = ["path", "lang", "functions", "classes", "imports", "calls", "variables"]
@@ -44,8 +47,11 @@ def parse_files(sources: DataFrame, is_dependency: bool = False) -> DataFrame:
                     rows.append({"path": path, "lang": None, "error": str(e)[:500]} | {k: [] for k in names[2:]})
             yield pd.DataFrame(rows, columns=[*names, "error"])
 
-    # parsing takes far longer than moving a source, and a few blocks may hold all of them
-    spread = sources.select("path", "source").repartition(2 * sources.sparkSession.sparkContext.defaultParallelism, "path")
+    # parsing takes far longer than moving a source, and a few blocks may hold all of them: at least two tasks a core, and
+    # no more than about PARSED_BYTES in one
+    size = sources.agg(F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()[0]
+    tasks = max(2 * sources.sparkSession.sparkContext.defaultParallelism, size // PARSED_BYTES)
+    spread = sources.select("path", "source").repartition(tasks, "path")
     return spread.mapInPandas(run, f"{PARSED_FILE}, error string")
 
 
@@ -70,7 +76,7 @@ def tables_of(parsed: DataFrame, sources: DataFrame, repo_path: str) -> dict[str
         ident, "name", "path", "line_number", "end_line", "args", cut, "docstring", "cyclomatic_complexity", "context", "class_context", "is_async", "kind", "decorators", "lang", repo, *none
     )
     classes = rows("classes").dropDuplicates(key).select(ident, "name", "path", "line_number", "end_line", "bases", "implements", cut, "docstring", "is_abstract", "is_interface", "lang", repo, *none)
-    variables = rows("variables").dropDuplicates(key).select(ident, "name", "path", "line_number", "value", "type", "context", "class_context", "lang", repo)
+    variables = rows("variables").dropDuplicates(key).select(ident, "name", "path", "line_number", "value", "type", "context", "class_context", "lang", repo, *none)
     parameters = rows("functions").select(F.explode("args").alias("name"), F.col("name").alias("function_name"), "path", "line_number", repo)
     parameters = parameters.groupBy("name", "function_name", "path").agg(F.min("line_number").alias("line_number"), F.first("repo_path").alias("repo_path"))
     imports = rows("imports").select("path", F.col("source").alias("module"), F.col("name").alias("imported_name"), "alias", "line_number", "is_default", "is_namespace", repo).distinct()
@@ -158,10 +164,13 @@ class Indexer:
         try:
             if not exists(self.spark, root):
                 raise FileNotFoundError(root)
-            current = durable(read_sources(self.spark, root))
-            total = current.count()
+            # hashes first: only what changed is read a second time and kept
+            current = read_sources(self.spark, root)
+            hashes = durable(current.select("path", "rel", "content_hash"))
+            total = hashes.count()
             self.jobs.update(job.id, files_total=total)
-            self._apply(root, current, None, is_dependency)
+            with swept(self.spark):
+                self._apply(root, current, None, is_dependency, hashes)
             self.jobs.update(job.id, status="completed", files_processed=total, completed_at=time.time())
             log.info("indexed %s: %d files", root, total)
         except Exception as e:  # noqa: BLE001  the job keeps the reason
@@ -171,16 +180,18 @@ class Indexer:
 
     def index_files(self, root: str, sources: DataFrame, removed: DataFrame | None = None, is_dependency: bool = False) -> None:
         """Upsert single files (path, rel, lang, source, content_hash) and remove others (path)."""
-        self._apply(root.rstrip("/"), sources, removed if removed is not None else self.spark.createDataFrame([], "path string"), is_dependency)
+        with swept(self.spark):
+            self._apply(root.rstrip("/"), sources, removed if removed is not None else self.spark.createDataFrame([], "path string"), is_dependency)
 
     def remove_file(self, path: str) -> None:
         paths = self.spark.createDataFrame([(path,)], "path string")
         self.store.publish(graph.delete_files(self.store.tables(), paths))
 
-    def _apply(self, root: str, current: DataFrame, removed: DataFrame | None, is_dependency: bool) -> None:
-        """``removed`` None: what the store has of this root and ``current`` has not is gone."""
+    def _apply(self, root: str, current: DataFrame, removed: DataFrame | None, is_dependency: bool, hashes: DataFrame | None = None) -> None:
+        """``removed`` None: what the store has of this root and ``current`` has not is gone.  ``hashes`` (path,
+        content_hash) of ``current``, if they are known."""
         tables = self.store.tables()
-        state = graph.diff(current.select("path", "content_hash"), graph.content_hashes(tables["files"], root))
+        state = durable(graph.diff((current if hashes is None else hashes).select("path", "content_hash"), graph.content_hashes(tables["files"], root)))
         dirty = durable(current.join(state.where("state = 'dirty'").select("path"), "path", "left_semi"))
         gone = state.where("state = 'deleted'").select("path") if removed is None else removed
         read = durable(parse_files(dirty, is_dependency))
@@ -199,17 +210,43 @@ class Indexer:
         out["repositories"] = graph.upsert_nodes(tables["repositories"], repo, ["path"])
         out = {t: durable(df) for t, df in out.items()}
         out |= self._described(out, dirty)
-        self.store.publish(out | self.linked(out))
-
-    def linked(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """The link tables over all files."""
+        self.store.publish(out | self.relinked(out, tables, base, dirty.select("path").unionByName(gone).distinct()))
+
+    def relinked(self, tables: dict[str, DataFrame], old: dict[str, DataFrame], base: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
+        """The link tables once the files ``paths`` have changed: links that the change may concern are made again, from
+        ``tables``; the others are those of ``base``, the old tables without what these files held."""
+        paths = durable(paths)
+        symbols = lambda t, kind: t[kind].join(paths, "path", "left_semi").select("name")
+        both = lambda kind: durable(symbols(old, kind).unionByName(symbols(tables, kind)).distinct())
+        class_names = both("classes")
+        names = durable(both("functions").unionByName(class_names).distinct())
+        calls = tables["parsed_calls"].select("path", "name", "caller_name", "line_number")
+        again = durable(resolve.affected_calls(calls, tables["imports"], paths, names))
+        f, c = tables["functions"], tables["classes"]
+        ends = base["calls"].join(f.select(F.col("id").alias("src_id"), "path"), "src_id").join(f.select(F.col("id").alias("dst_id"), "name"), "dst_id")
+        made = self.linked(tables | {"parsed_calls": calls.join(again, ["path", "name"], "left_semi")}, class_names, paths)
+        out = {"calls": ends.join(again, ["path", "name"], "left_anti").select("src_id", "dst_id", "line_number", "repo_path").unionByName(made["calls"])}
+        for t, column in (("inherits", "bases"), ("implements", "implements")):
+            redone = self._concerned(c, column, class_names, paths).select(F.col("id").alias("src_id"))
+            out[t] = base[t].join(redone, "src_id", "left_anti").select("src_id", "dst_id", "repo_path").unionByName(made[t])
+        return out
+
+    @staticmethod
+    def _concerned(classes: DataFrame, column: str, names: DataFrame, paths: DataFrame) -> DataFrame:
+        """id of the classes in the files ``paths``, and of those that list one of ``names``."""
+        listed = classes.select("id", F.explode(column).alias("name")).join(names, "name", "left_semi").select("id")
+        return classes.join(paths, "path", "left_semi").select("id").unionByName(listed).distinct()
+
+    def linked(self, tables: dict[str, DataFrame], names: DataFrame | None = None, paths: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The link tables over all files; of classes, if ``names`` and ``paths`` are given, only those that they concern."""
+        only = lambda column: None if names is None else self._concerned(tables["classes"], column, names, paths)
         f, c = tables["functions"], tables["classes"]
         owner = lambda df, t: df.join(t.select(F.col("id").alias("src_id"), "repo_path"), "src_id")
         calls = resolve.link_calls(tables["parsed_calls"].select("path", "name", "caller_name", "line_number"), tables["imports"], f, resolve.symbols_of(f, c))
         return {
             "calls": owner(calls, f).select("src_id", "dst_id", "line_number", "repo_path"),
-            "inherits": owner(resolve.link_bases(c, "bases", True, self.same_repo), c).select("src_id", "dst_id", "repo_path"),
-            "implements": owner(resolve.link_bases(c, "implements", False, self.same_repo), c).select("src_id", "dst_id", "repo_path"),
+            "inherits": owner(resolve.link_bases(c, "bases", True, self.same_repo, only("bases")), c).select("src_id", "dst_id", "repo_path"),
+            "implements": owner(resolve.link_bases(c, "implements", False, self.same_repo, only("implements")), c).select("src_id", "dst_id", "repo_path"),
         }
 
     def _described(self, tables: dict[str, DataFrame], dirty: DataFrame) -> dict[str, DataFrame]:
