@@ -5,6 +5,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from repolens import cli, config
 from repolens.api import TOOLS, Lens
@@ -132,6 +133,78 @@ def test_watch(graph, project, tmp_path):
     assert graph.list_watched_paths() == []
 
 
+def test_relinking_after_changes_is_the_same_as_linking_anew(spark, tmp_path):
+    """Files change, come, go and move their symbols: what is linked again with what is kept are the links of all files."""
+    import random
+
+    rng = random.Random(6)
+    root = tmp_path / "code"
+    root.mkdir()
+    graph = Lens(spark, str(tmp_path / "store"))
+
+    def write(k: int) -> None:
+        names = rng.sample("abcdef", 3)
+        calls = " ".join(f"{rng.choice('abcdefg')}();" for _ in range(4))
+        imports = "".join(f"import {{ {rng.choice('abcdef')} as {rng.choice('uv')} }} from './f{rng.randrange(5)}';\n" for _ in range(2))
+        own = "".join(f"function {n}() {{ {calls} u(); v(); }}\n" for n in names)
+        (root / f"f{k}.ts").write_text(f"{imports}{own}class {rng.choice('PQR')} extends {rng.choice('PQR')} implements {rng.choice('IJ')} {{}}\ninterface {rng.choice('IJ')} {{}}\n")
+
+    for step in range(4):
+        for k in range(5) if not step else rng.sample(range(6), 2):
+            write(k)
+        if step == 2:
+            (root / "f0.ts").unlink()
+        assert graph.add_code_to_graph(str(root))["status"] == "completed"
+        tables = graph.tables()
+        anew = graph.indexer.linked(tables)
+        for t in ("calls", "inherits", "implements"):
+            kept = sorted(map(tuple, tables[t].collect()))
+            assert kept == sorted(map(tuple, anew[t].select(*tables[t].columns).collect())) and kept, (step, t)
+
+
+def test_debounce_across_batches(spark, tmp_path):
+    """Changes of a file in several micro-batches within the quiet time are one session; ticks alone close it."""
+    from repolens.streaming.watch import DirectoryChanges, _Listing
+
+    spark.dataSource.register(DirectoryChanges)
+    (tmp_path / "d").mkdir()
+    source = _Listing(str(tmp_path / "d"))
+    start = source.initialOffset()
+    rows, end = source.read(start)
+    assert list(rows) == [] and end == start  # nothing changed, and nothing did before
+    batches = []
+    for step in range(4):
+        (tmp_path / "d" / "a.js").write_text("x" * step)
+        (tmp_path / "d" / f"b{step}.js").write_text("")
+        rows, after = source.read(end)
+        rows = list(rows)
+        assert rows == list(source.readBetweenOffsets(end, after))  # a replay gives the same
+        batches.append(rows)
+        end = after
+    (tmp_path / "d" / "a.js").unlink()
+    rows, end = source.read(end)
+    batches.append(list(rows))
+    assert [[(r[0].rpartition("/")[2], r[1]) for r in b] for b in batches] == [
+        [("", "tick"), ("a.js", "add"), ("b0.js", "add")], *[[("", "tick"), ("a.js", "change"), (f"b{i}.js", "add")] for i in (1, 2, 3)], [("", "tick"), ("a.js", "unlink")],
+    ]
+    assert sorted({r[3] for b in batches for r in b}) == list(range(end["seq"]))
+
+    made = [(p.rpartition("/")[2], op, datetime(2024, 1, 1) + timedelta(milliseconds=500 * k), n) for k, b in enumerate(batches) for p, op, _, n in b]
+    made += [("", "tick", datetime(2024, 1, 1) + timedelta(seconds=10 + k), 100 + k) for k in range(2)]
+    spark.createDataFrame([], "path string, op string, event_time timestamp, seq long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("path string, op string, event_time timestamp, seq long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out: list = []
+    query = debounced(stream, "2 seconds", "0 seconds").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
+    query = query.foreachBatch(lambda df, _: out.extend(tuple(r) for r in df.where("op <> 'tick'").collect())).trigger(processingTime="0 seconds").start()
+    try:
+        for when in sorted({r[2] for r in made}):
+            spark.createDataFrame([r for r in made if r[2] == when], "path string, op string, event_time timestamp, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted((p, op, n) for p, op, _, n in out) == [("a.js", "unlink", 5), *[(f"b{i}.js", "add", 1) for i in range(4)]]
+
+
 def test_delete(graph, project):
     graph.delete_repository(str(project))
     assert list(graph.stats().first()) == [0] * 6
@@ -180,6 +253,44 @@ def test_pool():
     assert Pool([(flaky, 3), (flaky, 5)]).slots == 8
 
 
+def test_pool_deals_slots():
+    """No member has more prompts at once than slots, in threads and by task number."""
+    import threading
+    from collections import Counter
+    from concurrent.futures import ThreadPoolExecutor
+
+    lock, now, most, met = threading.Lock(), Counter(), Counter(), threading.Barrier(16)
+
+    def member(name):  # noqa: ANN001, ANN202
+        def answer(prompt, max_tokens):  # noqa: ANN001, ANN202, ARG001
+            with lock:
+                now[name] += 1
+                most[name] = max(most[name], now[name])
+            met.wait(10)
+            with lock:
+                now[name] -= 1
+            return name
+
+        return answer
+
+    limits = {"a": 3, "b": 3, "c": 5, "d": 5}
+    pool = Pool([(member(k), n) for k, n in limits.items()])
+    with ThreadPoolExecutor(16) as threads:
+        assert Counter(threads.map(pool, ["x"] * 32)) == {k: 2 * n for k, n in limits.items()}
+    assert dict(most) == limits and not any(pool.busy.values())
+    assert Counter("abcd"[pool.home(i)] for i in range(100, 116)) == limits
+
+
+def test_pool_in_tasks(spark):
+    """Each of the tasks of a job asks the member of its slot."""
+    from repolens.plans.describe import generate
+
+    pool = Pool([((lambda p, n, k=k: k), slots) for k, slots in (("a", 1), ("b", 3))])
+    out = generate(spark.range(40).selectExpr("cast(id as string) prompt").repartition(1), pool, 4)
+    rows = out.groupBy(F.spark_partition_id().alias("task")).agg(F.collect_set("description").alias("d")).collect()
+    assert sorted(x for r in rows for x in r["d"]) == ["a", "b", "b", "b"]
+
+
 def test_http_generator():
     import http.server
     import threading
@@ -214,6 +325,41 @@ def test_http_generator():
         HttpGenerator("http://127.0.0.1:9/", "m", "k", 1)("x")
 
 
+def test_mcp_session(spark, tmp_path):
+    """A client's session: handshake, list, calls good and bad."""
+    import inspect
+
+    from repolens import mcp
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.js").write_text("function moor() { tie(); }\nfunction tie() {}\n")
+    graph = Lens(spark, str(tmp_path / "store"))
+    ask = lambda method, id_=1, **params: {"jsonrpc": "2.0", "id": id_, "method": method, "params": params}
+    lines = [
+        ask("initialize", protocolVersion="2024-11-05", capabilities={}, clientInfo={"name": "x", "version": "0"}), {"jsonrpc": "2.0", "method": "notifications/initialized"}, ask("tools/list", 2),
+        ask("tools/call", 3, name="add_code_to_graph", arguments={"path": str(tmp_path / "src")}), ask("tools/call", "four", name="analyze_code_relationships", arguments={"query_type": "find_callers", "target": "tie"}),
+        ask("tools/call", 5, name="execute_cypher_query", arguments={"query": "MATCH (f) DELETE f"}), ask("tools/call", 6, name="find_code"), ask("tools/call", 7, name="no_such_tool"), ask("no/such", 8), ask("ping", 9), [1],
+        ask("tools/call", 10, name="find_code", arguments={"query": "x", "odd": 1}),
+    ]
+    said: list[str] = []
+    cli.serve(graph, [json.dumps(x) for x in lines] + ["", "{"], said.append)
+    made = [json.loads(x) for x in said]
+    assert [m.get("id") for m in made] == [1, 2, 3, "four", 5, 6, 7, 8, 9, None, 10, None]
+    assert made[0]["result"]["protocolVersion"] == "2024-11-05" and "tools" in made[0]["result"]["capabilities"]
+    listed = made[1]["result"]["tools"]
+    assert [t["name"] for t in listed] == list(TOOLS)
+    for t in listed:  # the schemas agree with the methods
+        named = inspect.signature(getattr(Lens, t["name"])).parameters
+        assert set(t["inputSchema"]["properties"]) == set(named) - {"self"}
+        assert set(t["inputSchema"].get("required", ())) == {k for k, v in named.items() if k != "self" and v.default is inspect.Parameter.empty}
+        assert all(v.get("default") == named[k].default for k, v in t["inputSchema"]["properties"].items() if "default" in v)
+    assert json.loads(made[2]["result"]["content"][0]["text"])["status"] == "completed" and not made[2]["result"]["isError"]
+    assert json.loads(made[3]["result"]["content"][0]["text"])[0]["caller_name"] == "moor"
+    assert made[4]["result"]["isError"] and [m["error"]["code"] for m in made[5:8]] == [-32602, -32602, -32601]
+    assert made[8]["result"] == {} and made[9]["error"]["code"] == -32600 and made[10]["error"]["code"] == -32602 and "error" in made[11]
+    assert mcp.handle(graph, ask("initialize", protocolVersion="1999-01-01"))["result"]["protocolVersion"] == mcp.VERSIONS[0]
+
+
 def test_config(tmp_path):
     g, l = tmp_path / "g", tmp_path / "l"  # noqa: E741
     config.write_env(g, {"REPOLENS_STORE": "/s", "MY_API_KEY": "k"})
