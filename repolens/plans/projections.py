@@ -5,9 +5,58 @@ Each projection is stated twice, as a DataFrame and as SQL (``SQL``), so results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CODE_ROOT = "/code"
+#: @k@ and @n@ stand for a row's key and number.
+TYPESCRIPT = """import type { Kind@k@ } from "./kinds";
+import base@k@, { alpha as beta@k@ } from '../lib/small';
+import * as ns@k@ from "ns-small";
+const fs@k@ = require('fs');
+@filling@/** Shape number @k@. */
+export interface Shape@k@ extends Base@n@, Named {
+  area(): number;
+}
+export type Id@k@ = string | number;
+/** Figure @k@. */
+export abstract class Figure@k@ extends Root@n@<string> implements Shape@k@, Comparable<Figure@k@> {
+  private size: number = @n@;
+  constructor(public label: string, readonly n?: number) { super(label); }
+  get title(): string { return this.label; }
+  set title(v: string) { this.label = v; }
+  static of(...xs: string[]) { return new Leaf@k@(xs[0]); }
+  /** Draws. */
+  async draw(pen: Pen, scale = 1): Promise<void> { if (scale > 1 && pen) { pen.paint(scale); } }
+  abstract grow(): void;
+}
+const arrow@k@ = async (a: number, b?: string) => { while (a) { a--; } return ns@k@.tidy(a)(b); };
+const bound@k@: number = @n@;
+let note@k@ = "x@k@";
+var Made@k@ = class extends Figure@k@ { go() { return 1; } };
+function outer@k@(x) { const lost = function (z) { return inner@k@(z); }; function inner@k@(y) { return y || x; } return inner@k@(x); }
+"""
+PHP = """<?php
+use Shop\\Parts\\Part@k@;
+use Shop\\Other\\Thing@k@ as Other@k@;
+require 'lib/tools.php';
+# if ($a)
+
+class Box@k@ extends Base implements Sized@k@, Countable {
+  const LIMIT = @n@;
+  public $open = true;
+  public function __construct(private $name, $rest = 1) { }
+  /** Builds. */
+  public static function build($a) {
+@branches@    return new Part@k@($a);
+  }
+}
+
+interface Sized@k@ extends Whole { public function size(); }
+trait Shared@k@ { function shared() { } }
+function start@k@($a, ...$b) { $part->save(1, 'x'); Box@k@::find(); return $a ? helper@k@($a) : 1; }
+"""
+
 
 class Projection:
     """Lazily read tables of one scale folder."""
@@ -50,6 +99,10 @@ class Projection:
         rows = self.table("pages").select(F.col("url").alias("path"), F.col("page_id").alias("line_number"), F.explode(links).alias("module"))
         return rows.select("path", "module", F.lower("module").alias("imported_name"), "line_number").distinct()
 
+    def variables(self) -> DataFrame:
+        """Suppliers as variables of one file."""
+        return self.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("Supplier").alias("path"), F.col("s_suppkey").alias("line_number"), F.col("s_acctbal").cast("string").alias("value"))
+
     def hashes(self) -> tuple[DataFrame, DataFrame]:
         """(current, stored) path and content_hash: documents as files of now; stored are those with labels, changed where
         the quality is 0, and the pages, which are gone."""
@@ -105,6 +158,29 @@ class Projection:
         )
         return s.select(F.concat(F.lit("/src/"), key, F.lit(".php")).alias("path"), text.alias("source"))
 
+    def ts_sources(self) -> DataFrame:
+        """A TypeScript file for each supplier, with as many filling lines as its nation's number: path, rel, lang, source,
+        content_hash."""
+        s = self.table("supplier")
+        text = F.lit(TYPESCRIPT)
+        for mark, value in (("@filling@", F.repeat(F.lit("// filling\n"), F.col("s_nationkey"))), ("@n@", F.col("s_nationkey").cast("string")), ("@k@", F.col("s_suppkey").cast("string"))):
+            text = F.replace(text, F.lit(mark), value)
+        return self._files(s, text, "ts", "typescript")
+
+    def php_files(self) -> DataFrame:
+        """A PHP file for each supplier, with all kinds of symbols; its static method has as many branches as its nation's
+        number."""
+        s = self.table("supplier")
+        text = F.lit(PHP)
+        for mark, value in (("@branches@", F.repeat(F.lit("    if ($a) { }\n"), F.col("s_nationkey"))), ("@n@", F.col("s_nationkey").cast("string")), ("@k@", F.col("s_suppkey").cast("string"))):
+            text = F.replace(text, F.lit(mark), value)
+        return self._files(s, text, "php", "php")
+
+    def _files(self, s: DataFrame, text: Column, ext: str, lang: str) -> DataFrame:
+        rel = F.concat(F.col("s_nationkey").cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(f".{ext}"))
+        digest = F.sha2(F.concat(F.lit("file "), F.col("s_suppkey").cast("string")), 256)
+        return s.select(F.concat(F.lit(CODE_ROOT + "/"), rel).alias("path"), rel.alias("rel"), F.lit(lang).alias("lang"), text.alias("source"), digest.alias("content_hash"))
+
     def graph_tables(self) -> dict[str, DataFrame]:
         """All tables of the graph, from projections; those without one are empty."""
         from repolens.sources.schema import TABLES  # noqa: PLC0415
@@ -116,6 +192,7 @@ class Projection:
             "repositories": self.table("region").select(F.concat(F.lit("/world/"), F.col("r_name")).alias("path"), F.col("r_name").alias("name")),
             "files": files.withColumn("name", F.element_at(F.split("path", "/"), -1)),
             "functions": self.functions().withColumn("repo_path", F.when(F.col("kind") == "economy", owner)).withColumn("context", F.lit(None).cast("string")),
+            "variables": self.variables().withColumn("repo_path", F.lit(None).cast("string")),
             "classes": self.classes().withColumn("repo_path", F.lit(None).cast("string")).withColumn("is_interface", F.col("path") == "system"),
             "calls": self.calls().withColumn("repo_path", F.lit(None).cast("string")),
             "inherits": self.inherits().withColumn("repo_path", F.lit(None).cast("string")),

@@ -100,8 +100,8 @@ def module_deps(p: Projection) -> DataFrame:
 
 
 @query("""SELECT CAST((SELECT count(*) FROM region) AS BIGINT) AS repositories, CAST((SELECT count(*) FROM files) AS BIGINT) AS files,
-  CAST((SELECT count(*) FROM functions) AS BIGINT) AS functions, CAST((SELECT count(*) FROM classes) AS BIGINT) AS classes, CAST(0 AS BIGINT) AS variables,
-  CAST((SELECT count(*) FROM files) + (SELECT count(*) FROM functions) + (SELECT count(*) FROM classes) + (SELECT count(*) FROM calls) + (SELECT count(*) FROM inherits) + (SELECT count(*) FROM imports) AS BIGINT) AS relationships""",
+  CAST((SELECT count(*) FROM functions) AS BIGINT) AS functions, CAST((SELECT count(*) FROM classes) AS BIGINT) AS classes, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS variables,
+  CAST((SELECT count(*) FROM supplier) + (SELECT count(*) FROM files) + (SELECT count(*) FROM functions) + (SELECT count(*) FROM classes) + (SELECT count(*) FROM calls) + (SELECT count(*) FROM inherits) + (SELECT count(*) FROM imports) AS BIGINT) AS relationships""",
   "functions", "calls", "classes", "imports", "files")
 def stats(p: Projection) -> DataFrame:
     return graph.stats(p.graph_tables())
@@ -113,7 +113,7 @@ def stats_of_repository(p: Projection) -> DataFrame:
     return graph.stats(p.graph_tables(), "/world/ASIA")
 
 
-@query("""SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'Function' AS label FROM functions UNION ALL SELECT 'Class' FROM classes UNION ALL SELECT 'File' FROM files UNION ALL SELECT 'Repository' FROM region) GROUP BY 1""", "functions", "classes", "files")
+@query("""SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'Function' AS label FROM functions UNION ALL SELECT 'Class' FROM classes UNION ALL SELECT 'File' FROM files UNION ALL SELECT 'Repository' FROM region UNION ALL SELECT 'Variable' FROM supplier) GROUP BY 1""", "functions", "classes", "files")
 def count_by_label(p: Projection) -> DataFrame:
     return graph.all_nodes(p.graph_tables()).groupBy("label").agg(F.count("*").alias("n"))
 
@@ -143,15 +143,16 @@ def upsert_edges(p: Projection) -> DataFrame:
     return graph.upsert_edges(new.limit(0), new, p.table("supplier").select(F.col("s_suppkey").alias("id")), p.table("part").select(F.col("p_partkey").alias("id")))
 
 
-@query(""", reach(id) AS (SELECT id FROM functions WHERE path = 'Brand#1' UNION SELECT c.dst_id FROM reach r JOIN calls c ON c.src_id = r.id) SELECT id FROM reach""", "functions", "sparse", recursive=True)
+@query(""", reach(id) AS (SELECT id FROM functions WHERE path = 'Brand#1' UNION SELECT c.dst_id FROM reach r JOIN calls c ON c.src_id = r.id) SELECT id FROM reach""", "functions", "calls", recursive=True)
 def reachability(p: Projection) -> DataFrame:
-    return reachable(p.calls(SPARSE), p.functions().where(F.col("path") == "Brand#1").select("id"))
+    return reachable(p.calls(), p.functions().where(F.col("path") == "Brand#1").select("id"))
 
 
-@query(""", reach(id) AS (SELECT id FROM functions WHERE path = 'Brand#1' UNION SELECT c.dst_id FROM reach r JOIN calls c ON c.src_id = r.id) SELECT id FROM functions WHERE id NOT IN (SELECT id FROM reach)""", "functions", "sparse", recursive=True)
+@query("""SELECT id FROM classes c WHERE NOT EXISTS (SELECT 1 FROM classes s WHERE s.conv_id = c.conv_id AND s.path = 'assistant' AND s.turn % 5 = 3 AND c.turn <= s.turn)""", "classes")
 def delete_closure(p: Projection) -> DataFrame:
-    f = p.functions().select("id", "path")
-    return graph.delete_reachable(f.select("id"), p.calls(SPARSE), f.where(F.col("path") == "Brand#1").select("id"))
+    """What is left when some classes and all that they extend, directly or not, go."""
+    c = p.classes()
+    return graph.delete_reachable(c.select("id"), p.inherits(), c.where("path = 'assistant' AND turn % 5 = 3").select("id"))
 
 
 @query("""SELECT src_id, dst_id, line_number FROM calls WHERE src_id NOT IN (SELECT id FROM functions WHERE path = 'Brand#1') AND dst_id NOT IN (SELECT id FROM functions WHERE path = 'Brand#1')""", "functions", "calls")
@@ -182,9 +183,9 @@ def resolve_symbol(p: Projection) -> DataFrame:
 
 
 @query("""SELECT DISTINCT s.id AS src_id, d.id AS dst_id, c.line_number FROM parsed_calls c JOIN resolved r USING (path, name)
-  JOIN functions s ON s.path = c.path AND s.name = c.caller_name JOIN functions d ON d.path = r.resolved_path AND d.name = c.name""", "functions", "sparse", "named_imports", "parsed_calls", "resolved")
+  JOIN functions s ON s.path = c.path AND s.name = c.caller_name JOIN functions d ON d.path = r.resolved_path AND d.name = c.name""", "functions", "calls", "named_imports", "parsed_calls", "resolved")
 def link_calls(p: Projection) -> DataFrame:
-    return resolve.link_calls(p.parsed_calls(SPARSE), p.named_imports(), p.functions(), p.symbols())
+    return resolve.link_calls(p.parsed_calls(), p.named_imports(), p.functions(), p.symbols())
 
 
 @query("""SELECT DISTINCT a.id AS src_id, b.id AS dst_id FROM functions a JOIN functions b ON b.name = string_split(a.name, ' ')[1] || ' widget' WHERE a.id <> b.id""", "functions")
@@ -205,11 +206,11 @@ def fulltext(p: Projection) -> DataFrame:
 
 
 _SQL["fulltext"] = _SQL["fulltext"].replace("\nSELECT docs.label", r""", docs0 AS (SELECT *, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '') AS words
-  FROM (SELECT 'Function' AS label, name, path, line_number FROM functions UNION ALL SELECT 'Class', name, path, line_number FROM classes))
+  FROM (SELECT 'Function' AS label, name, path, line_number FROM functions UNION ALL SELECT 'Class', name, path, line_number FROM classes UNION ALL SELECT 'Variable', s_name, 'Supplier', s_suppkey FROM supplier))
 SELECT docs.label""", 1)
 
 
-@query("""SELECT label, name, path, line_number, CAST(NULL AS DOUBLE) AS score FROM (SELECT 'Function' AS label, name, path, line_number FROM functions UNION ALL SELECT 'Class', name, path, line_number FROM classes)
+@query("""SELECT label, name, path, line_number, CAST(NULL AS DOUBLE) AS score FROM (SELECT 'Function' AS label, name, path, line_number FROM functions UNION ALL SELECT 'Class', name, path, line_number FROM classes UNION ALL SELECT 'Variable', s_name, 'Supplier', s_suppkey FROM supplier)
   WHERE contains(name, 'pla') ORDER BY 1, 2, 3, 4 LIMIT 100""", "functions", "classes")
 def contains_search(p: Projection) -> DataFrame:
     out = search.contains_search(search.symbols(p.graph_tables()), "pla", 100)
@@ -342,9 +343,16 @@ def cypher_dead_code(p: Projection) -> DataFrame:
     return cypher.run(p.spark, tables, text)
 
 
+def _all() -> None:
+    """Register the queries of the other modules, which use what is above."""
+    from repolens import queries_source, queries_store  # noqa: F401, PLC0415
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return {name: (lambda spark, sf_dir, f=f: f(Projection(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
