@@ -19,13 +19,17 @@ from repolens.sources.store import SnapshotStore
 from repolens.streaming.watch import Watcher
 
 
+#: A call by name that has more rows is an error, never a part of the result.
+MOST_ROWS = 100_000
+
+
 class Lens:
     """One snapshot store and everything that can be asked of it."""
 
-    def __init__(self, spark: SparkSession, path: str, generator: Generator | None = None, embed: Callable[[str], list[float]] | None = None, slots: int = 16) -> None:
+    def __init__(self, spark: SparkSession, path: str, generator: Generator | None = None, embed: Callable[[str], list[float]] | None = None, slots: int = 16, same_repo: bool = False) -> None:
         self.spark, self.generator, self.embed = spark, generator, embed or HashingEmbedder()
         self.store = SnapshotStore(spark, path)
-        self.indexer = Indexer(spark, self.store, generator, self.embed, slots)
+        self.indexer = Indexer(spark, self.store, generator, self.embed, slots, same_repo)
         self._watcher: Watcher | None = None
 
     @property
@@ -118,7 +122,10 @@ class Lens:
                 raise ValueError(f"unknown tool: {tool}")
             result = getattr(self, tool)(**(arguments or {}))
             if isinstance(result, DataFrame):
-                result = [json.loads(x) for x in result.toJSON().collect()]
+                rows = result.toJSON().take(MOST_ROWS + 1)
+                if len(rows) > MOST_ROWS:
+                    raise ValueError(f"the result has more than {MOST_ROWS} rows; ask for a part with SKIP and LIMIT")
+                result = [json.loads(x) for x in rows]
             return json.dumps(result, indent=2, default=str, ensure_ascii=False)
         except Exception as e:  # noqa: BLE001  a tool's caller gets every failure as a result
             return json.dumps({"error": str(e)})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +32,54 @@ def cosine_score(a: Column, b: Column) -> Column:
     return (cosine(a, b) + 1) / 2
 
 
+def mean_pooled(states: Column, mask: Column) -> Column:
+    """The mean of the vectors that ``mask`` marks with 1, scaled to length 1; empty without any, or for a mean of length 0.
+
+    ``states`` is an array of vectors of one length, one a token, ``mask`` an array of 0 and 1 of as many entries.
+    """
+    kept = F.transform(F.filter(F.arrays_zip(states.alias("s"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["s"])
+    add = lambda a, b: F.when(F.size(a) == 0, F.transform(b, lambda x: x.cast("double"))).otherwise(F.zip_with(a, b, lambda x, y: x + y.cast("double")))
+    total = F.aggregate(kept, F.array().cast("array<double>"), add)
+    size = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(size > 0, F.transform(total, lambda x: x / size)).otherwise(F.array().cast("array<double>"))
+
+
+class OnnxEmbedder:
+    """A sentence model from files: token states of an ONNX model, mean-pooled over the tokens and scaled to length 1.
+
+    Both files must be where the tasks run.  The model is loaded once a process, at the first text.  Needs the packages
+    ``onnxruntime`` and ``tokenizers``.
+    """
+
+    def __init__(self, model: str, tokenizer: str, most_tokens: int = 256) -> None:
+        self.model, self.tokenizer, self.most_tokens = model, tokenizer, most_tokens
+
+    def __call__(self, text: str | None) -> list[float]:
+        session, tokenizer = _loaded(self.model, self.tokenizer, self.most_tokens)
+        made = tokenizer.encode(text or "")
+        given = {"input_ids": made.ids, "attention_mask": made.attention_mask, "token_type_ids": made.type_ids}
+        names = {x.name for x in session.get_inputs()}
+        states = session.run(None, {k: np.array([v], np.int64) for k, v in given.items() if k in names})[0][0]
+        return pooled(np.asarray(states), np.array(made.attention_mask))
+
+
+def pooled(states: np.ndarray, mask: np.ndarray) -> list[float]:
+    """As ``mean_pooled``, for one text's array of token states."""
+    total = states[mask == 1].sum(axis=0, dtype=np.float64) if (mask == 1).any() else np.zeros(0)
+    size = float(np.sqrt((total * total).sum()))
+    return (total / size).tolist() if size else []
+
+
+@functools.cache
+def _loaded(model: str, tokenizer: str, most_tokens: int):  # noqa: ANN202
+    import onnxruntime  # noqa: PLC0415
+    from tokenizers import Tokenizer  # noqa: PLC0415
+
+    made = Tokenizer.from_file(tokenizer)
+    made.enable_truncation(most_tokens)
+    return onnxruntime.InferenceSession(model), made
+
+
 class HashingEmbedder:
     """Word and part-word features hashed into ``dimensions`` signed sums, scaled to length 1.
 

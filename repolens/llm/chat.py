@@ -68,8 +68,8 @@ def must_escape(role: Column, text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_mask: the rendered conversation and, for each turn, the (offset, length) within the
-    rendered turn that the loss covers, null for turns it skips.
+    """conv_id, formatted, loss_mask, turns: the rendered conversation; for each turn the (offset, length) within the
+    rendered turn that the loss covers, null for turns it skips; and what the parser reads back.
 
     A row decides by itself whether it is escaped; its text is gathered once, and rendered where it is put together.
     """
@@ -83,8 +83,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     span = lambda x: F.struct(start(x).alias("start"), F.char_length(shown(x)).alias("length"))
     mask = F.transform("rows", lambda x: F.when(x["role"] == "assistant", span(x)))
     made = grouped.select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"), F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"))
-    same = parse(F.col("formatted")).eqNullSafe(F.col("source"))
-    return made.select("conv_id", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back"))).alias("formatted"), "loss_mask")
+    made = made.withColumn("turns", parse(F.col("formatted")))
+    checked = F.when(F.col("turns").eqNullSafe(F.col("source")), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back")))
+    return made.select("conv_id", checked.alias("formatted"), "loss_mask", "turns")
 
 
 def masked_text(formatted: Column, loss_mask: Column) -> Column:
@@ -110,9 +111,7 @@ def conversations_with_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: every figure is read back from the formatted output."""
     made = format_conversations(conversations_with_probe(spark, sf_dir))
-    back = made.select(
-        "conv_id", "formatted", parse(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss")
-    )
+    back = made.select("conv_id", "formatted", "turns", masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

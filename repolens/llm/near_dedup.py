@@ -353,7 +353,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with arrow_batches(docs.sparkSession):
         rows, classes = _nodes(docs, k, percent)
         least = classes.groupBy("comp").agg(F.min("least").alias("component"))
-        of_class = materialise(classes.join(least, "comp").select("class", "component", "n_rows"), "near-of-class")
+        of_class = materialise(spread_join(classes, materialise(least, "near-least"), ["comp"], by="class").select("class", "component", "n_rows"), "near-of-class")
         sizes = of_class.select("class", F.col("n_rows").alias("n"))
         some = spread_join(rows.where("n_shingles > 0"), of_class.drop("n_rows"), ["class"], by="pick", counts=sizes)
     every = some.unionByName(rows.where("n_shingles = 0").withColumn("component", F.col("doc_id")))
@@ -370,7 +370,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     with arrow_batches(docs.sparkSession):
         rows, classes = _nodes(docs, k, percent)
         groups = classes.groupBy("comp").agg(F.sum("n_rows").alias("total")).where("total > 1")
-        many = materialise(classes.join(groups, "comp").select("class", "comp", "n_rows", "total"), "near-many")
+        many = spread_join(classes, materialise(groups, "near-groups"), ["comp"], by="class")
+        many = materialise(many.select("class", "comp", "n_rows", "total"), "near-many")
         sizes = many.select("class", F.col("n_rows").alias("n"))
         own = spread_join(rows.where("n_shingles > 0"), many.select("class", "comp", "total"), ["class"], by="pick", counts=sizes)
         own = materialise(own.groupBy("comp", "total", "doc_id", "pick").agg(F.count("*").alias("times")), "near-own")

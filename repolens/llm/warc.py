@@ -172,18 +172,19 @@ def _parts(spark: SparkSession, paths: list[str], keep: bool) -> DataFrame:
 def reachable(links: DataFrame) -> DataFrame:
     """file, at: the offsets on the chain from 0, by pointer jumping over (file, at, next).
 
-    After round k the set holds the first 2^k records of each chain and the pointers span 2^k records.
+    After round k the set holds the first 2^k records of each chain and the pointers span 2^k records.  The joins are by
+    sorting in every round: links as a whole are never broadcast, however few a round has.
     """
     most = links.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     found = links.where("at = 0").select("file", "at")
     rounds = max(0, most - 1).bit_length()
     for k in range(rounds):
-        jumped = found.join(links, ["file", "at"]).select("file", F.col("next").alias("at"))
+        jumped = found.hint("merge").join(links, ["file", "at"]).select("file", F.col("next").alias("at"))
         found = materialise(found.unionByName(jumped), "warc-found")
         if k == rounds - 1:
             break
         ahead = links.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
-        links = materialise(links.join(ahead, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "warc-links")
+        links = materialise(links.hint("merge").join(ahead, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "warc-links")
     return found
 
 

@@ -93,16 +93,16 @@ def stats(tables: dict[str, DataFrame], repo_path: str | None = None) -> DataFra
     """One row: repositories, files, functions, classes, variables, relationships.
 
     Interfaces count as classes; parameters and modules do not count.  With a repository only its own nodes count, and
-    relationships from nodes that belong to it.
+    relationships from nodes that belong to it.  Every table is counted by itself and read once, without what a count does
+    not need.
     """
-    nodes, edges = all_nodes(tables), all_edges(tables)
-    if repo_path is not None:
-        nodes = nodes.where((F.col("repo_path") == repo_path) | ((F.col("label") == "Repository") & (F.col("path") == repo_path)))
-        edges = edges.where(F.col("repo_path") == repo_path)
-    wanted = ("Repository", "File", "Function", "Class", "Variable")
     names = ("repositories", "files", "functions", "classes", "variables")
-    counts = nodes.agg(*[F.coalesce(F.count_if(F.col("label") == k), F.lit(0)).cast("long").alias(v) for k, v in zip(wanted, names, strict=True)])
-    return counts.crossJoin(edges.agg(F.count("*").cast("long").alias("relationships")))  # one row each
+    owner = {t: "path" if t == "repositories" else "repo_path" for t in names}
+    own = lambda df, c: df if repo_path is None else df.where(F.col(c) == repo_path)
+    parts = [own(tables[t], owner[t]).agg(F.count("*").alias("n")).select(F.lit(t).alias("kind"), "n") for t in names]
+    parts.append(own(all_edges(tables), "repo_path").agg(F.count("*").alias("n")).select(F.lit("relationships").alias("kind"), "n"))
+    counts = reduce(DataFrame.unionByName, parts)
+    return counts.agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("long").alias(k) for k in (*names, "relationships")])
 
 
 def list_repositories(repositories: DataFrame) -> DataFrame:
@@ -131,6 +131,8 @@ def delete_files(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, Da
         kept = tables[t].join(dead.select(F.col("id").alias("src_id")), "src_id", "left_anti")
         out[t] = kept.join(dead.select(F.col("id").alias("dst_id")), "dst_id", "left_anti").select(*tables[t].columns)
     out = {t: df.select(*tables[t].columns) for t, df in out.items()}
+    if "name_postings" in tables:
+        out["name_postings"] = gone(tables["name_postings"]).select(*tables["name_postings"].columns)
     used = out["imports"].select(F.col("module").alias("name")).distinct()
     return out | {"modules": tables["modules"].join(used, "name", "left_semi")}
 

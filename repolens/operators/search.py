@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions.text import display_name, kind_of_label, tokens
-from repolens.functions.vectors import cosine_score
+from repolens.functions.vectors import cosine_score, dot
 
 K1, B = 1.2, 0.75
 SYMBOL_TABLES = {"functions": "Function", "classes": "Class", "variables": "Variable"}
@@ -25,38 +25,45 @@ def symbols(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def postings(docs: DataFrame, text: str = "name") -> tuple[DataFrame, DataFrame]:
-    """(doc, term, tf) and (doc, length) of ``docs`` with a key column ``doc``: the inverted index and document lengths."""
-    words = docs.select("doc", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    index = words.select("doc", F.explode("words").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    return index, words.select("doc", F.size("words").alias("length"))
+_DOC = ("label", "labels", "name", "path", "line_number")
 
 
-def bm25(index: DataFrame, lengths: DataFrame, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """doc, score of the documents that hold any of the terms."""
+def name_postings(found: DataFrame) -> DataFrame:
+    """The inverted index of symbols' names (``schema.INDEXES``): for each symbol its words, how often each occurs and how
+    many there are, and a row of the empty word."""
+    docs = found.dropDuplicates(["label", "name", "path", "line_number"])
+    words = docs.select(*_DOC, tokens(F.coalesce("name", F.lit(""))).alias("words"))
+    times = lambda w: F.size(F.filter("words", lambda x: x == w)).cast("long")
+    terms = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), times(w).alias("tf")))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")))
+    rows = words.select(*_DOC, F.size("words").cast("long").alias("length"), F.explode(F.concat(whole, terms)).alias("t"))
+    return rows.select("t.term", *_DOC, "t.tf", "length")
+
+
+def bm25(index: DataFrame, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """The symbols of an index that hold any of the terms, with their score."""
     hit = index.where(F.col("term").isin(sorted(set(terms))))
-    total = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    total = index.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # both sides of these joins are one row, or one row per query term
-    rows = hit.join(F.broadcast(df), "term").join(lengths, "doc").crossJoin(F.broadcast(total))
+    # one row, and one row per query term
+    rows = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return rows.groupBy("doc").agg(F.sum(part).alias("score"))
+    return rows.groupBy(*_DOC).agg(F.sum(part).alias("score"))
 
 
 def fulltext(tables: dict[str, DataFrame], query: str, limit: int | None = 20) -> DataFrame:
     """labels, name, path, line_number, score of symbols whose name matches any word of the query, best first; without a
     limit all of them, in no order.
 
-    A query without a word falls back to names that contain it, with a null score.
+    A query without a word falls back to names that contain it, with a null score.  The index that a store keeps
+    (``name_postings``) is read where it is among the tables: only the rows of the query's words.
     """
     found = symbols(tables)
     words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split() if w]
     if not words:
         return contains_search(found, query, limit)
-    keyed = found.withColumn("doc", F.struct("label", "name", "path", "line_number"))
-    scores = bm25(*postings(keyed.dropDuplicates(["doc"])), words)
-    out = keyed.dropDuplicates(["doc"]).join(scores, "doc")
+    out = bm25(tables["name_postings"] if "name_postings" in tables else name_postings(found), words)
     if limit is not None:
         out = out.orderBy(F.col("score").desc(), "label", "name", "path", "line_number").limit(limit)
     return out.select("labels", "name", "path", "line_number", "score")
@@ -77,6 +84,50 @@ def vector_topk(docs: DataFrame, query: list[float] | Column, limit: int, embedd
     return scored.orderBy(F.col("score").desc(), *order).limit(limit)
 
 
+class VectorIndex:
+    """Vectors in buckets by the sides of random planes, kept as one folder a bucket.
+
+    A search reads the ``probes`` buckets that lie nearest to the query, those across the planes that it is closest to
+    first, and compares exactly there; with all buckets as probes it is exact.  Recall for fewer is for the user to measure:
+    ``recall`` does.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, dimensions: int, planes: int = 6, seed: int = 17) -> None:
+        import random  # noqa: PLC0415
+
+        rng = random.Random(seed)
+        self.spark, self.path, self.dimensions = spark, path, dimensions
+        self.planes = [[rng.gauss(0, 1) for _ in range(dimensions)] for _ in range(planes)]
+
+    def bucket(self, vector: Column) -> Column:
+        """A bit for each plane: the side that the vector is on."""
+        side = lambda p: dot(vector, F.array(*[F.lit(x) for x in p])) >= 0
+        return sum((F.when(side(p), 1 << k).otherwise(0) for k, p in enumerate(self.planes)), F.lit(0))
+
+    def write(self, rows: DataFrame, embedding: str = "embedding") -> None:
+        """Index the rows that have a vector of the index's dimensions."""
+        some = rows.where(F.size(embedding) == self.dimensions)
+        # whole buckets to a task, but a large one is split by its bytes
+        some.withColumn("bucket", self.bucket(F.col(embedding))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(self.path)
+
+    def near(self, query: list[float], probes: int) -> list[int]:
+        """The buckets to read: those with the least sum of distances to the planes that lie between."""
+        sides = [sum(a * b for a, b in zip(p, query, strict=True)) for p in self.planes]
+        far = lambda bucket: sum(abs(s) for k, s in enumerate(sides) if (s >= 0) != bool(bucket >> k & 1))
+        return sorted(range(1 << len(self.planes)), key=lambda b: (far(b), b))[:probes]
+
+    def topk(self, query: list[float], limit: int, probes: int = 8, order: tuple[str, ...] = (), embedding: str = "embedding") -> DataFrame:
+        rows = self.spark.read.parquet(self.path).where(F.col("bucket").isin(self.near(query, probes)))
+        return vector_topk(rows, query, limit, embedding, order).drop("bucket")
+
+    def recall(self, queries: list[list[float]], limit: int, probes: int, key: str, embedding: str = "embedding") -> float:
+        """The share of the exact nearest that a search with so many probes finds."""
+        names = lambda q, n: {r[key] for r in self.topk(q, limit, n, (key,), embedding).select(key).collect()}
+        exact = [names(q, 1 << len(self.planes)) for q in queries]
+        hit = sum(len(a & names(q, probes)) for a, q in zip(exact, queries, strict=True))
+        return hit / max(1, sum(len(a) for a in exact))
+
+
 #: The tables whose rows may have vectors, and their labels.
 VECTOR_TABLES = {"functions": "Function", "classes": "Class", "variables": "Variable", "files": "File", "directories": "Directory"}
 

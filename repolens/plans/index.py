@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from repolens.functions.parsers import parse
 from repolens.functions.parsers.tokens import MAX_SOURCE
 from repolens.functions.text import basename, dirname, symbol_id
-from repolens.operators import graph, resolve
+from repolens.operators import graph, resolve, search
 from repolens.operators.traverse import durable, swept
 from repolens.plans import describe
 from repolens.sources.files import exists, read_sources
@@ -209,6 +209,11 @@ class Indexer:
         repo = self.spark.createDataFrame([(root, root.rpartition("/")[2])], NODES["repositories"])
         out["repositories"] = graph.upsert_nodes(tables["repositories"], repo, ["path"])
         out = {t: durable(df) for t, df in out.items()}
+        if "name_postings" in base:  # what the changed files hold has left it
+            fresh = search.symbols({t: made[t] for t in search.SYMBOL_TABLES})
+            out["name_postings"] = durable(base["name_postings"].unionByName(search.name_postings(fresh)))
+        else:
+            out["name_postings"] = durable(search.name_postings(search.symbols(out)))
         out |= self._described(out, dirty)
         self.store.publish(out | self.relinked(out, tables, base, dirty.select("path").unionByName(gone).distinct()))
 

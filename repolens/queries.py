@@ -34,6 +34,10 @@ def query(sql: str, *parts: str, recursive: bool = False) -> Callable[[Query], Q
     return add
 
 
+def sql_of(name: str) -> str:
+    return _SQL[name]
+
+
 def _chain(df: DataFrame) -> DataFrame:
     return df.select(F.col("length").cast("long").alias("length"), F.array_join("names", ">").alias("chain"))
 

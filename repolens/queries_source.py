@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.functions.parsers import EXTENSIONS
 from repolens.operators import graph
 from repolens.plans.index import parse_files, prescan, tables_of
 from repolens.plans.projections import CODE_ROOT, Projection
@@ -149,7 +148,6 @@ def parse_dispatch(p: Projection) -> DataFrame:
     every = p.ts_sources().select("path", "source").unionByName(p.php_files().select("path", "source")).unionByName(p.sources())
     every = every.unionByName(p.table("nation").select(F.concat(F.lit("/x/"), "n_name", F.lit(".py")).alias("path"), F.lit("def f(): pass").alias("source")))
     ext = F.regexp_extract("path", r"([a-z]+)$", 1)
-    assert {f".{x}" for x in ("ts", "php", "js")} <= set(EXTENSIONS)
     return parse_files(every).groupBy(ext.alias("path"), "lang").agg(F.count("*").alias("n"))
 
 

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import text
-from repolens.functions.vectors import HashingEmbedder, dot
+from repolens.functions.vectors import HashingEmbedder, dot, mean_pooled
 from repolens.operators import analyze, graph, resolve, search
-from repolens.operators.traverse import shared_folder
+from repolens.operators.traverse import durable, shared_folder
 from repolens.plans import ask, cypher, describe
 from repolens.plans.index import carry_over
 from repolens.plans.projections import Projection
-from repolens.queries import NAME, query
+from repolens.queries import NAME, query, sql_of
+from repolens.sources.files import fits_globs
 from repolens.sources.schema import TABLES
 from repolens.sources.store import SnapshotStore, duplicates
-from repolens.streaming.watch import relevant
+from repolens.streaming.watch import debounced, relevant
 
 # -- lookups and upkeep -------------------------------------------------------------------------------
 
@@ -123,6 +124,35 @@ def relevant_changes(p: Projection) -> DataFrame:
     return relevant(p.table("events").select("event_id", "user_id", path.alias("path"))).select("event_id", "user_id")
 
 
+@query("SELECT name, CASE name WHEN 'modules' THEN (SELECT count(DISTINCT p_type) FROM part) ELSE CAST(0 AS BIGINT) END AS n FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") v(name)")
+def ensure_schema(p: Projection) -> DataFrame:
+    """A store with one table gets the others; none has a key twice or columns of another type."""
+    store = SnapshotStore(p.spark, f"{shared_folder(p.spark)}/store-{uuid.uuid4().hex}")
+    store.publish({"modules": p.table("part").select(F.col("p_type").alias("name")).distinct()})
+    found = store.ensure_schema()
+    return p.spark.createDataFrame([(x["table"], x["rows"]) for x in found if not x["twice"] and not x["odd"]], "name string, n long")
+
+
+_PATHS = ("src/a.test.ts", "lib/x.js", "src/deep/er/b.tsx", "src/a.d.ts", "b.ts", "src/deep/node_modules/c.ts")
+
+
+@query("""SELECT event_id, event_id % 6 IN (0, 2, 4) AS fits FROM events""")
+def glob_paths(p: Projection) -> DataFrame:
+    """Paths against globs and globs to ignore."""
+    rel = F.element_at(F.array(*[F.lit(x) for x in _PATHS]), (F.col("event_id") % 6 + 1).cast("int"))
+    return p.table("events").select("event_id", fits_globs(rel, ["src/**/*.{ts,tsx}", "[a-c].ts"], ["**/node_modules/**", "**/*.d.ts"]).alias("fits"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '/base/u/' || user_id || '.Tar.gz' WHEN 1 THEN '/' || event_type WHEN 2 THEN '/base/.hidden' ELSE '/' END AS whole, CASE event_id % 4 WHEN 0 THEN '.gz' WHEN 1 THEN '' WHEN 2 THEN '' ELSE '' END AS ext,
+  CASE event_id % 4 WHEN 0 THEN '../u/' || user_id || '.Tar.gz' WHEN 1 THEN '../../' || event_type WHEN 2 THEN '../.hidden' ELSE '../..' END AS way FROM events""")
+def path_forms(p: Projection) -> DataFrame:
+    """Absolute paths, extensions, and ways from one directory."""
+    case = F.col("event_id") % 4
+    raw = F.when(case == 0, F.concat(F.lit("./u//x/../"), F.col("user_id").cast("string"), F.lit(".Tar.gz"))).when(case == 1, F.concat(F.lit("/../a/.././"), F.col("event_type"))).when(case == 2, ".hidden").otherwise("../../..")
+    whole = text.resolved(raw, "/base")
+    return p.table("events").select("event_id", whole.alias("whole"), text.extension(whole).alias("ext"), text.relative(whole, "/base/code").alias("way"))
+
+
 # -- linking ------------------------------------------------------------------------------------------
 
 
@@ -246,6 +276,35 @@ def shown_names(p: Projection) -> DataFrame:
     )
 
 
+@query("""SELECT vec_id, CAST(len(v) AS INTEGER) AS dimensions, round(v[1] / norm, 4) AS first, round(v[16] / norm, 4) AS last FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM (
+  SELECT vec_id, list_transform(range(1, 17), lambda j: list_sum(list_transform(list_filter(range(0, 4), lambda i: (vec_id + i) % 3 <> 0), lambda i: CAST(embedding[i * 16 + j] AS DOUBLE)))) AS v FROM embeddings))""")
+def mean_pooled_vectors(p: Projection) -> DataFrame:
+    """Each vector as four token states of 16 numbers, of which a mask leaves some out: their mean, scaled to length 1."""
+    states = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((F.col("vec_id") + i) % 3 != 0).cast("int"))
+    rows = p.table("embeddings").select("vec_id", mean_pooled(states, mask).alias("v"))
+    return rows.select("vec_id", F.size("v").alias("dimensions"), F.round(F.element_at("v", 1), 4).alias("first"), F.round(F.element_at("v", 16), 4).alias("last"))
+
+
+@query(sql_of("fulltext"))
+def fulltext_indexed(p: Projection) -> DataFrame:
+    """The same search from a stored index."""
+    tables = p.graph_tables()
+    tables["name_postings"] = durable(search.name_postings(search.symbols(tables)))
+    out = search.fulltext(tables, NAME, 100)
+    return out.select(F.element_at("labels", 1).alias("label"), "name", "path", "line_number", F.round("score", 6).alias("score"))
+
+
+@query(sql_of("vector_topk"))
+def vector_indexed(p: Projection) -> DataFrame:
+    """The nearest vectors from an index by random planes, all of its buckets read."""
+    e = p.table("embeddings")
+    index = search.VectorIndex(p.spark, f"{shared_folder(p.spark)}/vectors-{uuid.uuid4().hex}", 64)
+    index.write(e)
+    first = e.where("vec_id = 0").select("embedding").first()
+    return index.topk(list(first[0]), 10, 1 << len(index.planes), ("vec_id",)).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
 @query(f"""SELECT s.name AS caller_name, s.path AS caller_path, s.line_number AS caller_line, c.line_number AS call_line FROM calls c JOIN functions s ON s.id = c.src_id JOIN functions d ON d.id = c.dst_id WHERE d.name = '{NAME}'
   ORDER BY 2, 3, 1, 4 LIMIT 20""", "functions", "calls")
 def analyze_by_name(p: Projection) -> DataFrame:
@@ -308,3 +367,88 @@ def cypher_vector_union(p: Projection) -> DataFrame:
     union = " UNION ".join(f"CALL db.index.vector.queryNodes('{k}_embeddings', 15, $v) YIELD node, score RETURN node, score" for k in ("function", "class", "variable", "file", "directory"))
     out = cypher.run(p.spark, tables, f"CALL {{ {union} }} RETURN node.name AS name, toLower(labels(node)[0]) AS kind, score ORDER BY score DESC, name LIMIT 15", {"v": list(e.where("vec_id = 0").select("embedding").first()[0])})
     return out.withColumn("score", F.round("score", 6))
+
+
+# -- whole runs ---------------------------------------------------------------------------------------
+
+
+@query("""SELECT name, CASE name WHEN 'repositories' THEN 1 WHEN 'functions' THEN 10 * n WHEN 'classes' THEN 3 * n WHEN 'variables' THEN 4 * n WHEN 'imports' THEN 5 * n WHEN 'directories' THEN d + 1 WHEN 'after' THEN 0 ELSE n END AS n
+  FROM (SELECT CAST(count(*) AS BIGINT) AS n, count(DISTINCT s_nationkey) AS d FROM supplier), (VALUES ('repositories'), ('files'), ('functions'), ('classes'), ('variables'), ('imports'), ('calls'), ('inherits'), ('implements'), ('directories'), ('completed'), ('after')) v(name)""")
+def index_run(p: Projection) -> DataFrame:
+    """A directory of files indexed from disk, links and job included: the rows of each table, the files that the job names,
+    and what is left when all is deleted.
+
+    Of a file's calls one finds a function, in the same file; of its bases and interfaces those that the file itself has.
+    """
+    from repolens.api import Lens  # noqa: PLC0415
+
+    root = f"{shared_folder(p.spark)}/code-{uuid.uuid4().hex}"
+    files = p.ts_sources().select("rel", "source").toLocalIterator()  # files are what this starts from
+    path = p.spark._jvm.org.apache.hadoop.fs.Path
+    for r in files:
+        target = path(f"{root}/{r['rel']}")
+        with_fs = target.getFileSystem(p.spark._jsc.hadoopConfiguration())
+        out = with_fs.create(target, True)
+        out.write(bytearray(r["source"].encode()))
+        out.close()
+    lens = Lens(p.spark, f"{root}-store")
+    job = lens.add_code_to_graph(root)
+    tables = lens.tables()
+    names = ("repositories", "files", "functions", "classes", "variables", "imports", "calls", "inherits", "implements", "directories")
+    rows = [(t, tables[t].count()) for t in names] + [(job["status"], job["files_processed"])]
+    lens.delete_repository(all=True)
+    return p.spark.createDataFrame([*rows, ("after", sum(lens.tables()[t].count() for t in names))], "name string, n long")
+
+
+@query("""SELECT '12 blocks' AS answer, 'function' AS kind, 'v' || vec_id AS name, '/e' AS path, CAST(vec_id AS INTEGER) AS line_number, 'about ' || vec_id AS description FROM embeddings
+  ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) DESC, vec_id LIMIT 12""")
+def ask_sources(p: Projection) -> DataFrame:
+    """A question answered from the twelve nearest symbols; the answer counts the blocks of its prompt."""
+    e = p.table("embeddings")
+    number = F.col("vec_id").cast("string")
+    rows = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), number).alias("name"), F.lit("/e").alias("path"), F.col("vec_id").cast("int").alias("line_number"), F.concat(F.lit("about "), number).alias("description"), "embedding")
+    tables = {t: p.spark.createDataFrame([], TABLES[t]) for t in TABLES}
+    tables["functions"] = rows.withColumn("source", F.lit("x")).withColumn("repo_path", F.lit(None).cast("string"))
+    near = list(e.where("vec_id = 0").select("embedding").first()[0])
+    found = ask.ask(tables, "what is near?", lambda _: near, lambda prompt, most: f"{prompt.count('### ')} blocks")  # noqa: ARG005
+    rows = [(found["answer"], s["kind"], s["name"], s["path"], s["line_number"], s["description"]) for s in found["sources"]]
+    return p.spark.createDataFrame(rows, "answer string, kind string, name string, path string, line_number int, description string")
+
+
+_ASKED = ("SELECT 1 AS drop_me", "  select count(*) from q_guard", "DROP TABLE q_guard", "INSERT INTO q_guard VALUES (1)", "CREATE VIEW x AS SELECT 1", "DELETE FROM q_guard", "WITH a AS (SELECT 1) SELECT * FROM a", "SET spark.x = 1")
+
+
+@query("SELECT text, text NOT LIKE '%SELECT 1 AS drop_me%' AND text NOT LIKE '%select count%' AND text NOT LIKE 'WITH%' AS refused FROM (VALUES " + ", ".join(f"('{x}')" for x in _ASKED) + ") v(text)")
+def read_only_guard(p: Projection) -> DataFrame:
+    """Which statements are refused: what their plans do decides, not their first word."""
+    search.register_views({"guard": p.table("region")}, "q_")
+
+    def refused(text: str) -> bool:
+        try:
+            search.read_only_sql(p.spark, text)
+        except PermissionError:
+            return True
+        return False
+
+    return p.spark.createDataFrame([(x, refused(x)) for x in _ASKED], "text string, refused boolean")
+
+
+@query("SELECT component, status FROM (VALUES ('engine', 'ok'), ('generator', 'skipped'), ('embedder', 'ok')) v(component, status)")
+def health(p: Projection) -> DataFrame:
+    from repolens.api import Lens  # noqa: PLC0415
+
+    found = Lens(p.spark, f"{shared_folder(p.spark)}/store-{uuid.uuid4().hex}").doctor()
+    return p.spark.createDataFrame([(x["component"], x["status"]) for x in found], "component string, status string")
+
+
+@query(f"""SELECT path, op, session_end, n_events FROM ({sql_of("watch_sessions")}) WHERE session_end <= (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') FROM events)""")
+def watch_stream(p: Projection) -> DataFrame:
+    """The sessions of changes as a stream gives them: those that the watermark has closed."""
+    events = p.table("events")
+    stream = p.spark.readStream.schema(events.schema).parquet(f"{p.sf_dir}/events.parquet")
+    stream = stream.select(F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("op"), F.col("ts").cast("timestamp").alias("event_time"), F.col("event_id").alias("seq"))
+    place = f"{shared_folder(p.spark)}/stream-{uuid.uuid4().hex}"
+    writer = debounced(stream, "2 hours", "0 seconds").writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{place}/state")
+    writer.trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    out = p.spark.read.parquet(f"{place}/out")
+    return out.select("path", "op", F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_end"), "n_events")

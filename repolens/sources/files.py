@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,10 +85,48 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
 
 
-def glob(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, length, modified of the files under ``root`` whose name fits a glob; contents are not read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return df.select(plain(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("modified"))
+def glob_regex(pattern: str) -> str:
+    """A regular expression over whole relative paths for a glob: ``*`` and ``?`` within a name, ``**/`` for any directories,
+    ``{a,b}`` for either, ``[a-c]`` and ``[!a-c]`` for characters."""
+    out, i, braces = "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 2
+        elif pattern.startswith("**", i):
+            out, i = out + ".*", i + 1
+        elif c == "*":
+            out += "[^/]*"
+        elif c == "?":
+            out += "[^/]"
+        elif c == "{" and "}" in pattern[i:]:
+            out, braces = out + "(?:", braces + 1
+        elif c in ",}" and braces:
+            out, braces = out + ("|" if c == "," else ")"), braces - (c == "}")
+        elif c == "[" and "]" in pattern[i + 1 :]:
+            end = pattern.index("]", i + 1)
+            out, i = out + "[" + pattern[i + 1 : end].replace("!", "^", 1) + "]", end
+        else:
+            out += re.escape(c)
+        i += 1
+    return f"^{out}$"
+
+
+def fits_globs(rel: Column, patterns: list[str], ignore: list[str] | None = None) -> Column:
+    """Whether a relative path fits any of the globs and none of the ignored ones."""
+    any_of = lambda globs: reduce(lambda a, b: a | b, [rel.rlike(glob_regex(g)) for g in globs], F.lit(False))
+    return any_of(patterns) & ~any_of(ignore or [])
+
+
+def glob(spark: SparkSession, root: str, patterns: str | list[str] = "**/*", ignore: list[str] | None = None, absolute: bool = True) -> DataFrame:
+    """path, length, modified of the files under ``root`` whose path from there fits a glob and none of ``ignore``; contents
+    are not read.  With ``absolute`` false paths are stated from ``root`` on."""
+    base = root.rstrip("/") + "/"
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    df = df.select(plain(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("modified"))
+    rel = F.when(F.col("path").startswith(base), F.substr("path", F.lit(len(base) + 1))).otherwise(F.col("path"))
+    df = df.where(fits_globs(rel, [patterns] if isinstance(patterns, str) else patterns, ignore))
+    return df if absolute else df.withColumn("path", rel)
 
 
 def plain(path: Column) -> Column:

@@ -42,6 +42,9 @@ EDGES = {
 #: Calls as parsed, kept to link again when other files change.
 BRONZE = {"parsed_calls": "path string, name string, line_number int, args array<string>, caller_name string, caller_line_number int, full_call_name string, inferred_obj_type string, repo_path string"}
 TABLES = NODES | EDGES | BRONZE
+#: Indexes over node tables, which a store keeps beside them: the words of symbols' names, sorted by word in each file; a row
+#: of the empty word stands for each symbol.
+INDEXES = {"name_postings": "term string, label string, labels array<string>, name string, path string, line_number long, tf long, length long"}
 LABELS = {"repositories": "Repository", "directories": "Directory", "files": "File", "functions": "Function", "classes": "Class", "variables": "Variable", "modules": "Module", "parameters": "Parameter"}
 #: The natural key of each node table; unique after every write.
 KEYS = {

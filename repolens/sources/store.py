@@ -9,15 +9,16 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.sources.files import read_text
-from repolens.sources.schema import KEYS, TABLES
+from repolens.sources.schema import INDEXES, KEYS, TABLES
 
 
 class SnapshotStore:
-    """Tables under ``path``; ``load`` reads the current snapshot, ``publish`` replaces tables as one."""
+    """Tables under ``path`` and their indexes; ``load`` reads the current snapshot, ``publish`` replaces tables as one."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -35,13 +36,34 @@ class SnapshotStore:
         return json.loads(read_text(self.spark, f"{self.path}/snapshots/{pointers[-1]}.json")) if pointers else {}
 
     def load(self, name: str) -> DataFrame:
-        version = self.versions().get(name)
+        return self._at(name, self.versions().get(name))
+
+    def _at(self, name: str, version: str | None) -> DataFrame:
+        schema = (TABLES | INDEXES)[name]
         if version is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{version}")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{version}")
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self.load(name) for name in TABLES}
+        """All tables of one snapshot, and the indexes that it has."""
+        versions = self.versions()
+        return {name: self._at(name, versions.get(name)) for name in (*TABLES, *INDEXES) if name in TABLES or name in versions}
+
+    def ensure_schema(self) -> list[dict]:
+        """Make the tables that are not there yet, and check those that are: table, key, rows, twice (keys that two rows
+        have) and odd (columns that are missing or of another type in the files) for each."""
+        versions = self.versions()
+        missing = {t: self.spark.createDataFrame([], TABLES[t]) for t in TABLES if t not in versions}
+        if missing:
+            self.publish(missing)
+        out = []
+        for t, version in sorted(self.versions().items()):
+            wanted = {f.name: f.dataType for f in self.spark.createDataFrame([], (TABLES | INDEXES)[t]).schema}
+            found = {f.name: f.dataType for f in self.spark.read.parquet(f"{self.path}/{t}/{version}").schema}
+            key = KEYS.get(t, [])
+            rows = self._at(t, version)
+            out.append({"table": t, "key": key, "rows": rows.count(), "twice": duplicates(rows, key).count() if key else 0, "odd": sorted(c for c in wanted if found.get(c) != wanted[c])})
+        return out
 
     def publish(self, changed: dict[str, DataFrame]) -> None:
         """Write the changed tables and make them current together; a duplicate key stops the publish."""
@@ -50,7 +72,8 @@ class SnapshotStore:
         for name, df in changed.items():
             version = uuid.uuid4().hex
             path = f"{self.path}/{name}/{version}"
-            wanted = self.spark.createDataFrame([], TABLES[name]).schema
+            wanted = self.spark.createDataFrame([], (TABLES | INDEXES)[name]).schema
+            df = df.sortWithinPartitions("term") if name in INDEXES else df
             df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(path)
             versions[name] = version
             if name in KEYS and not duplicates(self.spark.read.schema(wanted).parquet(path), KEYS[name]).isEmpty():
@@ -62,9 +85,17 @@ class SnapshotStore:
         out.write(bytearray(json.dumps(versions).encode()))
         out.close()
         target = path(f"{self.path}/snapshots/{next_number}.json")
-        # a snapshot's number is taken once: of two that publish on the same base, the second fails
-        if fs.exists(target) or not fs.rename(temp, target):
-            raise RuntimeError(f"snapshot {next_number} was published by another writer")
+        # a snapshot's number is taken once: of two that publish on the same base, the second fails.  This rename never
+        # replaces a file; file systems that can, do both in one step
+        whole = fs.makeQualified(target)
+        files = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(fs.makeQualified(temp), whole, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise RuntimeError(f"snapshot {next_number} was published by another writer") from e
+            raise
 
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:

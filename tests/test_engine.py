@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from repolens import cli, config
 from repolens.api import TOOLS, Lens
 from repolens.plans.describe import Pool, TransientError, first_line_generator
+from repolens.sources.schema import KEYS
 from repolens.streaming.watch import debounced, relevant
 
 A = 'import { util } from "./lib/b";\nexport function main(x) { if (x) { util(x); } local(); }\nfunction local() { return main(2); }\nexport class Dog extends Animal { bark() { local(); } }\n'
@@ -360,6 +361,99 @@ def test_mcp_session(spark, tmp_path):
     assert mcp.handle(graph, ask("initialize", protocolVersion="1999-01-01"))["result"]["protocolVersion"] == mcp.VERSIONS[0]
 
 
+def test_vector_index(spark, tmp_path):
+    """Exact with all buckets, high recall with some, and only their folders are read."""
+    import random
+
+    from repolens.operators.search import VectorIndex, vector_topk
+
+    rng = random.Random(3)
+    middles = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.25) for x in middles[i % 12]]) for i in range(900)] + [(900, None), (901, []), (902, [1.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    index = VectorIndex(spark, str(tmp_path / "v"), 16, 4)
+    index.write(df)
+    queries = [rows[i][1] for i in range(0, 900, 150)]
+    for q in queries[:2]:
+        assert [r["id"] for r in index.topk(q, 7, 16, ("id",)).collect()] == [r["id"] for r in vector_topk(df, q, 7, order=("id",)).collect()]
+    assert index.recall(queries, 10, 16, "id") == 1.0
+    some = index.recall(queries, 10, 4, "id")
+    assert 0.8 <= some <= 1.0
+    assert len(index.topk(queries[0], 5, 4).inputFiles()) <= len(spark.read.parquet(str(tmp_path / "v")).inputFiles())
+    plan = index.topk(queries[0], 5, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_stored_names_are_searched(spark, tmp_path):
+    """After files change, come and go, the stored index gives what one built anew does."""
+    from repolens.operators import search
+
+    root = tmp_path / "code"
+    root.mkdir()
+    graph = Lens(spark, str(tmp_path / "store"))
+    for k in range(3):
+        (root / f"f{k}.ts").write_text(f"function load_part{k}() {{}}\nclass PartLoad {{}}\nconst part_{k} = 1;\n")
+    graph.add_code_to_graph(str(root))
+    (root / "f0.ts").write_text("function load_all() {}\n")
+    (root / "f1.ts").unlink()
+    (root / "f3.ts").write_text("const load_late = 1;\n")
+    graph.add_code_to_graph(str(root))
+    tables = graph.tables()
+    anew = {k: v for k, v in tables.items() if k != "name_postings"}
+    for text in ("load", "part 2", "nothing", "load part all"):
+        own = [tuple(r) for r in search.fulltext(tables, text, 50).collect()]
+        assert own == [tuple(r) for r in search.fulltext(anew, text, 50).collect()] and (own or text == "nothing")
+    found = graph.store.ensure_schema()
+    assert all(not x["twice"] and not x["odd"] for x in found) and {x["table"] for x in found} >= set(KEYS)
+    graph.delete_repository(str(root))
+    assert search.fulltext(graph.tables(), "load", 50).count() == 0
+
+
+def test_snapshots_of_two_writers(spark, tmp_path):
+    """Of two publishes on one base the second fails and changes nothing."""
+    from repolens.sources.store import SnapshotStore
+
+    a, b = SnapshotStore(spark, str(tmp_path / "s")), SnapshotStore(spark, str(tmp_path / "s"))
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    a.publish({"modules": rows("x")})
+    pointers = b._pointers()
+    a.publish({"modules": rows("x", "y")})
+    b._pointers = lambda: pointers
+    with pytest.raises(RuntimeError, match="another writer"):
+        b.publish({"modules": rows("z")})
+    assert sorted(r["name"] for r in a.load("modules").collect()) == ["x", "y"]
+
+
+def test_globs_on_files(spark, tmp_path):
+    from repolens.sources.files import glob
+
+    for p in ("a.ts", "src/b.ts", "src/deep/c.d.ts", "src/deep/d.js", "out/e.ts"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    names = lambda *a, **k: sorted(r["path"] for r in glob(spark, str(tmp_path), *a, **k).collect())
+    assert names("**/*.ts", ["out/**", "**/*.d.ts"], absolute=False) == ["a.ts", "src/b.ts"]
+    assert names(["src/**/*.{js,ts}"]) == [f"{tmp_path}/src/b.ts", f"{tmp_path}/src/deep/c.d.ts", f"{tmp_path}/src/deep/d.js"]
+    assert len(names()) == 5 and names("?.ts", absolute=False) == ["a.ts"]
+
+
+def test_pooled_vectors():
+    import numpy as np
+
+    from repolens.functions.vectors import pooled
+
+    made = pooled(np.array([[3.0, 0.0], [0.0, 4.0], [100.0, 100.0]]), np.array([1, 1, 0]))
+    assert made == pytest.approx([0.6, 0.8]) and pooled(np.zeros((2, 3)), np.array([1, 1])) == [] and pooled(np.ones((2, 3)), np.array([0, 0])) == []
+
+
+def test_results_of_too_many_rows_are_errors(spark, tmp_path, monkeypatch):
+    from repolens import api
+
+    monkeypatch.setattr(api, "MOST_ROWS", 3)
+    graph = Lens(spark, str(tmp_path / "s"))
+    assert len(json.loads(graph.call("execute_query", {"query": "SELECT id FROM range(3)"}))) == 3
+    assert "more than 3 rows" in json.loads(graph.call("execute_query", {"query": "SELECT id FROM range(4)"}))["error"]
+
+
 def test_config(tmp_path):
     g, l = tmp_path / "g", tmp_path / "l"  # noqa: E741
     config.write_env(g, {"REPOLENS_STORE": "/s", "MY_API_KEY": "k"})
