@@ -65,12 +65,17 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, cou
     return salted_join(left, right, keys, by, counts, how)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """As ``spread_join``, without the broadcast: for a ``right`` whose rows are wide."""
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], by: str, counts: DataFrame | None = None, how: str = "inner", total: int | None = None
+) -> DataFrame:
+    """As ``spread_join``, without the broadcast: for a ``right`` whose rows are wide.  With ``total``, the rows of ``left``,
+    ``counts`` is aggregated within the join instead of before it."""
     counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = total is not None
+    total = total if known else counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     salts = F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total))).cast("int").alias("salts")
-    hot = materialise(counts.where(F.col("n") * HOT_SHARE > total).where("n > 1").select(*keys, salts), "hot-keys")
+    hot = counts.where(F.col("n") * HOT_SHARE > total).where("n > 1").select(*keys, salts)
+    hot = hot if known else materialise(hot, "hot-keys")
     n = F.coalesce("salts", F.lit(1))
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), n).cast("int")).drop("salts")
     copied = right.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm.common import BROADCAST_ROWS, arrow_batches, materialise, salted_join, small, spread_join
+from repolens.llm.common import BROADCAST_ROWS, arrow_batches, is_small, materialise, salted_join, small, spread_join
 from repolens.llm.components import connected_components
 from repolens.llm.textbytes import shingle_sets
 
@@ -162,8 +162,7 @@ def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 class _Links:
     """Candidates' signatures and sets, and the check of pairs against them."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, posts: DataFrame, k: int, percent: int) -> None:
-        ids = materialise(posts.select("node").distinct(), "near-ids")
+    def __init__(self, docs: DataFrame, reps: DataFrame, ids: DataFrame, k: int, percent: int) -> None:
         few = materialise(reps.join(small(ids), "node", "left_semi").select("node", "class", "pick", "sign"), "near-signs")
         self.signs = few.select("node", "sign")
         texts = picked(docs, F.col("text")).join(small(few.select("pick")), "pick", "left_semi").select("pick", "text")
@@ -174,16 +173,27 @@ class _Links:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) with enough collisions whose full sets are similar enough."""
-        beside = lambda df, c, t, x, y, by, join=salted_join: join(df, t.select(F.col("node").alias(c), F.col(x).alias(y)), [c], by)
-        # however few keys they have, so few pairs with signatures of one size are no load for a task
-        narrow = salted_join if pairs.count() > BROADCAST_ROWS else (lambda df, side, keys, by: df.join(side, keys))  # noqa: ARG005
         word = lambda c, i: F.substring(c, 4 * i + 1, 4)
         same = sum((word("ga", i) == word("gb", i)).cast("int") for i in range(COORDINATES))
-        likely = beside(beside(pairs, "a", self.signs, "sign", "ga", "b", narrow), "b", self.signs, "sign", "gb", "a", narrow).where(same >= MATCHES)
-        likely = materialise(likely.select("a", "b"), "near-likely")
-        full = beside(beside(likely, "b", self.sets, "shingles", "sb", "a"), "a", self.sets, "shingles", "sa", "b")
+        # however few keys they have, so few pairs with signatures of one size are no load for a task
+        signed = _beside(pairs, self.signs, "sign", ("ga", "gb"), salt=pairs.count() > BROADCAST_ROWS)
+        likely = materialise(signed.where(same >= MATCHES).select("a", "b"), "near-likely")
         percent = self.percent
-        return full.select("a", "b", "sa", "sb").mapInArrow(lambda it: _alike(it, percent), "a long, b long").distinct()
+        full = _beside(likely, self.sets, "shingles", ("sa", "sb")).select("a", "b", "sa", "sb")
+        # a pair comes up once, so a link does
+        return full.mapInArrow(lambda it: _alike(it, percent), "a long, b long")
+
+
+def _beside(pairs: DataFrame, table: DataFrame, column: str, names: tuple[str, str], salt: bool = True) -> DataFrame:
+    """``pairs`` (a, b; written) with the ``column`` of each one's row of ``table`` (node), under ``names``."""
+    out = pairs
+    for c, by, name in (("b", "a", names[1]), ("a", "b", names[0])):
+        side = table.select(F.col("node").alias(c), F.col(column).alias(name))
+        if salt:  # each node has its row, so the pairs themselves tell how many rows a key has
+            out = salted_join(out, side, [c], by, pairs.groupBy(c).agg(F.count("*").alias("n")), total=pairs.count())
+        else:
+            out = out.join(side, c)
+    return out
 
 
 def _merged(member: DataFrame, links: DataFrame) -> DataFrame:
@@ -214,9 +224,9 @@ def _short_lists(placed: DataFrame, percent: int, most: int | None = None) -> Da
 
 
 def _leaders(placed: DataFrame, percent: int) -> DataFrame:
-    """In each list the pivot with the most central member of each other component."""
-    other = placed.where("comp <> pivot_comp").groupBy("list", "comp", "pivot", "pivot_n").agg(F.max(F.struct("weight", "node", "n")).alias("l"))
-    return other.select(F.col("l.node").alias("x"), F.col("pivot").alias("y"), F.col("l.n").alias("n"), "pivot_n").where(_close("n", "pivot_n", percent))
+    """In each longer list the pivot with the most central member of each other component."""
+    other = placed.where((F.col("length") > SHORT) & (F.col("comp") != F.col("pivot_comp"))).groupBy("list", "comp", "pivot", "pivot_n").agg(F.max(F.struct("weight", "node", "n")).alias("l"))
+    return other.select(F.col("l.node").alias("x"), F.col("pivot").alias("y"), F.col("l.n").alias("n"), "pivot_n").where(_close("n", "pivot_n", percent)).select("x", "y")
 
 
 def _rest(placed: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,9 +291,14 @@ def _open_lists(posts: DataFrame, member: DataFrame) -> DataFrame:
     """list, node, n, weight, comp, length and the pivot (pivot, pivot_comp, pivot_n, pivot_weight), the most central
     member, of the lists whose members are in more than one component.
 
-    A long list is aggregated where its postings lie; the result, a row per open list, goes to the postings.
+    A long list is aggregated where its postings lie; the result, a row per open list, goes to the postings.  Components only
+    grow, so ``posts`` may be an earlier result: a list that was not open then is not open now.
     """
-    placed = materialise(posts.join(small(member), "node"), "near-placed")
+    posts = posts.select("list", "node", "n", "weight")
+    if is_small(member):  # a lookup, cheaper twice than a table of its own
+        placed = posts.join(F.broadcast(member), "node")
+    else:
+        placed = materialise(posts.join(member, "node"), "near-placed")
     pivot = F.max(F.struct("weight", "comp", "node", "n")).alias("p")
     lists = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length"), pivot)
     own = [F.col(f"p.{c}").alias(k) for c, k in (("node", "pivot"), ("comp", "pivot_comp"), ("n", "pivot_n"), ("weight", "pivot_weight"))]
@@ -291,6 +306,11 @@ def _open_lists(posts: DataFrame, member: DataFrame) -> DataFrame:
     return materialise(spread_join(placed, lists, ["list"], by="node", counts=lists.select("list", F.col("length").alias("n"))), "near-open")
 
 
+def _lists_and_leaders(placed: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``_short_lists`` and, of the lists that these leave out, those of ``_leaders``."""
+    return _short_lists(placed, percent).unionByName(_leaders(placed, percent))
+
+
 def _rare_posts(open_lists: DataFrame, member: DataFrame, links: _Links, percent: int) -> DataFrame:
     """list, node, n, weight: the members of ``open_lists`` posted under the rarest shingles of their sets, so many that two
     sets which are similar enough share one.
@@ -314,34 +334,38 @@ def _nodes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     # once written, the numbers stay
     reps = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     posts = posted(reps)
-    links = _Links(docs, reps, posts, k, percent)
+    ids = materialise(posts.select("node").distinct(), "near-ids")
+    links = _Links(docs, reps, ids, k, percent)
 
-    state = {"member": materialise(posts.select("node").distinct().withColumn("comp", F.col("node")), "near-comp"), "tried": None}
+    state = {"member": ids.withColumn("comp", F.col("node")), "tried": None}
 
-    def compare(pairs: DataFrame) -> None:
-        """Confirm the pairs (x, y) that were not tried before, and contract the components that they link."""
+    def compare(pairs: DataFrame, opened: DataFrame) -> DataFrame:
+        """Confirm the pairs (x, y) that were not tried before, and contract the components that they link; what then is
+        open of the lists ``opened``, the same table if nothing changed."""
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if state["tried"] is not None:
             pairs = pairs.join(state["tried"], ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-pairs")
         if pairs.isEmpty():
-            return
+            return opened
         state["tried"] = pairs if state["tried"] is None else state["tried"].unionByName(pairs)
-        contract(links.confirm(pairs))
+        return _open_lists(opened, state["member"]) if contract(links.confirm(pairs)) else opened
 
-    def contract(found: DataFrame) -> None:
+    def contract(found: DataFrame) -> bool:
         found = materialise(found, "near-links")
-        if not found.isEmpty():
-            state["member"] = _merged(state["member"], found)
-
-    for round_of in (_first_pivots, _short_lists, _leaders):
-        compare(round_of(_open_lists(posts, state["member"]), percent))
+        if found.isEmpty():
+            return False
+        state["member"] = _merged(state["member"], found)
+        return True
+
+    opened = _open_lists(posts, state["member"])
+    for round_of in (_first_pivots, _lists_and_leaders):
+        opened = compare(round_of(opened, percent), opened)
     # all pairs of short lists have been compared by now
-    rest = _open_lists(posts, state["member"]).where(F.col("length") > SHORT)
+    rest = opened.where(F.col("length") > SHORT)
     if not rest.isEmpty():
-        rare = _rare_posts(rest, state["member"], links, percent)
-        compare(_short_lists(_open_lists(rare, state["member"]), percent, RARE_LIST))
-        rest = _open_lists(rare, state["member"]).where(F.col("length") > RARE_LIST)
+        opened = _open_lists(_rare_posts(rest, state["member"], links, percent), state["member"])
+        rest = compare(_short_lists(opened, percent, RARE_LIST), opened).where(F.col("length") > RARE_LIST)
         if not rest.isEmpty():
             contract(_rest(rest, state["member"], links.sets, percent))
     placed = reps.join(state["member"], "node", "left").select("class", "n_rows", "least", F.coalesce("comp", "node").alias("comp"))
