@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from repolens.llm import common, exact_dedup, fuse, near_dedup
+from repolens.llm import common, components, exact_dedup, fuse, near_dedup
 from repolens.llm.components import connected_components
 
 DOC = "doc_id long, text string, lang string, kept boolean, sha string"  # extra columns whose names clash with results
@@ -143,6 +143,7 @@ def variants(seed=3, groups=6, per=12):  # noqa: ANN001, ANN201
 def test_near_against_brute_force(spark, monkeypatch, k, short, rare, broadcast):
     """Also with every later step in use, and with no side small enough to be broadcast."""
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(near_dedup, "RARE_LIST", rare)
     monkeypatch.setattr(near_dedup, "SHORT", short)
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
@@ -189,7 +190,9 @@ def test_near_template(spark):
     assert {i: r["component_id"] for i, r in made.items()} == {i: i % 1000 for i, _ in pairs}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", few)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(5, 5)]
     made = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert all(made[i] == 0 for i in range(41)) and made[249] == 100 and made[100] == 100
