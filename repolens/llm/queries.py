@@ -12,6 +12,7 @@ from repolens.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from repolens.llm.language import op8_language
 from repolens.llm.mixing import OP2_SQL, op2_mixing
 from repolens.llm.near_dedup import OP5_SQL, op5_near_dedup
+from repolens.llm.pieces import op13_pieces
 from repolens.llm.quality import op7_quality
 from repolens.llm.sharding import op6_sharding
 from repolens.llm.url_rules import op10_url_rules
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_decontamination": op9_decontamination,
         "op10_url_rules": op10_url_rules,
+        "op13_pieces": op13_pieces,
     }
 
 
