@@ -33,6 +33,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns, whatever their names, as one struct."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether rows and bytes of ``df``, which are counted, are few enough to broadcast."""
     sizes = []
@@ -92,3 +97,18 @@ def arrow_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, old)
+
+
+#: A common table of SQL, ``crc_steps``, that ``crc32_sql`` reads: the step of each byte of the CRC-32 in use everywhere.
+CRC_STEPS_SQL = """crc_steps AS (
+  SELECT list(v ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], CAST(range(8) AS BIGINT[])),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM range(256) AS t(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a text expression in UTF-8, where ``crc_steps`` is joined."""
+    h = f"hex(encode({text}))"
+    by_byte = f"list_transform(range(1, length({h}), 2), lambda i: CAST('0x' || substr({h}, i, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {by_byte}), lambda c, b: xor(c // 256, steps[xor(c, b) % 256 + 1])), 4294967295)"

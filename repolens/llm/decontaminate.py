@@ -9,6 +9,10 @@ differ by at most e.  Shared q-grams are laid per item in bands of diagonals tha
 lies within one band; in the order of their places, wherever as many as the bound lie within a window, the windows around
 them are verified, all at once, by banded alignment.  The filter loses nothing, and windows are never listed before it.
 
+Repetitive texts cost no more than others.  Of the windows of an item that are equal only the first is looked for, with the
+q-grams in it, and stands for all; a window that a text is known to hold unchanged is not aligned there again; and a stretch of a
+text with very many shared q-grams is halved until they are few enough to sort.
+
 An item of fewer than ``MIN_ITEM`` normalised bytes has too few q-grams for that and none to spare for edits: it is looked
 for as it stands, from the start of a word to the end of one, whatever its length.
 
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from repolens.llm.common import materialise, scratch_path
+from repolens.llm.common import materialise, scratch_path, whole_row
 from repolens.llm.textbytes import IS_SPACE, buffers, mixed
 
 Q = 12
@@ -47,6 +51,8 @@ BLOCK_BYTES = 4 << 20
 STRETCH = 1 << 19
 #: Windows aligned at once; more edits than any budget.
 ALIGNED, NEVER = 1 << 13, 256
+#: Shared q-grams that are sorted at once.
+MOST_HITS = 1 << 20
 _BITS = 22
 _WHOLE = np.random.default_rng(9).integers(0, 2**64, MIN_ITEM, dtype=np.uint64) | np.uint64(1)
 _BLANK = IS_SPACE.copy()
@@ -89,6 +95,29 @@ def _whole(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _places(text: np.ndarray, codes: np.ndarray, weight: np.ndarray, low: int, n: int, w: int) -> np.ndarray:
+    """The places of the q-grams of an item of ``n`` bytes from ``low`` on that lie in the first of some equal windows of ``w`` bytes;
+    notes in ``weight`` how many each stands for."""
+    starts = np.arange(low, low + n - w + 1)
+    # equal windows have equal hashes, of the q-grams that cover them; whether the bytes are equal is looked up after
+    h = np.zeros(len(starts), np.uint64)
+    for k in [*range(0, w - Q, Q), w - Q]:
+        h = mixed(h ^ codes[starts + k])
+    _, first, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    if len(first) < len(starts):
+        again = np.flatnonzero(first[which] != np.arange(len(starts)))
+        same = np.ones(len(again), bool)
+        for k in range(w):
+            same &= text[starts[again] + k] == text[starts[first[which[again]]] + k]
+        if not same.all():  # two windows of one hash: each stands for itself
+            first, times = np.arange(len(starts)), np.ones(len(starts), np.int64)
+    weight[starts[first]] = times
+    covered = np.zeros(n + 1, np.int64)
+    np.add.at(covered, first, 1)
+    np.add.at(covered, first + (w - Q + 1), -1)
+    return low + np.flatnonzero(np.cumsum(covered)[: n - Q + 1] > 0)
+
+
 @dataclass
 class Index:
     """The items of a block, each with the width of its windows, and the places of their q-grams."""
@@ -104,6 +133,8 @@ class Index:
     first: np.ndarray
     places: np.ndarray
     maybe: np.ndarray
+    #: by place: how many windows of the item are equal to the one from there on, 0 for all but the first of them
+    weight: np.ndarray
     #: short items by length: their sorted hashes, with the place and the number of each
     short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -113,9 +144,11 @@ class Index:
         low, length = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64) - 1
         width = np.minimum(length, WINDOW)
         budget = np.maximum(np.minimum(width // EDIT_SHARE, (width - Q) // Q), 0)
-        own = [np.arange(a, a + n - Q + 1) for a, n in zip(low, length, strict=True) if n >= MIN_ITEM]
+        weight = np.zeros(len(text) + 1, np.int64)
+        all_grams = grams(text)
+        own = [_places(text, all_grams, weight, int(a), int(n), int(w)) for a, n, w in zip(low, length, width, strict=True) if n >= MIN_ITEM]
         places = np.concatenate([np.zeros(0, np.int64), *own])
-        code = grams(text)[places] if len(places) else np.zeros(0, np.uint64)
+        code = all_grams[places] if len(places) else np.zeros(0, np.uint64)
         by = np.argsort(code, kind="stable")
         keys, first = np.unique(code[by], return_index=True)
         maybe = np.zeros(1 << _BITS, bool)
@@ -135,7 +168,7 @@ class Index:
             short[n] = code[order], place[order], number[order]
         return cls(
             [x[0] for x in items], text, low, low + length - width, width, budget, width - Q + 1 - budget * Q,
-            keys, np.append(first, len(by)), places[by], maybe, short,
+            keys, np.append(first, len(by)), places[by], maybe, weight, short,
         )
 
     def item_of(self, place: np.ndarray) -> np.ndarray:
@@ -145,8 +178,8 @@ class Index:
         """How many windows an item has."""
         return int(self.last[item] - self.low[item]) // STRIDE + 1
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the data, place in the items) of every shared q-gram."""
+    def hits(self, data: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(place in the data, place in the items) of every shared q-gram; None if there are more than ``most``."""
         code = grams(data)
         at = np.flatnonzero(self.maybe[mixed(code) >> np.uint64(64 - _BITS)])
         if not len(self.keys):
@@ -156,6 +189,8 @@ class Index:
         real = self.keys[k] == code[at]
         at, k = at[real], k[real]
         times = self.first[k + 1] - self.first[k]
+        if times.sum() > most:
+            return None
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         return np.repeat(at, times), self.places[np.repeat(self.first[k], times) + step]
 
@@ -179,7 +214,16 @@ class Index:
     def search(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place of a window in the items, end of its best occurrence in the data, edits), the best for each separate
         occurrence that is found."""
-        at, place = self.hits(data)
+        # halves overlap by more than any occurrence is long
+        short = len(data) <= 16 * WINDOW
+        found = self.hits(data, len(data) * len(self.places) if short else MOST_HITS)
+        if found is None:
+            half = len(data) // 2
+            yield from self.search(data[: half + 2 * WINDOW])
+            for window, end, edits in self.search(data[half - 2 * WINDOW :]):
+                yield window, end + half - 2 * WINDOW, edits
+            return
+        at, place = found
         if not len(at):
             return
         item = self.item_of(place)
@@ -205,16 +249,31 @@ class Index:
         times = np.maximum(high - low + 1, 0)
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         key, window = np.repeat(key, times), np.repeat(low, times) + step
+        some = self.weight[window] > 0
+        key, window = key[some], window[some]
         item = key >> 40
         width = self.budget[item] + 1
         start = (key & ((1 << 40) - 1)) * width - shift + window
+        ends = np.flatnonzero(data == 0)
         for w in np.unique(self.width[item]):
             own = np.flatnonzero(self.width[item] == w)
+            # a window and the text (they end with a byte 0) it is looked for in: the first place of each comes first
+            sought = np.searchsorted(ends, np.clip(start[own], 0, len(data))) * len(self.weight) + window[own]
+            by = np.argsort(sought, kind="stable")
+            fresh = np.concatenate([[True], sought[by][1:] != sought[by][:-1]])[: len(by)]
+            nth = np.arange(len(by)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
+            by = by[np.argsort(nth, kind="stable")]
+            own, sought = own[by], sought[by]
+            done = np.zeros(0, np.int64)
             for k in range(0, len(own), ALIGNED):
-                some = own[k : k + ALIGNED]
+                left = ~np.isin(sought[k : k + ALIGNED], done)
+                some, of = own[k : k + ALIGNED][left], sought[k : k + ALIGNED][left]
+                if not len(some):
+                    continue
                 budget = int(self.budget[item[some[0]]])
                 patterns = self.text[window[some][:, None] + np.arange(w)]
                 edits, end = aligned(patterns, data, start[some] - budget - 1, 4 * budget + 5, budget)
+                done = np.union1d(done, of[edits == 0])
                 for x in np.flatnonzero(edits <= budget):
                     yield int(window[some[x]]), int(end[x]), int(edits[x])
 
@@ -266,10 +325,10 @@ def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int
                 short.add((int(np.searchsorted(offsets, start + end - 1, side="right")) - 1, item))
         found: dict[tuple[int, int], list[int]] = {}
         for (text, window), edits in best.items():
-            found.setdefault((text, int(index.item_of(window))), []).append(edits)
-        found |= {key: [0] for key in short}
-        for (text, item), edits in sorted(found.items()):
-            yield at + text, item, len(edits), index.windows(item), min(edits)
+            found.setdefault((text, int(index.item_of(window))), []).append((int(index.weight[window]), edits))
+        found |= {key: [(1, 0)] for key in short}
+        for (text, item), each in sorted(found.items()):
+            yield at + text, item, sum(n for n, _ in each), index.windows(item), min(edits for _, edits in each)
 
 
 def indexes(benchmark: DataFrame, block_bytes: int | None = None) -> Iterator[Index]:
@@ -325,7 +384,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if second is None:
         return docs if first is None else docs.where(_clean(first)(F.col("text")))
     # several passes: rows get numbers, and each pass writes those of the rows that go
-    rows = materialise(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "decontaminate-rows")
+    rows = materialise(docs.select(whole_row(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "decontaminate-rows")
     path = scratch_path(docs.sparkSession, "dirty")
     for index in itertools.chain((first, second), blocks):
         rows.where(~_clean(index)(F.col("doc.text"))).select("row").write.mode("append").parquet(path)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.common import materialise, small, spread_join
+from repolens.llm.common import CRC_STEPS_SQL, crc32_sql, materialise, small, spread_join
 
 #: Levels that are built in one place.
 BLOCK = 12
@@ -279,3 +279,53 @@ def leaves(docs: DataFrame) -> DataFrame:
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over ``documents``."""
     return verify(manifest(leaves(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*FIELDS))))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(n_chars if f == "n_chars" else f) for f in FIELDS) + ")"
+
+
+def _tree_sql(name: str, base: str) -> str:
+    """All nodes (grp, level, idx, h) above ``base``: a level has half the nodes of the last, while there are several."""
+    return f"""{name} AS (
+  {base}
+  UNION ALL
+  SELECT grp, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS m FROM {name}) WHERE m > 1 GROUP BY grp, level, idx // 2)"""
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_STEPS_SQL},
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, {_leaf_sql("n_chars")} AS leaf,
+    CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS claimed
+  FROM documents, crc_steps),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+{_tree_sql("nodes", "SELECT grp, 0 AS level, place AS idx, leaf AS h FROM placed")},
+tops AS (SELECT grp, max(level) AS levels, arg_max(h, level) AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place FROM nodes GROUP BY grp),
+{_tree_sql("above", "SELECT '' AS grp, 0 AS level, place AS idx, subroot AS h FROM tops")},
+top AS (SELECT max(level) AS levels, arg_max(h, level) AS root FROM above),
+steps AS (
+  SELECT p.grp, p.place, s.k AS step, (p.place >> s.k) % 2 = 1 AS is_right, n.h
+  FROM placed p JOIN tops t USING (grp), range(64) AS s(k)
+  LEFT JOIN nodes n ON n.grp = p.grp AND n.level = s.k AND n.idx = xor(p.place >> s.k, 1)
+  WHERE s.k < t.levels
+  UNION ALL
+  SELECT p.grp, p.place, t.levels + s.k, (t.place >> s.k) % 2 = 1, a.h
+  FROM placed p JOIN tops t USING (grp), top, range(64) AS s(k)
+  LEFT JOIN above a ON a.level = s.k AND a.idx = xor(t.place >> s.k, 1)
+  WHERE s.k < top.levels),
+folded AS (
+  SELECT grp, place, 0 AS step, claimed AS h FROM placed
+  UNION ALL
+  SELECT f.grp, f.place, f.step + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.is_right THEN s.h || f.h ELSE f.h || s.h END)
+  FROM folded f JOIN steps s ON s.grp = f.grp AND s.place = f.place AND s.step = f.step),
+ends AS (SELECT grp, place, arg_max(h, step) AS folded_root FROM folded GROUP BY grp, place),
+proofs AS (SELECT grp, place, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof_sha256 FROM placed LEFT JOIN (SELECT grp, place, step, h FROM steps) USING (grp, place) GROUP BY grp, place)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN (SELECT grp, subroot FROM tops) USING (grp) JOIN proofs USING (grp, place) JOIN ends USING (grp, place), top
+"""

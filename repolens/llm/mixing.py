@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.common import materialise, small, text_of
+from repolens.llm.common import materialise, small, text_of, whole_row
 
 GOLDEN = 0.6180339887498949
 SLOTS = 65_536
@@ -176,7 +176,8 @@ def mix_blocks(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """source key, doc_id, size, source_size, target, taken: the words the mix takes of each document, repeats counted."""
+    """source key, doc_id, size, source_size, target, taken: the words the mix takes of each document, repeats counted; start:
+    the words of its source that lie before it on the tape."""
     rows = materialise(sized(docs), "mix-rows")
     tape, pieces = mix_blocks(rows, weights, max_epochs)
     key = ["skey", "start", "doc_id", "size"]
@@ -187,21 +188,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
         .groupBy(*key)
         .agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("words").alias("taken"))
     )
-    out = ["skey", "doc_id", "size", "source_size", "target", "taken"]
+    out = ["skey", "doc_id", "size", "source_size", "target", "taken", "start"]
     return taken.select(*out).unionByName(tape.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """``docs`` as the mix repeats them: each row as many times as the mix takes it, to the nearest whole copy.
 
-    Documents without words are in no block and leave.  Rows alike in doc_id, source and size share their copies.
+    A source gives its tape from the start on, epoch by epoch, so of its documents only the last is taken in part, and the words
+    of a source come within one document of its target.  The first document of a tape of which anything is taken is dealt at
+    least once, so no source that has a target is lost.  Documents without words are in no block and leave.  Rows alike in doc_id,
+    source and size share their copies.
     """
     per = mix(docs, weights, max_epochs).where("size > 0").groupBy("skey", "doc_id", "size")
-    per = per.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).where("times > 0")
+    nearest = F.round(F.sum("taken") / F.sum("size")).cast("int")
+    first = ((F.min("start") == 0) & (F.sum("taken") > 0)).cast("int")
+    per = per.agg(F.greatest(nearest, first).alias("times")).where("times > 0")
     plan = per.select(F.struct("skey", "doc_id", "size").alias("mix_key"), F.col("times").alias("mix_times"))
-    names = docs.columns
     skey = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    left = docs.select(F.struct(*names).alias("doc"), F.struct(skey.alias("skey"), F.col("doc_id"), n_words().alias("size")).alias("mix_key"))
+    left = docs.select(whole_row(docs).alias("doc"), F.struct(skey.alias("skey"), F.col("doc_id"), n_words().alias("size")).alias("mix_key"))
     joined = left.join(plan, left["mix_key"].eqNullSafe(plan["mix_key"]))
     return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("doc.*")
 

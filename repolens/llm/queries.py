@@ -10,13 +10,13 @@ from repolens.llm.chat import OP4_SQL, op4_chat
 from repolens.llm.decontaminate import op9_decontamination
 from repolens.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from repolens.llm.language import op8_language
-from repolens.llm.merkle import op11_merkle
+from repolens.llm.merkle import OP11_SQL, op11_merkle
 from repolens.llm.mixing import OP2_SQL, op2_mixing
 from repolens.llm.near_dedup import OP5_SQL, op5_near_dedup
 from repolens.llm.pieces import op13_pieces
 from repolens.llm.quality import op7_quality
 from repolens.llm.sharding import op6_sharding
-from repolens.llm.spelling import op12_spelling
+from repolens.llm.spelling import OP12_SQL, op12_spelling
 from repolens.llm.url_rules import op10_url_rules
 from repolens.llm.warc import OP3_SQL, op3_warc
 
@@ -40,4 +40,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op5_near_dedup": OP5_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL,
+        "op2_mixing": OP2_SQL,
+        "op3_warc": OP3_SQL,
+        "op4_chat": OP4_SQL,
+        "op5_near_dedup": OP5_SQL,
+        "op11_merkle": OP11_SQL,
+        "op12_spelling": OP12_SQL,
+    }

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.common import materialise, scratch_path, spread_join, text_of
+from repolens.llm.common import materialise, scratch_path, spread_join, text_of, whole_row
 
 N_SLOTS = 8192
 OVERHEAD = 16
@@ -30,7 +30,7 @@ OVERHEAD = 16
 def numbered(docs: DataFrame, overhead: int = OVERHEAD) -> DataFrame:
     """The columns of ``docs`` with size, text_crc32 and a number ``row`` of each row; rows keep it once it is written."""
     size = (F.octet_length(text_of()) + F.lit(overhead)).cast("long")
-    own = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", size.alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"))
+    own = docs.select(whole_row(docs).alias("doc"), "doc_id", size.alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"))
     return own.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -136,7 +136,7 @@ def with_shards(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS) ->
     The rows are written once with their numbers.  Slots and places come from narrow rows, whatever their texts; the join
     that brings them back goes by row number, of which no two rows share one, and hashes the narrow side.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("shard", "slot")])
     rows = materialise(numbered(docs), "shard-docs")
     places = placed(rows.drop("doc"), n_shards, n_slots).select("row", "shard", "slot")
     return rows.select("row", "doc").join(places.hint("shuffle_hash"), "row").select("doc.*", "shard", "slot")

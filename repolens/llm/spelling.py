@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm.common import materialise, small
+from repolens.llm.common import CRC_STEPS_SQL, crc32_sql, materialise, small
 
 #: Words of at least so many code points, so many times in the corpus, are grouped.
 LEAST_LENGTH, LEAST_COUNT = 6, 5
@@ -125,3 +125,34 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over ``documents``."""
     found = occurrences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return variants(vocabulary(found.select(damaged(F.col("doc_id"), F.col("run")).alias("word"))))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_STEPS_SQL},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\u00C0-\u00FF]{{{LEAST_LENGTH},}}')) AS run
+  FROM documents),
+hashed AS (SELECT run, times, {crc32_sql("id || ':' || run")} AS h FROM (SELECT id, run, count(*) AS times FROM runs GROUP BY id, run), crc_steps),
+damaged AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times
+  FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM damaged WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {LEAST_COUNT}),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS key FROM cut),
+less AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS shorter FROM cut),
+links AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.key = b.key AND a.word <> b.word
+  UNION ALL SELECT l.word, w.word, w.n FROM less l JOIN words w ON w.word = l.shorter
+  UNION ALL SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.shorter),
+met AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n FROM links GROUP BY word),
+best AS (SELECT word, n_near, best_n, min(other) AS best FROM met JOIN links USING (word) WHERE other_n = best_n GROUP BY word, n_near, best_n),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {TIMES} * n THEN best END AS form, CASE WHEN best_n >= {TIMES} * n THEN best_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chains AS (
+  SELECT word, word AS place, 0 AS step FROM formed
+  UNION ALL SELECT c.word, r.form, c.step + 1 FROM chains c JOIN formed r ON r.word = c.place WHERE r.form IS NOT NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM formed JOIN (SELECT word, arg_max(place, step) AS root FROM chains GROUP BY word) USING (word)
+"""

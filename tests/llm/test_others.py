@@ -54,6 +54,52 @@ def test_mixing(spark):
     assert mixing.copies(df).columns == df.columns
 
 
+def test_repetitive_texts_are_matched_in_time():
+    """Items and texts that repeat a few bytes, against alignment of every window, and long ones that once took hours."""
+    import random
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    norm = lambda t: bytes(decontaminate.normalised(pa.array([t]))[0][:-1]).decode()
+    for _ in range(12):
+        unit = "".join(rng.choice("abc ") for _ in range(rng.choice([2, 3, 7, 20])))
+        item = (unit * 60)[: rng.choice([80, 130])] + rng.choice(["", "xyz" * 5])
+        doc = list((unit * 80)[: rng.choice([100, 200])])
+        for _ in range(rng.randint(0, 6)):
+            doc[rng.randrange(len(doc))] = rng.choice("abcz ")
+        a, b = norm(item), norm("".join(doc))
+        if len(a) < 64:
+            continue
+        want = sum(edits(a[s : s + 64], b) <= 3 for s in range(len(a) - 63))
+        got = [x[2] for x in decontaminate.matches(decontaminate.Index.of([(1, item)]), pa.array(["".join(doc)]))]
+        assert (got or [0]) == [want]
+    start = time.time()
+    index = decontaminate.Index.of([(1, "ha " * 3_400)])
+    found = list(decontaminate.matches(index, pa.array(["ha " * 100_000, "hi " * 100_000, None, "ha " * 21])))
+    assert [(x[0], x[2] == x[3], x[4]) for x in found] == [(0, True, 0)] and time.time() - start < 60
+
+
+def test_copies_keep_every_source(spark):
+    """A source whose one document is longer than its target is dealt once; all are within one document of their targets."""
+    rows = [(0, "w " * 300, "s0"), *[(i, "two words", "s1" if i % 2 else "s2") for i in range(1, 201)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("a.b", F.col("doc_id"))
+    out = mixing.copies(df)
+    assert out.columns == df.columns
+    words = Counter()
+    for r in out.collect():
+        words[r["source"]] += len(r["text"].split())
+    want = brute_targets({"s0": 300, "s1": 200, "s2": 200})
+    assert words["s0"] == 300 and all(abs(words[s] - want[s]) <= 2 for s in ("s1", "s2")), (words, want)
+
+
+def test_columns_with_dots_are_kept(spark):
+    df = spark.createDataFrame([(1, "some text", "s", 5)], "doc_id long, text string, source string, `a.b` int")
+    assert sharding.with_shards(df, 4).columns == ["doc_id", "text", "source", "a.b", "shard", "slot"]
+    assert [r["a.b"] for r in sharding.with_shards(df, 4).collect()] == [5]
+
+
 def test_mixing_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(none).count() == 0 and mixing.copies(none).count() == 0

@@ -139,5 +139,5 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
 
 def test_names():
     found = [k for k in queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in found) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in found) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
