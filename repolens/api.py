@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from repolens.functions.vectors import HashingEmbedder
 from repolens.operators import analyze, graph, search
-from repolens.plans import cypher
+from repolens.plans import cypher, mutate
 from repolens.plans.ask import ask
 from repolens.plans.describe import Generator
 from repolens.plans.index import Indexer
+from repolens.sources.files import rooted
 from repolens.sources.store import SnapshotStore
 from repolens.streaming.watch import Watcher
 
@@ -60,6 +61,10 @@ class Lens:
         """A reading query in the Cypher subset of ``plans.cypher``."""
         return cypher.run(self.spark, self.tables(), query, params)
 
+    def write_cypher(self, query: str, params: dict | None = None) -> dict:
+        """A writing query (``plans.mutate``); the number of the snapshot that it made.  Not a tool: the tools only read."""
+        return {"snapshot": mutate.write(self.spark, self.store, query, params).number}
+
     def execute_query(self, query: str, params: dict | None = None) -> DataFrame:
         """Read-only SQL over views named after the tables, plus ``nodes`` and ``rels``."""
         tables = self.tables()
@@ -96,7 +101,7 @@ class Lens:
         if path is None and not all:
             raise ValueError("give a path or all")
         tables = self.tables()
-        changed = {t: df.limit(0) for t, df in tables.items()} if all else graph.delete_repository(tables, path.rstrip("/"))
+        changed = {t: df.limit(0) for t, df in tables.items()} if all else graph.delete_repository(tables, rooted(self.spark, path))
         self.store.publish(changed)
         return {"deleted": "all" if all else path}
 
@@ -131,7 +136,7 @@ class Lens:
             return json.dumps({"error": str(e)})
 
     def doctor(self) -> list[dict]:
-        """component, status (ok, error or skipped), message, ms of the engine, the generator and the embedder."""
+        """component, status (ok, error or skipped), message, ms of the engine, the generator, the embedder and the store."""
         def check(component: str, probe: Callable[[], str] | None) -> dict:
             if probe is None:
                 return {"component": component, "status": "skipped", "message": "not configured", "ms": 0}
@@ -146,6 +151,7 @@ class Lens:
             check("engine", lambda: f"answered {self.spark.sql('SELECT 1 AS one').first()['one']}"),
             check("generator", generator),
             check("embedder", lambda: f"{len(self.embed('probe'))} dimensions"),
+            check("store", lambda: f"{self.store.load('files').count()} files, {self.store.load('modules').count()} modules"),
         ]
 
 

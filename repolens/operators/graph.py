@@ -131,8 +131,9 @@ def delete_files(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, Da
         kept = tables[t].join(dead.select(F.col("id").alias("src_id")), "src_id", "left_anti")
         out[t] = kept.join(dead.select(F.col("id").alias("dst_id")), "dst_id", "left_anti").select(*tables[t].columns)
     out = {t: df.select(*tables[t].columns) for t, df in out.items()}
-    if "name_postings" in tables:
-        out["name_postings"] = gone(tables["name_postings"]).select(*tables["name_postings"].columns)
+    for t in ("name_postings", "vectors"):
+        if t in tables:
+            out[t] = gone(tables[t]).select(*tables[t].columns)
     used = out["imports"].select(F.col("module").alias("name")).distinct()
     return out | {"modules": tables["modules"].join(used, "name", "left_semi")}
 
@@ -142,7 +143,7 @@ def delete_repository(tables: dict[str, DataFrame], repo_path: str) -> dict[str,
     paths = tables["files"].where(F.col("repo_path") == repo_path).select("path")
     out = delete_files(tables, paths)
     rest = lambda t: (out.get(t, tables[t])).where(~F.col("repo_path").eqNullSafe(F.lit(repo_path)))
-    out |= {t: rest(t) for t in ("directories", "contains_dir", "contains_file")}
+    out |= {t: rest(t) for t in ("directories", "contains_dir", "contains_file", "vectors") if t in tables}
     return out | {"repositories": tables["repositories"].where(F.col("path") != repo_path)}
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions.text import display_name, kind_of_label, tokens
 from repolens.functions.vectors import cosine_score, dot
+from repolens.operators import segments
 
 K1, B = 1.2, 0.75
 SYMBOL_TABLES = {"functions": "Function", "classes": "Class", "variables": "Variable"}
@@ -133,8 +137,15 @@ VECTOR_TABLES = {"functions": "Function", "classes": "Class", "variables": "Vari
 
 
 def vector_search(tables: dict[str, DataFrame], query: list[float], limit: int = 10) -> DataFrame:
-    """kind, name, path, line_number, description, score over all labels that have vectors: the best of each, then of all."""
+    """kind, name, path, line_number, description, score over all labels that have vectors: the best of each, then of all.
+
+    Where the tables have the index that a store keeps, its cells nearest to the query are read and nothing else.
+    """
     parts = []
+    if query and "vectors" in tables:
+        best = segments.nearest(tables["vectors"], tables["centroids"], query, limit, ("path", "line_number", "name"))
+        kind, line = kind_of_label(F.array("label")), F.col("line_number").cast("int").alias("line_number")
+        return best.select(kind.alias("kind"), display_name(F.col("name"), F.col("path")).alias("name"), "path", line, "description", "score", "repo_path")
     if not query:
         return tables["functions"].sparkSession.createDataFrame([], "kind string, name string, path string, line_number int, description string, score double")
     for t, label in VECTOR_TABLES.items():
@@ -149,22 +160,69 @@ def vector_search(tables: dict[str, DataFrame], query: list[float], limit: int =
 
 
 #: Logical plans that a read-only query may not contain.
-_WRITES = ("Command", "InsertInto", "CreateTable", "CreateView", "Drop", "AlterTable", "DeleteFrom", "Update", "Merge", "Truncate", "ReplaceTable", "Overwrite", "Append")
+_WRITES = ("Command", "InsertInto", "CreateTable", "CreateView", "Drop", "AlterTable", "DeleteFrom", "Update", "Merge", "Truncate", "ReplaceTable", "Overwrite", "Append", "Cache", "ExecuteImmediate", "Compound", "SingleStatement", "Analyze", "Refresh", "Repair", "Call", "Set", "Load", "Create", "Rename", "Cluster")
 
 
-def read_only_sql(spark: SparkSession, query: str, args: dict | None = None) -> DataFrame:
-    """Run a query that only reads; anything whose parsed plan writes or commands is refused before it runs."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    names = []
-    stack = [plan]
+#: Functions that reach outside the query, and table functions that only make rows of what they are given.
+_OUTSIDE = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length"}
+_TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
+#: Plans that run other programs.
+_PROGRAMS = ("Script",)
+
+
+@functools.cache
+def _known_functions(spark: SparkSession) -> frozenset[str]:
+    """The names of Spark's own functions, without those that reach outside."""
+    found = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().listFunction()
+    return frozenset(found.apply(i).funcName() for i in range(found.size())) - _OUTSIDE
+
+
+def _nodes_of(plan) -> Iterator:  # noqa: ANN001
+    """All plans and expressions of a parsed plan: those of subqueries and of common tables too."""
+    stack, seq = [plan], lambda x: [x.apply(i) for i in range(x.size())]
     while stack:
         node = stack.pop()
-        names.append(node.getClass().getSimpleName())
-        children = node.children()
-        stack += [children.apply(i) for i in range(children.size())]
-    bad = [n for n in names if any(w in n for w in _WRITES)]
+        yield node
+        stack += seq(node.children())
+        stack += [x for x in seq(node.innerChildren()) if "catalyst" in x.getClass().getName()]
+        for method in ("expressions", "plan"):
+            try:
+                got = getattr(node, method)()
+            except (Py4JError, TypeError):  # this kind of node has none
+                continue
+            stack += seq(got) if method == "expressions" else [got]
+
+
+def _refusal(spark: SparkSession, plan) -> str | None:  # noqa: ANN001
+    """Why a plan may not run, or None."""
+    for node in _nodes_of(plan):
+        kind = node.getClass().getSimpleName()
+        if any(w in kind for w in (*_WRITES, *_PROGRAMS)):
+            return kind
+        if kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedGenerator"):
+            names = node.nameParts() if kind == "UnresolvedFunction" else node.name() if kind != "UnresolvedGenerator" else None
+            parts = node.name().funcName() if names is None else names.apply(names.size() - 1)
+            allowed = _TABLE_FUNCTIONS if kind == "UnresolvedTableValuedFunction" else _known_functions(spark)
+            if parts.lower() not in allowed or (names is not None and names.size() > 1):
+                return f"function {parts}"
+        if kind == "UnresolvedRelation":
+            names = node.multipartIdentifier()
+            if any("/" in names.apply(i) or ":" in names.apply(i) for i in range(names.size())):
+                return "reading files"
+    return None
+
+
+def read_only_sql(spark: SparkSession, query: str, args: dict | None = None) -> DataFrame:
+    """Run a query that only reads the session's tables and views.
+
+    Its parsed plan decides, with the expressions, subqueries and common tables in it: plans that write or command, that run
+    programs or read files by path are refused before anything runs, and so is every function that is not Spark's own or that
+    reaches outside the query.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    bad = _refusal(spark, plan)
     if bad:
-        raise PermissionError(f"only reading is allowed, not {bad[0]}")
+        raise PermissionError(f"only reading is allowed, not {bad}")
     return spark.sql(query, args=args or {})
 
 

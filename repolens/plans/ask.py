@@ -77,6 +77,8 @@ def ask(tables: dict[str, DataFrame], question: str, embed: Callable[[str], list
     if repo_path is not None:
         own = lambda df: df.where(F.col("repo_path") == repo_path)
         tables = tables | {t: own(tables[t]) for t in ("functions", "classes", "files", "directories")}
+        # the cells nearest to a question may hold few nodes of one repository: all of them are compared
+        tables.pop("vectors", None)
     found = vector_search(tables, embed(question), limit)
     rows = enrich(found, tables).withColumn("block", context_block()).orderBy(F.col("score").desc(), "path", "line_number", "name").collect()
     if not rows:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from repolens.operators import segments
 from repolens.operators.graph import all_edges, all_nodes, node_id
 from repolens.operators.search import VECTOR_TABLES, fulltext, vector_topk
 from repolens.operators.traverse import checkpointed
@@ -754,6 +755,11 @@ class Query:
         label, df = VECTOR_TABLES[table], self.tables[table]
         if not vector or "embedding" not in df.columns:
             df, vector = df.withColumn("embedding", F.lit(None).cast("array<float>")), vector or [0.0]
+        if vector and "vectors" in self.tables:
+            own = self.tables["vectors"].where(F.col("label") == label)
+            hits = segments.nearest(own, self.tables["centroids"], vector, limit, ("path", "name"))
+            props = ("name", "path", "line_number", "description", "repo_path")
+            return hits.select(F.struct(F.array("label").alias("labels"), F.col("node").alias("_id"), F.col("label").alias("_label"), *props).alias("node"), "score")
         hits = vector_topk(df, vector, limit, order=("path", "name"))
         has = lambda c, t: (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c)
         props = [has(c, t) for c, t in (("name", "string"), ("path", "string"), ("line_number", "long"), ("description", "string"), ("repo_path", "string"))]

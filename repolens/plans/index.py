@@ -2,7 +2,8 @@
 
 One Arrow pass parses the changed files; everything after is set-based.  A file that changes takes the descriptions of its
 unchanged symbols along, vanished files go, and the calls and bases that the change may concern are linked again over all
-files, so edges from unchanged files into changed ones survive.
+files, so edges from unchanged files into changed ones survive.  What is written is what changes: the rows of the changed
+files, and the links of the sources that are linked again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import secrets
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,15 +22,17 @@ from pyspark.sql import functions as F
 from repolens.functions.parsers import parse
 from repolens.functions.parsers.tokens import MAX_SOURCE
 from repolens.functions.text import basename, dirname, symbol_id
-from repolens.operators import graph, resolve, search
+from repolens.operators import graph, resolve, search, segments
 from repolens.operators.traverse import durable, swept
 from repolens.plans import describe
-from repolens.sources.files import exists, read_sources
+from repolens.sources.files import exists, read_sources, rooted
 from repolens.sources.schema import NODES, PARSED_FILE
-from repolens.sources.store import SnapshotStore
+from repolens.sources.store import Change, Snapshot, SnapshotStore, Units, together
 
 
 PARSED_BYTES = 8 << 20
+#: A change of more files is written in a bucket for so many of them, up to ``MOST_BUCKETS``.
+FILES_PER_BUCKET, MOST_BUCKETS = 2_000, 1_024
 
 
 def parse_files(sources: DataFrame, is_dependency: bool = False) -> DataFrame:
@@ -159,7 +163,7 @@ class Indexer:
 
     def index_directory(self, path: str, is_dependency: bool = False) -> str:
         """Bring the store in step with a directory; returns the job's id."""
-        root = path.rstrip("/")
+        root = rooted(self.spark, path)
         job = self.jobs.create(root)
         try:
             if not exists(self.spark, root):
@@ -181,7 +185,7 @@ class Indexer:
     def index_files(self, root: str, sources: DataFrame, removed: DataFrame | None = None, is_dependency: bool = False) -> None:
         """Upsert single files (path, rel, lang, source, content_hash) and remove others (path)."""
         with swept(self.spark):
-            self._apply(root.rstrip("/"), sources, removed if removed is not None else self.spark.createDataFrame([], "path string"), is_dependency)
+            self._apply(rooted(self.spark, root), sources, removed if removed is not None else self.spark.createDataFrame([], "path string"), is_dependency)
 
     def remove_file(self, path: str) -> None:
         paths = self.spark.createDataFrame([(path,)], "path string")
@@ -190,50 +194,82 @@ class Indexer:
     def _apply(self, root: str, current: DataFrame, removed: DataFrame | None, is_dependency: bool, hashes: DataFrame | None = None) -> None:
         """``removed`` None: what the store has of this root and ``current`` has not is gone.  ``hashes`` (path,
         content_hash) of ``current``, if they are known."""
-        tables = self.store.tables()
+        base = self.store.snapshot()
+        tables = self.store.tables(base)
         state = durable(graph.diff((current if hashes is None else hashes).select("path", "content_hash"), graph.content_hashes(tables["files"], root)))
-        dirty = durable(current.join(state.where("state = 'dirty'").select("path"), "path", "left_semi"))
         gone = state.where("state = 'deleted'").select("path") if removed is None else removed
+        paths = state.where("state = 'dirty'").select("path").unionByName(gone)
+        paths = state.where("state in ('dirty', 'deleted')").select("path") if removed is None else durable(paths)
+        n = paths.count()
+        known = not tables["repositories"].where(F.col("path") == root).isEmpty()
+        if not n and known and self.generator is None:
+            return
+        dirty = durable(current.join(state.where("state = 'dirty'").select("path"), "path", "left_semi"))
         read = durable(parse_files(dirty, is_dependency))
         for r in read.where("error is not null").select("path", "error").limit(20).collect():
             log.warning("%s was not parsed: %s", r["path"], r["error"])
-        parsed = read.where("error is null").drop("error")
-        made = tables_of(parsed, dirty, root)
-        base = graph.delete_files(tables, dirty.select("path").unionByName(gone).distinct())
+        made = tables_of(read.where("error is null").drop("error"), dirty, root)
+        changes = self._changes(made, tables, paths, self.store.write_units(paths) if base.number else Units("", 0))
+        if not known:
+            repo = self.spark.createDataFrame([(root, root.rpartition("/")[2])], NODES["repositories"])
+            changes["repositories"] = Change(repo, self._none())
+        buckets = min(MOST_BUCKETS, 1 + n // FILES_PER_BUCKET)
+        names = list(changes)
+        runs = dict(zip(names, ([r] for r in together(self.spark, [lambda t=t: self.store.write(t, changes[t], buckets, not base.runs.get(t)) for t in names])), strict=True))
+        ahead = Snapshot(base.number, base.runs | {t: base.runs.get(t, []) + r for t, r in runs.items()})
+        for t, change in self._described(self.store.tables(ahead), dirty).items():
+            runs[t] = runs.get(t, []) + [self.store.write(t, change, buckets)]
+            ahead.runs[t] = base.runs.get(t, []) + runs[t]
+        now = self.store.tables(ahead)
+        rest = self.relinked(now, tables, paths) | self._vectors(now, tables, paths)
+        if "name_postings" not in changes:  # a store of an earlier version has no index yet
+            rest["name_postings"] = search.name_postings(search.symbols(now))
+        self.store.publish(runs | rest, base, buckets)
+
+    def _none(self) -> DataFrame:
+        return self.spark.createDataFrame([], "unit string")
+
+    def _changes(self, made: dict[str, DataFrame], tables: dict[str, DataFrame], paths: DataFrame, units: Units) -> dict[str, Change]:
+        """What the files ``paths`` change in the tables that follow from parsing: their rows, and names and directories that
+        come or go.  ``units`` are the paths as the store has written them."""
+        held = lambda t: tables[t].join(paths, "path", "left_semi")
         for t in ("functions", "classes"):
-            made[t] = carry_over(made[t], tables[t])
-        out = {t: base[t].unionByName(made[t].select(*base[t].columns)) for t in ("functions", "classes", "variables", "parameters", "imports", "files", "parsed_calls", "contains_file")}
-        out["modules"] = base["modules"].unionByName(made["modules"]).distinct()
-        out["contains_dir"] = tables["contains_dir"].unionByName(made["contains_dir"].select(*tables["contains_dir"].columns)).distinct()
-        out["directories"] = graph.upsert_nodes(tables["directories"], made["directories"].select("path", "name", "repo_path"), ["path"])
-        repo = self.spark.createDataFrame([(root, root.rpartition("/")[2])], NODES["repositories"])
-        out["repositories"] = graph.upsert_nodes(tables["repositories"], repo, ["path"])
-        out = {t: durable(df) for t, df in out.items()}
-        if "name_postings" in base:  # what the changed files hold has left it
-            fresh = search.symbols({t: made[t] for t in search.SYMBOL_TABLES})
-            out["name_postings"] = durable(base["name_postings"].unionByName(search.name_postings(fresh)))
-        else:
-            out["name_postings"] = durable(search.name_postings(search.symbols(out)))
-        out |= self._described(out, dirty)
-        self.store.publish(out | self.relinked(out, tables, base, dirty.select("path").unionByName(gone).distinct()))
-
-    def relinked(self, tables: dict[str, DataFrame], old: dict[str, DataFrame], base: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
-        """The link tables once the files ``paths`` have changed: links that the change may concern are made again, from
-        ``tables``; the others are those of ``base``, the old tables without what these files held."""
-        paths = durable(paths)
-        symbols = lambda t, kind: t[kind].join(paths, "path", "left_semi").select("name")
-        both = lambda kind: durable(symbols(old, kind).unionByName(symbols(tables, kind)).distinct())
-        class_names = both("classes")
-        names = durable(both("functions").unionByName(class_names).distinct())
-        calls = tables["parsed_calls"].select("path", "name", "caller_name", "line_number")
-        again = durable(resolve.affected_calls(calls, tables["imports"], paths, names))
+            made[t] = carry_over(made[t], held(t))
+        out = {t: Change(made[t], units) for t in ("functions", "classes", "variables", "parameters", "imports", "files", "parsed_calls", "contains_file")}
+        if "name_postings" in tables or tables["files"].isEmpty():
+            out["name_postings"] = Change(search.name_postings(search.symbols({t: made[t] for t in search.SYMBOL_TABLES})), units)
+        used = tables["imports"].join(paths, "path", "left_anti").select("module").unionByName(made["imports"].select("module"))
+        left = held("imports").select("module").distinct().join(used, "module", "left_anti")
+        out["modules"] = Change(made["modules"].join(tables["modules"], "name", "left_anti"), left)
+        out["contains_dir"] = Change(made["contains_dir"].join(tables["contains_dir"], ["parent_path", "path"], "left_anti"), self._none())
+        keys = ["path", "name", "repo_path"]
+        new = made["directories"].select(*keys)
+        both = graph.upsert_nodes(tables["directories"].join(new, "path", "left_semi"), new, ["path"])
+        out["directories"] = Change(both.join(tables["directories"].select(*keys), keys, "left_anti"), self._none())
+        return out
+
+    def relinked(self, tables: dict[str, DataFrame], old: dict[str, DataFrame], paths: DataFrame) -> dict[str, Change]:
+        """What changes in the link tables once the files ``paths`` have changed from ``old`` to ``tables``: the links that the
+        change may concern are made again.  Links are replaced by source, so a source that keeps others takes them along."""
+        held = lambda t, kind: t[kind].join(paths, "path", "left_semi")
+        moved = [held(t, kind).select(F.lit(kind).alias("kind"), "name") for t in (old, tables) for kind in ("functions", "classes")]
+        moved = durable(reduce(DataFrame.unionByName, moved).distinct())
+        class_names, names = moved.where("kind = 'classes'").select("name"), moved.select("name").distinct()
         f, c = tables["functions"], tables["classes"]
-        ends = base["calls"].join(f.select(F.col("id").alias("src_id"), "path"), "src_id").join(f.select(F.col("id").alias("dst_id"), "name"), "dst_id")
-        made = self.linked(tables | {"parsed_calls": calls.join(again, ["path", "name"], "left_semi")}, class_names, paths)
-        out = {"calls": ends.join(again, ["path", "name"], "left_anti").select("src_id", "dst_id", "line_number", "repo_path").unionByName(made["calls"])}
+        parsed = tables["parsed_calls"].select("path", "name", "caller_name", "line_number")
+        redone = durable(parsed.join(resolve.affected_calls(parsed, tables["imports"], paths, names), ["path", "name"], "left_semi"))
+        again = redone.select("path", "name").distinct()
+        callers = redone.select("path", F.col("caller_name").alias("name")).distinct()
+        sources = f.join(callers, ["path", "name"], "left_semi").select(F.col("id").alias("src_id"), "path")
+        ends = old["calls"].join(sources.join(paths, "path", "left_anti"), "src_id")
+        ends = ends.join(f.join(paths, "path", "left_anti").select(F.col("id").alias("dst_id"), "name"), "dst_id")
+        kept = ends.join(again, ["path", "name"], "left_anti").select("src_id", "dst_id", "line_number", "repo_path")
+        made = self.linked(tables | {"parsed_calls": redone}, class_names, paths)
+        ids = lambda t: held(old, t).select(F.col("id").alias("unit"))
+        out = {"calls": Change(kept.unionByName(made["calls"]), ids("functions").unionByName(sources.select(F.col("src_id").alias("unit"))))}
         for t, column in (("inherits", "bases"), ("implements", "implements")):
-            redone = self._concerned(c, column, class_names, paths).select(F.col("id").alias("src_id"))
-            out[t] = base[t].join(redone, "src_id", "left_anti").select("src_id", "dst_id", "repo_path").unionByName(made[t])
+            concerned = self._concerned(c, column, class_names, paths).select(F.col("id").alias("unit"))
+            out[t] = Change(made[t], ids("classes").unionByName(concerned))
         return out
 
     @staticmethod
@@ -254,18 +290,43 @@ class Indexer:
             "implements": owner(resolve.link_bases(c, "implements", False, self.same_repo, only("implements")), c).select("src_id", "dst_id", "repo_path"),
         }
 
-    def _described(self, tables: dict[str, DataFrame], dirty: DataFrame) -> dict[str, DataFrame]:
+    def _described(self, tables: dict[str, DataFrame], dirty: DataFrame) -> dict[str, Change]:
+        """New texts, with all else that stands under the same paths."""
         if self.generator is None:
             return {}
+        symbols = describe.symbol_rows(tables["functions"], tables["classes"])
+        wanted = {t: (symbols.where(F.col("kind") == kind).drop("kind"), "id") for t, kind in (("functions", "function"), ("classes", "class"))}
+        wanted["files"] = (describe.file_rows(tables["files"], dirty, tables["functions"], tables["classes"]), "path")
+        wanted["directories"] = (describe.directory_rows(tables["files"]), "path")
         out = {}
-        for t, kind in (("functions", "function"), ("classes", "class")):
-            rows = describe.symbol_rows(tables["functions"], tables["classes"]).where(F.col("kind") == kind).drop("kind")
-            out[t] = graph.set_embeddings(tables[t], self._texts(rows, tables[t], ["id"]), ["id"])
-        rows = describe.file_rows(tables["files"], dirty, tables["functions"], tables["classes"])
-        out["files"] = graph.set_embeddings(tables["files"], self._texts(rows, tables["files"], ["path"]), ["path"])
-        rows = describe.directory_rows(tables["files"])
-        out["directories"] = graph.set_embeddings(tables["directories"], self._texts(rows, tables["directories"], ["path"]), ["path"])
-        return {t: durable(df) for t, df in out.items()}
+        for t, (rows, key) in wanted.items():
+            texts = self._texts(rows, tables[t], [key])
+            touched = tables[t].join(texts.select(key), key, "left_semi").select("path").distinct()
+            out[t] = Change(graph.set_embeddings(tables[t].join(touched, "path", "left_semi"), texts, [key]), self._none())
+        return out
+
+    def _vectors(self, tables: dict[str, DataFrame], old: dict[str, DataFrame], paths: DataFrame) -> dict[str, Change | DataFrame]:
+        """The segment of the vector index for the files that changed and whatever else got a text, or, when the index has grown
+        so much that its cells don't fit any more, the whole index by new ones."""
+        if self.generator is None and "vectors" not in old:
+            return {}
+        labels = search.VECTOR_TABLES
+        rows = segments.vector_rows(tables, labels)
+        n, trained = rows.count(), old["centroids"].agg(F.max("trained")).first()[0] if "vectors" in old else None
+        if not n and trained is None:
+            return {}
+        if trained is None or n > segments.REGROWN * max(trained, segments.FEW):
+            dimensions = rows.select(F.size("embedding").alias("n")).groupBy("n").count().orderBy(F.col("count").desc(), "n").first()["n"]
+            centroids = durable(segments.train(rows, dimensions))
+            return {"centroids": centroids, "vectors": segments.assigned(rows, segments.centers_of(centroids))}
+        rows = segments.usable(rows, segments.centers_of(old["centroids"]).shape[1])
+        key = ["label", "node", "path"]
+        # new texts are found by comparing: a description may come long after its file
+        was = old["vectors"].select(*key, F.col("embedding").alias("was"))
+        moved = rows.select(*key, "embedding").join(was, key, "left").where(~F.col("embedding").eqNullSafe(F.col("was"))).select("path")
+        touched = durable(paths.select("path").unionByName(moved).distinct())
+        made = segments.vector_rows(tables, labels, touched)
+        return {"vectors": Change(segments.assigned(made, segments.centers_of(old["centroids"])), touched)}
 
     def _texts(self, rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
         return durable(describe.describe(rows, table, key, self.generator, self.embed, self.slots))

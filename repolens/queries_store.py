@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from repolens.functions import text
 from repolens.functions.vectors import HashingEmbedder, dot, mean_pooled
-from repolens.operators import analyze, graph, resolve, search
+from repolens.operators import analyze, graph, resolve, search, segments
 from repolens.operators.traverse import durable, shared_folder
-from repolens.plans import ask, cypher, describe
+from repolens.plans import ask, cypher, describe, mutate
 from repolens.plans.index import carry_over
 from repolens.plans.projections import Projection
 from repolens.queries import NAME, query, sql_of
 from repolens.sources.files import fits_globs
 from repolens.sources.schema import TABLES
-from repolens.sources.store import SnapshotStore, duplicates
+from repolens.sources.store import Change, SnapshotStore, duplicates
 from repolens.streaming.watch import debounced, relevant
 
 # -- lookups and upkeep -------------------------------------------------------------------------------
@@ -305,6 +305,29 @@ def vector_indexed(p: Projection) -> DataFrame:
     return index.topk(list(first[0]), 10, 1 << len(index.planes), ("vec_id",)).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+@query("SELECT vec_id, CAST(10 AS BIGINT) AS found, CAST(1.0 AS DOUBLE) AS best, true AS recalled, true AS pruned FROM embeddings WHERE vec_id % 20 = 0")
+def vector_segments(p: Projection) -> DataFrame:
+    """The ten nearest of every twentieth vector from an index kept by the store: trained on what came first, a segment each for
+    what came and went later; whether recall is 0.9 or more against all rows, and whether only a part of the cells is read."""
+    store = SnapshotStore(p.spark, f"{shared_folder(p.spark)}/store-{uuid.uuid4().hex}")
+    e = p.table("embeddings")
+    number = F.col("vec_id").cast("string")
+    none = F.lit(None).cast("string")
+    rows = e.select("vec_id", F.lit("Function").alias("label"), number.alias("node"), number.alias("name"), F.concat(F.lit("/e/"), number).alias("path"), F.col("vec_id").alias("line_number"), none.alias("description"), none.alias("repo_path"), "embedding")
+    early, late = rows.where("vec_id % 10 < 7").drop("vec_id"), rows.where("vec_id % 10 >= 7").drop("vec_id")
+    centroids = durable(segments.train(early, 64))
+    centers = segments.centers_of(centroids)
+    store.publish({"centroids": centroids, "vectors": segments.assigned(early, centers)})
+    store.publish({"vectors": Change(segments.assigned(late, centers), p.spark.createDataFrame([], "unit string"))})
+    store.publish({"vectors": Change(store.load("vectors").limit(0), rows.where("vec_id % 50 = 49").select("path"))})
+    vectors = durable(store.load("vectors"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    found = segments.nearest_many(vectors, centroids, asked, 10, "node")
+    share = segments.recall(vectors, centroids, asked, 10, "node")
+    out = found.groupBy(F.col("query").alias("vec_id")).agg(F.count("*").alias("found"), F.round(F.max("score"), 6).alias("best"))
+    return out.withColumn("recalled", F.lit(share >= 0.9)).withColumn("pruned", F.lit(segments.probes_of(centroids) < len(centers)))
+
+
 @query(f"""SELECT s.name AS caller_name, s.path AS caller_path, s.line_number AS caller_line, c.line_number AS call_line FROM calls c JOIN functions s ON s.id = c.src_id JOIN functions d ON d.id = c.dst_id WHERE d.name = '{NAME}'
   ORDER BY 2, 3, 1, 4 LIMIT 20""", "functions", "calls")
 def analyze_by_name(p: Projection) -> DataFrame:
@@ -369,6 +392,61 @@ def cypher_vector_union(p: Projection) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
+# -- writing pattern queries --------------------------------------------------------------------------
+
+
+def _writable(p: Projection) -> SnapshotStore:
+    """A store with a function for each part, each of which calls that of the next number divided by three, and one module."""
+    store = SnapshotStore(p.spark, f"{shared_folder(p.spark)}/store-{uuid.uuid4().hex}")
+    part = p.table("part").select(F.col("p_partkey").cast("int").alias("line_number"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("path"))
+    functions = durable(part.withColumn("id", F.concat_ws("#", "path", "name", F.col("line_number").cast("string"))))
+    other = functions.select(F.col("line_number").alias("to"), F.col("id").alias("dst_id"))
+    calls = functions.select(F.col("id").alias("src_id"), F.expr("line_number div 3 + 1").alias("to"), "line_number").join(other, "to").drop("to")
+    full = lambda t, df: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in p.spark.createDataFrame([], TABLES[t]).schema])
+    store.publish({"functions": full("functions", functions), "calls": full("calls", calls), "modules": p.spark.createDataFrame([("old",)], "name string")})
+    return store
+
+
+_PARTS = "f AS (SELECT CAST(p_partkey AS INTEGER) AS line_number, 'f' || p_partkey AS name, p_brand AS path FROM part), c AS (SELECT a.line_number AS a, b.line_number AS b, a.path AS a_path, b.path AS b_path FROM f a JOIN f b ON b.line_number = a.line_number // 3 + 1)"
+
+
+@query(f"WITH {_PARTS} SELECT name, CASE WHEN path IN ('Brand#11', 'Brand#13') THEN path END AS docstring, CASE WHEN path IN ('Brand#11', 'Brand#13') THEN line_number + 1 END AS complexity FROM f")
+def cypher_set(p: Projection) -> DataFrame:
+    """SET of two properties on the functions that match, others unchanged."""
+    store = _writable(p)
+    mutate.write(p.spark, store, "MATCH (f:Function) WHERE f.path IN $paths SET f.docstring = f.path, f.cyclomatic_complexity = f.line_number + 1", {"paths": ["Brand#11", "Brand#13"]})
+    return store.load("functions").select("name", "docstring", F.col("cyclomatic_complexity").alias("complexity"))
+
+
+@query(f"""WITH {_PARTS} SELECT f.name, CAST(count(c.a) AS BIGINT) AS calls FROM f LEFT JOIN c ON c.a = f.line_number AND c.b_path <> 'Brand#13' AND c.a_path <> c.b_path WHERE f.path <> 'Brand#13' GROUP BY f.name""")
+def cypher_delete(p: Projection) -> DataFrame:
+    """DETACH DELETE of nodes with all their edges, then DELETE of the edges within a file: what is left."""
+    store = _writable(p)
+    mutate.write(p.spark, store, "MATCH (f:Function {path: 'Brand#13'}) DETACH DELETE f")
+    mutate.write(p.spark, store, "MATCH (a:Function)-[c:CALLS]->(b:Function) WHERE a.path = b.path DELETE c")
+    out = store.load("functions").join(store.load("calls"), F.col("id") == F.col("src_id"), "left")
+    return out.groupBy("name").agg(F.count("src_id").alias("calls"))
+
+
+@query(f"""WITH {_PARTS} SELECT name, path, docstring, calls FROM (
+  SELECT name, path, CASE WHEN line_number <= 3 THEN 'met' END AS docstring, CAST(1 + (line_number <= 3)::INT AS BIGINT) AS calls FROM f
+  UNION ALL SELECT 'f1', 'new', 'made', 0 UNION ALL SELECT name, 'module', NULL, 0 FROM (VALUES ('old'), ('x'), ('y')) v(name))""")
+def cypher_merge(p: Projection) -> DataFrame:
+    """MERGE of nodes that are there and that are not, of nodes from a list, and of edges: what is there after it."""
+    store = _writable(p)
+    first = {r["line_number"]: r["path"] for r in store.load("functions").where("line_number <= 3").select("line_number", "path").collect()}
+    for n, path in [*first.items(), (1, "new")]:
+        mutate.write(p.spark, store, "MERGE (f:Function {name: $name, path: $path, line_number: $n}) ON CREATE SET f.docstring = 'made' ON MATCH SET f.docstring = 'met'", {"name": f"f{n}", "path": path, "n": n})
+    mutate.write(p.spark, store, "UNWIND $names AS n MERGE (m:Module {name: n})", {"names": ["x", "y", "x", "old"]})
+    # twice: a merged edge is there once
+    for _ in range(2):
+        mutate.write(p.spark, store, "MATCH (a:Function {docstring: 'met'}), (b:Function {docstring: 'made'}) WHERE b.line_number = 1 MERGE (a)-[:CALLS {line_number: 99}]->(b)")
+    f, c = store.load("functions"), store.load("calls")
+    out = f.join(c, F.col("id") == F.col("src_id"), "left").groupBy("name", "path", "docstring").agg(F.count("src_id").alias("calls"))
+    modules = store.load("modules").select("name", F.lit("module").alias("path"), F.lit(None).cast("string").alias("docstring"), F.lit(0).cast("long").alias("calls"))
+    return out.unionByName(modules)
+
+
 # -- whole runs ---------------------------------------------------------------------------------------
 
 
@@ -415,37 +493,48 @@ def ask_sources(p: Projection) -> DataFrame:
     return p.spark.createDataFrame(rows, "answer string, kind string, name string, path string, line_number int, description string")
 
 
-_ASKED = ("SELECT 1 AS drop_me", "  select count(*) from q_guard", "DROP TABLE q_guard", "INSERT INTO q_guard VALUES (1)", "CREATE VIEW x AS SELECT 1", "DELETE FROM q_guard", "WITH a AS (SELECT 1) SELECT * FROM a", "SET spark.x = 1")
+_READ = ("SELECT 1 AS drop_me", "  select r_name from q_guard", "WITH a AS (SELECT r_name FROM q_guard) SELECT * FROM a", "SELECT upper(r_name), row_number() OVER (ORDER BY r_name) FROM q_guard WHERE r_regionkey >= (SELECT min(r_regionkey) FROM q_guard)")
+_REFUSED = (
+    "DROP TABLE q_guard", "INSERT INTO q_guard VALUES (1)", "CREATE VIEW x AS SELECT 1", "DELETE FROM q_guard", "SET spark.x = 1", "CACHE TABLE q_guard", "SELECT reflect(r_name, r_name) FROM q_guard",
+    "SELECT * FROM q_guard WHERE r_name IN (SELECT java_method(r_name, r_name) FROM q_guard)", "WITH a AS (SELECT try_reflect(r_name, r_name) AS x FROM q_guard) SELECT x FROM a", "SELECT own_function(r_name) FROM q_guard", "SELECT * FROM text.`/etc/hosts`",
+)
 
 
-@query("SELECT text, text NOT LIKE '%SELECT 1 AS drop_me%' AND text NOT LIKE '%select count%' AND text NOT LIKE 'WITH%' AS refused FROM (VALUES " + ", ".join(f"('{x}')" for x in _ASKED) + ") v(text)")
+@query("SELECT text, CASE WHEN text LIKE '%drop_me' THEN 1 WHEN allowed THEN (SELECT count(*) FROM region) END AS n FROM (VALUES " + ", ".join(f"('{x}', {x in _READ})" for x in (*_READ, *_REFUSED)) + ") v(text, allowed)")
 def read_only_guard(p: Projection) -> DataFrame:
-    """Which statements are refused: what their plans do decides, not their first word."""
+    """The rows that statements give, null for those that are refused: what their plans and expressions do decides, not their
+    first word."""
     search.register_views({"guard": p.table("region")}, "q_")
 
-    def refused(text: str) -> bool:
+    def rows(text: str) -> int | None:
         try:
-            search.read_only_sql(p.spark, text)
+            return search.read_only_sql(p.spark, text).count()
         except PermissionError:
-            return True
-        return False
+            return None
 
-    return p.spark.createDataFrame([(x, refused(x)) for x in _ASKED], "text string, refused boolean")
+    return p.spark.createDataFrame([(x, rows(x)) for x in (*_READ, *_REFUSED)], "text string, n long")
 
 
-@query("SELECT component, status FROM (VALUES ('engine', 'ok'), ('generator', 'skipped'), ('embedder', 'ok')) v(component, status)")
+@query("SELECT component, status, message FROM (VALUES ('engine', 'ok', NULL), ('generator', 'skipped', NULL), ('embedder', 'ok', NULL), ('store', 'ok', (SELECT count(DISTINCT p_brand) || ' files, ' || count(DISTINCT p_type) || ' modules' FROM part))) v(component, status, message)")
 def health(p: Projection) -> DataFrame:
+    """The parts of an engine whose store holds a file for each brand and a module for each type."""
     from repolens.api import Lens  # noqa: PLC0415
 
-    found = Lens(p.spark, f"{shared_folder(p.spark)}/store-{uuid.uuid4().hex}").doctor()
-    return p.spark.createDataFrame([(x["component"], x["status"]) for x in found], "component string, status string")
+    lens = Lens(p.spark, f"{shared_folder(p.spark)}/store-{uuid.uuid4().hex}")
+    part = p.table("part")
+    files = part.select(F.col("p_brand").alias("path")).distinct()
+    wanted = p.spark.createDataFrame([], TABLES["files"]).schema
+    lens.store.publish({"files": files.select(*[(F.col(f.name) if f.name == "path" else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]), "modules": part.select(F.col("p_type").alias("name")).distinct()})
+    found = lens.doctor()
+    return p.spark.createDataFrame([(x["component"], x["status"], x["message"] if x["component"] == "store" else None) for x in found], "component string, status string, message string")
 
 
 @query(f"""SELECT path, op, session_end, n_events FROM ({sql_of("watch_sessions")}) WHERE session_end <= (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') FROM events)""")
 def watch_stream(p: Projection) -> DataFrame:
     """The sessions of changes as a stream gives them: those that the watermark has closed."""
     events = p.table("events")
-    stream = p.spark.readStream.schema(events.schema).parquet(f"{p.sf_dir}/events.parquet")
+    # a pattern, since a stream takes a plain path for a folder, and the table may be one file
+    stream = p.spark.readStream.schema(events.schema).parquet(f"{p.sf_dir}/events.parquet*")
     stream = stream.select(F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("op"), F.col("ts").cast("timestamp").alias("event_time"), F.col("event_id").alias("seq"))
     place = f"{shared_folder(p.spark)}/stream-{uuid.uuid4().hex}"
     writer = debounced(stream, "2 hours", "0 seconds").writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{place}/state")

@@ -121,26 +121,44 @@ def fits_globs(rel: Column, patterns: list[str], ignore: list[str] | None = None
 def glob(spark: SparkSession, root: str, patterns: str | list[str] = "**/*", ignore: list[str] | None = None, absolute: bool = True) -> DataFrame:
     """path, length, modified of the files under ``root`` whose path from there fits a glob and none of ``ignore``; contents
     are not read.  With ``absolute`` false paths are stated from ``root`` on."""
-    base = root.rstrip("/") + "/"
+    root = rooted(spark, root)
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     df = df.select(plain(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("modified"))
-    rel = F.when(F.col("path").startswith(base), F.substr("path", F.lit(len(base) + 1))).otherwise(F.col("path"))
+    rel = below(F.col("path"), root)
     df = df.where(fits_globs(rel, [patterns] if isinstance(patterns, str) else patterns, ignore))
     return df if absolute else df.withColumn("path", rel)
 
 
 def plain(path: Column) -> Column:
     """A path without the scheme of the local file system."""
-    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^file:/+", "/")
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
+def rooted(spark: SparkSession, root: str) -> str:
+    """The one name of a directory, as ``plain`` names the files in it: absolute, with its file system unless that is the
+    local one, without a slash at its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "/", whole).rstrip("/")
+
+
+def below(path: Column, root: str) -> Column:
+    """The path from ``root`` on, which ``rooted`` has named; a file that isn't below it is an error."""
+    base = root + "/"
+    odd = F.raise_error(F.concat(path, F.lit(f" is not below {base}")))
+    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(odd)
+
+
+def contents(raw: DataFrame, root: str) -> DataFrame:
+    """path, rel, lang, source, content_hash of files (path, content)."""
+    rows = raw.select(plain(F.col("path")).alias("path"), "content").withColumn("rel", below(F.col("path"), root))
+    return rows.select("path", "rel", language(F.col("path")).alias("lang"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"), F.sha2("content", 256).alias("content_hash"))
 
 
 def read_sources(spark: SparkSession, root: str, gitignore: str | None = None) -> DataFrame:
     """path, rel, lang, source, content_hash of the source files under ``root`` that no rule ignores."""
+    root = rooted(spark, root)
     rules = root_gitignore(spark, root) if gitignore is None else gitignore
     pattern = "*.{" + ",".join(sorted(x[1:] for x in EXTENSIONS)) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    base = root.rstrip("/") + "/"
-    rows = raw.select(plain(F.col("path")).alias("path"), F.col("content"))
-    rel = F.when(F.col("path").startswith(base), F.substr("path", F.lit(len(base) + 1))).otherwise(F.col("path"))
-    rows = rows.withColumn("rel", rel).where(~ignored(F.col("rel"), rules))
-    return rows.select("path", "rel", language(F.col("path")).alias("lang"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"), F.sha2("content", 256).alias("content_hash"))
+    return contents(raw.where(~ignored(below(plain(F.col("path")), root), rules)), root)

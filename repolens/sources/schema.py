@@ -42,12 +42,24 @@ EDGES = {
 #: Calls as parsed, kept to link again when other files change.
 BRONZE = {"parsed_calls": "path string, name string, line_number int, args array<string>, caller_name string, caller_line_number int, full_call_name string, inferred_obj_type string, repo_path string"}
 TABLES = NODES | EDGES | BRONZE
-#: Indexes over node tables, which a store keeps beside them: the words of symbols' names, sorted by word in each file; a row
-#: of the empty word stands for each symbol.
-INDEXES = {"name_postings": "term string, label string, labels array<string>, name string, path string, line_number long, tf long, length long"}
+#: Indexes over node tables, which a store keeps beside them: the words of symbols' names, sorted by word in each file, where a
+#: row of the empty word stands for each symbol; and the nodes that have vectors, by cells around centroids.
+INDEXES = {
+    "name_postings": "term string, label string, labels array<string>, name string, path string, line_number long, tf long, length long",
+    "vectors": "label string, node string, name string, path string, line_number long, description string, repo_path string, embedding array<float>, cell int",
+    "centroids": "cell int, center array<float>, trained long, probes int",
+}
+#: Tables whose runs are kept in a folder for each value of a column, so that a search reads a few of them; the order of rows in others.
+FOLDERS, ORDERS = {"vectors": "cell"}, {"name_postings": "term"}
 LABELS = {"repositories": "Repository", "directories": "Directory", "files": "File", "functions": "Function", "classes": "Class", "variables": "Variable", "modules": "Module", "parameters": "Parameter"}
 #: The natural key of each node table; unique after every write.
 KEYS = {
     "repositories": ["path"], "directories": ["path"], "files": ["path"], "functions": ["name", "path", "line_number"],
     "classes": ["name", "path", "line_number"], "variables": ["name", "path", "line_number"], "modules": ["name"], "parameters": ["name", "function_name", "path"],
 }
+#: The column whose values a change of a table replaces as a whole; each natural key holds it.
+UNITS = {
+    "repositories": "path", "directories": "path", "files": "path", "functions": "path", "parameters": "path", "classes": "path", "variables": "path", "modules": "name",
+    "contains_dir": "path", "contains_file": "path", "imports": "path", "inherits": "src_id", "implements": "src_id", "calls": "src_id", "parsed_calls": "path", "name_postings": "path",
+    "vectors": "path", "centroids": "cell",
+}

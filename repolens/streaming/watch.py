@@ -1,6 +1,7 @@
 """Watching directories: a change stream, debouncing, and re-indexing.
 
-The source compares listings of a directory: each micro-batch holds the files added, changed or unlinked since the last.
+A source compares listings of a directory: each micro-batch holds the files added, changed or unlinked since the last.
+``Watcher`` takes the one whose tasks list a subtree each (``subtrees``); ``DirectoryChanges`` lists on the driver, for small trees.
 Changes of a path that follow within the quiet time are one session, across micro-batches, and the last of them decides
 what is done.  A session is closed by the watermark, so for a while after a change the source reports the time alone (op
 ``tick``), which moves the watermark on when no other file changes.
@@ -24,7 +25,8 @@ from pyspark.sql.streaming import StreamingQuery
 from repolens.functions.parsers import EXTENSIONS
 from repolens.operators.traverse import shared_folder
 from repolens.plans.index import Indexer
-from repolens.sources.files import IGNORED_DIRS, exists, language
+from repolens.sources.files import IGNORED_DIRS, contents, exists, rooted
+from repolens.streaming.subtrees import SubtreeChanges, primed
 
 QUIET = "2 seconds"
 #: Seconds for which the source goes on reporting the time after a change: enough for the watermark to pass the quiet time.
@@ -118,19 +120,15 @@ def debounced(events: DataFrame, quiet: str = QUIET, late: str | None = None) ->
 def apply_changes(indexer: Indexer, root: str, changes: DataFrame) -> None:
     """Re-index added and changed files and remove unlinked ones, links included, in one publish."""
     spark = changes.sparkSession
+    root = rooted(spark, root)
     last = changes.groupBy("path").agg(F.max_by("op", "session_end").alias("op"))
     ops = {r["path"]: r["op"] for r in last.collect()}  # the files of one micro-batch
     alive = [p for p, op in ops.items() if op != "unlink" and exists(spark, p)]
     dead = [(p,) for p in ops if p not in alive]
     if not ops:
         return
-    base = root.rstrip("/") + "/"
     if alive:
-        raw = spark.read.format("binaryFile").load(alive)
-        path = F.regexp_replace("path", "^file:/+", "/")
-        sources = raw.select(path.alias("path"), "content").select(
-            "path", F.substr("path", F.lit(len(base) + 1)).alias("rel"), language(F.col("path")).alias("lang"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"), F.sha2("content", 256).alias("content_hash")
-        )
+        sources = contents(spark.read.format("binaryFile").load(alive), root)
     else:
         sources = spark.createDataFrame([], "path string, rel string, lang string, source string, content_hash string")
     indexer.index_files(root, sources, spark.createDataFrame(dead, "path string"))
@@ -143,18 +141,23 @@ class Watcher:
         self.spark, self.indexer = spark, indexer
         self.queries: dict[str, StreamingQuery] = {}
         spark.dataSource.register(DirectoryChanges)
+        spark.dataSource.register(SubtreeChanges)
 
     def watch(self, path: str, interval: str = "2 seconds", checkpoint: str | None = None) -> StreamingQuery:
-        path = path.rstrip("/")
+        path = rooted(self.spark, path)
         if path in self.queries and self.queries[path].isActive:
             return self.queries[path]
-        events = self.spark.readStream.format("directory_changes").option("path", path).load()
+        checkpoint = checkpoint or f"{shared_folder(self.spark)}/watch-{uuid.uuid4().hex}"
+        state = f"{checkpoint}-listings"
+        reader = self.spark.readStream.format("subtree_changes").option("path", path).option("state", state)
+        if not exists(self.spark, f"{checkpoint}/offsets"):
+            reader = reader.option("first", str(primed(self.spark, path, state)))
+        events = reader.load()
         sessions = debounced(events.where((F.col("op") == "tick") | is_relevant()), QUIET, "0 seconds")
 
         def run(batch: DataFrame, _: int) -> None:
             apply_changes(self.indexer, path, batch.where("op <> 'tick'"))
 
-        checkpoint = checkpoint or f"{shared_folder(self.spark)}/watch-{uuid.uuid4().hex}"
         writer = sessions.writeStream.queryName(f"watch:{path}").outputMode("append").foreachBatch(run)
         writer = writer.trigger(processingTime=interval).option("checkpointLocation", checkpoint)
         # a query keeps the settings that it starts with
@@ -167,7 +170,7 @@ class Watcher:
         return self.queries[path]
 
     def unwatch(self, path: str) -> bool:
-        query = self.queries.pop(path.rstrip("/"), None)
+        query = self.queries.pop(rooted(self.spark, path), None)
         if query is not None:
             query.stop()
         return query is not None
