@@ -102,7 +102,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 
 def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
-    """word, n, n_near, form, form_n, root of every word of ``words`` (word, n)."""
+    """word, form, root, n, n_near, form_n of every word of ``words`` (word, n)."""
     words = materialise(words, "spelling-words")
     near = words.join(near_words(words), "word", "left")
     form_n = -F.col("best.less")

@@ -133,7 +133,7 @@ def plain_variants(words: dict[str, int]) -> list[tuple]:
         root = w
         while forms[root]:
             root = forms[root]
-        out.append((w, n, near[w], forms[w], words.get(forms[w]), root))
+        out.append((w, forms[w], root, n, near[w], words.get(forms[w])))
     return sorted(out, key=repr)
 
 
