@@ -13,7 +13,7 @@ from repolens.operators import analyze, graph, resolve, search, segments
 from repolens.operators.traverse import durable, shared_folder
 from repolens.plans import ask, cypher, describe, mutate
 from repolens.plans.index import carry_over
-from repolens.plans.projections import Projection
+from repolens.plans.projections import CODE_ROOT, Projection
 from repolens.queries import NAME, query, sql_of
 from repolens.sources.files import fits_globs
 from repolens.sources.schema import TABLES
@@ -478,6 +478,28 @@ def index_run(p: Projection) -> DataFrame:
     return p.spark.createDataFrame([*rows, ("after", sum(lens.tables()[t].count() for t in names))], "name string, n long")
 
 
+@query("""SELECT name, CASE name WHEN 'functions' THEN 10 * (n - gone) + changed WHEN 'classes' THEN 3 * (n - gone) WHEN 'variables' THEN 4 * (n - gone) WHEN 'imports' THEN 5 * (n - gone) WHEN 'changed' THEN changed WHEN 'runs' THEN 2 WHEN 'replaced' THEN changed + gone ELSE n - gone END AS n
+  FROM (SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (s_suppkey % 10 = 1) AS BIGINT) AS gone, CAST(count(*) FILTER (s_suppkey % 10 = 0) AS BIGINT) AS changed FROM supplier),
+  (VALUES ('files'), ('functions'), ('classes'), ('variables'), ('imports'), ('calls'), ('inherits'), ('implements'), ('changed'), ('runs'), ('replaced')) v(name)""")
+def index_delta(p: Projection) -> DataFrame:
+    """All files indexed, then a tenth changed and a tenth removed as one change: the rows of each table, and what the second
+    publish wrote of files: a run of the changed ones that replaces those and the removed."""
+    from repolens.plans.index import Indexer  # noqa: PLC0415
+
+    store = SnapshotStore(p.spark, f"{shared_folder(p.spark)}/store-{uuid.uuid4().hex}")
+    indexer, root = Indexer(p.spark, store), CODE_ROOT
+    files = durable(p.ts_sources())
+    indexer.index_files(root, files)
+    key = F.regexp_extract("rel", "s([0-9]+)[.]", 1).cast("long") % 10
+    more = F.concat("source", F.lit("\nexport function extraOne(a: number) { return a; }\n"))
+    changed = files.where(key == 0).withColumn("source", more).withColumn("content_hash", F.sha2("source", 256))
+    indexer.index_files(root, changed, files.where(key == 1).select("path"))
+    tables, runs = store.tables(), store.snapshot().runs["files"]
+    names = ("files", "functions", "classes", "variables", "imports", "calls", "inherits", "implements")
+    rows = [(t, tables[t].count()) for t in names] + [("changed", runs[-1].rows), ("runs", len(runs)), ("replaced", runs[-1].gone)]
+    return p.spark.createDataFrame(rows, "name string, n long")
+
+
 @query("""SELECT '12 blocks' AS answer, 'function' AS kind, 'v' || vec_id AS name, '/e' AS path, CAST(vec_id AS INTEGER) AS line_number, 'about ' || vec_id AS description FROM embeddings
   ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) DESC, vec_id LIMIT 12""")
 def ask_sources(p: Projection) -> DataFrame:
