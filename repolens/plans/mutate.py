@@ -58,7 +58,7 @@ def _clauses(query: str) -> list[tuple[str, str]]:
         if m.lastgroup == "name" and not depth and word in _WORDS and last not in (".", ":"):
             cuts.append((m.start(), m.end(), word))
         last = word if not word.isspace() else last
-    ends = [c[0] for c in cuts[1:]] + [len(query)]
+    ends = [*[c[0] for c in cuts[1:]], len(query)][: len(cuts)]
     return [("", query[: cuts[0][0]] if cuts else query), *[(word, query[b:end].strip().rstrip(";").strip()) for (_, b, word), end in zip(cuts, ends, strict=True)]]
 
 
