@@ -146,6 +146,74 @@ def test_resolve(spark, name, imports, symbols, expected):
     assert rows(out) == [expected]
 
 
+def _compared(df) -> bool:  # noqa: ANN001
+    """Whether a plan shuffles links to compare them, which are the square of a group's size."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "Aggregate [src_id" in plan or "Distinct" in plan
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.sampled_from([None, *"123456789"]), st.sampled_from([None, "a", "b", "c"]), st.sampled_from([None, "r", "s", ""]), st.lists(st.sampled_from([None, "a", "b", "c"]), max_size=3)), max_size=14),
+    st.booleans(), st.booleans(),
+)
+def test_links_of_bases_are_all_and_once(spark, classes, exclude_self, same_repo):
+    """Null and repeated ids too, under one name or several."""
+    c = spark.createDataFrame(classes, "id string, name string, repo_path string, bases array<string>")
+    expected = {
+        (a[0], b[0]) for a in classes for b in classes
+        if b[1] is not None and b[1] in a[3] and (not exclude_self or None not in (a[0], b[0]) and a[0] != b[0]) and (not same_repo or a[2] == b[2])
+    }
+    found = rows(resolve.link_bases(c, "bases", exclude_self, same_repo))
+    assert len(found) == len(expected) and set(found) == expected
+
+
+def test_links_of_large_groups(spark):
+    """Groups of several blocks: every pair once, and no pair is shuffled."""
+    n = 2 * resolve.BLOCK + 3
+    c = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("name"), F.lit(None).cast("string").alias("repo_path"), F.array(F.lit("a"), F.lit("a")).alias("bases"))
+    df = resolve.link_bases(c, "bases", True)
+    assert not _compared(df)
+    assert df.count() == df.distinct().count() == n * (n - 1)
+    f = c.select("id", "name", F.lit("/1").alias("path"), F.col("id").cast("int").alias("line_number"))
+    calls = spark.range(40).select(F.lit("/1").alias("path"), F.lit("a").alias("name"), F.lit("a").alias("caller_name"), F.col("id").cast("int").alias("line_number"))
+    calls = calls.unionByName(calls.limit(1)).unionByName(calls.limit(1).withColumn("line_number", F.lit(None).cast("int")))
+    imports = spark.createDataFrame([], "path string, imported_name string, alias string, line_number int")
+    symbols = f.select("name", "path", "line_number").withColumn("ord", F.struct("path", "line_number"))
+    df = resolve.link_calls(calls, imports, f, symbols)
+    assert not _compared(df)
+    assert df.agg(F.count("*"), F.count_distinct("src_id", "dst_id"), F.count("line_number")).first()[:] == (n * n * 41, n * n, n * n * 40)
+    local = resolve.link_calls(calls, imports, f, symbols.limit(0))
+    assert not _compared(local)
+    assert local.agg(F.count("*"), F.min("dst_id"), F.max("dst_id")).first()[:] == (n * 41, "0", "0")
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.sampled_from([None, *"12345"]), st.sampled_from(["a", "b", "c"]), st.sampled_from(["/1", "/2"]), st.integers(1, 40)), max_size=9),
+    st.lists(st.tuples(st.sampled_from(["/1", "/2"]), st.sampled_from("abc"), st.sampled_from([None, "a", "b"]), st.sampled_from([None, 1, 2, 40])), max_size=9),
+)
+def test_links_of_calls_are_all_and_once(spark, functions, calls):
+    f = spark.createDataFrame(functions, "id string, name string, path string, line_number int")
+    c = spark.createDataFrame(calls, "path string, name string, caller_name string, line_number int")
+    imports = spark.createDataFrame([], "path string, imported_name string, alias string, line_number int")
+    symbols = f.where("name <> 'b'").select("name", "path", "line_number").withColumn("ord", F.struct("path", "line_number"))
+    expected = set()
+    for path, name, caller, line in calls:
+        places = sorted((p == path, p, n) for _, x, p, n in functions if x == name and x != "b")
+        if places:
+            ends = [i for i, x, p, _ in functions if x == name and p == places[0][1]]
+        else:
+            ends = [min((n, j) for j, (_, x, p, n) in enumerate(functions) if (x, p) == (name, path))] if any((x, p) == (name, path) for _, x, p, _ in functions) else []
+            ends = [functions[j][0] for _, j in ends]
+        expected |= {(i, e, line) for i, x, p, _ in functions if caller is not None and (x, p) == (caller, path) for e in ends}
+    found = rows(resolve.link_calls(c, imports, f, symbols))
+    assert len(found) == len(set(found))
+    lines = [n for *_, n in functions]
+    if len(set(lines)) == len(lines):  # else which of two functions on a line is first is open
+        assert set(found) == expected
+
+
 def test_link_bases(spark):
     c = spark.createDataFrame([("1", "A", "/r", ["A", "B"]), ("2", "B", "/r", []), ("3", "B", "/q", None)], "id string, name string, repo_path string, bases array<string>")
     assert sorted(rows(resolve.link_bases(c, "bases", True))) == [("1", "2"), ("1", "3")]
