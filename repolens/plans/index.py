@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from repolens.functions.parsers import parse
 from repolens.functions.parsers.tokens import MAX_SOURCE
@@ -31,40 +33,56 @@ from repolens.sources.store import Change, Snapshot, SnapshotStore, Units, toget
 
 
 PARSED_BYTES = 8 << 20
+#: What is parsed goes on in batches of about so many characters of source.
+BATCH_CHARS = 1 << 21
 #: A change of more files is written in a bucket for so many of them, up to ``MOST_BUCKETS``.
 FILES_PER_BUCKET, MOST_BUCKETS = 2_000, 1_024
 
 
-def parse_files(sources: DataFrame, is_dependency: bool = False) -> DataFrame:
-    """path, lang and the five arrays of each source file (path, source); ``error`` for a file that can't be read."""
-    names = ["path", "lang", "functions", "classes", "imports", "calls", "variables"]
+def parse_files(sources: DataFrame, is_dependency: bool = False, only: tuple[str, ...] = ("functions", "classes", "imports", "calls", "variables")) -> DataFrame:
+    """path, lang and the five arrays of each source file (path, source), or ``only`` some of them; ``error`` for a file that
+    can't be read."""
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(f"{PARSED_FILE}, error string")}
+    names = ["path", "lang", *only, "error"]
+    schema = StructType([StructField(c, kinds[c]) for c in names])
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for path, source in zip(batch["path"], batch["source"], strict=True):
+            for path, source in zip(batch["path"].to_pylist(), batch["source"].to_pylist(), strict=True):
                 try:
                     row = parse(path, source, is_dependency)
-                    if row is not None:
-                        rows.append(row | {"error": None})
+                    if row is None:
+                        continue
+                    row["error"] = None
                 except Exception as e:  # noqa: BLE001  one odd file does not stop the others
-                    rows.append({"path": path, "lang": None, "error": str(e)[:500]} | {k: [] for k in names[2:]})
-            yield pd.DataFrame(rows, columns=[*names, "error"])
+                    row = {"path": path, "lang": None, "error": str(e)[:500]} | {k: [] for k in only}
+                rows.append(row)
+                size += len(source or "")
+                if size > BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], arrow.field(c).type) for c in names], schema=arrow)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], arrow.field(c).type) for c in names], schema=arrow)
 
     # parsing takes far longer than moving a source, and a few blocks may hold all of them: at least two tasks a core, and
     # no more than about PARSED_BYTES in one
     size = sources.agg(F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()[0]
     tasks = max(2 * sources.sparkSession.sparkContext.defaultParallelism, size // PARSED_BYTES)
     spread = sources.select("path", "source").repartition(tasks, "path")
-    return spread.mapInPandas(run, f"{PARSED_FILE}, error string")
+    return spread.mapInArrow(run, schema)
 
 
 def prescan(parsed: DataFrame) -> DataFrame:
-    """name, path, line_number of the symbols that other files may mean: top-level functions and all classes."""
-    f = parsed.select("path", F.explode("functions").alias("x")).where("x.context is null and x.class_context is null")
-    c = parsed.select("path", F.explode("classes").alias("x"))
-    pick = lambda df: df.select("x.name", "path", "x.line_number")
-    return pick(f).unionByName(pick(c)).distinct()
+    """name, path, line_number of the symbols that other files may mean: top-level functions and all classes.
+
+    Both come from one pass over ``parsed``, which Spark would parse once for each.
+    """
+    place = lambda x: F.struct(x["name"].alias("name"), x["line_number"].alias("line_number"))
+    top = F.filter("functions", lambda x: x["context"].isNull() & x["class_context"].isNull())
+    both = F.concat(F.transform(top, place), F.transform("classes", place))
+    return parsed.select("path", F.explode(both).alias("x")).select("x.name", "path", "x.line_number").distinct()
 
 
 def tables_of(parsed: DataFrame, sources: DataFrame, repo_path: str) -> dict[str, DataFrame]:

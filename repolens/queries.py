@@ -261,32 +261,32 @@ def enrich_class(p: Projection) -> DataFrame:
 @query("""SELECT '/src/' || p_partkey || '.js' AS path, 'f' || p_partkey AS name, 3 AS line_number, 5 + p_size AS end_line, 'a,b,...c' AS args, 1 + p_size AS complexity, NULL AS kind, NULL AS class_context FROM part
   UNION ALL SELECT '/src/' || p_partkey || '.js', 'run', 6 + p_size, 6 + p_size, '', 2, NULL, 'C' || p_partkey FROM part""")
 def parse_functions(p: Projection) -> DataFrame:
-    f = parse_files(p.sources()).select("path", F.explode("functions").alias("f"))
+    f = parse_files(p.sources(), only=("functions",)).select("path", F.explode("functions").alias("f"))
     return f.select("path", "f.name", "f.line_number", "f.end_line", F.array_join("f.args", ",").alias("args"), F.col("f.cyclomatic_complexity").alias("complexity"), "f.kind", "f.class_context")
 
 
 @query("""SELECT '/src/' || p_partkey || '.js' AS path, 'C' || p_partkey AS name, upper(p_type[1]) || lower(p_type[2:]) AS bases, 6 + p_size AS line_number FROM part""")
 def parse_classes(p: Projection) -> DataFrame:
-    c = parse_files(p.sources()).select("path", F.explode("classes").alias("c"))
+    c = parse_files(p.sources(), only=("classes",)).select("path", F.explode("classes").alias("c"))
     return c.select("path", "c.name", F.array_join("c.bases", ",").alias("bases"), "c.line_number")
 
 
 @query("""SELECT '/src/' || p_partkey || '.js' AS path, 'g' || p_partkey AS name, 'g' || p_partkey AS full_call_name, 'f' || p_partkey AS caller_name, 4 + p_size AS line_number FROM part
   UNION ALL SELECT '/src/' || p_partkey || '.js', 'f' || p_partkey, 'this.f' || p_partkey, 'run', 6 + p_size FROM part""")
 def parse_calls(p: Projection) -> DataFrame:
-    c = parse_files(p.sources()).select("path", F.explode("calls").alias("c"))
+    c = parse_files(p.sources(), only=("calls",)).select("path", F.explode("calls").alias("c"))
     return c.select("path", "c.name", "c.full_call_name", "c.caller_name", "c.line_number")
 
 
 @query("""SELECT '/src/' || p_partkey || '.js' AS path, replace(p_name, ' ', '_') AS name, './' || lower(p_type) AS source, 1 AS line_number FROM part""")
 def parse_imports(p: Projection) -> DataFrame:
-    i = parse_files(p.sources()).select("path", F.explode("imports").alias("i"))
+    i = parse_files(p.sources(), only=("imports",)).select("path", F.explode("imports").alias("i"))
     return i.select("path", "i.name", "i.source", "i.line_number")
 
 
 @query("""SELECT 'f' || p_partkey AS name, '/src/' || p_partkey || '.js' AS path, 3 AS line_number FROM part UNION ALL SELECT 'C' || p_partkey, '/src/' || p_partkey || '.js', 6 + p_size FROM part""")
 def prescan_symbols(p: Projection) -> DataFrame:
-    return prescan(parse_files(p.sources()))
+    return prescan(parse_files(p.sources(), only=("functions", "classes")))
 
 
 @query("""SELECT '/src/' || s_suppkey || '.php' AS path, 'make' AS name, 'static' AS kind, 'S' || s_suppkey AS class_context, '$a,...$b' AS args, 1 + 2 * s_nationkey AS complexity, 'Base' AS bases, 'Api' AS implements,

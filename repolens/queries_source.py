@@ -20,7 +20,7 @@ _TS, _PHP = _FILE.format(ext="ts"), _FILE.format(ext="php")
 
 
 def _exploded(sources: DataFrame, column: str, is_dependency: bool = False) -> DataFrame:
-    return parse_files(sources, is_dependency).select("path", F.explode(column).alias("x")).select("path", "x.*")
+    return parse_files(sources, is_dependency, (column,)).select("path", F.explode(column).alias("x")).select("path", "x.*")
 
 
 # -- TypeScript ---------------------------------------------------------------------------------------
@@ -80,7 +80,7 @@ def parse_dependency(p: Projection) -> DataFrame:
 
 @query(f"""SELECT replace(name, '#', k) AS name, path, line + n AS line_number FROM ({_TS}) s, (VALUES ('outer#', 25), ('arrow#', 21), ('Shape#', 6), ('Figure#', 11), ('Made#', 24)) v(name, line)""")
 def prescan_ts(p: Projection) -> DataFrame:
-    return prescan(parse_files(p.ts_sources()))
+    return prescan(parse_files(p.ts_sources(), only=("functions", "classes")))
 
 
 # -- PHP ----------------------------------------------------------------------------------------------
@@ -148,7 +148,7 @@ def parse_dispatch(p: Projection) -> DataFrame:
     every = p.ts_sources().select("path", "source").unionByName(p.php_files().select("path", "source")).unionByName(p.sources())
     every = every.unionByName(p.table("nation").select(F.concat(F.lit("/x/"), "n_name", F.lit(".py")).alias("path"), F.lit("def f(): pass").alias("source")))
     ext = F.regexp_extract("path", r"([a-z]+)$", 1)
-    return parse_files(every).groupBy(ext.alias("path"), "lang").agg(F.count("*").alias("n"))
+    return parse_files(every, only=()).groupBy(ext.alias("path"), "lang").agg(F.count("*").alias("n"))
 
 
 # -- indexing -----------------------------------------------------------------------------------------

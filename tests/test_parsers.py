@@ -146,3 +146,25 @@ def test_dispatch_by_extension():
     assert parse("/port.rb", "puts 1") is None
     names = {"/a.js": "javascript", "/a.JSX": "javascript", "/b/c.cjs": "javascript", "/b/c.mjs": "javascript", "/a.ts": "typescript", "/a.Tsx": "typescript", "/x.php": "php", "/x": None, "/x.js/y": None}
     assert {p: language_of(p) for p in names} == names
+
+
+def test_prescan_parses_once(spark):
+    from repolens.plans.index import parse_files, prescan
+
+    sources = spark.createDataFrame([("/a.js", "function f() {}\nclass C { m() {} }\n"), ("/b.js", None), ("/c.py", "x")], "path string, source string")
+    df = prescan(parse_files(sources))
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(tuple(r) for r in df.collect()) == [("C", "/a.js", 2), ("f", "/a.js", 1)]
+    some = parse_files(sources, only=("calls",))
+    assert some.columns == ["path", "lang", "calls", "error"] and some.count() == 2
+
+
+def test_templates_and_regular_expressions_among_tokens():
+    from repolens.functions.parsers.ecma import tokenize
+
+    kinds = lambda text: [(t.kind, t.text) for t in tokenize(text).tokens]
+    assert kinds("  a /b/ c") == [("name", "a"), ("punct", "/"), ("name", "b"), ("punct", "/"), ("name", "c")]
+    assert kinds("x = /b\\/`/g ; y") == [("name", "x"), ("punct", "="), ("regex", "/b\\/`/g"), ("punct", ";"), ("name", "y")]
+    assert kinds("`a ${f(1)}` + b") == [("template", "`a ${f(1)}`"), ("punct", "{"), ("name", "f"), ("punct", "("), ("number", "1"), ("punct", ")"), ("punct", "}"), ("template", ""), ("punct", "+"), ("name", "b")]
+    s = tokenize("a // c  \n /** d */\n b")
+    assert [(t.start, t.end) for t in s.tokens] == [(0, 1), (20, 21)] and [s.source[a:b] for a, b in s.comments] == ["// c  ", "/** d */"]
