@@ -1,11 +1,13 @@
-"""Source files as a DataFrame: enumeration, ignore rules and hashes.  All of it runs in the JVM."""
+"""Source files as a DataFrame: enumeration, ignore rules and hashes.  Reading runs in the JVM."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions.parsers import EXTENSIONS
@@ -162,3 +164,27 @@ def read_sources(spark: SparkSession, root: str, gitignore: str | None = None) -
     pattern = "*.{" + ",".join(sorted(x[1:] for x in EXTENSIONS)) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return contents(raw.where(~ignored(below(plain(F.col("path")), root), rules)), root)
+
+
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    uri = re.sub(r"^file:/+", "/", uri)
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write files (rel, source) under ``root``, a folder that driver and executors share, each by the task that has it."""
+    def run(rows: Iterator[Row]) -> None:
+        fs, top = opened(root)
+        made: set[str] = set()
+        for r in rows:
+            target = f"{top.rstrip('/')}/{r['rel']}"
+            folder = target.rpartition("/")[0]
+            if folder not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
+            with fs.open_output_stream(target) as out:
+                out.write((r["source"] or "").encode())
+
+    # a few blocks may hold all of them: a task for at least every core
+    files.select("rel", "source").repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "rel").foreachPartition(run)

@@ -9,7 +9,6 @@ that is tried again finds the listing of its batch already there and reports the
 from __future__ import annotations
 
 import json
-import re
 import time
 import uuid
 import zlib
@@ -20,18 +19,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from repolens.sources.files import IGNORED_DIRS
+from repolens.sources.files import IGNORED_DIRS, opened
 
 PARTS = 8
 LEVELS = 2
 
 
-def opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path there."""
-    uri = re.sub(r"^file:/+", "/", uri)
-    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
-
-
 def _owner(names: list[str], parts: int) -> int:
     """The task of a file or directory with these names from the root on: files above the last level that is dealt go by the
     directories they are in."""

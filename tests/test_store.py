@@ -225,3 +225,15 @@ def test_stream_by_subtrees(spark, tmp_path):
     run()
     found = [(r["path"].removeprefix(str(top)), r["op"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(found) == [("/lib/x/g.js", "add"), ("/src/b.js", "change")]
+
+
+def test_files_are_written_by_tasks(spark, tmp_path):
+    from repolens.sources import files
+
+    rows = [("a/b/c.ts", "x\n"), ("d.ts", "ä"), ("e.ts", None)]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("writing files", "")
+    files.write_files(spark.createDataFrame(rows, "rel string, source string"), f"file:{tmp_path}/w")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs.getJobIdsForGroup("writing files")
+    assert [(tmp_path / "w" / rel).read_bytes().decode() for rel, _ in rows] == ["x\n", "ä", ""]
