@@ -27,7 +27,7 @@ from repolens.operators.traverse import durable
 from repolens.plans import cypher
 from repolens.plans.cypher import CypherError
 from repolens.sources.schema import KEYS, LABELS, TABLES, UNITS
-from repolens.sources.store import Change, Snapshot, SnapshotStore
+from repolens.sources.store import BROADCAST_UNITS, Change, Snapshot, SnapshotStore
 
 _TABLE_OF = {label: table for table, label in LABELS.items()} | {"Interface": "classes"}
 #: Edge types that have tables of their own, and the table of both ends.
@@ -155,7 +155,8 @@ class Mutation:
         out = {}
         for t, df in self.changed.items():
             units = durable(reduce(DataFrame.unionByName, [u.toDF("unit") for u in self.touched[t]]).where("unit is not null").distinct())
-            kept = df.join(units, F.col(UNITS[t]) == F.col("unit"), "left_semi")
+            few = units.limit(BROADCAST_UNITS + 1).count() <= BROADCAST_UNITS
+            kept = df.join(F.broadcast(units) if few else units, F.col(UNITS[t]) == F.col("unit"), "left_semi")
             out[t] = Change(kept, units)
         return self.store.publish(out, self.base)
 

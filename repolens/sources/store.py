@@ -30,7 +30,8 @@ from repolens.sources.schema import FOLDERS, INDEXES, KEYS, ORDERS, TABLES, UNIT
 
 #: Runs that a table may have before its newest ones are merged.
 MOST_RUNS = 8
-#: Replaced units that are broadcast to the rows of older runs; their number is known from when they were written.
+#: Replaced units that are broadcast to the rows of older runs, and rows of a table that a join may broadcast; their number is
+#: known from when they were written.
 BROADCAST_UNITS = 200_000
 #: Jobs of one publish that run beside each other.
 AT_ONCE = 8
@@ -125,13 +126,18 @@ class SnapshotStore:
             return self.spark.createDataFrame([], schema_of(name))
         later = [(i, r) for i, r in enumerate(runs) if i and r.gone]
         if not later:
-            return reduce(DataFrame.unionByName, [self._rows(name, r, buckets) for r in runs])
+            return self._shuffled(reduce(DataFrame.unionByName, [self._rows(name, r, buckets) for r in runs]), runs)
         rows = reduce(DataFrame.unionByName, [self._rows(name, r, buckets).withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
         gone = reduce(DataFrame.unionByName, [self._gone(r).withColumn("by", F.lit(i)) for i, r in later]).groupBy("unit").agg(F.max("by").alias("by"))
         gone = F.broadcast(gone) if sum(r.gone for _, r in later) <= BROADCAST_UNITS else gone
         unit = UNITS[name]
         alive = rows.join(gone, F.col(unit) == F.col("unit"), "left").where("by is null or by <= run")
-        return alive.drop("unit", "by", "run")
+        return self._shuffled(alive.drop("unit", "by", "run"), runs)
+
+    @staticmethod
+    def _shuffled(rows: DataFrame, runs: list[Run]) -> DataFrame:
+        """Rows that no join broadcasts if they are many: Spark goes by the bytes of files, and few of those hold many rows."""
+        return rows.hint("merge") if sum(r.rows for r in runs) > BROADCAST_UNITS else rows
 
     def load(self, name: str, snapshot: Snapshot | None = None) -> DataFrame:
         return self.merged(name, (snapshot or self.snapshot()).runs.get(name, []))

@@ -237,3 +237,14 @@ def test_files_are_written_by_tasks(spark, tmp_path):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs.getJobIdsForGroup("writing files")
     assert [(tmp_path / "w" / rel).read_bytes().decode() for rel, _ in rows] == ["x\n", "ä", ""]
+
+
+def test_large_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from repolens.sources import store as module
+
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    store.publish({"modules": spark.createDataFrame([("a",), ("b",), ("c",)], "name string")})
+    plan = lambda: store.load("modules").where("name <> 'c'").join(store.load("modules"), "name")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(module, "BROADCAST_UNITS", 2)
+    assert "BroadcastHashJoin" not in plan()
