@@ -25,7 +25,7 @@ from repolens.functions.parsers import parse
 from repolens.functions.parsers.tokens import MAX_SOURCE
 from repolens.functions.text import basename, dirname, symbol_id
 from repolens.operators import graph, resolve, search, segments
-from repolens.operators.traverse import durable, swept
+from repolens.operators.traverse import durable, few_broadcasts, swept
 from repolens.plans import describe
 from repolens.sources.files import exists, read_sources, rooted
 from repolens.sources.schema import NODES, PARSED_FILE
@@ -191,7 +191,7 @@ class Indexer:
             hashes = durable(current.select("path", "rel", "content_hash"))
             total = hashes.count()
             self.jobs.update(job.id, files_total=total)
-            with swept(self.spark):
+            with swept(self.spark), few_broadcasts(self.spark):
                 self._apply(root, current, None, is_dependency, hashes)
             self.jobs.update(job.id, status="completed", files_processed=total, completed_at=time.time())
             log.info("indexed %s: %d files", root, total)
@@ -202,7 +202,7 @@ class Indexer:
 
     def index_files(self, root: str, sources: DataFrame, removed: DataFrame | None = None, is_dependency: bool = False) -> None:
         """Upsert single files (path, rel, lang, source, content_hash) and remove others (path)."""
-        with swept(self.spark):
+        with swept(self.spark), few_broadcasts(self.spark):
             self._apply(rooted(self.spark, root), sources, removed if removed is not None else self.spark.createDataFrame([], "path string"), is_dependency)
 
     def remove_file(self, path: str) -> None:

@@ -248,3 +248,50 @@ def test_large_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
     assert "BroadcastHashJoin" in plan()
     monkeypatch.setattr(module, "BROADCAST_UNITS", 2)
     assert "BroadcastHashJoin" not in plan()
+
+
+def test_indexing_broadcasts_little(spark, tmp_path, monkeypatch):
+    """The joins of an index job follow its own bound, not the session's of 10 MB a side."""
+    from repolens.operators import traverse
+
+    monkeypatch.setattr(traverse, "BROADCAST_BYTES", -1, raising=False)
+    root, key = tmp_path / "code", "spark.sql.autoBroadcastJoinThreshold"
+    root.mkdir()
+    for k in range(3):
+        (root / f"f{k}.ts").write_text(f"import {{ g{k + 1} }} from './f{k + 1}';\nexport function g{k}() {{ return g{k + 1}(); }}\nclass C{k} extends C{k + 1} {{}}\n")
+
+    def plans() -> dict[int, str]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        done = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {x.executionId(): x.physicalPlanDescription() for x in map(done.apply, range(done.size()))}
+
+    kept, before, graph = spark.conf.get(key), set(plans()), Lens(spark, str(tmp_path / "store"))
+    assert graph.add_code_to_graph(str(root))["status"] == "completed"
+    made = [p for i, p in plans().items() if i not in before]
+    assert any("SortMergeJoin" in p for p in made) and not any("BroadcastHashJoin" in p for p in made)
+    assert spark.conf.get(key) == kept
+    assert (graph.tables()["calls"].count(), graph.tables()["inherits"].count()) == (2, 2)
+
+
+def test_bounds_of_broadcasts_nest(spark):
+    from repolens.operators.traverse import BROADCAST_BYTES, few_broadcasts
+
+    key, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(key)
+    try:
+        for own, want in (("64k", 64 << 10), ("10m", BROADCAST_BYTES), ("-1", -1)):
+            spark.conf.set(key, own)
+            spark.conf.set(adaptive, own)
+            one, other = few_broadcasts(spark), few_broadcasts(spark)
+            one.__enter__()
+            other.__enter__()
+            one.__exit__(None, None, None)
+            assert [int(spark.conf.get(k)) for k in (key, adaptive)] == [want, want]
+            other.__exit__(None, None, None)
+            assert [spark.conf.get(k) for k in (key, adaptive)] == [own, own]
+    finally:
+        spark.conf.set(key, kept)
+        spark.conf.unset(adaptive)
+    with few_broadcasts(spark):
+        assert int(spark.conf.get(key)) == BROADCAST_BYTES and spark.conf.get(adaptive, None) is None
+    assert spark.conf.get(key) == kept
