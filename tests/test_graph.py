@@ -188,6 +188,33 @@ def test_links_of_large_groups(spark):
     assert local.agg(F.count("*"), F.min("dst_id"), F.max("dst_id")).first()[:] == (n * 41, "0", "0")
 
 
+def _shuffled(spark, df) -> tuple[int, int]:
+    """Bytes that a run of ``df`` writes to shuffles, and its rows."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0)
+    stages = lambda: (x.apply(i) for x in [store.stageList(None, False, False, none, None)] for i in range(x.size()))
+    seen = {s.stageId() for s in stages()}
+    n = df.count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(s.shuffleWriteBytes() for s in stages() if s.stageId() not in seen), n
+
+
+def test_what_links_shuffle_grows_with_the_ids(spark, monkeypatch):
+    """Four times the ids are sixteen times the links, but not of what is shuffled to make them."""
+    monkeypatch.setattr(resolve, "LINKS_PER_CELL", 1 << 14, raising=False)
+    monkeypatch.setattr(resolve, "MOST_CELLS", 16, raising=False)
+    imports = spark.createDataFrame([], "path string, imported_name string, alias string, line_number int")
+    calls = spark.createDataFrame([("/1", "a", "a", 7)], "path string, name string, caller_name string, line_number int")
+    bytes_of = {}
+    for n in (1_500, 6_000):
+        c = spark.range(n).select(F.xxhash64("id").alias("id"), F.lit("a").alias("name"), F.lit(None).cast("string").alias("repo_path"), F.array(F.lit("a")).alias("bases"), F.lit("/1").alias("path"), F.col("id").cast("int").alias("line_number"))
+        symbols = c.select("name", "path", "line_number").withColumn("ord", F.struct("path", "line_number"))
+        for kind, df in (("bases", resolve.link_bases(c, "bases", False)), ("calls", resolve.link_calls(calls, imports, c, symbols))):
+            bytes_of[kind, n], found = _shuffled(spark, df)
+            assert found == n * n
+    for kind in ("bases", "calls"):
+        assert bytes_of[kind, 6_000] < 6 * bytes_of[kind, 1_500], bytes_of
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.tuples(st.sampled_from([None, *"12345"]), st.sampled_from(["a", "b", "c"]), st.sampled_from(["/1", "/2"]), st.integers(1, 40)), max_size=9),
